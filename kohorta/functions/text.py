@@ -11,7 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns that decide the result. They avoid look-around, so the
-# JVM and RE2 engines read them alike.
+# JVM and RE2 engines read them alike, and repeat only character classes: the JVM
+# walks a repeated group by recursion, which a long text can exhaust.
 BLANK = r"[\t-\r \x1c-\x1f\x85\p{Z}]"
 NON_BLANK = r"[^\t-\r \x1c-\x1f\x85\p{Z}]"
 MENTION = r"@[\p{L}\p{N}_]+"
@@ -22,10 +23,10 @@ POST_TOKEN = (
     r"|\p{L}[\p{L}'_-]+\p{L}"  # word with inner apostrophe or hyphen
     r"|[+-]?\p{N}+[,/.:-]\p{N}+[+-]?"  # fraction, decimal, time
     r"|[\p{L}\p{N}_]+"  # any other word
-    r"|\.(?:\s*\.)+"  # dots
+    r"|\.[\s.]*\."  # dots
     r"|\S"  # single sign
 )
-WORD_OR_GAP = r"\p{L}+(?:['’]\p{L}+)*|[^\p{L}]+"
+WORD_OR_GAP = r"\p{L}(?:[\p{L}'’]*\p{L})?|[^\p{L}]+"
 
 # Literal replacements on the joined tokens, applied in this order.
 TOKEN_REWRITES = [
@@ -133,6 +134,11 @@ def emoji_names(extra: dict[str, str] | None = None) -> dict[str, str]:
     return {char: f":{name}:" for char, name in names.items()}
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _map_literal(mapping: dict[str, str]) -> Column:
     # Folded to one constant at planning time: a single literal instead of
     # thousands of map arguments.
@@ -248,16 +254,18 @@ def normalize_post(text: Column, extra_emoji: dict[str, str] | None = None) -> C
     joined = F.regexp_replace(joined, r"(^| )@[^ ]*", "$1@USER")
     joined = F.regexp_replace(joined, r"(?i)(^| )(?:http|www)[^ ]*", "$1HTTPURL")
     names = _map_literal(emoji_names(extra_emoji))
-    named = F.array_join(
-        F.transform(
-            F.split(joined, " "),
-            lambda t: F.when(
-                t.rlike("^" + EMOJI_CLASS + "$"), F.coalesce(F.element_at(names, t), t)
-            ).otherwise(t),
-        ),
-        " ",
+
+    def named(token):
+        return F.when(
+            token.rlike("^" + EMOJI_CLASS + "$"), F.coalesce(F.element_at(names, token), token)
+        ).otherwise(token)
+
+    joined = _let(
+        joined,
+        lambda line: F.when(
+            line.rlike(EMOJI_CLASS), F.array_join(F.transform(F.split(line, " "), named), " ")
+        ).otherwise(line),
     )
-    joined = F.when(joined.rlike(EMOJI_CLASS), named).otherwise(joined)
     for old, new in TOKEN_REWRITES:
         joined = F.replace(joined, F.lit(old), F.lit(new))
     for pattern, new in NUMBER_REWRITES:

@@ -55,7 +55,13 @@ def train_classifier(
         IDF(inputCol="counts", outputCol="features"),
         LogisticRegression(maxIter=iterations, regParam=regularisation),
     ]
-    return Pipeline(stages=stages).fit(with_normal_text(examples, column).select("normal_text", "label"))
+    # Read by the IDF and by every step of the regression; labelled sets are small
+    # beside the posts, and a lost block is computed again.
+    ready = with_normal_text(examples, column).select("normal_text", "label").persist()
+    try:
+        return Pipeline(stages=stages).fit(ready)
+    finally:
+        ready.unpersist()
 
 
 def classify(posts: DataFrame, model: PipelineModel, column: str = "text") -> DataFrame:

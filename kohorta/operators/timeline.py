@@ -138,21 +138,26 @@ def first_hit(posts: DataFrame, hit: Column) -> DataFrame:
     )
 
 
-def define_t0(
-    posts: DataFrame,
+def entry_hit(
     threshold: float,
     keywords: Iterable[str] = (),
     similarity: str = "similarity",
     column: str = "prep",
-) -> DataFrame:
-    """Each user's posts from the entry time on.
+) -> Column:
+    """The similarity to the key concept reaches ``threshold``, or a keyword occurs.
 
-    Entry is the first post, by time and id, whose similarity to the key concept
-    reaches ``threshold`` or that holds a keyword. Users without one disappear.
+    A missing similarity or text is no hit.
+    """
+    similar = F.coalesce(F.col(similarity) >= threshold, F.lit(False))
+    return similar | F.coalesce(T.has_keyword(F.col(column), keywords), F.lit(False))
+
+
+def define_t0(posts: DataFrame, hit: Column) -> DataFrame:
+    """Each user's posts from the entry time on; users without a hit disappear.
+
+    Entry is the first post, by time and id, that satisfies ``hit``. The posts are
+    read twice, so a costly test is better stored as a flag first.
     """
-    hit = F.coalesce(F.col(similarity) >= threshold, F.lit(False)) | F.coalesce(
-        T.has_keyword(F.col(column), keywords), F.lit(False)
-    )
     entry = first_hit(posts, hit)
     later = (F.col("created_ts") > F.col("t0_ts")) | (
         (F.col("created_ts") == F.col("t0_ts")) & (F.col("id") >= F.col("t0_id"))

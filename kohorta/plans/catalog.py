@@ -15,7 +15,7 @@ from kohorta.operators import scoring as S
 from kohorta.operators import survival as V
 from kohorta.operators import timeline as L
 from kohorta.plans import inputs as I
-from kohorta.session import scratch_path, tune
+from kohorta.session import cut_lineage, scratch_path, tune
 from kohorta.sources import settings, tables
 from kohorta.streaming import ingest as G
 
@@ -75,9 +75,11 @@ def assign_periods(spark, folder):
 
 
 def define_t0(spark, folder):
-    kept = L.define_t0(
-        I.posts(spark, folder), I.THRESHOLDS[I.ENTRY], I.ENTRY_KEYWORDS, I.ENTRY, "text"
+    hit = L.entry_hit(I.THRESHOLDS[I.ENTRY], I.ENTRY_KEYWORDS, I.ENTRY, "text")
+    posts = I.posts(spark, folder).select(
+        "user_id", "id", "created_ts", "normalised_date", hit.alias("hit")
     )
+    kept = L.define_t0(cut_lineage(posts, "entry"), F.col("hit"))
     return kept.select("user_id", "id", "normalised_date")
 
 
@@ -155,7 +157,7 @@ def latest_per_user(spark, folder):
 
 
 def build_timelines(spark, folder):
-    posts = I.posts(spark, folder)
+    posts = I.text_posts(spark, folder)
     users = P.keep_existing(P.distinct_users(posts), _directory(spark, folder))
     return L.build_timelines(posts, users, 20).select("user_id", "id", F.length("text").alias("n"))
 
@@ -284,7 +286,7 @@ def train_and_classify(spark, folder):
     examples = C.split_examples(I.labelled(spark, folder))
     path = scratch_path(spark, "classifier")
     C.save_classifier(C.train_classifier(examples.filter("part = 'train'")), path)
-    documents = I.table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    documents = I.documents(spark, folder).select(F.col("doc_id").alias("id"), "text")
     return C.classify(documents, C.load_classifier(path)).select("id", "p0", "p1", "personal")
 
 
@@ -340,7 +342,13 @@ def timeline_to_intervals(spark, folder):
     """Whole chain: clean, entry time, cohort, intervals."""
     posts = I.posts(spark, folder)
     clean = L.clean_text(posts.unionByName(posts), [F.col("created_ts")], expand=True)
-    entered = L.define_t0(clean, I.THRESHOLDS[I.ENTRY], I.ENTRY_KEYWORDS, I.ENTRY)
+    # The text has done its work once the entry test is a flag; the narrow rows are
+    # stored, as both halves of the entry step read them.
+    hit = L.entry_hit(I.THRESHOLDS[I.ENTRY], I.ENTRY_KEYWORDS, I.ENTRY)
+    narrow = clean.select(
+        "user_id", "id", "created_ts", "normalised_date", I.EXPOSURE, I.OUTCOME, hit.alias("hit")
+    )
+    entered = L.define_t0(cut_lineage(narrow, "clean"), F.col("hit"))
     periods = H.build_cohort(
         entered, I.EXPOSURE, I.OUTCOME, I.THRESHOLDS, min_posts=I.MIN_POSTS // 2
     )

@@ -22,6 +22,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents, spread over the cores when they come in fewer files than that.
+
+    Text work is bound by the processor, and a small table may be a single row
+    group, hence a single task. A table of many files is read as it lies.
+    """
+    texts = table(spark, folder, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return texts.repartition(cores) if len(texts.inputFiles()) < cores else texts
+
+
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("embedding").alias("vector")
@@ -87,7 +98,7 @@ def decorated(spark: SparkSession, folder: str) -> DataFrame:
         F.when(k % 3 == 0, F.concat(F.lit(" https://t.co/x"), k.cast("string"), F.lit(" tail")))
         .otherwise(""),
     )
-    return table(spark, folder, "documents").select(k.alias("id"), "lang", text.alias("text"))
+    return documents(spark, folder).select(k.alias("id"), "lang", text.alias("text"))
 
 
 def posts(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,6 +113,14 @@ def posts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def text_posts(spark: SparkSession, folder: str) -> DataFrame:
+    """Posts with a text but without scores."""
+    texts = decorated(spark, folder).withColumnRenamed("id", "doc_id")
+    size = table(spark, folder, "documents").agg(F.count("*")).scalar()
+    events = table(spark, folder, "events").select("user_id", F.col("event_id").alias("id"))
+    return events.withColumn("doc_id", F.col("id") % size).join(texts, "doc_id").drop("doc_id")
+
+
 def raw_posts(spark: SparkSession, folder: str) -> DataFrame:
     """Decorated documents in the three shapes in which a post carries its text."""
     k, whole = F.col("id"), F.col("text")
@@ -118,8 +137,8 @@ def raw_posts(spark: SparkSession, folder: str) -> DataFrame:
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
     return (
-        table(spark, folder, "labels")
-        .join(table(spark, folder, "documents"), "doc_id")
+        documents(spark, folder)
+        .join(table(spark, folder, "labels"), "doc_id")
         .select(
             F.col("doc_id").alias("id"),
             "text",
