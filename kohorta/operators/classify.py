@@ -40,7 +40,7 @@ def with_normal_text(posts: DataFrame, column: str = "text") -> DataFrame:
 def train_classifier(
     examples: DataFrame,
     column: str = "text",
-    features: int = 1 << 18,
+    features: int = 1 << 16,
     iterations: int = 10,
     regularisation: float = 0.01,
 ) -> PipelineModel:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kohorta.functions import text as T
-from kohorta.operators.ranking import top_n
+from kohorta.operators.skew import salted_join, top_n
 
 
 def with_full_text(posts: DataFrame, into: str = "text") -> DataFrame:
@@ -75,8 +75,8 @@ def keep_existing(users: DataFrame, directory: DataFrame, key: str = "user_id")
 
 
 def posts_of(posts: DataFrame, users: DataFrame, key: str = "user_id") -> DataFrame:
-    """Posts of the given users. Spark broadcasts the users when they are few."""
-    return posts.join(users.select(key), key, "left_semi")
+    """Posts of the given users; a hot user's posts are split over several tasks."""
+    return salted_join(posts, users.select(key), key, "left_semi")
 
 
 def only_new(incoming: DataFrame, known: DataFrame, key: str = "id") -> DataFrame:
@@ -107,8 +107,7 @@ def apply_translations(posts: DataFrame, translations: DataFrame, lang: str = "e
     """
     own = F.col("lang").eqNullSafe(lang)
     foreign = (
-        posts.filter(~own)
-        .join(translations.select("id", "text_en"), "id", "left")
+        salted_join(posts.filter(~own), translations.select("id", "text_en"), "id", "left")
         .withColumn("text", F.coalesce("text_en", "text"))
         .select(*posts.columns)
     )

@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kohorta.functions.vectors import cosine_with
-from kohorta.operators.ranking import top_n
+from kohorta.operators.skew import salted_join, top_n
 
 # Concepts travel inside the task closure. A dictionary above this size must be
 # scored in slices and the results united; nothing is cut off silently.
 MAX_CONCEPT_BYTES = 64 << 20
+MAX_THRESHOLDS = 100_000
 
 
 def concept_vectors(concepts: DataFrame, vector: str = "vector") -> dict[str, list[float]]:
@@ -81,10 +82,17 @@ def pivot_scores(scores: DataFrame, concepts: Sequence[str], keys: Sequence[str]
 
 
 def apply_thresholds(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Scores that reach the threshold of their concept."""
-    return scores.join(thresholds.select("concept", "threshold"), "concept").filter(
-        F.col("similarity") >= F.col("threshold")
-    )
+    """Scores that reach the threshold of their concept.
+
+    There are few concepts and all posts have all of them, so the scores must not
+    be shuffled by concept: the thresholds are counted and, if few, broadcast.
+    """
+    few = thresholds.select("concept", "threshold")
+    if few.count() <= MAX_THRESHOLDS:
+        joined = scores.join(F.broadcast(few), "concept")
+    else:
+        joined = salted_join(scores, few, "concept")
+    return joined.filter(F.col("similarity") >= F.col("threshold"))
 
 
 def top_k_per_concept(scores: DataFrame, k: int = 500, key: str = "id") -> DataFrame:

@@ -1,9 +1,8 @@
 """Per-user timelines: collection, cleaning, entry time, truncation.
 
 No operator here sorts a whole user in one task. Facts about a user (count, first
-day, first hit) are aggregates with map-side combine, joined back to the posts;
-Spark broadcasts the facts when they are small and otherwise splits a hot user at
-run time (adaptive skew join).
+day, first hit) are aggregates with map-side combine, joined back to the posts by a
+join that splits hot users.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from kohorta.functions import dates as D
 from kohorta.functions import text as T
 from kohorta.operators import posts as P
-from kohorta.operators.ranking import top_n
+from kohorta.operators.skew import salted_join, top_n
 
 
 def latest_per_user(posts: DataFrame, n: int = 3240) -> DataFrame:
@@ -33,7 +32,7 @@ def latest_per_user(posts: DataFrame, n: int = 3240) -> DataFrame:
     )
     limits = (
         top_n(
-            ids.join(long_users.select("user_id"), "user_id", "left_semi"),
+            salted_join(ids, long_users.select("user_id"), "user_id", "left_semi"),
             ["user_id"],
             [F.col("id").desc()],
             n,
@@ -42,8 +41,7 @@ def latest_per_user(posts: DataFrame, n: int = 3240) -> DataFrame:
         .agg(F.min("id").alias("_oldest"))
     )
     return (
-        posts.filter("id is not null")
-        .join(limits, "user_id", "left")
+        salted_join(posts.filter("id is not null"), limits, "user_id", "left")
         .filter(F.col("_oldest").isNull() | (F.col("id") >= F.col("_oldest")))
         .select(*posts.columns)
     )
@@ -162,14 +160,14 @@ def define_t0(posts: DataFrame, hit: Column) -> DataFrame:
     later = (F.col("created_ts") > F.col("t0_ts")) | (
         (F.col("created_ts") == F.col("t0_ts")) & (F.col("id") >= F.col("t0_id"))
     )
-    return posts.join(entry, "user_id").filter(later).select(*posts.columns)
+    return salted_join(posts, entry, "user_id").filter(later).select(*posts.columns)
 
 
 def truncate_at_outcome(posts: DataFrame, hit: Column) -> DataFrame:
     """Posts up to and including the day of the user's first outcome hit."""
     first = posts.filter(hit).groupBy("user_id").agg(F.min("normalised_date").alias("_end"))
     return (
-        posts.join(first, "user_id", "left")
+        salted_join(posts, first, "user_id", "left")
         .filter(F.col("_end").isNull() | (F.col("normalised_date") <= F.col("_end")))
         .select(*posts.columns)
     )
