@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer, VectorSlicer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from kohorta.functions.vectors import cosine_with
+from kohorta.operators.scoring import unnest_scores
 
-def fit_tfidf(texts: DataFrame, column: str = "prep", features: int = 4096) -> PipelineModel:
+
+def fit_tfidf(texts: DataFrame, column: str = "prep", features: int = 1 << 18) -> PipelineModel:
     """Hashed TF-IDF encoder with unit length, fitted on a table of texts."""
     stages = [
         RegexTokenizer(inputCol=column, outputCol="_tokens", pattern=r"[^\p{L}\p{N}]+"),
@@ -36,7 +39,11 @@ def network_encoder(make_predict: Callable, batch_size: int = 32):
 
 def embed(df: DataFrame, encoder, column: str = "prep", into: str = "vector") -> DataFrame:
     """Adds a vector column: ``encoder`` is a fitted pipeline, a column function
-    (a network or stored vectors), or the name of a vector column."""
+    (a network or stored vectors), or the name of a vector column.
+
+    A pipeline's vectors become dense here, so give it few features; to score
+    texts against concepts use ``score_texts``, which keeps them sparse.
+    """
     if isinstance(encoder, PipelineModel):
         out = encoder.transform(df)
         unit = vector_to_array(F.col("_unit"), "float32")
@@ -50,3 +57,30 @@ def embed_concepts(concepts: DataFrame, encoder) -> DataFrame:
     """Concept dictionary to ``(concept, vector)``: each keyword list is encoded once."""
     texts = concepts.select("concept", F.array_join("keywords", ", ").alias("prep"))
     return embed(texts, encoder).select("concept", "vector")
+
+
+def score_texts(
+    texts: DataFrame,
+    encoder: PipelineModel,
+    concepts: DataFrame,
+    column: str = "prep",
+    digits: int | None = 6,
+) -> DataFrame:
+    """Long scores of texts against ``concepts(concept, keywords)`` with a TF-IDF encoder.
+
+    Only the features that occur in some concept can add to a product. The sparse
+    unit vector of a text is sliced to those, a few hundred, before it leaves the
+    JVM; its length was fixed before, so the cosine is unchanged.
+    """
+    keyword_text = concepts.select("concept", F.array_join("keywords", ", ").alias(column))
+    encoded = encoder.transform(keyword_text).select("concept", "_unit").collect()
+    named = {r["concept"]: r["_unit"] for r in sorted(encoded, key=lambda r: r["concept"])}
+    used = sorted({int(i) for v in named.values() for i in v.indices}) or [0]
+    matrix = [[float(v[i]) for i in used] for v in named.values()]
+    sliced = VectorSlicer(inputCol="_unit", outputCol="_part", indices=used).transform(
+        encoder.transform(texts)
+    )
+    vectors = sliced.select(*texts.columns, vector_to_array("_part").alias("vector")).drop(column)
+    return unnest_scores(
+        vectors, cosine_with(matrix, unit_rows=True)(F.col("vector")), named, "vector", digits
+    )

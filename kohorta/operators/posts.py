@@ -12,7 +12,7 @@ from kohorta.operators.skew import salted_join, top_n
 
 
 def with_full_text(posts: DataFrame, into: str = "text") -> DataFrame:
-    """Longest text of each post; only the forms the table holds are consulted."""
+    """Longest text of each post, from the forms the table holds, which it replaces."""
     fields = set(posts.columns)
     return posts.withColumn(
         into,
@@ -21,7 +21,7 @@ def with_full_text(posts: DataFrame, into: str = "text") -> DataFrame:
             F.col("full_text") if "full_text" in fields else None,
             F.col("extended_tweet.full_text") if "extended_tweet" in fields else None,
         ),
-    )
+    ).drop("full_text", "extended_tweet")
 
 
 def filter_lang(posts: DataFrame, lang: str = "en") -> DataFrame:

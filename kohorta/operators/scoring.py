@@ -62,13 +62,15 @@ def score_concepts(
     The similarities of a post come back as one array, which is then unnested.
     """
     named = _vectors(concepts)
-    similarities = cosine_with(list(named.values()))(F.col(vector))
-    names = F.array(*[F.lit(name) for name in named])
-    pairs = F.arrays_zip(names.alias("concept"), similarities.alias("similarity"))
+    return unnest_scores(posts, cosine_with(list(named.values()))(F.col(vector)), named, vector, digits)
+
+
+def unnest_scores(posts, similarities, names, vector: str, digits: int | None) -> DataFrame:
+    labels = F.array(*[F.lit(name) for name in names])
+    pairs = F.arrays_zip(labels.alias("concept"), similarities.alias("similarity"))
     rest = [c for c in posts.columns if c != vector]
-    long = posts.select(*rest, F.explode(pairs).alias("_pair"))
     value = F.col("_pair.similarity")
-    return long.select(
+    return posts.select(*rest, F.explode(pairs).alias("_pair")).select(
         *rest,
         F.col("_pair.concept").alias("concept"),
         (F.round(value, digits) if digits is not None else value).alias("similarity"),

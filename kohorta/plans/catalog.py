@@ -298,15 +298,13 @@ def evaluate_classifier(spark, folder):
 
 def embed_tfidf(spark, folder):
     texts = I.decorated(spark, folder).select("id", F.col("text").alias("prep"))
-    return E.embed(texts, E.fit_tfidf(texts)).select("id", "vector")
+    return E.embed(texts, E.fit_tfidf(texts, features=256)).select("id", "vector")
 
 
 def score_texts(spark, folder):
     """Whole texts against the twenty concepts of the shipped study."""
     texts = I.decorated(spark, folder).select("id", F.col("text").alias("prep"))
-    encoder = E.fit_tfidf(texts)
-    concepts = E.embed_concepts(settings.load_concepts(spark), encoder)
-    return S.score_concepts(E.embed(texts, encoder).select("id", "vector"), concepts)
+    return E.score_texts(texts, E.fit_tfidf(texts), settings.load_concepts(spark))
 
 
 def predicate_scan(spark, folder):
