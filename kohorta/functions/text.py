@@ -83,6 +83,8 @@ CONTRACTIONS = {
     "why'd": "why did", "why're": "why are", "why's": "why is", "won't": "will not",
     "would've": "would have", "wouldn't": "would not", "y'all": "you all",
     "you'd": "you would", "you'll": "you will", "you're": "you are", "you've": "you have",
+    "dunno": "do not know", "gimme": "give me", "gonna": "going to", "gotta": "got to",
+    "lemme": "let me", "wanna": "want to",
 }
 
 # Names that differ from the character's Unicode name.
@@ -194,7 +196,7 @@ def expand_contractions(text: Column, table: dict[str, str] | None = None) -> Co
     """Replace contracted words, keeping a leading capital.
 
     Only words in the table change; all other characters stay as they are. Texts
-    without an apostrophe skip the work.
+    with neither an apostrophe nor a listed word without one skip the work.
     """
     table = CONTRACTIONS if table is None else table
     lookup = _map_literal(table)
@@ -213,9 +215,8 @@ def expand_contractions(text: Column, table: dict[str, str] | None = None) -> Co
 
     pieces = F.regexp_extract_all(text, F.lit(WORD_OR_GAP), F.lit(0))
     expanded = F.array_join(F.transform(pieces, expand), "")
-    if all("'" in key for key in keys):
-        return F.when(text.rlike("['’]"), expanded).otherwise(text)
-    return expanded
+    signs = "|".join(["['’]", *[re.escape(key) for key in keys if "'" not in key]])
+    return F.when(text.rlike("(?iu)" + signs), expanded).otherwise(text)
 
 
 def tokenize_post(text: Column) -> Column:

@@ -18,7 +18,7 @@ def daily_flags(scores: DataFrame, exposure: str, outcome: str, thresholds: dict
     """
 
     def reached(concept):
-        hit = F.coalesce(F.col(concept) >= thresholds[concept], F.lit(False))
+        hit = F.coalesce(F.col(f"`{concept}`") >= thresholds[concept], F.lit(False))
         return F.max(hit.cast("int"))
 
     return (
@@ -59,7 +59,7 @@ def build_cohort(
     if deduplicate:
         copies = scores.groupBy("user_id").agg(F.count("*").alias("_copies"))
         copies = copies.filter(F.col("_copies") > min_posts)
-        order = [F.col(c) for c in ("normalised_date", exposure, outcome)]
+        order = [F.col(f"`{c}`") for c in ("normalised_date", exposure, outcome)]
         scores = P.dedup_posts(scores, order, ["user_id", "id"])
     days = daily_flags(scores, exposure, outcome, thresholds)
     if copies is not None:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from kohorta.functions.vectors import cosine_with
-from kohorta.operators.scoring import unnest_scores
+from kohorta.operators.scoring import spread_scores, unnest_scores
 
 
 def fit_tfidf(texts: DataFrame, column: str = "prep", features: int = 1 << 18) -> PipelineModel:
@@ -65,8 +65,10 @@ def score_texts(
     concepts: DataFrame,
     column: str = "prep",
     digits: int | None = 6,
+    wide: bool = False,
 ) -> DataFrame:
-    """Long scores of texts against ``concepts(concept, keywords)`` with a TF-IDF encoder.
+    """Scores of texts against ``concepts(concept, keywords)`` with a TF-IDF encoder,
+    one row per concept or, if ``wide``, one column.
 
     Only the features that occur in some concept can add to a product. The sparse
     unit vector of a text is sliced to those, a few hundred, before it leaves the
@@ -81,6 +83,7 @@ def score_texts(
         encoder.transform(texts)
     )
     vectors = sliced.select(*texts.columns, vector_to_array("_part").alias("vector")).drop(column)
-    return unnest_scores(
+    shape = spread_scores if wide else unnest_scores
+    return shape(
         vectors, cosine_with(matrix, unit_rows=True)(F.col("vector")), named, "vector", digits
     )

@@ -43,15 +43,17 @@ def score_wide(
     resulting doubles travel.
     """
     named = _vectors(concepts)
-    similarities = cosine_with(list(named.values()))(F.col(vector))
+    return spread_scores(posts, cosine_with(list(named.values()))(F.col(vector)), named, vector, digits)
+
+
+def spread_scores(posts, similarities, names, vector: str, digits: int | None) -> DataFrame:
     scored = posts.withColumn("_scores", similarities).drop(vector)
 
     def one(position):
         value = F.col("_scores")[position]
         return F.round(value, digits) if digits is not None else value
 
-    columns = {name: one(i) for i, name in enumerate(named)}
-    return scored.withColumns(columns).drop("_scores")
+    return scored.withColumns({name: one(i) for i, name in enumerate(names)}).drop("_scores")
 
 
 def score_concepts(

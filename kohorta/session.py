@@ -46,12 +46,17 @@ def local_session(app: str = "kohorta", cores: int = 8, memory: str = "8g") -> S
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
-    Only a session without that setting (local tests) gets a temporary folder.
+    Only a local session without that setting (tests) gets a temporary folder; on
+    a cluster its executors could not read one.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="kohorta-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context.setCheckpointDir(folder)
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 
