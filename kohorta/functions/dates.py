@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,18 +34,33 @@ def period_number(day: Column, t0: Column, months: int = 3) -> Column:
     Bounds are chained, each one ``months`` after the one before, so a bound that
     is clamped to the end of a short month stays on the earlier day from then on
     (Sep 30, Dec 30, ...). ``add_months(t0, k * months)`` would miss that drift.
+
+    Whole months decide nearly every day. Only from the 29th on, in a month that
+    holds a bound, and if the first bound lies that late too, does the drift matter.
     """
-    steps = F.sequence(
-        F.lit(1),
-        F.greatest(F.lit(1), F.ceil(F.months_between(day, t0) / months).cast("int") + 2),
+    first = first_bound(t0, months)
+    apart = (F.year(day) - F.year(first)) * 12 + F.month(day) - F.month(first)
+    passed = F.floor(apart / months).cast("int")
+    number = (
+        F.when(apart < 0, 0)
+        .when(apart % months != 0, passed + 1)
+        .when(F.day(first) <= 28, passed + (F.day(day) > F.day(first)).cast("int"))
+        .when(F.day(day) <= 28, passed)
+        .otherwise(passed + (F.day(day) > _drifted_day(first, passed, months)).cast("int"))
     )
-    start = F.struct(first_bound(t0, months).alias("bound"), F.lit(1).alias("number"))
+    return (number + 1).cast("int")
+
 
-    def advance(state, _step):
-        later = F.struct(
-            F.add_months(state["bound"], months).alias("bound"),
-            (state["number"] + 1).alias("number"),
-        )
-        return F.when(day > state["bound"], later).otherwise(state)
+def _drifted_day(first: Column, passed: Column, months: int) -> Column:
+    """Day of the month on which the bound ``passed`` steps after ``first`` lies.
 
-    return F.aggregate(steps, start, advance, lambda state: state["number"])
+    It is the least day that any bound so far was clamped to. The calendar months
+    of the bounds repeat, and two rounds meet a February of 28 days if the chain
+    ever does (but for the rule of the centuries).
+    """
+    steps = range(1, 2 * 12 // math.gcd(12, months))
+    return F.least(
+        F.day(first),
+        F.day(first),
+        *[F.when(passed >= j, F.day(F.add_months(first, months * j))) for j in steps],
+    )

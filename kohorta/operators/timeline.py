@@ -21,18 +21,17 @@ from kohorta.operators.skew import salted_join, top_n
 def latest_per_user(posts: DataFrame, n: int = 3240) -> DataFrame:
     """The ``n`` newest distinct ids of each user, all columns.
 
-    Users with at most ``n`` ids, nearly all of them, need no ranking. For the
+    Users with at most ``n`` posts, nearly all of them, need no ranking. For the
     others the n-th newest id is found on the (user, id) columns alone and joined
     back as a lower limit. Full rows are shuffled only if those limits outgrow a
     broadcast, and then once.
     """
-    ids = posts.select("user_id", "id").filter("id is not null").distinct()
-    long_users = (
-        ids.groupBy("user_id").agg(F.count("*").alias("n_ids")).filter(F.col("n_ids") > n)
-    )
+    ids = posts.select("user_id", "id").filter("id is not null")
+    sizes = ids.groupBy("user_id").agg(F.count("*").alias("_n"))
+    long_users = sizes.filter(F.col("_n") > n).select("user_id")
     limits = (
         top_n(
-            salted_join(ids, long_users.select("user_id"), "user_id", "left_semi"),
+            salted_join(ids, long_users, "user_id", "left_semi").distinct(),
             ["user_id"],
             [F.col("id").desc()],
             n,
@@ -176,14 +175,12 @@ def truncate_at_outcome(posts: DataFrame, hit: Column) -> DataFrame:
 def assign_periods(posts: DataFrame, months: int = 3) -> DataFrame:
     """Period number of every post, counted from the user's first day.
 
-    The number is worked out once per (user, day) and joined back to the posts.
+    Posts without a day are dropped.
     """
-    days = posts.filter("normalised_date is not null").select("user_id", "normalised_date")
-    days = days.distinct()
-    start = F.min("normalised_date").over(Window.partitionBy("user_id"))
-    numbers = days.withColumn("_t0", start).select(
-        "user_id",
-        "normalised_date",
-        D.period_number(F.col("normalised_date"), F.col("_t0"), months).alias("quarter"),
+    dated = posts.filter("normalised_date is not null")
+    first = dated.groupBy("user_id").agg(F.min("normalised_date").alias("_t0"))
+    return (
+        salted_join(dated, first, "user_id")
+        .withColumn("quarter", D.period_number(F.col("normalised_date"), F.col("_t0"), months))
+        .drop("_t0")
     )
-    return posts.join(numbers, ["user_id", "normalised_date"]).select(*posts.columns, "quarter")

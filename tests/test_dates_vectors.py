@@ -31,14 +31,16 @@ def expected_period(day, t0, months=3):
 
 
 @pytest.mark.parametrize(
-    "t0", ["2019-01-01", "2019-11-30", "2019-01-31", "2020-02-29", "2019-08-31", "2018-12-01"]
+    "t0", ["2019-01-01", "2019-11-30", "2019-01-31", "2020-02-29", "2019-08-31", "2018-12-01", "2019-05-30"]
 )
 def test_period_number_follows_the_drifting_bounds(spark, t0):
     start = dt.date.fromisoformat(t0)
-    days = [start + dt.timedelta(i) for i in range(0, 2200)]
+    days = [start + dt.timedelta(i) for i in range(0, 3500)]
     df = spark.createDataFrame([(d,) for d in days], "d date")
-    rows = df.select("d", D.period_number(F.col("d"), F.lit(start)).alias("n")).collect()
-    assert {r.d: r.n for r in rows} == {d: expected_period(d, start) for d in days}
+    sizes = (3, 1, 2, 4, 5, 6, 12)
+    columns = [D.period_number(F.col("d"), F.lit(start), m).alias(f"m{m}") for m in sizes]
+    for row in df.select("d", *columns).collect():
+        assert [row[f"m{m}"] for m in sizes] == [expected_period(row.d, start, m) for m in sizes]
 
 
 def test_bound_drift_example(spark):
