@@ -191,5 +191,6 @@ def test_stream_equals_batch_and_tracks_keywords(spark, tmp_path):
 
 def test_shared_folder_is_the_sessions_own(spark):
     folder = shared_folder(spark)
-    assert shared_folder(spark) == folder == spark.sparkContext.getCheckpointDir()
-    assert scratch_path(spark, "x").startswith(folder)
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    assert shared_folder(spark) == folder == given.rstrip("/")
+    assert scratch_path(spark, "x").startswith(folder + "/x-")
