@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from kohorta.functions.vectors import cosine_with
-from kohorta.operators.scoring import spread_scores, unnest_scores
+from kohorta.operators.scoring import MAX_CONCEPTS, spread_scores, unnest_scores
 
 
 def fit_tfidf(texts: DataFrame, column: str = "prep", features: int = 1 << 18) -> PipelineModel:
@@ -74,6 +74,8 @@ def score_texts(
     unit vector of a text is sliced to those, a few hundred, before it leaves the
     JVM; its length was fixed before, so the cosine is unchanged.
     """
+    if concepts.count() > MAX_CONCEPTS:
+        raise ValueError(f"more than {MAX_CONCEPTS} concepts; score slices and union them")
     keyword_text = concepts.select("concept", F.array_join("keywords", ", ").alias(column))
     encoded = encoder.transform(keyword_text).select("concept", "_unit").collect()
     named = {r["concept"]: r["_unit"] for r in sorted(encoded, key=lambda r: r["concept"])}

@@ -13,6 +13,7 @@ from kohorta.operators.skew import salted_join, top_n
 # Concepts travel inside the task closure. A dictionary above this size must be
 # scored in slices and the results united; nothing is cut off silently.
 MAX_CONCEPT_BYTES = 64 << 20
+MAX_CONCEPTS = 10_000
 MAX_THRESHOLDS = 100_000
 
 
