@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from kohorta.llm import line_dedup, mixing
+from kohorta.llm import line_dedup, mixing, quality
 from kohorta.session import tune
 
 _QUERIES = {
     "op6_mix_sources": mixing.query,
+    "op7_quality_rules": quality.query,
     "op9_line_dedup": line_dedup.query,
 }
 
