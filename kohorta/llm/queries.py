@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from kohorta.llm import line_dedup, mixing, quality
+from kohorta.llm import line_dedup, mixing, quality, tokens
 from kohorta.session import tune
 
 _QUERIES = {
+    "op3_token_planes": tokens.query,
     "op6_mix_sources": mixing.query,
     "op7_quality_rules": quality.query,
     "op9_line_dedup": line_dedup.query,
