@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from kohorta.llm import line_dedup, mixing, quality, tokens
+from kohorta.llm import decontaminate, line_dedup, mixing, quality, tokens
 from kohorta.session import tune
 
 _QUERIES = {
     "op3_token_planes": tokens.query,
     "op6_mix_sources": mixing.query,
     "op7_quality_rules": quality.query,
+    "op8_decontaminate": decontaminate.query,
     "op9_line_dedup": line_dedup.query,
 }
 
@@ -22,4 +23,8 @@ def registered() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix_sources": mixing.SQL, "op9_line_dedup": line_dedup.SQL}
+    return {
+        "op6_mix_sources": mixing.SQL,
+        "op8_decontaminate": decontaminate.SQL,
+        "op9_line_dedup": line_dedup.SQL,
+    }
