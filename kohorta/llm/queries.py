@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from kohorta.llm import decontaminate, line_dedup, mixing, quality, tokens
+from kohorta.llm import decontaminate, line_dedup, mixing, quality, tokens, toxicity
 from kohorta.session import tune
 
 _QUERIES = {
     "op3_token_planes": tokens.query,
+    "op5_toxicity": toxicity.query,
     "op6_mix_sources": mixing.query,
     "op7_quality_rules": quality.query,
     "op8_decontaminate": decontaminate.query,
