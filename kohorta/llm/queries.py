@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kohorta.llm import decontaminate, line_dedup, mixing, quality, tokens, toxicity
+from kohorta.llm import decontaminate, jaccard, line_dedup, mixing, quality, tokens, toxicity
 from kohorta.session import tune
 
 _QUERIES = {
@@ -12,6 +12,7 @@ _QUERIES = {
     "op7_quality_rules": quality.query,
     "op8_decontaminate": decontaminate.query,
     "op9_line_dedup": line_dedup.query,
+    "op10_jaccard_join": jaccard.query,
 }
 
 
