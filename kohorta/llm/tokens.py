@@ -32,6 +32,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ from kohorta.llm.frames import arrow_limits
 from kohorta.session import scratch_path
 
 BLOCK_IDS, END_ID, MAGIC = 1 << 16, 1, b"KBP1"
-BATCH_CHARS, CACHED_WORDS, LONGEST_CACHED = 1 << 20, 300_000, 64
+BATCH_CHARS, CACHED_WORDS, LONGEST_CACHED = 1 << 20, 500_000, 64
 WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 
 
@@ -72,11 +73,18 @@ def unpack_block(chunk: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u4")
 
 
+# How word tokenizers of this kind split a normalised text.
+SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Texts whose normalised pieces need no Unicode tables: ASCII without apostrophe, Latin-1 letters.
+PLAIN = re.compile(r"[\x00-&(-\x7fÀ-ÖØ-öø-ÿ]*")
+PIECE_OF_PLAIN = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^ \t\n\r\x0b\x0ca-z0-9ß-öø-ÿ]+")
+
+
 def splits_at_spaces(spec: dict) -> bool:
-    """True if ids of a text are those of its space-separated words, one after the other.
+    """True if ids of a text are those of its pieces, one after the other.
 
-    So it is where normalising works on single characters or collapses spaces, and
-    the first splitting step removes what its pattern, free of spaces, leaves out.
+    So it is where normalising works on single characters or collapses spaces, the
+    text is then split by ``SPLIT_PATTERN``, and each piece ends with a marked token.
     """
     norm, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
     norms = norm.get("normalizers", [norm] if norm else [])
@@ -86,17 +94,22 @@ def splits_at_spaces(spec: dict) -> bool:
         or (x["type"] == "Replace" and x["pattern"] == {"Regex": "\\s+"} and x["content"] == " ")
         for x in norms
     )
+    lowers = any(x["type"] == "Lowercase" for x in norms)
     first = steps[0] if steps else {}
+    known = first.get("pattern") == {"Regex": SPLIT_PATTERN}
     drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert")
     bare = not any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in spec["added_tokens"])
-    return bool(plain and drops and bare and "</w>" == spec["model"].get("end_of_word_suffix"))
+    marked = spec["model"].get("end_of_word_suffix") == "</w>"
+    return bool(plain and lowers and known and drops and bare and marked)
 
 
 class Encoder:
     """Ids of texts as little-endian bytes, by the tokenizers library.
 
-    Where ``splits_at_spaces`` holds, a word met before takes its ids from a cache of
-    bounded size, and new words are encoded together, a special token between them.
+    Where ``splits_at_spaces`` holds, a piece met before takes its ids from a cache of
+    bounded size, and new pieces are encoded together, spaces between them; the ids
+    of a piece end with a token that ends a word. Texts outside ``PLAIN`` go by their
+    space-separated words, each encoded whole.
     """
 
     def __init__(self, spec: str):
@@ -105,52 +118,67 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(spec)
         known = json.loads(spec)
-        marks = [t for t in known["added_tokens"] if t["special"]]
-        self.mark = marks[0] if marks and splits_at_spaces(known) else None
+        self.split = splits_at_spaces(known)
+        self.special = [t["content"] for t in known["added_tokens"]]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if self.split:
+            self.ends[[i for t, i in known["model"]["vocab"].items() if t.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _new_words(self, words: list[str]) -> dict[str, bytes]:
-        mark, found = self.mark["content"], {}
-        plain = [w for w in words if mark[:2] not in w]
-        for w in words:
-            if mark[:2] in w:
-                found[w] = self.whole(w)
-        at = 0
-        while at < len(plain):
-            end, size = at, 0
-            while end < len(plain) and (end == at or size < BATCH_CHARS // 4):
-                size += len(plain[end])
-                end += 1
-            part = plain[at:end]
-            encoded = self.tokenizer.encode_batch_fast([mark.join(part)], add_special_tokens=False)[0]
+        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return np.array(ids, "<u4").tobytes()
+
+    def _new_pieces(self, pieces: list[str]) -> list[bytes]:
+        found, at = [], 0
+        while at < len(pieces):
+            part = pieces[at : at + 2_000]
+            encoded = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0]
             ids = np.array(encoded.ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark["id"])
-            raw, bounds = ids.tobytes(), np.r_[-1, cuts, len(ids)]
-            if len(bounds) != len(part) + 1:
-                raise ValueError("the tokenizer lost a word boundary")
-            for k, w in enumerate(part):
-                found[w] = raw[4 * (bounds[k] + 1) : 4 * bounds[k + 1]]
-            at = end
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer does not end each piece with a marked token")
+            raw = ids.tobytes()
+            found += [raw[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+            at += len(part)
         return found
 
+    def _by_pieces(self, texts: list[str]) -> list[bytes]:
+        lists = [PIECE_OF_PLAIN.findall(t.lower()) for t in texts]
+        used = set(chain.from_iterable(lists))
+        if len(self.cache) > CACHED_WORDS:
+            self.cache.clear()
+        new = list(used - self.cache.keys())
+        self.cache.update(zip(new, self._new_pieces(new), strict=True))
+        get = self.cache.__getitem__
+        out = [b"".join(map(get, some)) for some in lists]
+        for piece in new:
+            if len(piece) > LONGEST_CACHED:
+                del self.cache[piece]
+        return out
+
+    def _by_words(self, text: str) -> bytes:
+        out = []
+        for word in WORD.findall(text):
+            ids = self.words.get(word)
+            if ids is None:
+                ids = self.whole(word)
+                if len(word) <= LONGEST_CACHED:
+                    if len(self.words) > CACHED_WORDS // 10:
+                        self.words.clear()
+                    self.words[word] = ids
+            out.append(ids)
+        return b"".join(out)
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.mark is None:
+        if not self.split:
             return [self.whole(t) for t in texts]
-        words = [WORD.findall(t) for t in texts]
-        new = list({w for some in words for w in some if w not in self.cache})
-        if len(self.cache) + len(new) > CACHED_WORDS:
-            self.cache.clear()
-            new = list({w for some in words for w in some})
-        found = self._new_words(new)
-        self.cache.update((w, b) for w, b in found.items() if len(w) <= LONGEST_CACHED)
-        table = {w: found[w] for w in found if len(w) > LONGEST_CACHED}
-        cached = self.cache
-        if table:
-            return [b"".join([table[w] if w in table else cached[w] for w in some]) for some in words]
-        return [b"".join(map(cached.__getitem__, some)) for some in words]
+        plain = [
+            PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts
+        ]
+        pieces = iter(self._by_pieces([t for t, p in zip(texts, plain, strict=True) if p]))
+        return [next(pieces) if p else self._by_words(t) for t, p in zip(texts, plain, strict=True)]
 
 
 _encoders: dict[int, Encoder] = {}
