@@ -13,6 +13,9 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 ARROW_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.execution.arrow.maxBytesPerBatch": "8388608",
+    # Joins that look up a part of the texts filter them before the exchange, at any size.
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
 }
 
 

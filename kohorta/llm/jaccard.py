@@ -40,6 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from kohorta.llm.components import components
 from kohorta.llm.frames import arrow_limits, map_texts
@@ -105,6 +106,8 @@ def frequent_grams(docs: DataFrame, size: int, percent: int, text: str):
 def gram_rows(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """One row per document, written: id of the row, digests of the set, its prefix.
 
+    The first ``light`` grams of a prefix are not frequent.
+
     ``uid`` numbers rows by task and place; the table is written once, so a lost task
     cannot number them anew.
     """
@@ -115,7 +118,7 @@ def gram_rows(docs: DataFrame, size: int, percent: int, doc_id: str, text: str)
         grams, counts = frequent.value
         rows = len(column)
         n, d1, d2 = np.zeros(rows, np.int64), np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
-        heads, ends = [], np.zeros(rows, np.int64)
+        heads, ends, light = [], np.zeros(rows, np.int64), np.zeros(rows, np.int64)
         for first, texts, doc, gram in gram_sets(column, size):
             span = slice(first, first + texts)
             n[span] = np.bincount(doc, minlength=texts)
@@ -128,20 +131,22 @@ def gram_rows(docs: DataFrame, size: int, percent: int, doc_id: str, text: str)
             if len(grams):
                 at = np.minimum(np.searchsorted(grams, gram), len(grams) - 1)
                 rank = np.where(grams[at] == gram, counts[at], 0)
-            heads.append(gram[_leading(doc, gram, n[span], percent, rank)])
+            head = _leading(doc, gram, n[span], percent, rank)
+            heads.append(gram[head])
+            light[span] = np.bincount(doc[head][rank[head] == 0], minlength=texts)
             ends[span] = prefix_length(n[span], percent)
         uid = (TaskContext.get().partitionId() << 40) + place[0] + np.arange(rows)
         place[0] += rows
         flat = np.concatenate(heads).view(np.int64) if heads else np.zeros(0, np.int64)
         prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(ends)], pa.int32()), pa.array(flat))
-        return [pa.array(x) for x in (uid, n, d1.view(np.int64), d2.view(np.int64))] + [prefix]
+        return [pa.array(x) for x in (uid, n, d1.view(np.int64), d2.view(np.int64), light)] + [prefix]
 
     source = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.col(text).cast("string").alias("text"),
         F.xxhash64(F.col(text).cast("string")).alias("text_hash"),
     )
-    fields = StructType.fromDDL("uid long, n long, d1 long, d2 long, prefix array<long>")
+    fields = StructType.fromDDL("uid long, n long, d1 long, d2 long, light long, prefix array<long>")
     return cut_lineage(map_texts(source, "text", ["doc_id", "text_hash"], fields, work), "jaccard-rows")
 
 
@@ -190,7 +195,10 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, per
         F.col(text).cast("string").alias("text"),
         F.xxhash64(F.col(text).cast("string")).alias("text_hash"),
     )
-    same = (source["text_hash"] == wanted["text_hash"]) & source["__own"].eqNullSafe(wanted["__id"])
+    # The comparison that always holds lets Spark build its runtime filter from this side,
+    # so texts that nobody asks for are dropped before they are shuffled.
+    wanted = wanted.filter("node >= 0").withColumnRenamed("text_hash", "__hash")
+    same = (source["text_hash"] == wanted["__hash"]) & source["__own"].eqNullSafe(wanted["__id"])
     texts = source.join(wanted, same).select("node", "text").dropDuplicates(["node"])
     texts = cut_lineage(texts, "jaccard-texts")
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
@@ -200,6 +208,46 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, per
     return cut_lineage(met.mapInArrow(_overlaps(size, percent), "a long, b long"), "jaccard-links")
 
 
+def _entries(firsts: DataFrame, part) -> DataFrame:
+    return firsts.select(F.col("uid").alias("node"), F.explode(part).alias("gram"))
+
+
+def _blocks(firsts: DataFrame) -> DataFrame:
+    """``gram, node, lead, hot`` of all blocks with two classes or more.
+
+    Entries of grams that are not frequent lie in small groups: one exchange, then a
+    window. Frequent grams are counted with map-side combine and joined by salt.
+    """
+    small = Window.partitionBy("gram")
+    light = (
+        _entries(firsts, F.slice("prefix", F.lit(1), F.col("light").cast("int")))
+        .withColumn("lead", F.min("node").over(small))
+        .withColumn("last", F.max("node").over(small))
+        .filter("lead < last")
+        .select("gram", "node", "lead", F.lit(False).alias("hot"))
+    )
+    rest = F.slice("prefix", (F.col("light") + 1).cast("int"), F.size("prefix"))
+    frequent = _entries(firsts, rest)
+    leads = frequent.groupBy("gram").agg(F.min("node").alias("lead"), F.max("node").alias("last"))
+    hot = salted_join(frequent, leads.filter("lead < last").select("gram", "lead"), "gram")
+    return light.union(hot.select("gram", "node", "lead", F.lit(True).alias("hot")))
+
+
+def _open_blocks(placed: DataFrame) -> DataFrame:
+    """Rows of the blocks that hold more than one component."""
+    small = Window.partitionBy("gram")
+    light = (
+        placed.filter("NOT hot")
+        .withColumn("lo", F.min("comp").over(small))
+        .withColumn("hi", F.max("comp").over(small))
+        .filter("lo < hi")
+        .select("gram", "node", "n", "comp")
+    )
+    hot = placed.filter("hot").select("gram", "node", "n", "comp")
+    ends = hot.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    return light.union(salted_join(hot, ends.filter("lo < hi").select("gram"), "gram"))
+
+
 def _sizes_allow(percent: int):
     return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
 
@@ -213,21 +261,23 @@ def link_components(
     """
     rows = gram_rows(docs, size, percent, doc_id, text)
     filled = rows.filter("n > 0")
-    classes = filled.groupBy("d1", "d2", "n").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least"))
-    classes = cut_lineage(classes, "jaccard-classes")
-    firsts = filled.join(classes.select(F.col("node").alias("uid")), "uid", "left_semi")
-    nodes = firsts.select(F.col("uid").alias("node"), "doc_id", "text_hash")
-    entries = firsts.select(F.col("uid").alias("node"), "n", F.explode("prefix").alias("gram"))
-
-    shared = entries.groupBy("gram").agg(F.count("*").alias("k"), F.min("node").alias("lead")).filter("k > 1")
-    blocks = cut_lineage(salted_join(entries, shared.select("gram", "lead"), "gram"), "jaccard-blocks")
-
-    lead_size = classes.select(F.col("node").alias("lead"), F.col("n").alias("nb"))
-    stars = (
-        blocks.filter("node != lead").groupBy("node", "lead").agg(F.count("*").alias("c"), F.first("n").alias("na"))
+    classes = filled.groupBy("d1", "d2", "n").agg(
+        F.min(F.struct("uid", "doc_id", "text_hash")).alias("first"), F.min("doc_id").alias("least")
     )
+    classes = cut_lineage(
+        classes.select("d1", "d2", "n", "least", F.col("first.uid").alias("node"), "first.doc_id", "first.text_hash"),
+        "jaccard-classes",
+    )
+    nodes = classes.select("node", "doc_id", "text_hash")
+    firsts = filled.select("uid", "light", "prefix").join(nodes.select(F.col("node").alias("uid")), "uid", "left_semi")
+    blocks = cut_lineage(_blocks(firsts), "jaccard-blocks")
+
+    stars = blocks.filter("node != lead").groupBy("node", "lead").agg(F.count("*").alias("c"))
+    na = classes.select("node", F.col("n").alias("na"))
+    nb = classes.select(F.col("node").alias("lead"), F.col("n").alias("nb"))
     best = (
-        salted_join(stars, lead_size, "lead")
+        stars.join(na, "node")
+        .join(nb, "lead")
         .filter(_sizes_allow(percent))
         .groupBy(F.col("node").alias("a"))
         .agg(F.max(F.struct("c", "lead")).alias("best"))
@@ -237,13 +287,11 @@ def link_components(
     links = verified(best, nodes, docs, size, percent, doc_id, text)
     labels = components(links)
 
-    placed = salted_join(blocks.select("gram", "node", "n"), labels, "node", "left").select(
-        "gram", "node", "n", F.coalesce("comp", "node").alias("comp")
-    )
-    placed = cut_lineage(placed, "jaccard-placed")
-    open_grams = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    live = salted_join(placed, open_grams.filter("lo < hi").select("gram"), "gram")
-    live = cut_lineage(live, "jaccard-live")
+    labelled = labels.withColumnRenamed("comp", "label")
+    sized = classes.select("node", "n").join(labelled, "node", "left")
+    sized = sized.select("node", "n", F.coalesce("label", "node").alias("comp"))
+    placed = cut_lineage(blocks.select("gram", "hot", "node").join(sized, "node"), "jaccard-placed")
+    live = cut_lineage(_open_blocks(placed), "jaccard-live")
     other = live.select(
         "gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("comp_b")
     )
