@@ -46,14 +46,14 @@ from kohorta.llm.frames import arrow_limits
 from kohorta.session import scratch_path
 
 BLOCK_IDS, END_ID, MAGIC = 1 << 16, 1, b"KBP1"
-BATCH_CHARS, CACHED_WORDS, LONGEST_CACHED = 1 << 20, 500_000, 64
+BATCH_CHARS, CACHED_WORDS, LONGEST_CACHED = 1 << 22, 500_000, 64
 WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 
 
 def pack_block(ids: np.ndarray) -> bytes:
     """One chunk of the ids (unsigned 32-bit)."""
     planes = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4).T
-    squeeze = zstandard.ZstdCompressor(level=3).compress
+    squeeze = zstandard.ZstdCompressor(level=1).compress
     packed = [squeeze(np.ascontiguousarray(plane).tobytes()) for plane in planes]
     sizes = struct.pack(f"<{len(packed)}I", *map(len, packed))
     return MAGIC + struct.pack("<IB", len(ids), len(packed)) + sizes + b"".join(packed)
@@ -76,7 +76,7 @@ def unpack_block(chunk: bytes) -> np.ndarray:
 # How word tokenizers of this kind split a normalised text.
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Texts whose normalised pieces need no Unicode tables: ASCII without apostrophe, Latin-1 letters.
-PLAIN = re.compile(r"[\x00-&(-\x7fÀ-ÖØ-öø-ÿ]*")
+PLAIN = bytes(c for c in range(256) if (c < 128 and c != 39) or (c >= 192 and c not in (215, 247)))
 PIECE_OF_PLAIN = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^ \t\n\r\x0b\x0ca-z0-9ß-öø-ÿ]+")
 
 
@@ -103,6 +103,14 @@ def splits_at_spaces(spec: dict) -> bool:
     return bool(plain and lowers and known and drops and bare and marked)
 
 
+def is_plain(text: str) -> bool:
+    """True if all characters of the text are in ``PLAIN``."""
+    try:
+        return not text.encode("latin-1").translate(None, PLAIN)
+    except UnicodeEncodeError:
+        return False
+
+
 class Encoder:
     """Ids of texts as little-endian bytes, by the tokenizers library.
 
@@ -175,7 +183,7 @@ class Encoder:
         if not self.split:
             return [self.whole(t) for t in texts]
         plain = [
-            PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts
+            is_plain(t) and not any(s in t for s in self.special) for t in texts
         ]
         pieces = iter(self._by_pieces([t for t, p in zip(texts, plain, strict=True) if p]))
         return [next(pieces) if p else self._by_words(t) for t, p in zip(texts, plain, strict=True)]
@@ -325,16 +333,24 @@ def crc_join(left: int, right: int, right_bytes: int) -> int:
 def _read_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["shard", "row", "doc_id", "piece", "at", "n", "crc"]
     for batch in batches:
-        for r in batch.to_pylist():
-            ids = memoryview(unpack_block(r["payload"]).tobytes())
-            at, rows = 0, []
-            for p in r["pieces"]:
-                crc = zlib.crc32(ids[4 * at : 4 * (at + p["n"])])
-                rows.append((r["shard"], p["row"], p["doc_id"], p["piece"], r["first"] + at, p["n"], crc))
-                at += p["n"]
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+        shard, first, payloads, lists = batch.columns
+        pieces, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
+        n = pieces.field("n").to_numpy().astype(np.int64)
+        before = np.cumsum(n) - n
+        heads = np.r_[0, np.cumsum(sizes)]
+        at = before - np.repeat(np.r_[before, 0][heads[:-1]], sizes)
+        crcs = []
+        for k, payload in enumerate(payloads):
+            ids = memoryview(unpack_block(payload.as_py())).cast("B")
+            inside = slice(heads[k], heads[k + 1])
+            for i, size in zip(at[inside].tolist(), n[inside].tolist(), strict=True):
+                crcs.append(zlib.crc32(ids[4 * i : 4 * (i + size)]))
+        columns = [
+            pa.array(np.repeat(shard.to_numpy(), sizes)), pieces.field("row"), pieces.field("doc_id"),
+            pieces.field("piece"), pa.array(at + np.repeat(first.to_numpy(), sizes)), pa.array(n),
+            pa.array(crcs, pa.int64()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def _join_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
