@@ -127,6 +127,14 @@ def mix_sources(
     )
 
 
+def mix_documents(docs: DataFrame, **options) -> DataFrame:
+    """Pipeline stage: the mixed rows with the columns of ``docs`` alone."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    where = {k: names[docs.columns.index(k)] for k in ("source", "doc_id", "text")}
+    mixed = mix_sources(docs.toDF(*names), **where, **options)
+    return mixed.select(*names).toDF(*docs.columns)
+
+
 def query(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     return mix_sources(docs).select(
