@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from kohorta.llm import decontaminate, jaccard, line_dedup, mixing, quality, tokens, toxicity
+from kohorta.llm import (
+    cross_entropy,
+    decontaminate,
+    jaccard,
+    line_dedup,
+    mixing,
+    quality,
+    tokens,
+    toxicity,
+)
 from kohorta.session import tune
 
 _QUERIES = {
     "op3_token_planes": tokens.query,
+    "op4_cross_entropy": cross_entropy.query,
     "op5_toxicity": toxicity.query,
     "op6_mix_sources": mixing.query,
     "op7_quality_rules": quality.query,
