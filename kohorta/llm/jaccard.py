@@ -6,11 +6,12 @@ Row: the distinct word n-grams of a text. Column: an n-gram. Two texts link when
 * equal rows are one class, and only classes are multiplied;
 * by the size bound a link needs a shared n-gram among the first
   ``size - ceil(percent * size / 100) + 1`` of both rows in any fixed order of the
-  n-grams. Only these columns, the blocks, are multiplied. The order is by hash, with
-  frequent n-grams last, so blocks are small;
-* first pass: in each block every class meets the first class of the block alone, and
-  of these partners it is verified against the one with the highest overlap. Copies of
-  one text become one component here without a product of all their pairs;
+  n-grams. Only these columns, the blocks, are multiplied. The order is by estimated
+  document count, rare n-grams first, so blocks are small;
+* first pass: in each block every class meets one class of the block alone, that with the
+  most frequent n-grams in its prefix, and of these partners it is verified against the
+  one with the highest overlap. Copies of one text become one component here without a
+  product of all their pairs;
 * second pass: blocks that still hold several components are multiplied across
   components, overlap counts are accumulated over blocks, pairs are discarded whose
   count is below what their sizes demand, and the rest is verified.
@@ -18,8 +19,8 @@ Row: the distinct word n-grams of a text. Column: an n-gram. Two texts link when
 Verification counts the whole overlap of both texts. What the first pass leaves out
 lies inside one component, so no component is missed.
 
-The list of frequent n-grams holds at most ``MAX_FREQUENT`` entries and is broadcast.
-It decides the order, hence the speed, and never the result.
+Document counts come from a sketch of fixed size over all texts, which is broadcast. It
+decides the order, hence the speed, and never the result.
 
 Defined results:
 
@@ -36,6 +37,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +50,9 @@ from kohorta.llm.wordbytes import Block, mix, shingles, text_blocks
 from kohorta.operators.skew import salted_join
 from kohorta.session import cut_lineage
 
-FREQUENT, MAX_FREQUENT = 64, 1 << 17
+CELL_BITS, CHUNK_CELLS = 24, 1 << 16
+#: Grams of at most a thousand documents or so are light.
+LIGHT_LEVEL = 39
 
 
 def gram_sets(column: pa.Array, size: int):
@@ -67,58 +71,78 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
 
 
-def _leading(doc, gram, n, percent, rank=None) -> np.ndarray:
-    """Places of the grams in the prefix of their text."""
-    order = np.arange(len(doc)) if rank is None else np.lexsort((gram, rank, doc))
+def _leading(doc, gram, n, percent, rank) -> np.ndarray:
+    """Places of the grams in the prefix of their text, in order of rank and hash."""
+    order = np.lexsort((gram, rank, doc))
     at = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
     return order[at < np.repeat(prefix_length(n, percent), n)]
 
 
-def frequent_grams(docs: DataFrame, size: int, percent: int, text: str):
-    """The most frequent grams of all hash-order prefixes: sorted grams and counts."""
+def _level(counts: np.ndarray) -> np.ndarray:
+    return (4 * np.log2(counts + 1.0)).astype(np.uint8)
+
+
+def frequency_levels(docs: DataFrame, size: int, text: str) -> np.ndarray:
+    """Logarithmic level of the document count of each cell of grams, ``2**CELL_BITS`` bytes.
+
+    A count sketch of fixed size: each task counts the grams of all its texts by cell and
+    sends its cells in compressed chunks; the chunks are added up where they meet. A
+    cell's count is at least the count of each of its grams.
+    """
 
     def count(batches):
+        cells = np.zeros(1 << CELL_BITS, np.uint32)
+        for batch in batches:
+            for _, _, _, gram in gram_sets(batch.column(0), size):
+                np.add.at(cells, gram >> np.uint64(64 - CELL_BITS), 1)
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for k, chunk in enumerate(cells.reshape(-1, CHUNK_CELLS)):
+            if chunk.any():
+                columns = [pa.array([k]), pa.array([squeeze(chunk.tobytes())])]
+                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "cells"])
+
+    def add(batches):
+        at, total = None, None
+        out = lambda: pa.RecordBatch.from_arrays(
+            [pa.array([at]), pa.array([_level(total).tobytes()])], names=["chunk", "levels"]
+        )
         for batch in batches:
-            found = []
-            for _, texts, doc, gram in gram_sets(batch.column(0), size):
-                n = np.bincount(doc, minlength=texts)
-                found.append(gram[_leading(doc, gram, n, percent)])
-            grams, counts = np.unique(np.concatenate(found) if found else [], return_counts=True)
-            if len(grams):
-                columns = [pa.array(grams.view(np.int64)), pa.array(counts)]
-                yield pa.RecordBatch.from_arrays(columns, names=["gram", "n"])
+            for k, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if k != at:
+                    if at is not None:
+                        yield out()
+                    at, total = k, np.zeros(CHUNK_CELLS, np.uint64)
+                raw = zstandard.ZstdDecompressor().decompress(packed.as_py(), max_output_size=4 * CHUNK_CELLS)
+                total += np.frombuffer(raw, np.uint32)
+        if at is not None:
+            yield out()
 
     arrow_limits(docs.sparkSession)
-    counted = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(count, "gram long, n long")
-    table = (
-        counted.groupBy("gram")
-        .agg(F.sum("n").alias("n"))
-        .filter(F.col("n") > FREQUENT)
-        .orderBy(F.desc("n"), "gram")
-        .limit(MAX_FREQUENT)
-        .toPandas()
-    )
-    grams = table["gram"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(grams)
-    return grams[order], table["n"].to_numpy(np.int64)[order]
+    counted = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(count, "chunk long, cells binary")
+    summed = counted.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(add, "chunk long, levels binary")
+    levels = np.zeros((1 << CELL_BITS) // CHUNK_CELLS * CHUNK_CELLS, np.uint8).reshape(-1, CHUNK_CELLS)
+    for r in summed.collect():
+        levels[r["chunk"]] = np.frombuffer(r["levels"], np.uint8)
+    return levels.ravel()
 
 
 def gram_rows(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """One row per document, written: id of the row, digests of the set, its prefix.
 
-    The first ``light`` grams of a prefix are not frequent.
+    The first ``light`` grams of a prefix are not frequent. ``hub`` is the sum of the levels
+    of a prefix: among near copies, the text with the fewest changes has the highest.
 
     ``uid`` numbers rows by task and place; the table is written once, so a lost task
     cannot number them anew.
     """
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_grams(docs, size, percent, text))
+    shared = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, size, text))
     place = [0]
 
     def work(column: pa.Array) -> list[pa.Array]:
-        grams, counts = frequent.value
+        levels = shared.value
         rows = len(column)
         n, d1, d2 = np.zeros(rows, np.int64), np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
-        heads, ends, light = [], np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+        heads, (ends, light, hub) = [], np.zeros((3, rows), np.int64)
         for first, texts, doc, gram in gram_sets(column, size):
             span = slice(first, first + texts)
             n[span] = np.bincount(doc, minlength=texts)
@@ -127,26 +151,24 @@ def gram_rows(docs: DataFrame, size: int, percent: int, doc_id: str, text: str)
                 np.cumsum(mix(gram + np.uint64(turn)), dtype=np.uint64, out=sums[1:])
                 edge = np.r_[0, np.cumsum(n[span])]
                 out[span] = sums[edge[1:]] - sums[edge[:-1]]
-            rank = np.zeros(len(gram), np.int64)
-            if len(grams):
-                at = np.minimum(np.searchsorted(grams, gram), len(grams) - 1)
-                rank = np.where(grams[at] == gram, counts[at], 0)
+            rank = levels[gram >> np.uint64(64 - CELL_BITS)]
             head = _leading(doc, gram, n[span], percent, rank)
             heads.append(gram[head])
-            light[span] = np.bincount(doc[head][rank[head] == 0], minlength=texts)
+            light[span] = np.bincount(doc[head][rank[head] <= LIGHT_LEVEL], minlength=texts)
+            hub[span] = np.bincount(doc[head], rank[head], minlength=texts)
             ends[span] = prefix_length(n[span], percent)
         uid = (TaskContext.get().partitionId() << 40) + place[0] + np.arange(rows)
         place[0] += rows
         flat = np.concatenate(heads).view(np.int64) if heads else np.zeros(0, np.int64)
         prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(ends)], pa.int32()), pa.array(flat))
-        return [pa.array(x) for x in (uid, n, d1.view(np.int64), d2.view(np.int64), light)] + [prefix]
+        return [pa.array(x) for x in (uid, n, d1.view(np.int64), d2.view(np.int64), light, hub)] + [prefix]
 
     source = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.col(text).cast("string").alias("text"),
         F.xxhash64(F.col(text).cast("string")).alias("text_hash"),
     )
-    fields = StructType.fromDDL("uid long, n long, d1 long, d2 long, light long, prefix array<long>")
+    fields = StructType.fromDDL("uid long, n long, d1 long, d2 long, light long, hub long, prefix array<long>")
     return cut_lineage(map_texts(source, "text", ["doc_id", "text_hash"], fields, work), "jaccard-rows")
 
 
@@ -209,27 +231,30 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, per
 
 
 def _entries(firsts: DataFrame, part) -> DataFrame:
-    return firsts.select(F.col("uid").alias("node"), F.explode(part).alias("gram"))
+    return firsts.select(F.col("uid").alias("node"), "hub", F.explode(part).alias("gram"))
 
 
 def _blocks(firsts: DataFrame) -> DataFrame:
-    """``gram, node, lead, hot`` of all blocks with two classes or more.
+    """``gram, node, lead, hot`` of all blocks with two classes or more; ``lead`` has the top hub.
 
     Entries of grams that are not frequent lie in small groups: one exchange, then a
     window. Frequent grams are counted with map-side combine and joined by salt.
     """
     small = Window.partitionBy("gram")
+    top = F.max(F.struct("hub", "node"))
     light = (
         _entries(firsts, F.slice("prefix", F.lit(1), F.col("light").cast("int")))
-        .withColumn("lead", F.min("node").over(small))
+        .withColumn("first", F.min("node").over(small))
         .withColumn("last", F.max("node").over(small))
-        .filter("lead < last")
-        .select("gram", "node", "lead", F.lit(False).alias("hot"))
+        .filter("first < last")
+        .select("gram", "node", top.over(small)["node"].alias("lead"), F.lit(False).alias("hot"))
     )
     rest = F.slice("prefix", (F.col("light") + 1).cast("int"), F.size("prefix"))
     frequent = _entries(firsts, rest)
-    leads = frequent.groupBy("gram").agg(F.min("node").alias("lead"), F.max("node").alias("last"))
-    hot = salted_join(frequent, leads.filter("lead < last").select("gram", "lead"), "gram")
+    leads = frequent.groupBy("gram").agg(
+        top["node"].alias("lead"), F.min("node").alias("first"), F.max("node").alias("last")
+    )
+    hot = salted_join(frequent, leads.filter("first < last").select("gram", "lead"), "gram")
     return light.union(hot.select("gram", "node", "lead", F.lit(True).alias("hot")))
 
 
@@ -241,9 +266,9 @@ def _open_blocks(placed: DataFrame) -> DataFrame:
         .withColumn("lo", F.min("comp").over(small))
         .withColumn("hi", F.max("comp").over(small))
         .filter("lo < hi")
-        .select("gram", "node", "n", "comp")
+        .select("gram", "node", "n", "held", "comp")
     )
-    hot = placed.filter("hot").select("gram", "node", "n", "comp")
+    hot = placed.filter("hot").select("gram", "node", "n", "held", "comp")
     ends = hot.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     return light.union(salted_join(hot, ends.filter("lo < hi").select("gram"), "gram"))
 
@@ -269,7 +294,7 @@ def link_components(
         "jaccard-classes",
     )
     nodes = classes.select("node", "doc_id", "text_hash")
-    firsts = filled.select("uid", "light", "prefix").join(nodes.select(F.col("node").alias("uid")), "uid", "left_semi")
+    firsts = filled.select("uid", "light", "hub", "prefix").join(nodes.select(F.col("node").alias("uid")), "uid", "left_semi")
     blocks = cut_lineage(_blocks(firsts), "jaccard-blocks")
 
     stars = blocks.filter("node != lead").groupBy("node", "lead").agg(F.count("*").alias("c"))
@@ -288,22 +313,24 @@ def link_components(
     labels = components(links)
 
     labelled = labels.withColumnRenamed("comp", "label")
-    sized = classes.select("node", "n").join(labelled, "node", "left")
-    sized = sized.select("node", "n", F.coalesce("label", "node").alias("comp"))
+    held = blocks.groupBy("node").agg(F.count("*").alias("held"))
+    sized = classes.select("node", "n").join(held, "node").join(labelled, "node", "left")
+    sized = sized.select("node", "n", "held", F.coalesce("label", "node").alias("comp"))
     placed = cut_lineage(blocks.select("gram", "hot", "node").join(sized, "node"), "jaccard-placed")
     live = cut_lineage(_open_blocks(placed), "jaccard-live")
     other = live.select(
-        "gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("comp_b")
-    )
-    needed = F.ceil((F.col("na") + F.col("nb")) * percent / F.lit(100.0 + percent))
-    outside = F.ceil(F.greatest("na", "nb") * percent / 100.0) - 1
+        "gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("held").alias("hb"),
+        F.col("comp").alias("comp_b"),
+    )
+    needed = F.ceil((F.col("na") + F.col("nb")) * percent / F.lit(100.0 + percent) - 1e-6)
+    least = needed - F.ceil(F.greatest("na", "nb") * percent / 100.0 - 1e-6) + 1
     crossing = (
-        live.select("gram", F.col("node").alias("a"), F.col("n").alias("na"), "comp")
+        live.select("gram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("held").alias("ha"), "comp")
         .join(other, "gram")
-        .filter((F.col("comp") < F.col("comp_b")) & _sizes_allow(percent))
+        .filter((F.col("comp") < F.col("comp_b")) & _sizes_allow(percent) & (F.least("ha", "hb") >= least))
         .groupBy("a", "b")
         .agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-        .filter(F.col("c") >= needed - outside)
+        .filter(F.col("c") >= least)
     )
     tested = best.select("a", "b").union(best.select(F.col("b").alias("a"), F.col("a").alias("b")))
     crossing = cut_lineage(crossing.join(tested, ["a", "b"], "left_anti").select("a", "b"), "jaccard-second")

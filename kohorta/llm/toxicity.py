@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from kohorta.llm.frames import map_texts
+from kohorta.llm.frames import arrow_limits, map_texts, smallest_digests
 from kohorta.llm.wordbytes import IS_SPACE, LOWER, text_blocks
 from kohorta.session import cut_lineage
 
@@ -101,11 +101,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_per_class: int, seed
         ~held_out(F.col("doc_id"))
     )
     usable = usable.select(F.col("doc_id").alias("__key"), F.col("toxic").alias("__toxic")).distinct()
-    digest = F.md5(F.concat_ws("|", F.lit(seed), F.col("__key").cast("string")))
-    part = lambda kind: usable.filter(F.col("__toxic") == kind).orderBy(digest, "__key").limit(max_per_class)
-    ids = cut_lineage(part(0).union(part(1)), "toxicity-ids")
+    key = F.concat_ws("|", F.lit(seed), F.col("__key").cast("string"))
+    parts = [smallest_digests(usable.filter(F.col("__toxic") == k), key, max_per_class) for k in (0, 1)]
+    ids = cut_lineage(parts[0].union(parts[1]), "toxicity-ids")
+    arrow_limits(docs.sparkSession)
     texts = docs.select(F.col("doc_id").alias("__key"), F.col("text").alias("__text"))
-    return cut_lineage(texts.join(ids, "__key"), "toxicity-sample")
+    return cut_lineage(texts.join(ids.filter("__toxic >= 0"), "__key"), "toxicity-sample")
 
 
 def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

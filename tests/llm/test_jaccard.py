@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -69,10 +70,20 @@ def test_components_equal_brute_force(spark):
 
 def test_frequent_grams_do_not_change_the_result(spark, monkeypatch):
     docs = corpus()
-    monkeypatch.setattr(J, "FREQUENT", 2)
-    got = J.link_components(spark.createDataFrame(docs, "doc_id long, text string"), 4, 85)
-    rows = got.select("doc_id", "n_shingles", "component_id").collect()
-    assert key(map(tuple, rows)) == key(slow_rows(docs, 4, 85))
+    for name, value in (("LIGHT_LEVEL", 8), ("CELL_BITS", 16)):
+        monkeypatch.setattr(J, name, value)
+        got = J.link_components(spark.createDataFrame(docs, "doc_id long, text string"), 4, 85)
+        rows = got.select("doc_id", "n_shingles", "component_id").collect()
+        assert key(map(tuple, rows)) == key(slow_rows(docs, 4, 85))
+
+
+def test_levels_count_all_texts(spark):
+    texts = ["a b c d", "a b c d e", "x"] * 7
+    levels = J.frequency_levels(spark.createDataFrame([(t,) for t in texts], "t string").repartition(3), 4, "t")
+    counts = Counter(g for t in texts for _, _, _, gram in J.gram_sets(J.pa.array([t]), 4) for g in gram.tolist())
+    for gram, n in counts.items():
+        assert levels[gram >> (64 - J.CELL_BITS)] >= J._level(np.array([n]))[0]
+    assert sorted(set(levels.tolist())) == sorted({0, *J._level(np.array(list(counts.values()))).tolist()})
 
 
 def test_edges(spark):
