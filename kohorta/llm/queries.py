@@ -5,6 +5,7 @@ from __future__ import annotations
 from kohorta.llm import (
     cross_entropy,
     decontaminate,
+    html_text,
     jaccard,
     line_dedup,
     mixing,
@@ -15,6 +16,7 @@ from kohorta.llm import (
 from kohorta.session import tune
 
 _QUERIES = {
+    "op2_html_text": html_text.query,
     "op3_token_planes": tokens.query,
     "op4_cross_entropy": cross_entropy.query,
     "op5_toxicity": toxicity.query,
