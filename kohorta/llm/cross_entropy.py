@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from kohorta.llm import cells
 from kohorta.llm.frames import arrow_limits, map_texts
 from kohorta.llm.wordbytes import Block, mix, text_blocks
 from kohorta.session import cut_lineage
@@ -65,11 +66,6 @@ def _pairs(tokens: np.ndarray, doc: np.ndarray, start: int) -> tuple[np.ndarray,
     return before, (mix(pair) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
 
 
-def _emit(kind: str, keys, *counts) -> pa.RecordBatch:
-    columns = [pa.array([kind] * len(keys)), pa.array(keys), *map(pa.array, counts)]
-    return pa.RecordBatch.from_arrays(columns, names=["kind", "key", "n", "t"])
-
-
 def vocabulary_of(docs: DataFrame, text: str) -> np.ndarray:
     """Sorted hashes of the most frequent words of all texts."""
 
@@ -84,9 +80,9 @@ def vocabulary_of(docs: DataFrame, text: str) -> np.ndarray:
     counted = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(count, "key long, n long")
     top = (
         counted.groupBy("key").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "key").limit((1 << VOCABULARY_BITS) - 1).toPandas()
+        .orderBy(F.desc("n"), "key").limit((1 << VOCABULARY_BITS) - 1).select("key")
     )
-    return np.sort(top["key"].to_numpy(np.int64).view(np.uint64))
+    return np.sort(np.array([r[0] for r in top.toLocalIterator()], np.int64).view(np.uint64))
 
 
 @dataclass
@@ -128,9 +124,8 @@ class Models:
 def fit(docs: DataFrame, targets: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Models:
     """Models from all texts of ``docs`` and those whose id is in ``targets(doc_id)``.
 
-    Both models come from one pass: each row knows whether it is a target, each task
-    adds up its cells and sends one row per cell that it met. What reaches the driver
-    is bounded by the size of the model.
+    Both models come from one pass over the texts: each row knows whether it is a target.
+    What reaches the driver is the model, whose size is fixed.
     """
     vocabulary = vocabulary_of(docs, text)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -139,42 +134,31 @@ def fit(docs: DataFrame, targets: DataFrame, text: str = "text", doc_id: str = "
     marked = docs.select(F.col(doc_id).alias("__own"), F.col(text).cast("string").alias("t")).join(
         ids, F.col("__own") == F.col("__target"), "left"
     ).select("t", F.col("__target").isNotNull().alias("target"))
-    width, start = len(vocabulary) + 2, len(vocabulary) + 1
+    start = len(vocabulary) + 1
+    parts = {"tokens": start, "contexts": start + 1, "pairs": 1 << PAIR_BITS}
+    places, size = {}, 0
+    for of in ("background", "target"):
+        for kind, n in parts.items():
+            places[of, kind] = slice(size, size + n)
+            size += n
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = {"token": width, "context": width, "pair": 1 << PAIR_BITS}
-        sums = {k: np.zeros((2, n), np.int32) for k, n in sizes.items()}
+        counts = np.zeros(size, np.uint32)
         for batch in batches:
             chosen = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for first, data, offsets in text_blocks(batch.column(0)):
                 block = Block(data, offsets)
                 tokens = _tokens(block, shared.value)
-                before, cells = _pairs(tokens, block.doc, start)
+                before, found = _pairs(tokens, block.doc, start)
                 inside = chosen[first + block.doc]
-                for kind, keys in (("token", tokens), ("context", before), ("pair", cells)):
-                    np.add.at(sums[kind][0], keys, 1)
-                    np.add.at(sums[kind][1], keys[inside], 1)
-        for kind, (n, t) in sums.items():
-            some = np.flatnonzero(n)
-            for at in range(0, len(some), 1 << 18):
-                part = some[at : at + (1 << 18)]
-                yield _emit(kind, part, n[part].astype(np.int64), t[part].astype(np.int64))
-
-    counted = marked.mapInArrow(count, "kind string, key long, n long, t long")
-    total = counted.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    total = cut_lineage(total, "cross-entropy-counts")
-    out = []
-    for column in ("n", "t"):
-        arrays = []
-        for kind, size in (("token", width), ("context", width), ("pair", 1 << PAIR_BITS)):
-            part = total.filter((F.col("kind") == kind) & (F.col(column) > 0)).select("key", F.col(column).alias("c"))
-            table = part.toPandas()
-            dense = np.zeros(size, np.float32)
-            dense[table["key"].to_numpy(np.int64)] = table["c"].to_numpy()
-            arrays.append(dense)
-        arrays[0] = np.delete(arrays[0], start)
-        out.append(Counts(*arrays))
-    return Models(vocabulary, *out)
+                for kind, keys in (("tokens", tokens), ("contexts", before), ("pairs", found)):
+                    np.add.at(counts[places["background", kind]], keys, 1)
+                    np.add.at(counts[places["target", kind]], keys[inside], 1)
+        yield from cells.send_cells(counts)
+
+    total = cells.add_cells(marked.mapInArrow(count, cells.SCHEMA), size, np.float32, lambda n: n)
+    models = [Counts(*(total[places[of, kind]] for kind in parts)) for of in ("background", "target")]
+    return Models(vocabulary, *models)
 
 
 def score(docs: DataFrame, models: Models, text: str = "text", carry=("doc_id",)) -> DataFrame:

@@ -37,20 +37,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from kohorta.llm import cells
 from kohorta.llm.components import components
 from kohorta.llm.frames import arrow_limits, map_texts
 from kohorta.llm.wordbytes import Block, mix, shingles, text_blocks
 from kohorta.operators.skew import salted_join
 from kohorta.session import cut_lineage
 
-CELL_BITS, CHUNK_CELLS = 24, 1 << 16
+CELL_BITS = 24
 #: Grams of at most a thousand documents or so are light.
 LIGHT_LEVEL = 39
 
@@ -85,45 +85,20 @@ def _level(counts: np.ndarray) -> np.ndarray:
 def frequency_levels(docs: DataFrame, size: int, text: str) -> np.ndarray:
     """Logarithmic level of the document count of each cell of grams, ``2**CELL_BITS`` bytes.
 
-    A count sketch of fixed size: each task counts the grams of all its texts by cell and
-    sends its cells in compressed chunks; the chunks are added up where they meet. A
-    cell's count is at least the count of each of its grams.
+    A count sketch of fixed size over all texts: a cell's count is at least the count of
+    each of its grams.
     """
 
     def count(batches):
-        cells = np.zeros(1 << CELL_BITS, np.uint32)
+        counts = np.zeros(1 << CELL_BITS, np.uint32)
         for batch in batches:
             for _, _, _, gram in gram_sets(batch.column(0), size):
-                np.add.at(cells, gram >> np.uint64(64 - CELL_BITS), 1)
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        for k, chunk in enumerate(cells.reshape(-1, CHUNK_CELLS)):
-            if chunk.any():
-                columns = [pa.array([k]), pa.array([squeeze(chunk.tobytes())])]
-                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "cells"])
-
-    def add(batches):
-        at, total = None, None
-        out = lambda: pa.RecordBatch.from_arrays(
-            [pa.array([at]), pa.array([_level(total).tobytes()])], names=["chunk", "levels"]
-        )
-        for batch in batches:
-            for k, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if k != at:
-                    if at is not None:
-                        yield out()
-                    at, total = k, np.zeros(CHUNK_CELLS, np.uint64)
-                raw = zstandard.ZstdDecompressor().decompress(packed.as_py(), max_output_size=4 * CHUNK_CELLS)
-                total += np.frombuffer(raw, np.uint32)
-        if at is not None:
-            yield out()
+                np.add.at(counts, gram >> np.uint64(64 - CELL_BITS), 1)
+        yield from cells.send_cells(counts)
 
     arrow_limits(docs.sparkSession)
-    counted = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(count, "chunk long, cells binary")
-    summed = counted.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(add, "chunk long, levels binary")
-    levels = np.zeros((1 << CELL_BITS) // CHUNK_CELLS * CHUNK_CELLS, np.uint8).reshape(-1, CHUNK_CELLS)
-    for r in summed.collect():
-        levels[r["chunk"]] = np.frombuffer(r["levels"], np.uint8)
-    return levels.ravel()
+    counted = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(count, cells.SCHEMA)
+    return cells.add_cells(counted, 1 << CELL_BITS, np.uint8, _level)
 
 
 def gram_rows(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
