@@ -10,12 +10,14 @@ from kohorta.llm import (
     line_dedup,
     mixing,
     quality,
+    suffix_dedup,
     tokens,
     toxicity,
 )
 from kohorta.session import tune
 
 _QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.query,
     "op2_html_text": html_text.query,
     "op3_token_planes": tokens.query,
     "op4_cross_entropy": cross_entropy.query,
