@@ -13,8 +13,9 @@ Row: the distinct word n-grams of a text. Column: an n-gram. Two texts link when
   one with the highest overlap. Copies of one text become one component here without a
   product of all their pairs;
 * second pass: blocks that still hold several components are multiplied across
-  components, overlap counts are accumulated over blocks, pairs are discarded whose
-  count is below what their sizes demand, and the rest is verified.
+  components. The sizes of a pair set the overlap that its prefixes must have; an entry
+  is multiplied only if so many entries can follow it in both rows, so pairs below the
+  bound are never formed. The rest is verified.
 
 Verification counts the whole overlap of both texts. What the first pass leaves out
 lies inside one component, so no component is missed.
@@ -205,12 +206,14 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, per
     return cut_lineage(met.mapInArrow(_overlaps(size, percent), "a long, b long"), "jaccard-links")
 
 
-def _entries(firsts: DataFrame, part) -> DataFrame:
-    return firsts.select(F.col("uid").alias("node"), "hub", F.explode(part).alias("gram"))
+def _entries(classes: DataFrame, part) -> DataFrame:
+    return classes.select("node", "hub", "light", F.posexplode(part).alias("place", "gram"))
 
 
-def _blocks(firsts: DataFrame) -> DataFrame:
-    """``gram, node, lead, hot`` of all blocks with two classes or more; ``lead`` has the top hub.
+def _blocks(classes: DataFrame) -> DataFrame:
+    """``gram, node, place, lead, hot`` of all blocks with two classes or more.
+
+    ``lead`` has the top hub, ``place`` is that of the gram in the prefix of the node.
 
     Entries of grams that are not frequent lie in small groups: one exchange, then a
     window. Frequent grams are counted with map-side combine and joined by salt.
@@ -218,19 +221,19 @@ def _blocks(firsts: DataFrame) -> DataFrame:
     small = Window.partitionBy("gram")
     top = F.max(F.struct("hub", "node"))
     light = (
-        _entries(firsts, F.slice("prefix", F.lit(1), F.col("light").cast("int")))
+        _entries(classes, F.slice("prefix", F.lit(1), F.col("light").cast("int")))
         .withColumn("first", F.min("node").over(small))
         .withColumn("last", F.max("node").over(small))
         .filter("first < last")
-        .select("gram", "node", top.over(small)["node"].alias("lead"), F.lit(False).alias("hot"))
+        .select("gram", "node", "place", top.over(small)["node"].alias("lead"), F.lit(False).alias("hot"))
     )
     rest = F.slice("prefix", (F.col("light") + 1).cast("int"), F.size("prefix"))
-    frequent = _entries(firsts, rest)
+    frequent = _entries(classes, rest).withColumn("place", (F.col("place") + F.col("light")).cast("int"))
     leads = frequent.groupBy("gram").agg(
         top["node"].alias("lead"), F.min("node").alias("first"), F.max("node").alias("last")
     )
     hot = salted_join(frequent, leads.filter("first < last").select("gram", "lead"), "gram")
-    return light.union(hot.select("gram", "node", "lead", F.lit(True).alias("hot")))
+    return light.union(hot.select("gram", "node", "place", "lead", F.lit(True).alias("hot")))
 
 
 def _open_blocks(placed: DataFrame) -> DataFrame:
@@ -241,15 +244,15 @@ def _open_blocks(placed: DataFrame) -> DataFrame:
         .withColumn("lo", F.min("comp").over(small))
         .withColumn("hi", F.max("comp").over(small))
         .filter("lo < hi")
-        .select("gram", "node", "n", "held", "comp")
+        .select("gram", "node", "n", "at", "held", "comp")
     )
-    hot = placed.filter("hot").select("gram", "node", "n", "held", "comp")
+    hot = placed.filter("hot").select("gram", "node", "n", "at", "held", "comp")
     ends = hot.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     return light.union(salted_join(hot, ends.filter("lo < hi").select("gram"), "gram"))
 
 
 def _sizes_allow(percent: int):
-    return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
 
 
 def link_components(
@@ -261,20 +264,18 @@ def link_components(
     """
     rows = gram_rows(docs, size, percent, doc_id, text)
     filled = rows.filter("n > 0")
-    classes = filled.groupBy("d1", "d2", "n").agg(
-        F.min(F.struct("uid", "doc_id", "text_hash")).alias("first"), F.min("doc_id").alias("least")
-    )
+    one = F.struct("uid", "doc_id", "text_hash", "light", "hub", "prefix")
+    classes = filled.groupBy("d1", "d2", "n").agg(F.min(one).alias("first"), F.min("doc_id").alias("least"))
     classes = cut_lineage(
-        classes.select("d1", "d2", "n", "least", F.col("first.uid").alias("node"), "first.doc_id", "first.text_hash"),
+        classes.select("d1", "d2", "n", "least", F.col("first.uid").alias("node"), "first.*").drop("uid"),
         "jaccard-classes",
     )
     nodes = classes.select("node", "doc_id", "text_hash")
-    firsts = filled.select("uid", "light", "hub", "prefix").join(nodes.select(F.col("node").alias("uid")), "uid", "left_semi")
-    blocks = cut_lineage(_blocks(firsts), "jaccard-blocks")
+    blocks = cut_lineage(_blocks(classes.select("node", "light", "hub", "prefix")), "jaccard-blocks")
 
     stars = blocks.filter("node != lead").groupBy("node", "lead").agg(F.count("*").alias("c"))
-    na = classes.select("node", F.col("n").alias("na"))
-    nb = classes.select(F.col("node").alias("lead"), F.col("n").alias("nb"))
+    na = classes.select("node", F.col("n").alias("n_a"))
+    nb = classes.select(F.col("node").alias("lead"), F.col("n").alias("n_b"))
     best = (
         stars.join(na, "node")
         .join(nb, "lead")
@@ -288,24 +289,26 @@ def link_components(
     labels = components(links)
 
     labelled = labels.withColumnRenamed("comp", "label")
-    held = blocks.groupBy("node").agg(F.count("*").alias("held"))
-    sized = classes.select("node", "n").join(held, "node").join(labelled, "node", "left")
-    sized = sized.select("node", "n", "held", F.coalesce("label", "node").alias("comp"))
-    placed = cut_lineage(blocks.select("gram", "hot", "node").join(sized, "node"), "jaccard-placed")
+    sized = classes.select("node", "n").join(labelled, "node", "left")
+    sized = sized.select("node", "n", F.coalesce("label", "node").alias("comp"))
+    own = Window.partitionBy("node")
+    ranked = blocks.select(
+        "gram", "hot", "node", F.row_number().over(own.orderBy("place")).alias("at"), F.count("*").over(own).alias("held")
+    )
+    placed = cut_lineage(ranked.join(sized, "node"), "jaccard-placed")
     live = cut_lineage(_open_blocks(placed), "jaccard-live")
-    other = live.select(
-        "gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("held").alias("hb"),
-        F.col("comp").alias("comp_b"),
-    )
-    needed = F.ceil((F.col("na") + F.col("nb")) * percent / F.lit(100.0 + percent) - 1e-6)
-    least = needed - F.ceil(F.greatest("na", "nb") * percent / 100.0 - 1e-6) + 1
+    side = lambda x: live.select("gram", *[F.col(c).alias(c + x) for c in ("node", "n", "at", "held", "comp")])
+    # So many grams of both prefixes must be common: what a link needs less what lies behind them.
+    overlap = F.ceil((F.col("n_a") + F.col("n_b")) * percent / F.lit(100.0 + percent) - 1e-6)
+    least = F.greatest(overlap - F.ceil(F.greatest("n_a", "n_b") * percent / 100.0 - 1e-6) + 1, F.lit(1))
+    # The first common gram has all others behind it, so it cannot stand late in either.
+    early = [F.col(f"at_{x}") <= F.col(f"held_{x}") - least + 1 for x in "ab"]
     crossing = (
-        live.select("gram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("held").alias("ha"), "comp")
-        .join(other, "gram")
-        .filter((F.col("comp") < F.col("comp_b")) & _sizes_allow(percent) & (F.least("ha", "hb") >= least))
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-        .filter(F.col("c") >= least)
+        side("_a")
+        .join(side("_b"), "gram")
+        .filter((F.col("comp_a") < F.col("comp_b")) & _sizes_allow(percent) & early[0] & early[1])
+        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+        .distinct()
     )
     tested = best.select("a", "b").union(best.select(F.col("b").alias("a"), F.col("a").alias("b")))
     crossing = cut_lineage(crossing.join(tested, ["a", "b"], "left_anti").select("a", "b"), "jaccard-second")
