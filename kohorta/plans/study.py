@@ -63,9 +63,17 @@ class Study:
 
     # 1. posts that match the track keywords
 
-    def ingest(self, messages: str, horizon: str | None = None, forever: bool = False) -> StreamingQuery:
+    def ingest(
+        self,
+        messages: str,
+        horizon: str | None = None,
+        forever: bool = False,
+        max_files: int | None = 1000,
+    ) -> StreamingQuery:
+        """Starts the stream; a batch takes at most ``max_files`` message files. Counts of
+        read and dropped messages are in the query's progress under ``ingest``."""
         track = cfg.load_track(self.spark, self.settings)
-        stream = G.read_posts_stream(self.spark, messages, track)
+        stream = G.read_posts_stream(self.spark, messages, track, max_files)
         return G.start_ingest(
             stream, self.path("posts"), self.path("progress"), horizon, available_now=not forever
         )

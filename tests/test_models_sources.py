@@ -194,3 +194,44 @@ def test_shared_folder_is_the_sessions_own(spark):
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     assert shared_folder(spark) == folder == given.rstrip("/")
     assert scratch_path(spark, "x").startswith(folder + "/x-")
+
+
+def test_few_files_per_block_and_compaction(spark, tmp_path):
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        path, target = str(tmp_path / "store"), str(tmp_path / "compact")
+        for start in (0, 400):
+            rows = [(i, "2020-01-01 00:00:00") for i in range(start, start + 400)]
+            batch = spark.createDataFrame(rows, "id long, t string").selectExpr("id", "timestamp(t) AS created_ts")
+            G.insert_unseen(batch.repartition(16), path, block=100)
+        files = list((tmp_path / "store").glob("id_block=*/*.parquet"))
+        assert len(files) <= 8 * G.BLOCK_PARTS and spark.read.parquet(path).count() == 800
+        G.compact(spark, path, target)
+        assert spark.read.parquet(target).count() == 800
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_keywords_in_any_text_form_and_late_posts(spark, tmp_path):
+    import json
+
+    (tmp_path / "in").mkdir()
+    base = {"created_at": "Mon Jan 05 10:00:00 +0000 2015", "lang": "en", "user": {"id": 1}}
+    posts = [
+        {"id": 1, "text": "coffee"}, {"id": 2, "text": "cut", "extended_tweet": {"full_text": "more coffee"}},
+        {"id": 3, "full_text": "Coffee"}, {"id": 4, "text": "tea"},
+    ]
+    ahead = {**base, "id": 9, "text": "coffee", "created_at": "Mon Jan 06 10:00:00 +0000 2098"}
+    (tmp_path / "in" / "a.json").write_text(json.dumps(ahead))
+
+    def run():
+        stream = G.read_posts_stream(spark, str(tmp_path / "in"), ["coffee"], max_files=1)
+        query = G.start_ingest(
+            stream, str(tmp_path / "out"), str(tmp_path / "progress"), horizon="2 days", available_now=True
+        )
+        query.awaitTermination()
+        return sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert run() == [9]
+    (tmp_path / "in" / "b.json").write_text("\n".join(json.dumps({**base, **p}) for p in posts))
+    assert run() == [1, 2, 3, 9]
