@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from kohorta.session import cut_lineage
 
 Z_975 = 1.959963984540054
-TIE_BLOCK = 65536
-# Below this many marks a step runs in one task, which saves three exchanges.
-ONE_TASK_MARKS = 200_000
+# Tied events of one time that are unrolled together, and pieces of the time line that
+# are summed apart.
+TIE_BLOCK = 4096
+TIME_PARTS = 1024
 KEYS = ("user_id", "quarter", "start", "stop", "outcome")
 
 
@@ -69,10 +70,39 @@ def time_marks(intervals: DataFrame, covariates: Sequence[str], outcome: str = "
     )
 
 
-def _before():
-    # Rows are distinct times, so one per day of follow-up at most: the ordered
-    # pass in a single task stays small whatever the number of subjects.
-    return Window.orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+def time_span(marks: DataFrame) -> tuple[float, float]:
+    """First and last time."""
+    row = marks.agg(F.min("t").alias("low"), F.max("t").alias("high")).first()
+    return float(row["low"] or 0), float(row["high"] or 0)
+
+
+def sums_before(per_time: DataFrame, names: dict[str, str], span: tuple[float, float]) -> DataFrame:
+    """Sum of each column of ``names`` over all earlier times, under its new name.
+
+    Two levels, so that no task holds all times: the time line is cut into
+    ``TIME_PARTS`` equal parts, whose totals are added up first, then the times of
+    each part.
+    """
+    low, high = span
+    width = (high - low) / TIME_PARTS or 1.0
+    parted = per_time.withColumn("_part", F.floor((F.col("t").cast("double") - low) / width))
+    totals = parted.groupBy("_part").agg(*[F.sum(n).alias(n) for n in names])
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select("_part", *[F.sum(n).over(earlier).alias(f"_base_{n}") for n in names])
+    inside = Window.partitionBy("_part").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    rest = [c for c in per_time.columns if c not in names]
+    return (
+        parted.select("_part", *rest, *[F.sum(n).over(inside).alias(f"_in_{n}") for n in names])
+        .join(base, "_part")
+        .select(
+            *rest,
+            *[
+                (F.coalesce(f"_base_{n}", zero) + F.coalesce(f"_in_{n}", zero)).alias(new)
+                for n, new in names.items()
+            ],
+        )
+    )
 
 
 def risk_table(
@@ -91,13 +121,7 @@ def risk_table(
         F.sum(F.when(exposed, F.col("d")).otherwise(0)).alias("d1"),
     )
     return (
-        per_time.select(
-            "t",
-            F.sum("_net").over(_before()).alias("n"),
-            F.sum("_net1").over(_before()).alias("n1"),
-            "d",
-            "d1",
-        )
+        sums_before(per_time, {"_net": "n", "_net1": "n1"}, time_span(per_time))
         .filter(F.col("d") > 0)
         .select("t", "n", "n1", "d", "d1")
     )
@@ -144,7 +168,24 @@ class CoxFit:
         )
 
 
-def _newton_terms(marks: DataFrame, x: Sequence[str], centre, beta, max_ties: int):
+def tie_rows(at_event: DataFrame) -> DataFrame:
+    """One row per event: ``_tie`` counts the events of a time from 0.
+
+    Blocks of ties are dealt out before they are unrolled, so neither many times nor
+    many events of one time meet in a single task. The number of tasks is given: the few
+    rows before the unrolling say nothing of those after it.
+    """
+    tasks = int(at_event.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = at_event.withColumn(
+        "_block", F.explode(F.sequence(F.lit(0), ((F.col("d") - 1) / TIE_BLOCK).cast("int")))
+    ).repartition(tasks, "t", "_block")
+    low = F.col("_block") * F.lit(TIE_BLOCK).cast("bigint")
+    return blocks.withColumn(
+        "_tie", F.explode(F.sequence(low, F.least(low + TIE_BLOCK, F.col("d")) - 1))
+    )
+
+
+def _newton_terms(marks: DataFrame, x: Sequence[str], centre, beta, span):
     """Log-likelihood, gradient and information at ``beta`` (Efron ties), one job."""
     p = len(x)
     pairs = [(j, k) for j in range(p) for k in range(j, p)]
@@ -164,20 +205,8 @@ def _newton_terms(marks: DataFrame, x: Sequence[str], centre, beta, max_ties: in
         sums[f"dx_{j}"] = F.sum(F.col("d") * dev[j])
     per_time = marks.groupBy("t").agg(*[v.alias(n) for n, v in sums.items()])
     risk = [n for n in sums if n.startswith("r")]
-    others = [n for n in sums if not n.startswith("r")]
-    at_event = per_time.select(
-        "t", *others, *[F.sum(n).over(_before()).alias(n) for n in risk]
-    ).filter("d > 0")
-
-    blocks = at_event.withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), ((F.col("d") - 1) / TIE_BLOCK).cast("int")))
-    )
-    if max_ties > TIE_BLOCK:
-        blocks = blocks.repartition("t", "_block")
-    low = F.col("_block") * F.lit(TIE_BLOCK).cast("bigint")
-    ties = blocks.withColumn(
-        "_tie", F.explode(F.sequence(low, F.least(low + TIE_BLOCK, F.col("d")) - 1))
-    )
+    at_event = sums_before(per_time, {n: n for n in risk}, span).filter("d > 0")
+    ties = tie_rows(at_event)
     share = F.col("_tie") / F.col("d")
     s0 = F.col("r0") - share * F.col("e0")
     s1 = [F.col(f"r1_{j}") - share * F.col(f"e1_{j}") for j in range(p)]
@@ -229,7 +258,6 @@ def cox_fit(
     numbered = list(enumerate(covariates))
     used = F.col("left") > 0
     size = marks.agg(
-        F.count("*").alias("rows"),
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("d", "left", "flat")],
         *[(F.sum(F.col("left") * F.col(c)) / F.sum("left")).alias(f"m_{j}") for j, c in numbered],
         *[F.min(F.when(used, F.col(c))).alias(f"low_{j}") for j, c in numbered],
@@ -244,13 +272,11 @@ def cox_fit(
     for j, name in numbered:
         if size[f"low_{j}"] == size[f"high_{j}"]:
             raise CoxError(f"covariate {name!r} is constant")
-    if size["rows"] <= ONE_TASK_MARKS:
-        marks = marks.coalesce(1)
-    max_ties = marks.groupBy("t").agg(F.sum("d").alias("d")).agg(F.max("d")).first()[0]
+    span = time_span(marks)
 
     centre = [float(size[f"m_{j}"]) for j, _ in numbered]
     beta = np.zeros(len(covariates))
-    level, gradient, information = _newton_terms(marks, covariates, centre, beta, max_ties)
+    level, gradient, information = _newton_terms(marks, covariates, centre, beta, span)
     null_level, steps, converged = level, 0, False
     while steps < max_iterations and not converged:
         steps += 1
@@ -261,7 +287,7 @@ def cox_fit(
         if not np.isfinite(step).all() or np.linalg.cond(information) > 1e12:
             raise CoxError("covariates are linearly dependent")
         while True:
-            new = _newton_terms(marks, covariates, centre, beta + step, max_ties)
+            new = _newton_terms(marks, covariates, centre, beta + step, span)
             if new[0] >= level - 1e-9 * abs(level) or np.abs(step).max() < tolerance:
                 break
             step = step / 2

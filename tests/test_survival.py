@@ -3,6 +3,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from kohorta.operators import survival as V
 
 
@@ -76,12 +78,12 @@ def test_risk_table_equals_the_definition(spark, seed):
 
 
 @pytest.mark.parametrize(
-    "width, binary, span, one_task, block",
-    [(1, True, 15, 10**6, 10**6), (1, True, 4, 0, 2), (2, True, 10, 0, 10**6), (3, False, 10, 10**6, 2)],
+    "width, binary, span, parts, block",
+    [(1, True, 15, 1, 10**6), (1, True, 4, 3, 2), (2, True, 10, 1024, 10**6), (3, False, 10, 7, 2)],
 )
-def test_fit_equals_the_definition(spark, monkeypatch, width, binary, span, one_task, block):
+def test_fit_equals_the_definition(spark, monkeypatch, width, binary, span, parts, block):
     """Few and many marks, few and many ties per time give the same answer."""
-    monkeypatch.setattr(V, "ONE_TASK_MARKS", one_task)
+    monkeypatch.setattr(V, "TIME_PARTS", parts)
     monkeypatch.setattr(V, "TIE_BLOCK", block)
     rows = random_rows(11 * width + span, width=width, binary=binary, span=span)
     names = [f"x{i}" for i in range(width)]
@@ -133,3 +135,22 @@ def test_linear_dependence(spark):
     rows = [(*r, 1 - r[5]) for r in random_rows(3)]
     with pytest.raises(V.CoxError, match="dependent"):
         V.cox_fit(frame(spark, rows, ["x", "y"]))
+
+
+def test_tie_rows_spread_over_tasks(spark):
+    """A thousand times of a thousand events each: no task unrolls them all."""
+    at_event = spark.range(1000).selectExpr("id AS t", "1000L AS d").coalesce(1)
+    tasks = V.tie_rows(at_event).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in tasks) == 1_000_000 and max(r["count"] for r in tasks) < 500_000
+    one_time = spark.createDataFrame([(1, 1_000_000)], "t long, d long")
+    assert len(V.tie_rows(one_time).select(F.spark_partition_id()).distinct().collect()) > 1
+
+
+def test_sums_before_equal_a_running_sum(spark):
+    rows = [(float(t) / 7, t % 5) for t in range(5000)]
+    frame = spark.createDataFrame(rows, "t double, n long").repartition(4)
+    got = V.sums_before(frame, {"n": "s"}, V.time_span(frame)).orderBy("t").collect()
+    total = 0
+    for (t, n), r in zip(rows, got, strict=True):
+        assert r.t == t and r.s == total
+        total += n
