@@ -16,7 +16,7 @@ def parse_post_time(created_at: Column) -> Column:
     The weekday is skipped because it carries no information and is no parsable
     pattern letter.
     """
-    return F.try_to_timestamp(F.substring(created_at, 5, 100), F.lit(POST_TIME_FORMAT))
+    return F.try_to_timestamp(created_at.substr(F.lit(5), F.length(created_at)), F.lit(POST_TIME_FORMAT))
 
 
 def to_day(ts: Column) -> Column:

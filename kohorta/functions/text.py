@@ -136,7 +136,7 @@ def emoji_names(extra: dict[str, str] | None = None) -> dict[str, str]:
     return {char: f":{name}:" for char, name in names.items()}
 
 
-def _let(value: Column, body) -> Column:
+def bind(value: Column, body) -> Column:
     """``body(value)`` with ``value`` worked out once, however often it is used."""
     return F.transform(F.array(value), body)[0]
 
@@ -206,7 +206,7 @@ def expand_contractions(text: Column, table: dict[str, str] | None = None) -> Co
         word = F.lower(F.translate(piece, "’", "'"))
         full = F.element_at(lookup, word)
         first = F.substring(piece, 1, 1)
-        raised = F.concat(F.upper(F.substring(full, 1, 1)), F.substring(full, 2, 100))
+        raised = F.concat(F.upper(F.substring(full, 1, 1)), full.substr(F.lit(2), F.length(full)))
         return (
             F.when(~word.isin(keys), piece)
             .when(first != F.lower(first), raised)
@@ -261,7 +261,7 @@ def normalize_post(text: Column, extra_emoji: dict[str, str] | None = None) -> C
             token.rlike("^" + EMOJI_CLASS + "$"), F.coalesce(F.element_at(names, token), token)
         ).otherwise(token)
 
-    joined = _let(
+    joined = bind(
         joined,
         lambda line: F.when(
             line.rlike(EMOJI_CLASS), F.array_join(F.transform(F.split(line, " "), named), " ")

@@ -41,13 +41,14 @@ def train_classifier(
     examples: DataFrame,
     column: str = "text",
     features: int = 1 << 16,
-    iterations: int = 10,
+    iterations: int = 200,
     regularisation: float = 0.01,
 ) -> PipelineModel:
     """Hashed TF-IDF on the normalised post and L2 logistic regression.
 
     ``examples(text, label)``; whole texts are used. The width of the features is
-    fixed, so there is neither padding nor truncation.
+    fixed, so there is neither padding nor truncation. A fit that has not converged
+    after ``iterations`` steps is an error.
     """
     stages = [
         RegexTokenizer(inputCol="normal_text", outputCol="tokens", pattern=" ", toLowercase=False),
@@ -59,7 +60,10 @@ def train_classifier(
     # beside the posts, and a lost block is computed again.
     ready = with_normal_text(examples, column).select("normal_text", "label").persist()
     try:
-        return Pipeline(stages=stages).fit(ready)
+        model = Pipeline(stages=stages).fit(ready)
+        if model.stages[-1].summary.totalIterations >= iterations:
+            raise RuntimeError(f"the classifier did not converge in {iterations} steps")
+        return model
     finally:
         ready.unpersist()
 

@@ -107,7 +107,8 @@ def apply_translations(posts: DataFrame, translations: DataFrame, lang: str = "e
     """
     own = F.col("lang").eqNullSafe(lang)
     foreign = (
-        salted_join(posts.filter(~own), translations.select("id", "text_en"), "id", "left")
+        posts.filter(~own)
+        .join(translations.select("id", "text_en"), "id", "left")
         .withColumn("text", F.coalesce("text_en", "text"))
         .select(*posts.columns)
     )

@@ -14,7 +14,6 @@ from kohorta.operators.skew import salted_join, top_n
 # scored in slices and the results united; nothing is cut off silently.
 MAX_CONCEPT_BYTES = 64 << 20
 MAX_CONCEPTS = 10_000
-MAX_THRESHOLDS = 100_000
 
 
 def concept_vectors(concepts: DataFrame, vector: str = "vector") -> dict[str, list[float]]:
@@ -89,14 +88,11 @@ def pivot_scores(scores: DataFrame, concepts: Sequence[str], keys: Sequence[str]
 def apply_thresholds(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Scores that reach the threshold of their concept.
 
-    There are few concepts and all posts have all of them, so the scores must not
-    be shuffled by concept: the thresholds are counted and, if few, broadcast.
+    All posts have all concepts, so a concept is a hot key. Spark broadcasts the
+    thresholds if their size in bytes allows; else the salt splits each concept.
     """
     few = thresholds.select("concept", "threshold")
-    if few.count() <= MAX_THRESHOLDS:
-        joined = scores.join(F.broadcast(few), "concept")
-    else:
-        joined = salted_join(scores, few, "concept")
+    joined = salted_join(scores, few, "concept")
     return joined.filter(F.col("similarity") >= F.col("threshold"))
 
 

@@ -19,14 +19,15 @@ from kohorta.operators.skew import salted_join, top_n
 
 
 def latest_per_user(posts: DataFrame, n: int = 3240) -> DataFrame:
-    """The ``n`` newest distinct ids of each user, all columns.
+    """The ``n`` newest distinct ids of each user, all columns; posts of no user drop out.
 
     Users with at most ``n`` posts, nearly all of them, need no ranking. For the
     others the n-th newest id is found on the (user, id) columns alone and joined
     back as a lower limit. Full rows are shuffled only if those limits outgrow a
     broadcast, and then once.
     """
-    ids = posts.select("user_id", "id").filter("id is not null")
+    posts = posts.filter("id is not null and user_id is not null")
+    ids = posts.select("user_id", "id")
     sizes = ids.groupBy("user_id").agg(F.count("*").alias("_n"))
     long_users = sizes.filter(F.col("_n") > n).select("user_id")
     limits = (
@@ -40,7 +41,7 @@ def latest_per_user(posts: DataFrame, n: int = 3240) -> DataFrame:
         .agg(F.min("id").alias("_oldest"))
     )
     return (
-        salted_join(posts.filter("id is not null"), limits, "user_id", "left")
+        salted_join(posts, limits, "user_id", "left")
         .filter(F.col("_oldest").isNull() | (F.col("id") >= F.col("_oldest")))
         .select(*posts.columns)
     )
@@ -56,15 +57,21 @@ def clean_text(
 ) -> DataFrame:
     """Full text, one row per id, links, reposts and mentions out, short posts out.
 
-    The kept copy of an id is the first in ``order``; ties fall to the text, so
-    the result does not depend on row placement. Contractions come last because
-    they would change the token count.
+    The kept copy of an id is the first in ``order``; ties fall to a digest of the
+    text, so the result does not depend on row placement. Texts are cleaned where they
+    are read. A copy to be dropped travels without its text, as it may still be the
+    first of its id, and raw texts do not travel unless somebody asks for them.
+    Contractions come last because they would change the token count.
     """
     texts = P.with_full_text(posts)
-    unique = P.dedup_posts(texts, [*order, F.col("text").asc_nulls_last()])
-    prep = unique.withColumn("prep", T.cut_at_url(F.col("text")))
-    prep = P.drop_reposts(prep, "prep").withColumn("prep", T.strip_mentions(F.col("prep")))
-    kept = P.drop_short(prep.na.drop(subset=["prep"]), min_len)
+    short = lambda t: F.when(T.token_count(t) > min_len, t)
+    cleaned = T.bind(
+        T.cut_at_url(F.col("text")),
+        lambda cut: F.when(~T.is_repost(cut), T.bind(T.strip_mentions(cut), short)),
+    )
+    texts = texts.withColumns({"prep": cleaned, "_digest": F.md5("text")})
+    unique = P.dedup_posts(texts, [*order, F.col("_digest").asc_nulls_last()]).drop("_digest")
+    kept = unique.filter("prep is not null")
     return kept.withColumn("prep", T.expand_contractions(F.col("prep"))) if expand else kept
 
 
@@ -100,33 +107,48 @@ def timeline_span(posts: DataFrame) -> DataFrame:
 def timeline_positions(posts: DataFrame) -> DataFrame:
     """0-based position of each post in its user's timeline, ordered by time and id.
 
-    Two rounds instead of one sort per user: rank inside (user, day), then add the
-    number of posts on earlier days, a running sum over at most one row per day.
+    Three rounds instead of one sort per user: rank inside (user, minute), then add the
+    posts of earlier minutes of the day and of earlier days, two running sums over at
+    most 1,440 rows and one row per day. So not even a burst of one day meets in one
+    task. Posts without a time have no position and are left out.
     """
-    by_day = Window.partitionBy("user_id", "normalised_date").orderBy("created_ts", "id")
-    before = (
-        Window.partitionBy("user_id")
-        .orderBy("normalised_date")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    timed = posts.filter("created_ts is not null and user_id is not null").withColumns(
+        {"_minute": F.date_trunc("minute", "created_ts"), "_day": F.to_date("created_ts")}
+    )
+    inside = Window.partitionBy("user_id", "_minute").orderBy("created_ts", "id")
+
+    def earlier(order, *group):
+        return Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+    minutes = timed.groupBy("user_id", "_day", "_minute").agg(F.count("*").alias("_n"))
+    days = minutes.groupBy("user_id", "_day").agg(F.sum("_n").alias("_n"))
+    before_day = days.select(
+        "user_id", "_day", F.sum("_n").over(earlier("_day", "user_id")).alias("_days")
     )
-    days = posts.groupBy("user_id", "normalised_date").agg(F.count("*").alias("_n"))
-    offsets = days.select(
-        "user_id",
-        "normalised_date",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+    offsets = (
+        minutes.withColumn("_minutes", F.sum("_n").over(earlier("_minute", "user_id", "_day")))
+        .join(before_day, ["user_id", "_day"])
+        .select(
+            "user_id",
+            "_minute",
+            (F.coalesce("_days", F.lit(0)) + F.coalesce("_minutes", F.lit(0))).alias("_before"),
+        )
     )
     return (
-        posts.withColumn("_rank", F.row_number().over(by_day))
-        .join(offsets, ["user_id", "normalised_date"])
+        timed.withColumn("_rank", F.row_number().over(inside))
+        .join(offsets, ["user_id", "_minute"])
         .withColumn("position", F.col("_before") + F.col("_rank") - 1)
         .select(*posts.columns, "position")
     )
 
 
 def first_hit(posts: DataFrame, hit: Column) -> DataFrame:
-    """Time and id of each user's first post that satisfies ``hit``."""
+    """Time and id of each user's first post that satisfies ``hit``.
+
+    A post without a time is no entry: its place in the timeline is unknown.
+    """
     return (
-        posts.filter(hit)
+        posts.filter(hit & F.col("created_ts").isNotNull())
         .groupBy("user_id")
         .agg(F.min(F.struct("created_ts", "id")).alias("_first"))
         .select(
@@ -150,7 +172,8 @@ def entry_hit(
 
 
 def define_t0(posts: DataFrame, hit: Column) -> DataFrame:
-    """Each user's posts from the entry time on; users without a hit disappear.
+    """Each user's posts from the entry time on; users without a hit disappear, and so do
+    posts without a time.
 
     Entry is the first post, by time and id, that satisfies ``hit``. The posts are
     read twice, so a costly test is better stored as a flag first.

@@ -40,7 +40,15 @@ def build_cohort(spark, folder):
 
 
 def build_cohort_user_scope(spark, folder):
-    return _cohort(spark, folder, outcome_scope="user", deduplicate=True)
+    """Every other post comes again, on a later day and with the highest scores."""
+    scores = I.scored_timeline(spark, folder)
+    later = F.date_add("normalised_date", 1).alias("normalised_date")
+    top = [F.lit(1.0).alias(c) for c in (I.EXPOSURE, I.OUTCOME)]
+    copies = scores.filter("id % 2 = 0").select("user_id", "id", "created_ts", later, *top, I.ENTRY)
+    return H.build_cohort(
+        scores.unionByName(copies), I.EXPOSURE, I.OUTCOME, I.THRESHOLDS,
+        min_posts=I.MIN_POSTS, outcome_scope="user", deduplicate=True,
+    )
 
 
 def cox_intervals(spark, folder):
@@ -76,8 +84,10 @@ def assign_periods(spark, folder):
 
 def define_t0(spark, folder):
     hit = L.entry_hit(I.THRESHOLDS[I.ENTRY], I.ENTRY_KEYWORDS, I.ENTRY, "text")
+    # Every seventh post has lost its time.
+    timed = F.when(F.col("id") % 7 != 0, F.col("created_ts")).alias("created_ts")
     posts = I.posts(spark, folder).select(
-        "user_id", "id", "created_ts", "normalised_date", hit.alias("hit")
+        "user_id", "id", timed, "normalised_date", hit.alias("hit")
     )
     kept = L.define_t0(cut_lineage(posts, "entry"), F.col("hit"))
     return kept.select("user_id", "id", "normalised_date")
@@ -130,12 +140,12 @@ def encoder_summary(spark, folder):
 
 
 def top_k_per_concept(spark, folder):
-    return S.top_k_per_concept(score_concepts(spark, folder), 500)
+    return S.top_k_per_concept(score_concepts(spark, folder), 50)
 
 
 def screen_thresholds(spark, folder):
     texts = I.decorated(spark, folder).select("id", "text")
-    return S.screen_thresholds(score_concepts(spark, folder), texts, 500)
+    return S.screen_thresholds(score_concepts(spark, folder), texts, 50)
 
 
 def apply_thresholds(spark, folder):
@@ -207,6 +217,13 @@ def tokenize_post(spark, folder):
     )
 
 
+def normalize_token(spark, folder):
+    """The tokens of each post, normalised one by one."""
+    names = T._map_literal(T.emoji_names())
+    tokens = F.transform(T.tokenize_post(F.col("text")), lambda t: T.normalize_token(t, names))
+    return I.decorated(spark, folder).select("id", F.array_join(tokens, " ").alias("tokens"))
+
+
 def normalize_post(spark, folder):
     return I.decorated(spark, folder).select("id", T.normalize_post(F.col("text")).alias("text"))
 
@@ -266,17 +283,24 @@ def binary_metrics(spark, folder):
 
 
 def softmax_class(spark, folder):
-    """The first two values of a vector stand for a network's raw outputs."""
-    logits = F.array(*[(F.col("vector")[i] * 10).cast("double") for i in range(2)])
+    """Sums of the two halves of a vector stand for a network's raw outputs."""
+
+    def half(start):
+        values = F.transform(F.slice("vector", start, 32), lambda x: x.cast("double"))
+        return F.aggregate(values, F.lit(0.0), lambda total, x: total + x)
+
+    logits = F.array(half(1), half(33))
     classes = C.classify_logits(I.vectors(spark, folder).select("id", logits.alias("logits")))
     return _rounded(classes.select("id", "p0", "p1", "personal"), "p0", "p1")
 
 
 def select_authors(spark, folder):
     """Labels stand for predictions, events for the posts they belong to."""
-    labels = I.table(spark, folder, "labels").withColumnRenamed("quality", "personal")
-    posts = I.table(spark, folder, "events").select(
-        F.col("event_id").alias("doc_id"), F.struct(F.col("user_id").alias("id")).alias("user")
+    labels = I.table(spark, folder, "labels").select("doc_id", F.col("quality").alias("personal"))
+    size = I.table(spark, folder, "documents").agg(F.count("*")).scalar()
+    posts = I.table(spark, folder, "events").filter("user_id % 3 = 0 OR event_type = 'purchase'")
+    posts = posts.select(
+        (F.col("event_id") % size).alias("doc_id"), F.struct(F.col("user_id").alias("id")).alias("user")
     )
     return C.select_authors(posts.join(labels, "doc_id"))
 
@@ -354,31 +378,46 @@ def timeline_to_intervals(spark, folder):
 
 
 def _message_files(spark: SparkSession, folder: str) -> str:
-    """All events as message files, with repeats and unreadable lines among them."""
+    """All events as message files, in the three shapes of a post's text.
+
+    Among them are repeats, old posts, one post from the far future, and lines that
+    cannot be read although they hold a tracked word.
+    """
     path = scratch_path(spark, "messages")
     events = I.table(spark, folder, "events")
-    day = F.date_format("ts", "MMM dd HH:mm:ss")
-    message = F.to_json(
-        F.struct(
-            F.col("event_id").alias("id"),
-            F.concat(F.lit("Mon "), day, F.lit(" +0000 2024")).alias("created_at"),
-            F.concat(F.lit("saw a "), "event_type").alias("text"),
-            F.lit("en").alias("lang"),
-            F.struct(F.col("user_id").alias("id")).alias("user"),
-        )
-    )
-    good = events.select(message.alias("value"))
-    broken = events.filter("event_type = 'error'").select(
-        F.concat(F.lit('{"id": '), F.col("event_id").cast("string"), F.lit(', "te')).alias("value")
-    )
-    undated = events.filter("event_type = 'error'").select(
-        F.to_json(
-            F.struct((-F.col("event_id") - 1).alias("id"), F.lit("yesterday").alias("created_at"))
+    errors = events.filter("event_type = 'error'")
+    k = F.col("event_id")
+
+    def message(number, day, whole, shape):
+        """The text in ``text``, in ``extended_tweet`` behind a cut text, or in ``full_text``."""
+        return F.to_json(
+            F.struct(
+                number.alias("id"),
+                day.alias("created_at"),
+                F.when(shape == 0, whole).when(shape == 1, "cut …").alias("text"),
+                F.when(shape == 1, F.struct(whole.alias("full_text"))).alias("extended_tweet"),
+                F.when(shape == 2, whole).alias("full_text"),
+                F.lit("en").alias("lang"),
+                F.struct(F.col("user_id").alias("id")).alias("user"),
+            )
         ).alias("value")
+
+    day = F.concat(F.lit("Mon "), F.date_format("ts", "MMM dd HH:mm:ss"), F.lit(" +0000 2024"))
+    whole = F.concat(F.lit("saw a "), "event_type")
+    old = F.lit("Mon Jan 05 10:00:00 +0000 2015")
+    future = F.lit("Mon Jan 06 10:00:00 +0000 2098")
+    good = events.select(message(k, day, whole, k % 3))
+    repeats = events.filter("event_type = 'click'").select(message(k, day, whole, k % 3))
+    late = errors.select(message(-3 * k - 3, old, F.lit("an old view"), F.lit(0)))
+    ahead = events.agg(F.max("user_id").alias("user_id")).select(
+        message(F.lit(1 << 50), future, F.lit("a far view"), F.lit(0))
+    )
+    undated = errors.select(message(-3 * k - 2, F.lit("yesterday"), F.lit("a view"), F.lit(0)))
+    broken = errors.select(
+        F.regexp_replace(message(-3 * k - 1, old, F.lit("a view"), F.lit(0)), "[}]+$", "").alias("value")
     )
-    repeats = events.filter("event_type = 'click'").select(message.alias("value"))
-    lines = good.unionByName(repeats).unionByName(broken).unionByName(undated)
-    lines.repartition(4).write.text(path)
+    lines = good.unionByName(repeats).unionByName(late).unionByName(ahead)
+    lines.unionByName(undated).unionByName(broken).repartition(4).write.text(path)
     return path
 
 
@@ -390,7 +429,9 @@ def _ingest(spark, folder, **options):
         stream, store, scratch_path(spark, "progress"), available_now=True, **options
     )
     query.awaitTermination()
-    return tables.read_collection(spark, store).select("id", "user_id", "created_ts", "text")
+    return P.with_full_text(tables.read_collection(spark, store)).select(
+        "id", "user_id", "created_ts", "text"
+    )
 
 
 def stream_ingest(spark, folder):
@@ -407,7 +448,7 @@ QUERIES = [
     timeline_span, timeline_positions, score_concepts, pivot_scores, compare_encoders,
     encoder_summary, top_k_per_concept, screen_thresholds, apply_thresholds, neighbour_cosine,
     latest_per_user, build_timelines, keep_existing, append_new, dedup_posts, clean_text,
-    expand_contractions, tokenize_post, normalize_post, keyword_track, study_track,
+    expand_contractions, tokenize_post, normalize_token, normalize_post, keyword_track, study_track,
     apply_translations, filter_lang, label_counts, distinct_users, sample_head, day_normalise,
     split_examples, binary_metrics, softmax_class, select_authors, train_and_classify,
     evaluate_classifier, embed_tfidf, score_texts, predicate_scan, append_sink,

@@ -23,14 +23,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents, spread over the cores when they come in fewer files than that.
-
-    Text work is bound by the processor, and a small table may be a single row
-    group, hence a single task. A table of many files is read as it lies.
-    """
-    texts = table(spark, folder, "documents")
-    cores = spark.sparkContext.defaultParallelism
-    return texts.repartition(cores) if len(texts.inputFiles()) < cores else texts
+    return table(spark, folder, "documents")
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Reference SQL (DuckDB) for the registered queries, written independently of them.
+"""Reference SQL (DuckDB) for the registered queries.
+
+Written independently of them, but for the contraction table and the patterns below,
+which are fixed values taken over.
 
 Dates are compared as text; similarities, ratios and coefficients to six digits.
 """
@@ -159,6 +162,7 @@ est AS (SELECT 'exposition' AS covariate, ba AS coef, sqrt(hqq / (haa * hqq - ha
 
 # --- text ------------------------------------------------------------------------
 
+# The token pattern and the literal replacements of the text queries.
 _TOKEN = (
     r"https?://\S+|www\.\S+|[<>]?[:;=8][-o*'']?[)\](\[dDpP/:}{@|\\]|@[\p{L}\p{N}_]+|#+[\p{L}\p{N}_]+"
     r"|\p{L}[\p{L}''_-]+\p{L}|[+-]?\p{N}+[,/.:-]\p{N}+[+-]?|[\p{L}\p{N}_]+|\.(?:\s*\.)+|\S"
@@ -246,7 +250,10 @@ FROM (SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS tp,
 
 _STREAMED = """
 SELECT event_id AS id, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS created_ts,
-       'saw a ' || event_type AS text FROM events WHERE event_type <> 'error'"""
+       'saw a ' || event_type AS text FROM events WHERE event_type <> 'error'
+UNION ALL SELECT -3 * event_id - 3, user_id, '2015-01-05 10:00:00', 'an old view'
+FROM events WHERE event_type = 'error'
+UNION ALL SELECT 1125899906842624, max(user_id), '2098-01-06 10:00:00', 'a far view' FROM events"""
 
 _ENCODED = _CONCEPTS + """,
 enc AS (SELECT 'dense' AS encoder, vec.id, con.concept,
@@ -269,7 +276,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "build_cohort": f"WITH RECURSIVE {_COHORT} {_COHORT_ROWS}",
         "build_cohort_user_scope": (
-            f"WITH RECURSIVE {_STUDY}, {_periods('st', 50, 'user')} {_COHORT_ROWS}"
+            f"WITH RECURSIVE {_STUDY}, {_periods('st', 50, 'user')} {_COHORT_ROWS}".replace(
+                "HAVING count(*) >", "HAVING count(*) + count(*) FILTER (id % 2 = 0) >"
+            )
         ),
         "csv_period_table": f"WITH RECURSIVE {_COHORT} {_COHORT_ROWS}",
         "cox_intervals": f"WITH RECURSIVE {_IV} SELECT * FROM iv",
@@ -291,7 +300,8 @@ def oracle_sql() -> dict[str, str]:
                    CAST(q AS INTEGER) AS quarter, 'Q' || q AS quarter_name
             FROM (SELECT *, (SELECT min(k) FROM bound b WHERE b.user_id = st.user_id
                              AND b.hi >= st.normalised_date) AS q FROM st)""",
-        "define_t0": f"""WITH {_POSTS}, {_ENTRY.format(source='posts', column='text')}
+        "define_t0": f"""WITH {_POSTS}, timed AS (SELECT * FROM posts WHERE id % 7 <> 0),
+            {_ENTRY.format(source='timed', column='text')}
             SELECT user_id, id, CAST(normalised_date AS VARCHAR) AS normalised_date FROM entered""",
         "truncate_at_outcome": f"""WITH {_STUDY},
             od AS (SELECT user_id, min(normalised_date) AS d FROM st WHERE sy >= 0.25 GROUP BY 1)
@@ -316,11 +326,11 @@ def oracle_sql() -> dict[str, str]:
             max(similarity) AS max_similarity FROM enc GROUP BY encoder, concept""",
         "top_k_per_concept": f"""WITH {_SCORES} SELECT id, concept, similarity, CAST(r AS INTEGER) AS rank
             FROM (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY similarity DESC, id) AS r
-                  FROM scores) WHERE r <= 500""",
+                  FROM scores) WHERE r <= 50""",
         "screen_thresholds": f"""WITH {_SCORES}, {_DECORATED}
             SELECT id, concept, similarity, CAST(r AS INTEGER) AS rank, text
             FROM (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY similarity DESC, id) AS r
-                  FROM scores) JOIN dec USING (id) WHERE r <= 500""",
+                  FROM scores) JOIN dec USING (id) WHERE r <= 50""",
         "apply_thresholds": f"WITH {_SCORES} SELECT * FROM scores WHERE similarity >= threshold",
         "neighbour_cosine": f"""WITH {_VEC} SELECT a.id,
             round(list_cosine_similarity(a.e, b.e), 6) + 0.0 AS similarity
@@ -343,6 +353,15 @@ def oracle_sql() -> dict[str, str]:
         "tokenize_post": f"""WITH {_DECORATED},
             t AS (SELECT id, regexp_extract_all(text, '{_TOKEN}') AS l FROM dec)
             SELECT id, CAST(len(l) AS INTEGER) AS n_tokens, array_to_string(l, '|') AS tokens FROM t""",
+        "normalize_token": f"""WITH {_DECORATED} SELECT id, array_to_string(list_transform(
+            regexp_extract_all(text, '{_TOKEN}'),
+            lambda t: CASE WHEN t[1] = '@' THEN '@USER'
+                           WHEN starts_with(lower(t), 'http') OR starts_with(lower(t), 'www')
+                             THEN 'HTTPURL'
+                           WHEN t = '😀' THEN ':grinning_face:' WHEN t = '❤' THEN ':red_heart:'
+                           WHEN t = '©' THEN ':copyright:' WHEN t = '®' THEN ':registered:'
+                           WHEN t = '’' THEN '\'\'' WHEN t = '…' THEN '...'
+                           ELSE t END), ' ') AS tokens FROM dec""",
         "normalize_post": f"""WITH {_DECORATED}, {_NORMAL_TOKENS}
             SELECT id, {_replaced('s')} AS text FROM tok""",
         "keyword_track": f"""WITH {_DECORATED} SELECT id, lang FROM dec
@@ -359,14 +378,15 @@ def oracle_sql() -> dict[str, str]:
             FROM events""",
         "split_examples": f"SELECT doc_id AS id, {_PART} AS part FROM labels",
         "binary_metrics": _METRICS,
-        "softmax_class": """WITH e AS (SELECT vec_id AS id,
-            exp(10 * CAST(embedding[1] AS DOUBLE)) AS a, exp(10 * CAST(embedding[2] AS DOUBLE)) AS b
-            FROM embeddings)
-            SELECT id, round(a / (a + b), 6) AS p0, round(b / (a + b), 6) AS p1,
-                   CASE WHEN a / (a + b) < 0.5 AND b / (a + b) >= 0.5 THEN 1 ELSE 0 END AS personal
-            FROM e""",
-        "select_authors": """SELECT DISTINCT user_id FROM events JOIN labels ON doc_id = event_id
-            WHERE quality = 1""",
+        "softmax_class": """WITH h AS (SELECT vec_id AS id,
+            list_reduce(CAST(embedding[1:32] AS DOUBLE[]), lambda x, y: x + y) AS a,
+            list_reduce(CAST(embedding[33:64] AS DOUBLE[]), lambda x, y: x + y) AS b FROM embeddings),
+            p AS (SELECT id, 1 / (1 + exp(b - a)) AS p0, 1 / (1 + exp(a - b)) AS p1 FROM h)
+            SELECT id, round(p0, 6) AS p0, round(p1, 6) AS p1,
+                   CASE WHEN p0 < 0.5 AND p1 >= 0.5 THEN 1 ELSE 0 END AS personal FROM p""",
+        "select_authors": """SELECT DISTINCT user_id FROM events
+            JOIN labels ON doc_id = event_id % (SELECT count(*) FROM documents)
+            WHERE quality = 1 AND (user_id % 3 = 0 OR event_type = 'purchase')""",
         "predicate_scan": """SELECT event_id, user_id, event_type, value FROM events
             WHERE event_type = 'purchase' AND value > 10""",
         "append_sink": "SELECT event_id, user_id, event_type, value FROM events",

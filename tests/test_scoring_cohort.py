@@ -56,8 +56,8 @@ def test_concept_checks(spark, concepts, monkeypatch):
 def test_thresholds_both_ways(spark, posts, concepts, monkeypatch):
     scores = S.score_concepts(posts, concepts)
     limits = spark.createDataFrame([("a", 0.707107), ("b", 0.9)], "concept string, threshold double")
-    for bound in (100, 0):
-        monkeypatch.setattr(S, "MAX_THRESHOLDS", bound)
+    for bound in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
         out = S.apply_thresholds(scores, limits).collect()
         assert sorted((r.id, r.concept) for r in out) == [(1, "a"), (2, "b"), (3, "a")]
 

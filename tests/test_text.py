@@ -124,3 +124,9 @@ def test_long_runs_do_not_exhaust_the_stack(values):
     assert values(lambda c: F.length(T.normalize_post(c)), posts)[0] == 100_000
     assert values(lambda c: F.length(T.expand_contractions(c)), posts) == [100_000, 100_001, 20_000]
     assert values(lambda c: F.size(T.tokenize_post(c)), posts) == [1, 1, 20_000]
+
+
+def test_long_full_form_is_whole(values):
+    full = "very " * 60 + "long"
+    got = values(lambda x: T.expand_contractions(x, {"vl": full}), ["vl", "Vl"])
+    assert got == [full, "V" + full[1:]]
