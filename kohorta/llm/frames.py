@@ -82,3 +82,25 @@ def smallest_digests(rows: DataFrame, key: Column, limit: int) -> DataFrame:
     bound = format(min(int(share * 16**12), 16**12 - 1), "012x") + "g"
     near = marked.filter(F.substring("__digest", 1, 12) <= bound)
     return near.orderBy("__digest", *rows.columns).limit(limit).drop("__digest")
+
+
+def texts_of(docs: DataFrame, asked: DataFrame, row: str, doc_id: str, text: str) -> DataFrame:
+    """Rows of ``asked`` with the ``text`` of their document, each once.
+
+    ``asked`` names a document by ``doc_id`` and ``text_hash`` and its own rows by ``row``,
+    a number from 0 upwards. The comparison that always holds lets Spark build its
+    runtime filter from this side, so texts nobody asks for are dropped before they are
+    shuffled. Equal documents give equal rows, which meet where the join has put them.
+    """
+    arrow_limits(docs.sparkSession)
+    keys = ["__hash", "__id", "__none"]
+
+    def keyed(frame, digest, number, *rest):
+        parts = (digest, F.coalesce(number, F.lit(0)), number.isNull())
+        return frame.select(*[p.alias(k) for p, k in zip(parts, keys, strict=True)], *rest)
+
+    whole = F.col(f"`{text}`").cast("string")
+    source = keyed(docs, F.xxhash64(whole), F.col(f"`{doc_id}`").cast("long"), whole.alias("text"))
+    rest = [c for c in asked.columns if c not in ("doc_id", "text_hash")]
+    wanted = keyed(asked.filter(f"{row} >= 0"), F.col("text_hash"), F.col("doc_id"), *rest)
+    return source.join(wanted, keys).dropDuplicates([*keys, row]).drop(*keys)

@@ -46,7 +46,7 @@ from pyspark.sql.window import Window
 
 from kohorta.llm import cells
 from kohorta.llm.components import components
-from kohorta.llm.frames import arrow_limits, map_texts
+from kohorta.llm.frames import arrow_limits, map_texts, texts_of
 from kohorta.llm.wordbytes import Block, mix, shingles, text_blocks
 from kohorta.operators.skew import salted_join
 from kohorta.session import cut_lineage
@@ -184,20 +184,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, per
     texts by two joins that the adaptive skew join can split.
     """
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = cut_lineage(
-        nodes.join(wanted, "node", "left_semi").select("node", F.col("doc_id").alias("__id"), "text_hash"),
-        "jaccard-wanted",
-    )
-    source = docs.select(
-        F.col(doc_id).cast("long").alias("__own"),
-        F.col(text).cast("string").alias("text"),
-        F.xxhash64(F.col(text).cast("string")).alias("text_hash"),
-    )
-    # The comparison that always holds lets Spark build its runtime filter from this side,
-    # so texts that nobody asks for are dropped before they are shuffled.
-    wanted = wanted.filter("node >= 0").withColumnRenamed("text_hash", "__hash")
-    same = (source["text_hash"] == wanted["__hash"]) & source["__own"].eqNullSafe(wanted["__id"])
-    texts = source.join(wanted, same).select("node", "text").dropDuplicates(["node"])
+    wanted = cut_lineage(nodes.join(wanted, "node", "left_semi"), "jaccard-wanted")
+    texts = texts_of(docs, wanted, "node", doc_id, text).select("node", "text")
     texts = cut_lineage(texts, "jaccard-texts")
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from kohorta.llm.frames import arrow_limits, map_texts
+from kohorta.llm.frames import map_texts, texts_of
 from kohorta.llm.suffix_array import suffix_array
 from kohorta.llm.wordbytes import _BASE, _BYTE_VALUES, _INVERSE, _ODD, _power, mix, text_blocks
 from kohorta.session import cut_lineage
@@ -157,19 +157,6 @@ def run_rows(docs: DataFrame, length: int, doc_id: str, text: str) -> DataFrame:
     return cut_lineage(mapped, "suffix-rows")
 
 
-def _with_texts(docs: DataFrame, keyed: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``keyed`` rows with the text of their document; texts nobody asks for are dropped first."""
-    arrow_limits(docs.sparkSession)
-    source = docs.select(
-        F.col(doc_id).cast("long").alias("__own"),
-        F.col(text).cast("string").alias("text"),
-        F.xxhash64(F.col(text).cast("string")).alias("__own_hash"),
-    )
-    keyed = keyed.filter("uid >= 0").withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
-    same = (source["__own_hash"] == keyed["__hash"]) & source["__own"].eqNullSafe(keyed["__id"])
-    return source.join(keyed, same)
-
-
 def repeated_windows(strings: list[bytes], distance: list[int], weight: np.ndarray, length: int):
     """``(string, start)`` of the windows that occur more than once among weighted strings.
 
@@ -340,7 +327,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id
     )
     asked = shared.groupBy("uid").agg(F.collect_list(F.struct("a", "s", "w", "hot", "p", "n", "d")).alias("runs"))
     asked = cut_lineage(asked.join(rows.select("uid", "doc_id", "text_hash"), "uid"), "suffix-asked")
-    texts = _with_texts(docs, asked, doc_id, text).dropDuplicates(["uid"])
+    texts = texts_of(docs, asked, "uid", doc_id, text)
     cut = texts.select("text", "runs").mapInArrow(_cut_strings(length), STRING)
     dealt = cut.repartition("k").sortWithinPartitions("k", "a", "s", "shift")
     marks = cut_lineage(dealt.mapInArrow(_mark(length), "a long, s long, lo long, hi long"), "suffix-marks")
@@ -383,7 +370,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
     rows, ranges = repeated_ranges(docs, length, doc_id, text)
     listed = ranges.groupBy("uid").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
     asked = cut_lineage(listed.join(rows.select("uid", "doc_id", "text_hash"), "uid"), "suffix-changed")
-    texts = _with_texts(docs, asked, doc_id, text).dropDuplicates(["uid"])
+    texts = texts_of(docs, asked, "uid", doc_id, text)
     return rows, texts.select("uid", "text", "ranges").mapInArrow(_remove, RESULT)
 
 
