@@ -121,44 +121,48 @@ class Models:
         return n, t, b
 
 
-def fit(docs: DataFrame, targets: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Models:
-    """Models from all texts of ``docs`` and those whose id is in ``targets(doc_id)``.
+def count_texts(texts: DataFrame, vocabulary, column: str) -> Counts:
+    """Counts of all rows of ``texts``; ``vocabulary`` is broadcast.
 
-    Both models come from one pass over the texts: each row knows whether it is a target.
     What reaches the driver is the model, whose size is fixed.
     """
-    vocabulary = vocabulary_of(docs, text)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    ids = targets.select(F.col("doc_id").alias("__target")).dropna().distinct()
-    ids = cut_lineage(ids, "cross-entropy-targets")
-    marked = docs.select(F.col(doc_id).alias("__own"), F.col(text).cast("string").alias("t")).join(
-        ids, F.col("__own") == F.col("__target"), "left"
-    ).select("t", F.col("__target").isNotNull().alias("target"))
-    start = len(vocabulary) + 1
+    start = len(vocabulary.value) + 1
     parts = {"tokens": start, "contexts": start + 1, "pairs": 1 << PAIR_BITS}
-    places, size = {}, 0
-    for of in ("background", "target"):
-        for kind, n in parts.items():
-            places[of, kind] = slice(size, size + n)
-            size += n
+    ends = np.cumsum(list(parts.values()))
+    places = {kind: slice(end - n, end) for (kind, n), end in zip(parts.items(), ends, strict=True)}
+    size = int(ends[-1])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.uint32)
         for batch in batches:
-            chosen = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for first, data, offsets in text_blocks(batch.column(0)):
+            for _, data, offsets in text_blocks(batch.column(0)):
                 block = Block(data, offsets)
-                tokens = _tokens(block, shared.value)
+                tokens = _tokens(block, vocabulary.value)
                 before, found = _pairs(tokens, block.doc, start)
-                inside = chosen[first + block.doc]
                 for kind, keys in (("tokens", tokens), ("contexts", before), ("pairs", found)):
-                    np.add.at(counts[places["background", kind]], keys, 1)
-                    np.add.at(counts[places["target", kind]], keys[inside], 1)
+                    np.add.at(counts[places[kind]], keys, 1)
         yield from cells.send_cells(counts)
 
-    total = cells.add_cells(marked.mapInArrow(count, cells.SCHEMA), size, np.float32, lambda n: n)
-    models = [Counts(*(total[places[of, kind]] for kind in parts)) for of in ("background", "target")]
-    return Models(vocabulary, *models)
+    arrow_limits(texts.sparkSession)
+    sent = texts.select(F.col(column).cast("string").alias("t")).mapInArrow(count, cells.SCHEMA)
+    total = cells.add_cells(sent, size, np.float32, lambda n: n)
+    return Counts(*(total[places[kind]] for kind in parts))
+
+
+def fit(docs: DataFrame, targets: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Models:
+    """Models from all texts of ``docs`` and from those whose id is in ``targets(doc_id)``.
+
+    The background is counted where the texts are read. Only target texts are joined to
+    their ids, by one plan at every size: a merge join behind a filter made from the ids,
+    which other texts do not pass.
+    """
+    vocabulary = vocabulary_of(docs, text)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    ids = cut_lineage(targets.select(F.col("doc_id").alias("__target")).dropna().distinct(), "cross-entropy-targets")
+    chosen = docs.select(F.col(doc_id).alias("__own"), F.col(text).alias("t")).join(
+        ids.filter("__target >= 0 OR __target < 0").hint("merge"), F.col("__own") == F.col("__target")
+    )
+    return Models(vocabulary, count_texts(docs, shared, text), count_texts(chosen, shared, "t"))
 
 
 def score(docs: DataFrame, models: Models, text: str = "text", carry=("doc_id",)) -> DataFrame:
