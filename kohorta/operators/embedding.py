@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer, VectorSlicer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from kohorta.functions.vectors import cosine_with
 from kohorta.operators.scoring import MAX_CONCEPTS, spread_scores, unnest_scores
+from kohorta.operators.skew import salted_join
 
 
 def fit_tfidf(texts: DataFrame, column: str = "prep", features: int = 1 << 18) -> PipelineModel:
@@ -89,3 +90,72 @@ def score_texts(
     return shape(
         vectors, cosine_with(matrix, unit_rows=True)(F.col("vector")), named, "vector", digits
     )
+
+
+def token_buckets(text: Column, features: int) -> Column:
+    """Buckets of the lower-case words of a text, by a digest that any engine has."""
+    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+    return F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % features)
+
+
+def _bucket_counts(texts: DataFrame, key: str, text: Column, features: int) -> DataFrame:
+    return (
+        texts.select(key, F.explode(token_buckets(text, features)).alias("bucket"))
+        .groupBy(key, "bucket")
+        .agg(F.count("*").alias("_tf"))
+    )
+
+
+def _unit_weights(counts: DataFrame, frequencies: DataFrame, size: int, key: str) -> DataFrame:
+    """``(key, bucket, weight)`` with unit length per key; a word in most texts is a hot
+    bucket, so frequencies are joined by salt."""
+    idf = F.log(F.lit(size + 1.0) / (F.coalesce("_df", F.lit(0)) + 1))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
+    return (
+        salted_join(counts, frequencies, "bucket", "left")
+        .withColumn("_w", F.col("_tf") * idf)
+        .select(key, "bucket", F.when(norm > 0, F.col("_w") / norm).otherwise(0.0).alias("weight"))
+    )
+
+
+def tfidf_rows(texts: DataFrame, column: str = "prep", key: str = "id", features: int = 1 << 18) -> DataFrame:
+    """Sparse TF-IDF at full width, one row per text and bucket it has.
+
+    ``weight`` is term count times ``ln((texts + 1) / (texts with the bucket + 1))``,
+    scaled to unit length. Rows of one key count as one text.
+    """
+    counts = _bucket_counts(texts, key, F.col(column), features)
+    frequencies = counts.groupBy("bucket").agg(F.count("*").alias("_df"))
+    return _unit_weights(counts, frequencies, texts.select(key).distinct().count(), key)
+
+
+def score_sparse(
+    texts: DataFrame,
+    concepts: DataFrame,
+    column: str = "prep",
+    key: str = "id",
+    features: int = 1 << 18,
+    digits: int = 6,
+) -> DataFrame:
+    """Cosine of each text with each concept of ``concepts(concept, keywords)``.
+
+    Texts and concepts are weighted by the frequencies of the texts. Only buckets that
+    some concept has are multiplied; a text without them scores 0.
+    """
+    counts = _bucket_counts(texts, key, F.col(column), features)
+    frequencies = counts.groupBy("bucket").agg(F.count("*").alias("_df"))
+    size = texts.select(key).distinct().count()
+    keywords = F.array_join("keywords", ", ")
+    ours = _unit_weights(
+        _bucket_counts(concepts, "concept", keywords, features), frequencies, size, "concept"
+    ).withColumnRenamed("weight", "_part")
+    products = (
+        salted_join(_unit_weights(counts, frequencies, size, key), ours, "bucket")
+        .groupBy(key, "concept")
+        .agg(F.sum(F.col("weight") * F.col("_part")).alias("_sum"))
+    )
+    names = F.array(*[F.lit(r[0]) for r in concepts.select("concept").orderBy("concept").collect()])
+    grid = texts.select(key).distinct().select(key, F.explode(names).alias("concept"))
+    return grid.join(products, [key, "concept"], "left").select(
+        key, "concept", (F.round(F.coalesce("_sum", F.lit(0.0)), digits) + 0.0).alias("similarity")
+    )

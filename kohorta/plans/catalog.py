@@ -322,13 +322,13 @@ def evaluate_classifier(spark, folder):
 
 def embed_tfidf(spark, folder):
     texts = I.decorated(spark, folder).select("id", F.col("text").alias("prep"))
-    return E.embed(texts, E.fit_tfidf(texts, features=256)).select("id", "vector")
+    return _rounded(E.tfidf_rows(texts), "weight")
 
 
 def score_texts(spark, folder):
     """Whole texts against the twenty concepts of the shipped study."""
     texts = I.decorated(spark, folder).select("id", F.col("text").alias("prep"))
-    return E.score_texts(texts, E.fit_tfidf(texts), settings.load_concepts(spark))
+    return E.score_sparse(texts, settings.load_concepts(spark))
 
 
 def predicate_scan(spark, folder):

@@ -8,7 +8,11 @@ Dates are compared as text; similarities, ratios and coefficients to six digits.
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from kohorta.functions.text import CONTRACTIONS
+from kohorta.sources import settings
 
 # --- building blocks -------------------------------------------------------------
 
@@ -265,10 +269,48 @@ enc AS (SELECT 'dense' AS encoder, vec.id, con.concept,
         FROM vec, con)"""
 
 
+def _weights(counts: str, name: str, key: str) -> str:
+    """Unit TF-IDF weights ``name(key, bucket, w)`` of the counts, by the texts' frequencies."""
+    return f"""
+{name}_raw AS (SELECT c.{key}, c.bucket, c.n * ln(((SELECT count(*) FROM documents) + 1)
+                 / (coalesce(f.d, 0) + 1.0)) AS w FROM {counts} c LEFT JOIN freq f USING (bucket)),
+{name} AS (SELECT {key}, bucket, CASE WHEN sum(w * w) OVER (PARTITION BY {key}) > 0
+             THEN w / sqrt(sum(w * w) OVER (PARTITION BY {key})) ELSE 0.0 END AS w FROM {name}_raw)"""
+
+
+def _buckets(source: str, key: str, text: str) -> str:
+    return rf"""(SELECT {key}, ('0x' || substr(md5(t), 1, 8))::BIGINT % 262144 AS bucket, count(*) AS n
+      FROM (SELECT {key}, unnest(string_split_regex(lower({text}), '[^\p{{L}}\p{{N}}]+')) AS t FROM {source})
+      WHERE t <> '' GROUP BY ALL)"""
+
+
+_TFIDF = f"""
+tc AS {_buckets('dec', 'id', 'text')},
+freq AS (SELECT bucket, count(*) AS d FROM tc GROUP BY bucket),
+{_weights('tc', 'tw', 'id')}"""
+
+
+def _settings() -> dict:
+    return json.loads(Path(settings.DIABETES).read_text(encoding="utf-8"))
+
+
+def _score_texts() -> str:
+    named = _settings()["concept_keywords"]
+    values = ", ".join(
+        "('{}', '{}')".format(k.replace("'", "''"), v.replace("'", "''")) for k, v in named.items()
+    )
+    return f"""WITH {_DECORATED}, {_TFIDF},
+    con AS (SELECT * FROM (VALUES {values}) AS v(concept, words)),
+    cc AS {_buckets('con', 'concept', 'words')},
+    {_weights('cc', 'cw', 'concept')},
+    prod AS (SELECT id, concept, sum(tw.w * cw.w) AS s FROM tw JOIN cw USING (bucket) GROUP BY ALL)
+    SELECT dec.id, con.concept, round(coalesce(s, 0.0), 6) + 0.0 AS similarity
+    FROM dec CROSS JOIN con LEFT JOIN prod ON prod.id = dec.id AND prod.concept = con.concept"""
+
+
 def oracle_sql() -> dict[str, str]:
-    track = ["diabetes", "insulin", "t1d", "t2d", "fingerprick", "dsma", "gbdoc", "diabetic"]
-    entry = ["t1d", "t2d", "insulin", "gbdoc", "dsma", "type 1", "type 2", "diabetic",
-             "diabete", "blood glucose", "fingerprick"]
+    words = _settings()
+    track, entry = words["track"], words["entry_keywords"]
     in_track = " OR ".join(f"contains(lower(text), '{w}')" for w in track)
     in_entry = " OR ".join(f"contains(text, '{w}')" for w in entry)
     clean_raw = _CLEAN.format(source="dec")
@@ -387,6 +429,8 @@ def oracle_sql() -> dict[str, str]:
         "select_authors": """SELECT DISTINCT user_id FROM events
             JOIN labels ON doc_id = event_id % (SELECT count(*) FROM documents)
             WHERE quality = 1 AND (user_id % 3 = 0 OR event_type = 'purchase')""",
+        "embed_tfidf": f"WITH {_DECORATED}, {_TFIDF} SELECT id, bucket, round(w, 6) + 0.0 AS weight FROM tw",
+        "score_texts": _score_texts(),
         "predicate_scan": """SELECT event_id, user_id, event_type, value FROM events
             WHERE event_type = 'purchase' AND value > 10""",
         "append_sink": "SELECT event_id, user_id, event_type, value FROM events",

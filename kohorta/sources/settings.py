@@ -7,6 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The values in this file are fixed: words, concepts and thresholds of the shipped study.
 DIABETES = str(Path(__file__).with_name("diabetes.json"))
 SCHEMA = (
     "track array<string>, entry_keywords array<string>, key_concept string, "
