@@ -16,30 +16,20 @@ from kohorta.functions import dates as D
 from kohorta.functions import text as T
 from kohorta.operators import posts as P
 from kohorta.operators.skew import salted_join, top_n
+from kohorta.session import cut_lineage
 
 
 def latest_per_user(posts: DataFrame, n: int = 3240) -> DataFrame:
     """The ``n`` newest distinct ids of each user, all columns; posts of no user drop out.
 
-    Users with at most ``n`` posts, nearly all of them, need no ranking. For the
-    others the n-th newest id is found on the (user, id) columns alone and joined
-    back as a lower limit. Full rows are shuffled only if those limits outgrow a
-    broadcast, and then once.
+    The n-th newest id is found on the (user, id) columns alone and joined back as a
+    lower limit; a user with fewer ids has none. The input is read twice, the second
+    time whole, and full rows are shuffled only if the limits outgrow a broadcast.
     """
     posts = posts.filter("id is not null and user_id is not null")
-    ids = posts.select("user_id", "id")
-    sizes = ids.groupBy("user_id").agg(F.count("*").alias("_n"))
-    long_users = sizes.filter(F.col("_n") > n).select("user_id")
-    limits = (
-        top_n(
-            salted_join(ids, long_users, "user_id", "left_semi").distinct(),
-            ["user_id"],
-            [F.col("id").desc()],
-            n,
-        )
-        .groupBy("user_id")
-        .agg(F.min("id").alias("_oldest"))
-    )
+    ids = posts.select("user_id", "id").distinct()
+    limits = top_n(ids, ["user_id"], [F.col("id").desc()], n).filter(F.col("rank") == n)
+    limits = limits.select("user_id", F.col("id").alias("_oldest"))
     return (
         salted_join(posts, limits, "user_id", "left")
         .filter(F.col("_oldest").isNull() | (F.col("id") >= F.col("_oldest")))
@@ -48,8 +38,12 @@ def latest_per_user(posts: DataFrame, n: int = 3240) -> DataFrame:
 
 
 def build_timelines(posts: DataFrame, users: DataFrame, n: int = 3240) -> DataFrame:
-    """Timelines of selected users: latest ``n`` posts each, reposts left out."""
-    return P.drop_reposts(latest_per_user(P.posts_of(posts, users), n))
+    """Timelines of selected users: latest ``n`` posts each, reposts left out.
+
+    The posts of the users are stored first, so all posts are read once.
+    """
+    own = cut_lineage(P.posts_of(posts, users), "author-posts")
+    return P.drop_reposts(latest_per_user(own, n))
 
 
 def clean_text(
