@@ -75,9 +75,9 @@ def unpack_block(chunk: bytes) -> np.ndarray:
 
 # How word tokenizers of this kind split a normalised text.
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Texts whose normalised pieces need no Unicode tables: ASCII without apostrophe, Latin-1 letters.
-PLAIN = bytes(c for c in range(256) if (c < 128 and c != 39) or (c >= 192 and c not in (215, 247)))
-PIECE_OF_PLAIN = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^ \t\n\r\x0b\x0ca-z0-9ß-öø-ÿ]+")
+#: Texts whose normalised pieces need no Unicode tables: ASCII and Latin-1 letters.
+PLAIN = bytes(c for c in range(256) if c < 128 or (c >= 192 and c not in (215, 247)))
+PIECE_OF_PLAIN = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^ \t\n\r\x0b\x0ca-z0-9ß-öø-ÿ]+")
 
 
 def splits_at_spaces(spec: dict) -> bool:

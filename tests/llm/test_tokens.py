@@ -46,6 +46,9 @@ def test_encoder_equals_library():
     texts = [t or "" for t in ODD]
     whole = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert encoder.encode(texts) == whole and encoder.encode(texts[::-1]) == whole[::-1]
+    rng = np.random.default_rng(4)
+    mixed = ["".join(rng.choice(list("abstrevmldSTE019 .,'!-\n\x1cÉßÿ"), 60)) for _ in range(500)]
+    assert encoder.encode(mixed) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in mixed]
 
 
 def test_other_tokenizer_takes_whole_texts():
