@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kohorta.operators.skew import salted_join
+from kohorta.session import cut_lineage
 
 # What is no visible text, and the tags that end a line.
 HIDDEN = (
@@ -103,7 +104,8 @@ def drop_site_lines(
     split = pages.select(
         page.alias("__page"), url_host(F.col(url)).alias("__host"), lines(F.col(text)).alias("__lines")
     )
-    drops = site_lines(split.select("__host", "__lines"), max_ratio, min_pages)
+    # Written first, so that Spark knows its size: pages are shuffled only beyond a broadcast.
+    drops = cut_lineage(site_lines(split.select("__host", "__lines"), max_ratio, min_pages), "line-dedup")
     kept = F.when(
         F.col("__drop").isNotNull(),
         F.filter("__lines", lambda line: ~F.array_contains("__drop", F.md5(line))),
