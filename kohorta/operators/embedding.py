@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer, VectorSlicer
@@ -12,10 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from kohorta.functions.vectors import cosine_with
-from kohorta.operators.scoring import MAX_CONCEPTS, spread_scores, unnest_scores
+from kohorta.operators.scoring import concept_slices, spread_scores, unnest_scores
 from kohorta.operators.skew import salted_join
 
 
+# Features of the concepts that are scored together, at most.
+MATRIX_FEATURES = 2048
+
+
 def fit_tfidf(texts: DataFrame, column: str = "prep", features: int = 1 << 18) -> PipelineModel:
     """Hashed TF-IDF encoder with unit length, fitted on a table of texts."""
     stages = [
@@ -75,21 +80,26 @@ def score_texts(
     unit vector of a text is sliced to those, a few hundred, before it leaves the
     JVM; its length was fixed before, so the cosine is unchanged.
     """
-    if concepts.count() > MAX_CONCEPTS:
-        raise ValueError(f"more than {MAX_CONCEPTS} concepts; score slices and union them")
     keyword_text = concepts.select("concept", F.array_join("keywords", ", ").alias(column))
-    encoded = encoder.transform(keyword_text).select("concept", "_unit").collect()
-    named = {r["concept"]: r["_unit"] for r in sorted(encoded, key=lambda r: r["concept"])}
-    used = sorted({int(i) for v in named.values() for i in v.indices}) or [0]
-    matrix = [[float(v[i]) for i in used] for v in named.values()]
-    sliced = VectorSlicer(inputCol="_unit", outputCol="_part", indices=used).transform(
-        encoder.transform(texts)
-    )
-    vectors = sliced.select(*texts.columns, vector_to_array("_part").alias("vector")).drop(column)
-    shape = spread_scores if wide else unnest_scores
-    return shape(
-        vectors, cosine_with(matrix, unit_rows=True)(F.col("vector")), named, "vector", digits
-    )
+    encoded = encoder.transform(keyword_text).select("concept", "_unit").toLocalIterator()
+    weights = {}
+    for r in encoded:
+        indices = [int(i) for i in r["_unit"].indices]
+        weights[r["concept"]] = dict(zip(indices, map(float, r["_unit"].values), strict=True))
+    # A part holds few enough concepts that its matrix, concepts by features, stays small.
+    parts = concept_slices(dict(sorted(weights.items())), MATRIX_FEATURES)
+    frame = encoder.transform(texts).select(*texts.columns, "_unit")
+    frames = []
+    for named in parts:
+        used = sorted({i for w in named.values() for i in w}) or [0]
+        matrix = [[w.get(i, 0.0) for i in used] for w in named.values()]
+        sliced = VectorSlicer(inputCol="_unit", outputCol="_part", indices=used).transform(frame)
+        similarities = cosine_with(matrix, unit_rows=True)(vector_to_array("_part"))
+        if wide:
+            frame = spread_scores(sliced, similarities, named, digits).drop("_part")
+        else:
+            frames.append(unnest_scores(sliced.drop("_unit", column), similarities, named, "_part", digits))
+    return frame.drop("_unit", column) if wide else reduce(DataFrame.unionByName, frames)
 
 
 def token_buckets(text: Column, features: int) -> Column:

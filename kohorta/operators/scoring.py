@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,26 +11,32 @@ from pyspark.sql import functions as F
 from kohorta.functions.vectors import cosine_with
 from kohorta.operators.skew import salted_join, top_n
 
-# Concepts travel inside the task closure. A dictionary above this size must be
-# scored in slices and the results united; nothing is cut off silently.
-MAX_CONCEPT_BYTES = 64 << 20
-MAX_CONCEPTS = 10_000
+# Concepts travel inside the task closure, in slices of at most so many values (64 MiB).
+SLICE_VALUES = 8 << 20
 
 
 def concept_vectors(concepts: DataFrame, vector: str = "vector") -> dict[str, list[float]]:
-    """The concept dictionary as name to vector, in name order, size checked first."""
-    size = concepts.agg(F.coalesce(F.sum(F.size(vector)), F.lit(0)).alias("values")).first()
-    if size["values"] * 8 > MAX_CONCEPT_BYTES:
-        raise ValueError(
-            f"concept vectors exceed {MAX_CONCEPT_BYTES} bytes; score slices and union them"
-        )
-    rows = concepts.select("concept", vector).collect()
-    vectors = {row["concept"]: list(row[vector]) for row in sorted(rows, key=lambda r: r["concept"])}
+    """The concept dictionary, a setting of the study, as name to vector in name order."""
+    rows = [(r["concept"], list(r[vector])) for r in concepts.select("concept", vector).toLocalIterator()]
+    vectors = dict(sorted(rows))
     if len(vectors) != len(rows):
         raise ValueError("concept names must be unique")
     return vectors
 
 
+def concept_slices(named: Mapping[str, Sequence[float]], values: int | None = None) -> list[dict]:
+    """The dictionary in order, cut into parts of at most ``values`` values, one concept at
+    least in each. Every part is scored on its own, so no task holds more."""
+    most, parts, size = values or SLICE_VALUES, [{}], 0
+    for name, vector in named.items():
+        if parts[-1] and size + len(vector) > most:
+            parts.append({})
+            size = 0
+        parts[-1][name] = vector
+        size += len(vector)
+    return parts
+
+
 def _vectors(concepts) -> dict[str, list[float]]:
     return dict(concepts) if isinstance(concepts, Mapping) else concept_vectors(concepts)
 
@@ -42,12 +49,14 @@ def score_wide(
     Scoring runs where the post lies, before any shuffle, so that only the
     resulting doubles travel.
     """
-    named = _vectors(concepts)
-    return spread_scores(posts, cosine_with(list(named.values()))(F.col(vector)), named, vector, digits)
+    for named in concept_slices(_vectors(concepts)):
+        similarities = cosine_with(list(named.values()))(F.col(vector))
+        posts = spread_scores(posts, similarities, named, digits)
+    return posts.drop(vector)
 
 
-def spread_scores(posts, similarities, names, vector: str, digits: int | None) -> DataFrame:
-    scored = posts.withColumn("_scores", similarities).drop(vector)
+def spread_scores(posts, similarities, names, digits: int | None) -> DataFrame:
+    scored = posts.withColumn("_scores", similarities)
 
     def one(position):
         value = F.col("_scores")[position]
@@ -63,8 +72,11 @@ def score_concepts(
 
     The similarities of a post come back as one array, which is then unnested.
     """
-    named = _vectors(concepts)
-    return unnest_scores(posts, cosine_with(list(named.values()))(F.col(vector)), named, vector, digits)
+    parts = [
+        unnest_scores(posts, cosine_with(list(named.values()))(F.col(vector)), named, vector, digits)
+        for named in concept_slices(_vectors(concepts))
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def unnest_scores(posts, similarities, names, vector: str, digits: int | None) -> DataFrame:

@@ -48,9 +48,15 @@ def test_posts_without_a_vector(spark, concepts):
 def test_concept_checks(spark, concepts, monkeypatch):
     with pytest.raises(ValueError, match="unique"):
         S.concept_vectors(concepts.union(concepts))
-    monkeypatch.setattr(S, "MAX_CONCEPT_BYTES", 8)
-    with pytest.raises(ValueError, match="slices"):
-        S.concept_vectors(concepts)
+
+
+def test_slices_give_the_same_scores(posts, concepts, monkeypatch):
+    key = lambda df: sorted(map(str, df.collect()))
+    long, wide = key(S.score_concepts(posts, concepts)), key(S.score_wide(posts, concepts))
+    monkeypatch.setattr(S, "SLICE_VALUES", 1)
+    assert len(S.concept_slices(S.concept_vectors(concepts))) == 2
+    assert key(S.score_concepts(posts, concepts)) == long
+    assert key(S.score_wide(posts, concepts)) == wide
 
 
 def test_thresholds_both_ways(spark, posts, concepts, monkeypatch):
