@@ -19,6 +19,7 @@ MENTION = r"@[\p{L}\p{N}_]+"
 POST_TOKEN = (
     r"https?://\S+|www\.\S+"  # link
     r"|[<>]?[:;=8][-o*']?[)\](\[dDpP/:}{@|\\]"  # emoticon
+    r"|[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]*[\p{L}\p{N}_]"  # e-mail address
     r"|@[\p{L}\p{N}_]+|#+[\p{L}\p{N}_]+"  # mention, hashtag
     r"|\p{L}[\p{L}'_-]+\p{L}"  # word with inner apostrophe or hyphen
     r"|[+-]?\p{N}+[,/.:-]\p{N}+[+-]?"  # fraction, decimal, time
@@ -26,6 +27,8 @@ POST_TOKEN = (
     r"|\.[\s.]*\."  # dots
     r"|\S"  # single sign
 )
+# Character references that post text carries, in the order of decoding.
+REFERENCES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 WORD_OR_GAP = r"\p{L}(?:[\p{L}'’]*\p{L})?|[^\p{L}]+"
 
 # Literal replacements on the joined tokens, applied in this order.
@@ -219,9 +222,16 @@ def expand_contractions(text: Column, table: dict[str, str] | None = None) -> Co
     return F.when(text.rlike("(?iu)" + signs), expanded).otherwise(text)
 
 
+def unescape(text: Column) -> Column:
+    """Character references of post text decoded."""
+    for reference, sign in REFERENCES:
+        text = F.replace(text, F.lit(reference), F.lit(sign))
+    return text
+
+
 def tokenize_post(text: Column) -> Column:
-    """Links, emoticons, mentions, hashtags, words, numbers, dots, single signs."""
-    return F.regexp_extract_all(text, F.lit(POST_TOKEN), F.lit(0))
+    """Links, emoticons, addresses, mentions, hashtags, words, numbers, dots, single signs."""
+    return F.regexp_extract_all(unescape(text), F.lit(POST_TOKEN), F.lit(0))
 
 
 def normalize_token(token: Column, names: Column | None = None) -> Column:
@@ -247,7 +257,7 @@ def normalize_post(text: Column, extra_emoji: dict[str, str] | None = None) -> C
     equals joining the token list; only texts with an emoji go through the list.
     """
     plain = F.replace(
-        F.replace(text, F.lit("’"), F.lit("'")), F.lit("…"), F.lit("...")
+        F.replace(unescape(text), F.lit("’"), F.lit("'")), F.lit("…"), F.lit("...")
     )
     joined = F.trim(
         F.regexp_replace(F.regexp_replace(plain, f"({POST_TOKEN})", "$1 "), r"\s+", " ")

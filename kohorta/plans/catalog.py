@@ -210,9 +210,15 @@ def expand_contractions(spark, folder):
     )
 
 
+def _referenced(spark, folder):
+    """Posts that end with character references and an address."""
+    tail = F.lit(" &lt;3 R&amp;D &quot;x&quot; I&#39;m at me.you@b-c.org.")
+    return I.decorated(spark, folder).withColumn("text", F.concat("text", tail))
+
+
 def tokenize_post(spark, folder):
     tokens = T.tokenize_post(F.col("text"))
-    return I.decorated(spark, folder).select(
+    return _referenced(spark, folder).select(
         "id", F.size(tokens).alias("n_tokens"), F.array_join(tokens, "|").alias("tokens")
     )
 
@@ -221,11 +227,11 @@ def normalize_token(spark, folder):
     """The tokens of each post, normalised one by one."""
     names = T._map_literal(T.emoji_names())
     tokens = F.transform(T.tokenize_post(F.col("text")), lambda t: T.normalize_token(t, names))
-    return I.decorated(spark, folder).select("id", F.array_join(tokens, " ").alias("tokens"))
+    return _referenced(spark, folder).select("id", F.array_join(tokens, " ").alias("tokens"))
 
 
 def normalize_post(spark, folder):
-    return I.decorated(spark, folder).select("id", T.normalize_post(F.col("text")).alias("text"))
+    return _referenced(spark, folder).select("id", T.normalize_post(F.col("text")).alias("text"))
 
 
 def keyword_track(spark, folder):

@@ -168,10 +168,16 @@ est AS (SELECT 'exposition' AS covariate, ba AS coef, sqrt(hqq / (haa * hqq - ha
 
 # The token pattern and the literal replacements of the text queries.
 _TOKEN = (
-    r"https?://\S+|www\.\S+|[<>]?[:;=8][-o*'']?[)\](\[dDpP/:}{@|\\]|@[\p{L}\p{N}_]+|#+[\p{L}\p{N}_]+"
+    r"https?://\S+|www\.\S+|[<>]?[:;=8][-o*'']?[)\](\[dDpP/:}{@|\\]"
+    r"|[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]*[\p{L}\p{N}_]|@[\p{L}\p{N}_]+|#+[\p{L}\p{N}_]+"
     r"|\p{L}[\p{L}''_-]+\p{L}|[+-]?\p{N}+[,/.:-]\p{N}+[+-]?|[\p{L}\p{N}_]+|\.(?:\s*\.)+|\S"
 )
 
+_REFERENCED = _DECORATED + """,
+ref AS (SELECT id, replace(replace(replace(replace(replace(
+          text || ' &lt;3 R&amp;D &quot;x&quot; I&#39;m at me.you@b-c.org.', '&lt;', '<'),
+          '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS text FROM dec)"""
+
 _NORMAL_TOKENS = f"""
 tok AS (SELECT id, array_to_string(list_transform(
           regexp_extract_all(replace(replace(text, '’', ''''), '…', '...'), '{_TOKEN}'),
@@ -180,7 +186,7 @@ tok AS (SELECT id, array_to_string(list_transform(
                            THEN 'HTTPURL'
                          WHEN t = '😀' THEN ':grinning_face:' WHEN t = '❤' THEN ':red_heart:'
                          WHEN t = '©' THEN ':copyright:' WHEN t = '®' THEN ':registered:'
-                         ELSE t END), ' ') AS s FROM dec)"""
+                         ELSE t END), ' ') AS s FROM ref)"""
 
 
 def _replaced(column: str) -> str:
@@ -392,10 +398,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT id, prep, CAST(n_tokens AS INTEGER) AS n_tokens FROM clean""",
         "expand_contractions": f"""WITH {_DECORATED}, mp AS (SELECT {_contraction_map()} AS m)
             SELECT id, {_expanded('text')} AS text FROM dec, mp""",
-        "tokenize_post": f"""WITH {_DECORATED},
-            t AS (SELECT id, regexp_extract_all(text, '{_TOKEN}') AS l FROM dec)
+        "tokenize_post": f"""WITH {_REFERENCED},
+            t AS (SELECT id, regexp_extract_all(text, '{_TOKEN}') AS l FROM ref)
             SELECT id, CAST(len(l) AS INTEGER) AS n_tokens, array_to_string(l, '|') AS tokens FROM t""",
-        "normalize_token": f"""WITH {_DECORATED} SELECT id, array_to_string(list_transform(
+        "normalize_token": f"""WITH {_REFERENCED} SELECT id, array_to_string(list_transform(
             regexp_extract_all(text, '{_TOKEN}'),
             lambda t: CASE WHEN t[1] = '@' THEN '@USER'
                            WHEN starts_with(lower(t), 'http') OR starts_with(lower(t), 'www')
@@ -403,8 +409,8 @@ def oracle_sql() -> dict[str, str]:
                            WHEN t = '😀' THEN ':grinning_face:' WHEN t = '❤' THEN ':red_heart:'
                            WHEN t = '©' THEN ':copyright:' WHEN t = '®' THEN ':registered:'
                            WHEN t = '’' THEN '\'\'' WHEN t = '…' THEN '...'
-                           ELSE t END), ' ') AS tokens FROM dec""",
-        "normalize_post": f"""WITH {_DECORATED}, {_NORMAL_TOKENS}
+                           ELSE t END), ' ') AS tokens FROM ref""",
+        "normalize_post": f"""WITH {_REFERENCED}, {_NORMAL_TOKENS}
             SELECT id, {_replaced('s')} AS text FROM tok""",
         "keyword_track": f"""WITH {_DECORATED} SELECT id, lang FROM dec
             WHERE contains(lower(text), '#t1d') OR contains(lower(text), 'sure they')""",
