@@ -33,7 +33,7 @@ from kohorta.operators import posts as P
 from kohorta.operators import scoring as S
 from kohorta.operators import survival as V
 from kohorta.operators import timeline as L
-from kohorta.session import tune
+from kohorta.session import scratch_scope, tune
 from kohorta.sources import settings as cfg
 from kohorta.sources import tables
 from kohorta.streaming import ingest as G
@@ -107,7 +107,8 @@ class Study:
     def collect_timelines(self, all_posts: DataFrame, n: int = 3240) -> DataFrame:
         """The latest posts of the authors, without reposts."""
         posts = P.with_full_text(all_posts)
-        return self.store(L.build_timelines(posts, self.table("authors"), n), "timelines")
+        with scratch_scope(self.spark):
+            return self.store(L.build_timelines(posts, self.table("authors"), n), "timelines")
 
     def prepare(self, translations: DataFrame | None = None, min_len: int = 7) -> DataFrame:
         posts = self.table("timelines")
@@ -192,4 +193,5 @@ class Study:
         return self.store(H.to_intervals(self.table("cohort_periods")), "cohort_intervals")
 
     def cox(self, **options) -> V.CoxFit:
-        return V.cox_fit(self.intervals(), **options)
+        with scratch_scope(self.spark):
+            return V.cox_fit(self.intervals(), **options)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -60,9 +61,33 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """New, unused path below the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Deletes at its end the scratch tables made inside.
+
+    For steps whose result is stored or on the driver by then; a lazy frame must not
+    leave the scope.
+    """
+    first = len(_scratch)
+    try:
+        yield
+    finally:
+        made, _scratch[first:] = _scratch[first:], []
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in made:
+            where = hadoop.Path(path)
+            where.getFileSystem(conf).delete(where, True)
 
 
 def cut_lineage(df, name: str = "cut"):

@@ -74,3 +74,16 @@ def test_study(study, spark):
     assert sorted(csv.collect()) == sorted(periods.select(*csv.columns).collect())
     intervals = study.intervals()
     assert intervals.filter("start > stop").count() == 0
+
+
+def test_scratch_tables_go_with_their_scope(spark):
+    from pathlib import Path
+
+    from kohorta.session import cut_lineage, scratch_scope
+
+    outer = cut_lineage(spark.range(3))
+    with scratch_scope(spark):
+        inner = cut_lineage(spark.range(5))
+        assert inner.count() == 5
+        path = Path(inner.inputFiles()[0].removeprefix("file:")).parent
+    assert not path.exists() and outer.count() == 3
