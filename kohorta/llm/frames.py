@@ -84,9 +84,13 @@ def smallest_digests(rows: DataFrame, key: Column, limit: int) -> DataFrame:
     return near.orderBy("__digest", *rows.columns).limit(limit).drop("__digest")
 
 
-def texts_of(docs: DataFrame, asked: DataFrame, row: str, doc_id: str, text: str) -> DataFrame:
+def texts_of(
+    docs: DataFrame, asked: DataFrame, row: str, doc_id: str, text: str, whole_rows: bool = False
+) -> DataFrame:
     """Rows of ``asked`` with the ``text`` of their document, each once.
 
+    With ``whole_rows`` the document comes as a struct ``row`` of all its columns instead.
+
     ``asked`` names a document by ``doc_id`` and ``text_hash`` and its own rows by ``row``,
     a number from 0 upwards. The comparison that always holds lets Spark build its
     runtime filter from this side, so texts nobody asks for are dropped before they are
@@ -100,7 +104,8 @@ def texts_of(docs: DataFrame, asked: DataFrame, row: str, doc_id: str, text: str
         return frame.select(*[p.alias(k) for p, k in zip(parts, keys, strict=True)], *rest)
 
     whole = F.col(f"`{text}`").cast("string")
-    source = keyed(docs, F.xxhash64(whole), F.col(f"`{doc_id}`").cast("long"), whole.alias("text"))
+    taken = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if whole_rows else whole.alias("text")
+    source = keyed(docs, F.xxhash64(whole), F.col(f"`{doc_id}`").cast("long"), taken)
     rest = [c for c in asked.columns if c not in ("doc_id", "text_hash")]
     wanted = keyed(asked.filter(f"{row} >= 0"), F.col("text_hash"), F.col("doc_id"), *rest)
     return source.join(wanted, keys).dropDuplicates([*keys, row]).drop(*keys)

@@ -331,18 +331,8 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str =
     """
     found = link_components(docs, size, percent, doc_id, text)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    chosen = (
-        found.filter("component IS NOT NULL").groupBy("component").agg(F.min(order).alias("m"))
-        .select(F.col("m.doc_id").alias("__id"), F.col("m.text_hash").alias("__hash"), F.col("component").alias("__one"))
-    )
-    chosen = cut_lineage(chosen, "jaccard-kept")
-    own = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),
-        F.col(doc_id).cast("long").alias("__own"),
-        F.col(text).cast("string").alias("__text"),
-        F.xxhash64(F.col(text).cast("string")).alias("__own_hash"),
-    )
-    wordless = ~F.coalesce("__text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    same = (own["__own_hash"] == chosen["__hash"]) & own["__own"].eqNullSafe(chosen["__id"])
-    kept = own.filter(~wordless).join(chosen, same).dropDuplicates(["__one"]).select("__row")
-    return kept.union(own.filter(wordless).select("__row")).select("__row.*")
+    chosen = found.filter("component IS NOT NULL").groupBy("component").agg(F.min(order).alias("m"))
+    chosen = cut_lineage(chosen.select("component", "m.doc_id", "m.text_hash"), "jaccard-kept")
+    kept = texts_of(docs, chosen, "component", doc_id, text, whole_rows=True).select("row.*")
+    whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    return kept.union(docs.filter(~whole.rlike(r"[^\x20\x09-\x0D]")))
