@@ -46,7 +46,7 @@ from kohorta.llm.frames import arrow_limits
 from kohorta.session import scratch_path
 
 BLOCK_IDS, END_ID, MAGIC = 1 << 16, 1, b"KBP1"
-BATCH_CHARS, CACHED_WORDS, LONGEST_CACHED = 1 << 22, 300_000, 64
+BATCH_CHARS, CACHED_WORDS, LONGEST_CACHED = 1 << 22, 500_000, 64
 WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 
 
@@ -156,9 +156,7 @@ class Encoder:
         lists = [PIECE_OF_PLAIN.findall(t.lower()) for t in texts]
         used = set(chain.from_iterable(lists))
         if len(self.cache) > CACHED_WORDS:
-            # Short pieces come again most often.
-            short = {p: ids for p, ids in self.cache.items() if len(p) <= 7}
-            self.cache = short if len(short) < CACHED_WORDS // 2 else {}
+            self.cache.clear()
         new = list(used - self.cache.keys())
         self.cache.update(zip(new, self._new_pieces(new), strict=True))
         get = self.cache.__getitem__
