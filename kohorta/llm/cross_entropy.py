@@ -5,16 +5,22 @@ background corpus, give each token a loss. The mean over the tokens of a text of
 (background loss - target loss) is its score: the higher, the more it reads like the
 target (Moore and Lewis, 2010).
 
-Tokens are lower-case (A-Z) words. The vocabulary is the ``2**VOCABULARY_BITS - 1``
-words most frequent in the background, every other word is one unknown token. Pairs of
-tokens are hashed to ``2**PAIR_BITS`` cells, so a model is two arrays of fixed size
-whatever the corpus. A token's probability interpolates its pair and its own frequency:
+Tokens are lower-case (A-Z) words, named by 64-bit hashes. A token's probability
+interpolates its pair and its own frequency:
 
     p(w | v) = (pair(v, w) + MASS * p(w)) / (context(v) + MASS)
     p(w) = (count(w) + 1) / (tokens + vocabulary)
 
-with ``context(v)`` the count of ``v`` as first of a pair; a text begins with a mark.
-Counts cover all texts of the table, whole; each task combines its own first.
+with ``context(v)`` the count of ``v`` as first of a pair and ``vocabulary`` the number of
+background words and one unknown; a text begins with a mark. Counts cover all texts of the
+table, whole; each task combines its own first.
+
+``exact_scores`` (the query) keeps every word and every pair in tables that grow with the
+corpus. Losses of pairs with at least one of ``2**HEAVY_BITS`` tokens are broadcast, as
+there are no more than ``2**HEAVY_BITS`` of them; all others are looked up by a join.
+``fit`` and ``score`` make models of fixed size instead, for texts outside the corpus:
+the ``2**VOCABULARY_BITS - 1`` most frequent words, every other word one unknown token,
+and pairs hashed to ``2**PAIR_BITS`` cells.
 
 Defined results:
 
@@ -32,6 +38,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,10 +47,13 @@ from pyspark.sql.types import StructType
 from kohorta.llm import cells
 from kohorta.llm.frames import arrow_limits, map_texts
 from kohorta.llm.wordbytes import Block, mix, text_blocks
+from kohorta.operators.skew import salted_join
 from kohorta.session import cut_lineage
 
 VOCABULARY_BITS, PAIR_BITS, MASS = 16, 21, 50.0
+HEAVY_BITS = 18
 UNKNOWN = 0
+START = np.uint64(0x5374617274)
 
 
 def _tokens(block: Block, vocabulary: np.ndarray) -> np.ndarray:
@@ -149,6 +159,14 @@ def count_texts(texts: DataFrame, vocabulary, column: str) -> Counts:
     return Counts(*(total[places[kind]] for kind in parts))
 
 
+def _chosen(docs: DataFrame, targets: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """Texts ``t`` of the rows of ``docs`` whose id is in ``targets(doc_id)``."""
+    ids = cut_lineage(targets.select(F.col("doc_id").alias("__target")).dropna().distinct(), "cross-entropy-targets")
+    return docs.select(F.col(doc_id).alias("__own"), F.col(text).alias("t")).join(
+        ids.filter("__target >= 0 OR __target < 0").hint("merge"), F.col("__own") == F.col("__target")
+    )
+
+
 def fit(docs: DataFrame, targets: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Models:
     """Models from all texts of ``docs`` and from those whose id is in ``targets(doc_id)``.
 
@@ -158,10 +176,7 @@ def fit(docs: DataFrame, targets: DataFrame, text: str = "text", doc_id: str = "
     """
     vocabulary = vocabulary_of(docs, text)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    ids = cut_lineage(targets.select(F.col("doc_id").alias("__target")).dropna().distinct(), "cross-entropy-targets")
-    chosen = docs.select(F.col(doc_id).alias("__own"), F.col(text).alias("t")).join(
-        ids.filter("__target >= 0 OR __target < 0").hint("merge"), F.col("__own") == F.col("__target")
-    )
+    chosen = _chosen(docs, targets, text, doc_id)
     return Models(vocabulary, count_texts(docs, shared, text), count_texts(chosen, shared, "t"))
 
 
@@ -178,8 +193,163 @@ def score(docs: DataFrame, models: Models, text: str = "text", carry=("doc_id",)
     return map_texts(docs, text, list(carry), fields, work)
 
 
+def _hashed_pairs(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of the word before, of the word, and of the pair at each token."""
+    words = block.word_hashes(lower=True)
+    before = np.empty_like(words)
+    before[1:] = words[:-1]
+    first = np.ones(len(words), bool)
+    first[1:] = block.doc[1:] != block.doc[:-1]
+    before[first] = START
+    return before, words, mix(mix(before) + words)
+
+
+def _joined(parts: list[np.ndarray], kind=np.uint64) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def pair_counts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``v, w, nb, nt``: count of every pair in the texts ``t`` of both tables; stored."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_hashed_pairs(Block(d, o)) for _, d, o in text_blocks(batch.column(0))]
+            before, words, pairs = (_joined([f[k] for f in found]) for k in range(3))
+            _, at, n = np.unique(pairs, return_index=True, return_counts=True)
+            if len(at):
+                columns = [pa.array(x.view(np.int64)) for x in (before[at], words[at])]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n)], names=["v", "w", "n"])
+
+    def counted(texts: DataFrame) -> DataFrame:
+        return texts.select(F.col("t").cast("string")).mapInArrow(count, "v long, w long, n long")
+
+    arrow_limits(docs.sparkSession)
+    none = F.lit(0).cast("long")
+    both = counted(docs).select("v", "w", F.col("n").alias("nb"), none.alias("nt")).unionAll(
+        counted(chosen).select("v", "w", none.alias("nb"), F.col("n").alias("nt"))
+    )
+    summed = both.groupBy("v", "w").agg(F.sum("nb").alias("nb"), F.sum("nt").alias("nt"))
+    return cut_lineage(summed, "cross-entropy-pairs")
+
+
+def pair_losses(pairs: DataFrame) -> DataFrame:
+    """``pair, nb, lt, lb``: both losses of every pair; stored.
+
+    Words are stored before the joins, so both sides have an exchange of their own and
+    a word with many pairs is split at run time.
+    """
+    start, none = int(START), F.lit(0).cast("long")
+    sides = F.array(
+        F.struct(F.col("w").alias("word"), F.col("nb").alias("ob"), F.col("nt").alias("ot"), none.alias("cb"), none.alias("ct")),
+        F.struct(F.col("v").alias("word"), none.alias("ob"), none.alias("ot"), F.col("nb").alias("cb"), F.col("nt").alias("ct")),
+    )
+    sums = [F.sum(c).alias(c) for c in ("ob", "ot", "cb", "ct")]
+    words = cut_lineage(pairs.select(F.inline(sides)).groupBy("word").agg(*sums), "cross-entropy-words")
+    vocabulary, all_b, all_t = words.agg(
+        F.count(F.when(F.col("word") != start, 1)), F.coalesce(F.sum("ob"), none), F.coalesce(F.sum("ot"), none)
+    ).first()
+    own = words.select(F.col("word").alias("w"), "ob", "ot").filter(F.col("ob") > 0)
+    context = words.select(F.col("word").alias("v"), "cb", "ct").filter(F.col("cb") > 0)
+
+    def loss(n: str, o: str, c: str, tokens: int):
+        p = (F.col(o) + 1) / F.lit(float(tokens + vocabulary + 1))
+        return -F.log((F.col(n) + MASS * p) / (F.col(c) + MASS))
+
+    lost = pairs.join(own, "w").join(context, "v").select(
+        _pair_hash("v", "w").alias("pair"), "nb",
+        loss("nt", "ot", "ct", all_t).alias("lt"), loss("nb", "ob", "cb", all_b).alias("lb"),
+    )
+    return cut_lineage(lost, "cross-entropy-losses")
+
+
+def _pair_hash(v: str, w: str):
+    @F.pandas_udf("long")
+    def of(a: pd.Series, b: pd.Series) -> pd.Series:
+        before, words = (x.to_numpy(np.int64).view(np.uint64) for x in (a, b))
+        return pd.Series(mix(mix(before) + words).view(np.int64))
+
+    return of(v, w)
+
+
+@dataclass
+class Heavy:
+    """Losses of the pairs that have a large share of all tokens."""
+
+    pairs: np.ndarray
+    target: np.ndarray
+    background: np.ndarray
+
+    def find(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each pair, and whether it is there."""
+        if not len(self.pairs):
+            return np.zeros(len(pairs), np.int64), np.zeros(len(pairs), bool)
+        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        return at, self.pairs[at] == pairs
+
+
+def heavy_pairs(losses: DataFrame) -> Heavy:
+    tokens = losses.agg(F.coalesce(F.sum("nb"), F.lit(0))).first()[0]
+    share = max(-(-tokens // (1 << HEAVY_BITS)), 1)
+    rows = losses.filter(F.col("nb") >= share).select("pair", "lt", "lb").toArrow()
+    pairs = rows["pair"].to_numpy().view(np.uint64)
+    order = np.argsort(pairs)
+    return Heavy(pairs[order], rows["lt"].to_numpy()[order], rows["lb"].to_numpy()[order])
+
+
+def exact_scores(docs: DataFrame, targets: DataFrame, text: str = "text", doc_id: str = "doc_id", carry=("doc_id",)) -> DataFrame:
+    """``score`` of all rows of ``docs`` by exact counts of ``docs`` and of its ``targets(doc_id)``.
+
+    A text is named by its digest: equal texts have equal losses, so what its copies add
+    up is divided by the tokens they looked up.
+    """
+    spark = docs.sparkSession
+    texts = docs.select(F.col(f"`{text}`").alias("t"))
+    losses = pair_losses(pair_counts(texts, _chosen(docs, targets, text, doc_id)))
+    heavy = spark.sparkContext.broadcast(heavy_pairs(losses))
+
+    def known(column: pa.Array) -> list[pa.Array]:
+        out = np.zeros((4, len(column)))
+        for first, data, offsets in text_blocks(column):
+            block = Block(data, offsets)
+            at, there = heavy.value.find(_hashed_pairs(block)[2])
+            span = slice(first, first + block.n)
+            at, doc = at[there], block.doc[there]
+            out[0, span] = block.count(block.doc)
+            out[1, span] = block.count(block.doc[~there])
+            out[2, span] = np.bincount(doc, heavy.value.target[at], minlength=block.n)
+            out[3, span] = np.bincount(doc, heavy.value.background[at], minlength=block.n)
+        return [pa.array(x.astype(np.int64)) for x in out[:2]] + [pa.array(x) for x in out[2:]]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0).to_numpy(zero_copy_only=False)
+            for first, data, offsets in text_blocks(batch.column(1)):
+                block = Block(data, offsets)
+                pairs = _hashed_pairs(block)[2]
+                light = ~heavy.value.find(pairs)[1]
+                if light.any():
+                    own = pa.array(names[first : first + block.n][block.doc[light]])
+                    yield pa.RecordBatch.from_arrays([own, pa.array(pairs[light].view(np.int64))], names=["digest", "pair"])
+
+    digest = F.xxhash64(F.col(f"`{text}`").cast("string"))
+    carried = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]
+    fields = StructType.fromDDL("n long, n_light long, ht double, hb double")
+    rows = docs.select(*carried, digest.alias("digest"), F.col(f"`{text}`").alias("t"))
+    rows = map_texts(rows, "t", [*[f"c{i}" for i in range(len(carry))], "digest"], fields, known)
+    asked = docs.select(digest.alias("digest"), F.col(f"`{text}`").cast("string").alias("t"))
+    found = asked.mapInArrow(ask, "digest long, pair long").join(losses.select("pair", "lt", "lb"), "pair")
+    light = found.groupBy("digest").agg(F.avg("lt").alias("t"), F.avg("lb").alias("b"))
+    none, of = F.lit(0.0), F.greatest("n", F.lit(1))
+    target = (F.col("ht") + F.coalesce("t", none) * F.col("n_light")) / of
+    background = (F.col("hb") + F.coalesce("b", none) * F.col("n_light")) / of
+    return salted_join(rows, light, "digest", "left").select(
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], F.col("n").alias("n_tokens"),
+        target.alias("target_loss"), background.alias("background_loss"), (background - target).alias("score"),
+    )
+
+
 def query(spark, folder):
     """Documents scored against those that are labelled good."""
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     good = spark.read.parquet(f"{folder}/labels.parquet").filter("quality = 1")
-    return score(docs, fit(docs, good))
+    return exact_scores(docs, good)

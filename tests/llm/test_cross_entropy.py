@@ -75,3 +75,26 @@ def test_good_texts_score_higher(spark, small):
     got = C.query(spark, small).join(spark.read.parquet(f"{small}/labels.parquet"), "doc_id")
     mean = {r.quality: r.s for r in got.groupBy("quality").agg({"score": "avg"}).toDF("quality", "s").collect()}
     assert mean[1] > mean[0]
+
+
+def test_query_counts_every_word_and_pair(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(C, "VOCABULARY_BITS", 2)
+    monkeypatch.setattr(C, "PAIR_BITS", 3)
+    rows = [*docs(), (400, "one two three four"), (401, "Four one two three"), (402, "one two three four")]
+    targets = {*range(20), 401}
+    frame = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, score double")
+    frame.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    ids = spark.createDataFrame([*[(i, 1) for i in targets], (None, 1), (400, 0)], "doc_id long, quality int")
+    ids.write.parquet(f"{tmp_path}/labels.parquet")
+    order = lambda r: (r[0] is None, r[0], r[1])
+    want = sorted(slow_scores(rows, targets, 1 << 16), key=order)
+    for bits in (0, 18):
+        monkeypatch.setattr(C, "HEAVY_BITS", bits, raising=False)
+        got = sorted(map(tuple, C.query(spark, tmp_path).collect()), key=order)
+        for a, b in zip(got, want, strict=True):
+            assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-5)
+
+
+def test_exact_scores_of_no_documents(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert C.exact_scores(none, none).count() == 0
