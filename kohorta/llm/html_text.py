@@ -19,7 +19,9 @@ here, on at most ``max_pages`` pages with the smallest digests, where blocks und
 not. Each block is learned twice, the second time with its tree hints hidden, so the
 text features carry pages that have no such elements.
 
-Scripts, styles, comments, titles, hidden elements and form controls hold no text.
+Scripts, styles, comments, titles, hidden elements and form controls hold no text. Raw
+elements end at their end tag; drawings, media, objects and lists of choices end with
+their own or an enclosing element, drawings and formulas also at ``/>``.
 
 Defined results:
 
@@ -48,7 +50,8 @@ from kohorta.llm.frames import map_texts, smallest_digests
 from kohorta.session import cut_lineage
 
 # Element names by what they mean for text.
-SKIPPED = "script|style|template|noscript|svg|math|iframe|object|canvas|title|select|textarea|video|audio"
+RAW = "script|style|title|textarea|iframe|noscript"
+UNSEEN = set("svg math object canvas select video audio template".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption "
@@ -71,11 +74,12 @@ HEADER_WORD = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?:{SKIPPED})(?=[\s/>])(?P<skip>)"
+    rf"<!--.*?(?:-->|\Z)|<(?:{RAW})(?=[\s/>])(?P<skip>)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>|<[!?/][^>]*>",
     re.I | re.S,
 )
+SELF_CLOSED = re.compile(r"[^<>]*/>")
 SPACE = re.compile(r"\s+")
 PUNCTUATION = re.compile(r"[.,;:!?]")
 FEATURES = 8
@@ -98,7 +102,7 @@ class PageBlock:
 class _Element:
     """Open element: its path of block-level ancestors and what they say."""
 
-    __slots__ = ("content", "hard", "in_link", "name", "other", "path", "tag")
+    __slots__ = ("content", "hard", "in_link", "name", "other", "path", "tag", "unseen")
 
     def __init__(self, name, up, number, attributes):
         block = name in BLOCKS
@@ -116,12 +120,13 @@ class _Element:
             other = other or (top and not up.content and not content)
         self.content = up.content or content
         self.other = up.other or (other and name not in ("body", "html"))
-        self.hard = up.hard or bool(attributes and HIDDEN.search(attributes))
+        self.unseen = up.unseen or name in UNSEEN
+        self.hard = up.hard or self.unseen or bool(attributes and HIDDEN.search(attributes))
 
 
 class _Root:
     name = tag = ""
-    path, in_link, content, other, hard = (0,), False, False, False, False
+    path, in_link, content, other, hard, unseen = (0,), False, False, False, False, False
 
 
 def page_blocks(page: str) -> list[PageBlock]:
@@ -134,7 +139,8 @@ def page_blocks(page: str) -> list[PageBlock]:
         if held:
             text = SPACE.sub(" ", "".join(held)).strip()
             if text:
-                blocks.append(PageBlock(text, min(link, len(text)), stack[-1]))
+                seen = next(e for e in reversed(stack) if not e.unseen)
+                blocks.append(PageBlock(text, min(link, len(text)), seen))
             held, link = [], 0
 
     def add(raw):
@@ -153,6 +159,10 @@ def page_blocks(page: str) -> list[PageBlock]:
         add(page[at : m.start()])
         at = m.end()
         if m["skip"] is not None:
+            closed = SELF_CLOSED.match(page, at) if stack[-1].unseen else None
+            if closed:
+                at = closed.end()
+                continue
             name = re.match(r"<(\w+)", page[m.start() : m.start() + 12]).group(1).lower()
             shut = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             held.append(" ")
@@ -165,27 +175,35 @@ def page_blocks(page: str) -> list[PageBlock]:
         if m["end"] or m["end2"]:
             place = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
             if name in BLOCKS:
-                close_block()
+                if not stack[-1].unseen or (place and not stack[place].unseen):
+                    close_block()
                 del stack[place or len(stack) :]
+            elif place and name in UNSEEN:
+                del stack[place:]
             elif place:
                 del stack[place]
             continue
         if name in VOID:
-            if name == "hr":
+            if name == "hr" and not stack[-1].unseen:
                 close_block()
             else:
                 held.append(" " if name in ("br", "img", "wbr") else "")
             continue
         if name in BLOCKS:
-            close_block()
+            if not stack[-1].unseen:
+                close_block()
             ends = ONE_OPEN.get(name, set()) | ({"p"} if name in CLOSES_P else set())
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name in ends:
+                    if not stack[i].unseen:
+                        close_block()
                     del stack[i:]
                     break
                 if stack[i].name in SCOPES:
                     break
             number += 1
+        elif name in UNSEEN:
+            held.append(" ")
         rest = m["rest"] if m["tag"] else m["rest2"]
         if not rest.endswith("/") or name in BLOCKS or name == "a":
             stack.append(_Element(name, stack[-1], number, rest))

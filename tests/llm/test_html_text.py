@@ -85,3 +85,19 @@ def test_frame_edges(spark):
 def test_training_uses_text_features(spark, small):
     weights = H.train(spark.read.parquet(f"{small}/pages.parquet"))
     assert weights.shape == (H.FEATURES,) and weights[2] < 0 < weights[5]
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<p>One <svg width=1 /> two.</p><p>Three.</p>", "One two.\nThree."),
+    ("<p>One <math/> two.</p><p>Three.</p>", "One two.\nThree."),
+    ("<p>One.</p><div><object data=x>no</div><p>Two.</p>", "One.\nTwo."),
+    ("<p>One <video src=x>no<p>Two.</p><p>Three.</p>", "One\nTwo.\nThree."),
+    ("<div><p>One.</p><audio><p>no</p></div><p>Two.</p>", "One.\nTwo."),
+    ("<p>One <svg><svg><text>no</text></svg><text>no</text></svg> two.</p>", "One two."),
+    ("<p>One <svg><title/><path/></svg> two.</p><p>Three.</p>", "One two.\nThree."),
+    ("<p>One <select><option>no<option>no</select> two.</p>", "One two."),
+    ("<p>One.</p><div><select><option>no</div><p>Two.</p>", "One.\nTwo."),
+    ("<p>One.</p><template><div>no</div></template><p>Two.</p>", "One.\nTwo."),
+])
+def test_unseen_elements_end(page, want):
+    assert H.main_text(f"<article>{page}</article>", W) == want
