@@ -6,7 +6,7 @@ terminals, content and boilerplate:
 
 * terminal capacities are the costs of a classifier, ``-log p`` and ``-log(1 - p)``. Its
   log-odds are those of a text classifier, at most ``TEXT_LIMIT`` either way, plus or
-  minus ``HINT`` for an enclosing element that says what it holds;
+  minus ``HINT`` for the nearest enclosing element that says what it holds;
 * smoothness edges join neighbouring blocks, weaker the farther apart they are in the
   tree, and consecutive blocks of one parent;
 * a minimum cut, found by max-flow, is the labelling of least total cost.
@@ -90,6 +90,12 @@ NEAR, SIBLING, TEXT_LIMIT, HINT, PENALTY = 0.6, 0.3, 3.0, 8.0, 10.0
 REPLIES = re.compile(r"(?:^|[\s_-])(?:comments?|respond|reply|replies)(?:$|[\s_-])", re.I)
 
 
+#: Layouts named by what they have beside the text, and kinds of pages.
+LAYOUTS = re.compile(r"(?:^|(?<=\s))(?:(?:has|no|with|without)[_-]\S+|\S+[_-](?:page|layout))(?=\s|$)", re.I)
+#: Lists of comments, which no article inside makes content.
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|respond|reply|replies|disqus|discussion)(?:$|[\s_-])", re.I)
+
+
 class PageBlock:
     __slots__ = ("content", "features", "hard", "link", "other", "parent", "path", "tag", "text")
 
@@ -100,9 +106,13 @@ class PageBlock:
 
 
 class _Element:
-    """Open element: its path of block-level ancestors and what they say."""
+    """Open element: its path of block-level ancestors and what they say.
+
+    The nearest hint wins, but elements that are never content and lists of comments
+    (``firm``) hold whatever is inside.
+    """
 
-    __slots__ = ("content", "hard", "in_link", "name", "other", "path", "tag", "unseen")
+    __slots__ = ("content", "firm", "hard", "in_link", "name", "other", "path", "tag", "unseen")
 
     def __init__(self, name, up, number, attributes):
         block = name in BLOCKS
@@ -112,21 +122,24 @@ class _Element:
         self.in_link = up.in_link or name == "a"
         words = " ".join(a or b or c for a, b, c in NAMES.findall(attributes)) if "=" in attributes else ""
         content = name in CONTENT_TAGS or bool(words and CONTENT_WORDS.search(words))
+        page = name in ("body", "html")
         if name in CONTENT_TAGS:
-            other = bool(words and REPLIES.search(words))
+            other = firm = bool(words and REPLIES.search(words))
         else:
-            other = name in OTHER_TAGS or bool(words and OTHER_WORDS.search(words))
+            firm = name in OTHER_TAGS or bool(words and not page and COMMENTS.search(LAYOUTS.sub(" ", words)))
+            other = firm or bool(words and OTHER_WORDS.search(LAYOUTS.sub(" ", words)))
             top = name == "header" or bool(words and HEADER_WORD.search(words))
             other = other or (top and not up.content and not content)
         self.content = up.content or content
-        self.other = up.other or (other and name not in ("body", "html"))
+        self.firm = up.firm or firm
+        self.other = self.firm or (other and not page) or (up.other and not content)
         self.unseen = up.unseen or name in UNSEEN
         self.hard = up.hard or self.unseen or bool(attributes and HIDDEN.search(attributes))
 
 
 class _Root:
     name = tag = ""
-    path, in_link, content, other, hard, unseen = (0,), False, False, False, False, False
+    path, in_link, content, firm, other, hard, unseen = (0,), False, False, False, False, False, False
 
 
 def page_blocks(page: str) -> list[PageBlock]:

@@ -101,3 +101,19 @@ def test_training_uses_text_features(spark, small):
 ])
 def test_unseen_elements_end(page, want):
     assert H.main_text(f"<article>{page}</article>", W) == want
+
+
+@pytest.mark.parametrize("names", ["layout has-sidebar", "no-sidebar", "search-page", "widget", "content-sidebar-wrap"])
+@pytest.mark.parametrize("inner", ["article", "main", "div class=entry-content"])
+def test_article_inside_a_flagged_wrapper(names, inner):
+    side = "<div class=sidebar><p>Popular posts of this week, and of the last one.</p></div>"
+    nav = "<nav><article><p>Not an article, but a long menu entry.</p></article></nav>"
+    said = "<div class=comments><article><p>Great article, thanks a lot for it.</p></article></div>"
+    page = f"<div class='{names}'>{nav}{side}<{inner}><p>The text, in whole.</p>{side}</{inner.split()[0]}>{said}</div>"
+    assert H.main_text(page, W) == "The text, in whole."
+
+
+@pytest.mark.parametrize("names", ["layout has-sidebar", "no-sidebar", "search-page"])
+def test_layout_names_say_nothing_about_the_text(names):
+    text = "A long paragraph, with commas, full stops. It goes on for some time, as text does, and then it ends."
+    assert H.main_text(f"<div class='{names}'><p>{text}</p></div>", W) == text
