@@ -9,6 +9,7 @@ from kohorta.llm import (
     jaccard,
     line_dedup,
     mixing,
+    periodic_runs,
     quality,
     suffix_dedup,
     tokens,
@@ -27,6 +28,7 @@ _QUERIES = {
     "op8_decontaminate": decontaminate.query,
     "op9_line_dedup": line_dedup.query,
     "op10_jaccard_join": jaccard.query,
+    "op13_periodic_runs": periodic_runs.query,
 }
 
 
