@@ -11,6 +11,7 @@ from kohorta.llm import (
     mixing,
     periodic_runs,
     quality,
+    substring_dedup,
     suffix_dedup,
     tokens,
     toxicity,
@@ -28,6 +29,7 @@ _QUERIES = {
     "op8_decontaminate": decontaminate.query,
     "op9_line_dedup": line_dedup.query,
     "op10_jaccard_join": jaccard.query,
+    "op11_substring_dedup": substring_dedup.query,
     "op13_periodic_runs": periodic_runs.query,
 }
 
@@ -45,4 +47,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_mix_sources": mixing.SQL,
         "op8_decontaminate": decontaminate.SQL,
         "op9_line_dedup": line_dedup.SQL,
+        "op11_substring_dedup": substring_dedup.SQL,
     }
