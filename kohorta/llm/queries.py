@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from kohorta.llm import (
+    collocations,
     cross_entropy,
     decontaminate,
     html_text,
@@ -30,6 +31,7 @@ _QUERIES = {
     "op9_line_dedup": line_dedup.query,
     "op10_jaccard_join": jaccard.query,
     "op11_substring_dedup": substring_dedup.query,
+    "op12_collocations": collocations.query,
     "op13_periodic_runs": periodic_runs.query,
 }
 
@@ -48,4 +50,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_decontaminate": decontaminate.SQL,
         "op9_line_dedup": line_dedup.SQL,
         "op11_substring_dedup": substring_dedup.SQL,
+        "op12_collocations": collocations.SQL,
     }
