@@ -15,6 +15,9 @@ longer one of the same count is dropped.
   then those of four and five, so that phrases that cannot be frequent are neither made nor
   shuffled. What is frequent reaches the tasks as a filter of fixed size (``bits``), which
   may let more pass, never less;
+* most pairs of words are rare. Their counts are first added up by ``CELL_BITS`` bits of
+  their hash, packed in blocks of neighbouring cells (three bytes a pair); a pair whose cell
+  stays below ``LEAST`` is rare for certain, and only the others travel as phrases;
 * scores are exact: products are decimals of 38 digits.
 
 Counts cover all texts, whole. Defined results:
@@ -48,6 +51,7 @@ from kohorta.session import cut_lineage
 
 LEAST, DEPTH, TOP = 100, 5, 2000
 SHARD_BYTES = 12 << 20
+CELL_BITS = 40
 #: What ends a piece.
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = np.arange(256, dtype=np.uint8)
@@ -167,12 +171,17 @@ def piece_sequence(pieces: Pieces, frequent: np.ndarray) -> tuple[np.ndarray, np
 SHARD = "words array<string>, langs array<string>, hashes binary, before binary, after binary"
 
 
+def packed(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
+
+
+def unpacked(raw: pa.Scalar, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw.as_py()), kind)
+
+
 def make_shards(texts: DataFrame, frequent) -> DataFrame:
     """One row for each shard: its words and the two transforms; stored."""
 
-    def packed(values: np.ndarray) -> bytes:
-        return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
-
     def shard(parts: list) -> Iterator[pa.RecordBatch]:
         sequence = np.concatenate([np.zeros(1, np.uint64), *[p[0] for p in parts], np.zeros(1, np.uint64)])
         hashes, text = np.unique(sequence, return_inverse=True)
@@ -229,11 +238,60 @@ def grown(index: TwoWayIndex, hashes: np.ndarray, filters: dict, longest: int) -
             p = p.only(frequent(p, 0, k))
 
 
-def phrase_counts(shards: DataFrame, filters: dict, shortest: int, longest: int) -> DataFrame:
-    """``lang, phrase, k, f`` of phrases of the given numbers of words with ``LEAST`` occurrences."""
+def likely_pairs(shards: DataFrame, least: int):
+    """Broadcast filter of the pairs of words whose cells hold ``least`` occurrences.
+
+    A row holds a shard's cells of one block, which ascend, as differences. Blocks grow in
+    number with the shards, so that a task that adds one up holds a bounded share.
+    """
+    blocks = max(256, shards.count() // 4)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                hashes = unpacked(batch.column(2)[row], np.uint64)
+                index = TwoWayIndex(*(unpacked(batch.column(c)[row], np.int32) for c in (3, 4)), len(hashes))
+                p = index.extend_right(index.single())
+                cell = (phrase_hash([hashes[w] for w in p.words]) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+                order = np.argsort(cell)
+                cell, size = cell[order], np.minimum(p.size[order], least).astype(np.uint32)
+                block = cell // -(-(1 << CELL_BITS) // blocks)
+                first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else block
+                for i, j in zip(first.tolist(), [*first[1:].tolist(), len(block)], strict=True):
+                    columns = [block[i : i + 1], [packed(np.diff(cell[i:j], prepend=0))], [packed(size[i:j])]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "cells", "sizes"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def full(parts):
+            cell = np.concatenate([np.cumsum(p[0]) for p in parts])
+            size = np.concatenate([p[1] for p in parts])
+            order = np.argsort(cell)
+            cell, size = cell[order], size[order].astype(np.int64)
+            first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            kept = cell[first][np.add.reduceat(size, first) >= least]
+            return pa.RecordBatch.from_arrays([pa.array(kept << (64 - CELL_BITS))], names=["cell"])
+
+        at, parts = None, []
+        for batch in batches:
+            for row, block in enumerate(batch.column(0).to_pylist()):
+                if block != at and parts:
+                    yield full(parts)
+                    parts = []
+                at = block
+                parts.append((unpacked(batch.column(1)[row], np.int64), unpacked(batch.column(2)[row], np.uint32)))
+        if parts:
+            yield full(parts)
+
+    sent = shards.mapInArrow(send, "block long, cells binary, sizes binary")
+    cells = sent.repartition("block").sortWithinPartitions("block").mapInArrow(add, "cell long")
+    return shards.sparkSession.sparkContext.broadcast(filter_of(cells, "cell"))
+
 
-    def unpacked(raw: pa.Scalar, kind) -> np.ndarray:
-        return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw.as_py()), kind)
+def phrase_counts(shards: DataFrame, filters: dict, shortest: int, longest: int, likely=None) -> DataFrame:
+    """``lang, phrase, k, f`` of phrases of ``shortest`` to ``longest`` words that may be frequent.
+
+    ``likely`` is a filter of the longest ones.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,6 +300,8 @@ def phrase_counts(shards: DataFrame, filters: dict, shortest: int, longest: int)
                 hashes = unpacked(batch.column(2)[row], np.uint64)
                 index = TwoWayIndex(*(unpacked(batch.column(c)[row], np.int32) for c in (3, 4)), len(hashes))
                 for p in grown(index, hashes, filters, longest):
+                    if likely and len(p.words) == longest:
+                        p = p.only(passes(likely.value, phrase_hash([hashes[w] for w in p.words])))
                     for at in range(0, len(p.size) if len(p.words) >= shortest else 0, 1 << 16):
                         some = [pa.array(w[at : at + (1 << 16)] - 1) for w in p.words]
                         phrase = pc.binary_join_element_wise(*[words.take(w) for w in some], " ")
@@ -262,7 +322,8 @@ def frequent_phrases(docs: DataFrame, lang: str, text: str, least: int) -> tuple
     filters = {1: frequent_filter(levels[0])}
     shards = make_shards(texts, filters[1])
     for shortest, longest in ((2, 2), (3, 3), (4, DEPTH)):
-        found = phrase_counts(shards, dict(filters), shortest, longest).filter(F.col("f") >= least)
+        likely = likely_pairs(shards, least) if longest == 2 else None
+        found = phrase_counts(shards, dict(filters), shortest, longest, likely).filter(F.col("f") >= least)
         levels.append(cut_lineage(found, "collocation-phrases"))
         if shortest == longest:
             filters[longest] = frequent_filter(levels[-1])
