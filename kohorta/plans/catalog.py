@@ -16,7 +16,7 @@ from kohorta.operators import survival as V
 from kohorta.operators import timeline as L
 from kohorta.plans import inputs as I
 from kohorta.session import cut_lineage, scratch_path, tune
-from kohorta.sources import settings, tables
+from kohorta.sources import paged, settings, tables
 from kohorta.streaming import ingest as G
 
 
@@ -166,6 +166,17 @@ def latest_per_user(spark, folder):
     return L.latest_per_user(posts, 20)
 
 
+def latest_per_user_paged(spark, folder):
+    """The same posts, fetched page by page from a store that answers like a service."""
+    posts = I.table(spark, folder, "events").select(
+        "user_id", F.col("event_id").alias("id"), "event_type", "value"
+    )
+    path = scratch_path(spark, "service")
+    paged.store_pages(posts, path, 16)
+    schema = "user_id bigint, id bigint, event_type string, value double"
+    return paged.read_timelines(spark, schema, 20, 8, path=path)
+
+
 def build_timelines(spark, folder):
     posts = I.text_posts(spark, folder)
     users = P.keep_existing(P.distinct_users(posts), _directory(spark, folder))
@@ -453,7 +464,7 @@ QUERIES = [
     cox_two_covariates, assign_periods, define_t0, truncate_at_outcome, min_timeline,
     timeline_span, timeline_positions, score_concepts, pivot_scores, compare_encoders,
     encoder_summary, top_k_per_concept, screen_thresholds, apply_thresholds, neighbour_cosine,
-    latest_per_user, build_timelines, keep_existing, append_new, dedup_posts, clean_text,
+    latest_per_user, latest_per_user_paged, build_timelines, keep_existing, append_new, dedup_posts, clean_text,
     expand_contractions, tokenize_post, normalize_token, normalize_post, keyword_track, study_track,
     apply_translations, filter_lang, label_counts, distinct_users, sample_head, day_normalise,
     split_examples, binary_metrics, softmax_class, select_authors, train_and_classify,

@@ -386,6 +386,8 @@ def oracle_sql() -> dict[str, str]:
         "latest_per_user": """SELECT user_id, event_id AS id, event_type, value FROM (
             SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events)
             WHERE r <= 20""",
+        "latest_per_user_paged": """SELECT user_id, event_id AS id, event_type, value FROM events
+            QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 20""",
         "build_timelines": f"""WITH {_POSTS} SELECT user_id, id, CAST(length(text) AS INTEGER) AS n FROM (
             SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY id DESC) AS r FROM posts
             WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 3000))
