@@ -17,6 +17,7 @@ from kohorta.operators import timeline as L
 from kohorta.plans import inputs as I
 from kohorta.session import cut_lineage, scratch_path, tune
 from kohorta.sources import paged, settings, tables
+from kohorta.streaming import first_copies, rejects
 from kohorta.streaming import ingest as G
 
 
@@ -312,11 +313,13 @@ def softmax_class(spark, folder):
 
 
 def select_authors(spark, folder):
-    """Labels stand for predictions, events for the posts they belong to."""
-    labels = I.table(spark, folder, "labels").select("doc_id", F.col("quality").alias("personal"))
+    """Labels stand for predictions, events for the posts they belong to.
+
+    An author stays out if none of their posts is in class 1.
+    """
+    labels = I.table(spark, folder, "labels").select("doc_id", F.col("toxic").alias("personal"))
     size = I.table(spark, folder, "documents").agg(F.count("*")).scalar()
-    posts = I.table(spark, folder, "events").filter("user_id % 3 = 0 OR event_type = 'purchase'")
-    posts = posts.select(
+    posts = I.table(spark, folder, "events").select(
         (F.col("event_id") % size).alias("doc_id"), F.struct(F.col("user_id").alias("id")).alias("user")
     )
     return C.select_authors(posts.join(labels, "doc_id"))
@@ -459,6 +462,29 @@ def stream_ingest_horizon(spark, folder):
     return _ingest(spark, folder, horizon="40 days")
 
 
+def stream_first_copies(spark, folder):
+    """Keyed state over two runs: the second brings all messages, so those of the first again."""
+    lines = spark.read.text(_message_files(spark, folder))
+    source, store, progress = (scratch_path(spark, n) for n in ("messages", "store", "progress"))
+    for part in (lines.filter("value LIKE '%view%'"), lines):
+        part.write.mode("append").text(source)
+        posts = G.read_posts_stream(spark, source, ["VIEW", "click", "purchase", "signup"])
+        first_copies.start_first_copies(posts, store, progress, block=1 << 14, once=True).awaitTermination()
+    return P.with_full_text(tables.read_collection(spark, store)).select(
+        "id", "user_id", "created_ts", "text"
+    )
+
+
+def rejected_messages(spark, folder):
+    """Lines that the ingest could not read, by reason."""
+    source = _message_files(spark, folder)
+    store, kept, progress = (scratch_path(spark, n) for n in ("store", "rejects", "progress"))
+    rejects.start_ingest_with_rejects(
+        spark, source, store, kept, progress, ["view"], max_files=2, available_now=True
+    ).awaitTermination()
+    return P.value_counts(rejects.read_rejected(spark, kept), "reason")
+
+
 QUERIES = [
     build_cohort, build_cohort_user_scope, cox_intervals, risk_table, cox_fit, cox_summary,
     cox_two_covariates, assign_periods, define_t0, truncate_at_outcome, min_timeline,
@@ -470,6 +496,7 @@ QUERIES = [
     split_examples, binary_metrics, softmax_class, select_authors, train_and_classify,
     evaluate_classifier, embed_tfidf, score_texts, predicate_scan, append_sink,
     csv_period_table, labelled_csv, timeline_to_intervals, stream_ingest, stream_ingest_horizon,
+    stream_first_copies, rejected_messages,
 ]
 
 

@@ -436,7 +436,7 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN p0 < 0.5 AND p1 >= 0.5 THEN 1 ELSE 0 END AS personal FROM p""",
         "select_authors": """SELECT DISTINCT user_id FROM events
             JOIN labels ON doc_id = event_id % (SELECT count(*) FROM documents)
-            WHERE quality = 1 AND (user_id % 3 = 0 OR event_type = 'purchase')""",
+            WHERE toxic = 1""",
         "embed_tfidf": f"WITH {_DECORATED}, {_TFIDF} SELECT id, bucket, round(w, 6) + 0.0 AS weight FROM tw",
         "score_texts": _score_texts(),
         "predicate_scan": """SELECT event_id, user_id, event_type, value FROM events
@@ -452,4 +452,8 @@ def oracle_sql() -> dict[str, str]:
             {_periods('entered', 25)}, {_INTERVALS} SELECT * FROM iv""",
         "stream_ingest": _STREAMED,
         "stream_ingest_horizon": _STREAMED,
+        "stream_first_copies": _STREAMED,
+        "rejected_messages": """SELECT reason, count(*) AS count
+            FROM events, (SELECT unnest(['malformed', 'no time']) AS reason)
+            WHERE event_type = 'error' GROUP BY reason""",
     }

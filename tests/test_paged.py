@@ -130,9 +130,11 @@ def test_a_restarted_stream_neither_repeats_nor_skips(spark, tmp_path):
 
 def test_a_stream_asks_only_for_new_posts(spark, tmp_path):
     path = stored(spark, sample(3, 9))
-    log = f"{tmp_path}/log"
-    run_stream(spark, path, f"{tmp_path}/out", f"{tmp_path}/p", after=600, client="test_paged:Logged", log=log)
-    assert {a[3] for a in calls(log)} == {600}
+    reader = S.TimelineStream({"path": path, "after": "600"}, spark.createDataFrame([], SCHEMA).schema)
+    start, end = reader.initialOffset(), reader.latestOffset()
+    assert (start, end) == ({"id": 600}, {"id": 1002}) and reader.partitions(end, end) == []
+    assert {(p.below, p.above) for p in reader.partitions(start, end)} == {(1002, 600)}
+    run_stream(spark, path, f"{tmp_path}/out", f"{tmp_path}/p", after=600)
     got = spark.read.schema(SCHEMA).parquet(f"{tmp_path}/out").collect()
     assert sorted(map(tuple, got)) == sorted(r for r in sample(3, 9) if r[1] > 600)
 
