@@ -50,7 +50,7 @@ from kohorta.operators.skew import top_n
 from kohorta.session import cut_lineage
 
 LEAST, DEPTH, TOP = 100, 5, 2000
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 8 << 20
 CELL_BITS = 40
 #: What ends a piece.
 BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -238,19 +238,29 @@ def grown(index: TwoWayIndex, hashes: np.ndarray, filters: dict, longest: int) -
             p = p.only(frequent(p, 0, k))
 
 
+def opened(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, TwoWayIndex]:
+    """Hashes of the words of a shard and its index."""
+    hashes = unpacked(batch.column(2)[row], np.uint64)
+    return hashes, TwoWayIndex(*(unpacked(batch.column(c)[row], np.int32) for c in (3, 4)), len(hashes))
+
+
+def blocks_of(shards: DataFrame) -> int:
+    """Blocks that what shards send is dealt out by; they grow in number with the shards, so
+    that a task that adds one up holds a bounded share."""
+    return max(256, shards.count() // 4)
+
+
 def likely_pairs(shards: DataFrame, least: int):
     """Broadcast filter of the pairs of words whose cells hold ``least`` occurrences.
 
-    A row holds a shard's cells of one block, which ascend, as differences. Blocks grow in
-    number with the shards, so that a task that adds one up holds a bounded share.
+    A row holds a shard's cells of one block, which ascend, as differences.
     """
-    blocks = max(256, shards.count() // 4)
+    blocks = blocks_of(shards)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                hashes = unpacked(batch.column(2)[row], np.uint64)
-                index = TwoWayIndex(*(unpacked(batch.column(c)[row], np.int32) for c in (3, 4)), len(hashes))
+                hashes, index = opened(batch, row)
                 p = index.extend_right(index.single())
                 cell = (phrase_hash([hashes[w] for w in p.words]) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
                 order = np.argsort(cell)
@@ -287,30 +297,67 @@ def likely_pairs(shards: DataFrame, least: int):
     return shards.sparkSession.sparkContext.broadcast(filter_of(cells, "cell"))
 
 
-def phrase_counts(shards: DataFrame, filters: dict, shortest: int, longest: int, likely=None) -> DataFrame:
-    """``lang, phrase, k, f`` of phrases of ``shortest`` to ``longest`` words that may be frequent.
+def phrase_counts(shards: DataFrame, filters: dict, shortest: int, longest: int, least: int, likely=None) -> DataFrame:
+    """``lang, phrase, k, f`` of phrases of ``shortest`` to ``longest`` words with ``least`` occurrences.
 
-    ``likely`` is a filter of the longest ones.
+    ``likely`` is a filter of the longest ones. A row that travels holds a shard's phrases of
+    one language and one block of hashes; a block is added up by one task.
     """
+    blocks = blocks_of(shards)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                words, langs = batch.column(0)[row].values, batch.column(1)[row].values
-                hashes = unpacked(batch.column(2)[row], np.uint64)
-                index = TwoWayIndex(*(unpacked(batch.column(c)[row], np.int32) for c in (3, 4)), len(hashes))
+                words, langs = batch.column(0)[row].values, batch.column(1)[row].values.dictionary_encode()
+                hashes, index = opened(batch, row)
+                lang_of = langs.indices.to_numpy()
                 for p in grown(index, hashes, filters, longest):
+                    if len(p.words) < shortest:
+                        continue
+                    key = phrase_hash([hashes[w] for w in p.words])
                     if likely and len(p.words) == longest:
-                        p = p.only(passes(likely.value, phrase_hash([hashes[w] for w in p.words])))
-                    for at in range(0, len(p.size) if len(p.words) >= shortest else 0, 1 << 16):
-                        some = [pa.array(w[at : at + (1 << 16)] - 1) for w in p.words]
-                        phrase = pc.binary_join_element_wise(*[words.take(w) for w in some], " ")
-                        size = pa.array(p.size[at : at + (1 << 16)])
-                        k = pa.array(np.full(len(size), len(p.words), np.int32))
-                        yield pa.RecordBatch.from_arrays([langs.take(some[0]), phrase, k, size], names=["lang", "phrase", "k", "n"])
+                        some = passes(likely.value, key)
+                        p, key = p.only(some), key[some]
+                    group = lang_of[p.words[0] - 1] * np.int64(blocks) + (key % np.uint64(blocks)).astype(np.int64)
+                    order = np.argsort(group, kind="stable")
+                    p, group = p.only(order), group[order]
+                    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else group
+                    for at in range(0, len(first), 64):
+                        edge = np.r_[first, len(group)][at : at + 65]
+                        some = [words.take(pa.array(w[edge[0] : edge[-1]] - 1)) for w in p.words]
+                        phrases = pc.binary_join_element_wise(*some, " ")
+                        lists = pc.binary_join(pa.ListArray.from_arrays(pa.array(edge - edge[0], pa.int32()), phrases), "\n")
+                        own = group[first[at : at + 64]]
+                        sizes = [packed(p.size[i:j]) for i, j in zip(edge[:-1], edge[1:], strict=True)]
+                        texts = [zstandard.ZstdCompressor(level=1).compress(x.as_py().encode()) for x in lists]
+                        columns = [pa.array(own % blocks), langs.dictionary.take(pa.array(own // blocks)), pa.array(texts), pa.array(sizes)]
+                        yield pa.RecordBatch.from_arrays(columns, names=["block", "lang", "phrases", "sizes"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def full(parts):
+            table = pa.concat_tables(parts).group_by(["lang", "phrase"]).aggregate([("n", "sum")])
+            table = table.filter(pc.greater_equal(table["n_sum"], least))
+            k = pc.add(pc.count_substring(table["phrase"], " "), 1).cast(pa.int32())
+            table = pa.table({"lang": table["lang"], "phrase": table["phrase"], "k": k, "f": table["n_sum"]})
+            yield from table.combine_chunks().to_batches()
+
+        at, parts = None, []
+        for batch in batches:
+            for row, block in enumerate(batch.column(0).to_pylist()):
+                if block != at and parts:
+                    yield from full(parts)
+                    parts = []
+                at = block
+                text = zstandard.ZstdDecompressor().decompress(batch.column(2)[row].as_py()).decode()
+                phrases = pc.split_pattern(pa.array([text]), "\n").values
+                lang = pa.array([batch.column(1)[row].as_py()]).take(pa.array(np.zeros(len(phrases), np.int32)))
+                parts.append(pa.table({"lang": lang, "phrase": phrases, "n": unpacked(batch.column(3)[row], np.int64)}))
+        if parts:
+            yield from full(parts)
 
-    counted = shards.mapInArrow(work, "lang string, phrase string, k int, n long")
-    return counted.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("f"))
+    sent = shards.mapInArrow(send, "block long, lang string, phrases binary, sizes binary")
+    met = sent.repartition("block").sortWithinPartitions("block")
+    return met.mapInArrow(add, "lang string, phrase string, k int, f long")
 
 
 def frequent_phrases(docs: DataFrame, lang: str, text: str, least: int) -> tuple[DataFrame, DataFrame]:
@@ -323,7 +370,7 @@ def frequent_phrases(docs: DataFrame, lang: str, text: str, least: int) -> tuple
     shards = make_shards(texts, filters[1])
     for shortest, longest in ((2, 2), (3, 3), (4, DEPTH)):
         likely = likely_pairs(shards, least) if longest == 2 else None
-        found = phrase_counts(shards, dict(filters), shortest, longest, likely).filter(F.col("f") >= least)
+        found = phrase_counts(shards, dict(filters), shortest, longest, least, likely)
         levels.append(cut_lineage(found, "collocation-phrases"))
         if shortest == longest:
             filters[longest] = frequent_filter(levels[-1])
