@@ -93,27 +93,36 @@ def load_classifier(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def binary_metrics(df: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:
-    """Accuracy, precision, recall and F1 of class 1 in one pass; 0 where undefined."""
+def binary_cells(label: str, predicted: str) -> list[Column]:
+    """Aggregates ``tp, fp, fn, tn`` of class 1."""
 
     def cell(actual, guess):
         return F.count(F.when((F.col(label) == actual) & (F.col(predicted) == guess), 1))
 
-    cells = df.agg(
+    return [
         cell(1, 1).alias("tp"), cell(0, 1).alias("fp"), cell(1, 0).alias("fn"), cell(0, 0).alias("tn")
-    )
+    ]
+
+
+def metrics_of() -> list[Column]:
+    """The four cells with accuracy, precision, recall and F1; 0 where undefined."""
 
     def ratio(top, bottom):
         return F.when(bottom > 0, top / bottom).otherwise(0.0)
 
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    return cells.select(
-        "tp", "fp", "fn", "tn",
+    return [
+        tp, fp, fn, tn,
         ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"),
         ratio(tp, tp + fp).alias("precision"),
         ratio(tp, tp + fn).alias("recall"),
         ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
-    )
+    ]
+
+
+def binary_metrics(df: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:
+    """Accuracy, precision, recall and F1 of class 1 in one pass; 0 where undefined."""
+    return df.agg(*binary_cells(label, predicted)).select(*metrics_of())
 
 
 def evaluate(model: PipelineModel, test: DataFrame, column: str = "text") -> DataFrame:

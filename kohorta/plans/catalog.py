@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kohorta.functions import text as T
-from kohorta.functions.vectors import cosine
+from kohorta.functions.vectors import cosine, softmax
 from kohorta.operators import classify as C
 from kohorta.operators import cohort as H
 from kohorta.operators import embedding as E
+from kohorta.operators import minibatch as M
 from kohorta.operators import posts as P
 from kohorta.operators import scoring as S
 from kohorta.operators import survival as V
@@ -300,14 +301,14 @@ def binary_metrics(spark, folder):
     return _rounded(metrics, "accuracy", "precision", "recall", "f1")
 
 
-def softmax_class(spark, folder):
-    """Sums of the two halves of a vector stand for a network's raw outputs."""
+def _half_sum(start):
+    """Sum of 32 values of a vector; two of them stand for a network's raw outputs."""
+    values = F.transform(F.slice("vector", start, 32), lambda x: x.cast("double"))
+    return F.aggregate(values, F.lit(0.0), lambda total, x: total + x)
 
-    def half(start):
-        values = F.transform(F.slice("vector", start, 32), lambda x: x.cast("double"))
-        return F.aggregate(values, F.lit(0.0), lambda total, x: total + x)
 
-    logits = F.array(half(1), half(33))
+def softmax_class(spark, folder):
+    logits = F.array(_half_sum(1), _half_sum(33))
     classes = C.classify_logits(I.vectors(spark, folder).select("id", logits.alias("logits")))
     return _rounded(classes.select("id", "p0", "p1", "personal"), "p0", "p1")
 
@@ -340,6 +341,66 @@ def evaluate_classifier(spark, folder):
     return C.evaluate(model, examples.filter("part = 'test'").drop("predicted"))
 
 
+def _trained(spark, folder):
+    """Epochs of mini-batch training, and all examples."""
+    examples = C.split_examples(I.labelled(spark, folder).drop("predicted"))
+    return M.train(examples.filter("part = 'train'")), examples
+
+
+def epoch_losses(spark, folder):
+    return _trained(spark, folder)[0].losses(spark)
+
+
+def validate_epochs(spark, folder):
+    """Metrics of each epoch on the validation part, and the one to keep."""
+    trained, examples = _trained(spark, folder)
+    predicted = M.predict(examples.filter("part = 'validation'"), trained)
+    return M.choose(M.candidate_metrics(predicted), patience=3)
+
+
+def choose_candidate(spark, folder):
+    """Nine cut-offs of a stored score, compared on the validation part."""
+    vectors = I.vectors(spark, folder)
+    size = vectors.agg(F.count("*")).scalar()
+    p1 = softmax(F.array(_half_sum(1), _half_sum(33)))[1]
+    scores = vectors.select(F.col("id").alias("vec_id"), p1.alias("p1"))
+    labels = I.table(spark, folder, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    part = C.split_examples(labels).filter("part = 'validation'").withColumn("vec_id", F.col("id") % size)
+    cuts = part.join(scores, "vec_id").withColumn("candidate", F.explode(F.sequence(F.lit(1), F.lit(9))))
+    predicted = cuts.withColumn("predicted", (F.col("p1") >= F.col("candidate") / 10).cast("int"))
+    chosen = M.choose(M.candidate_metrics(predicted))
+    return _rounded(chosen, "accuracy", "precision", "recall", "f1")
+
+
+#: Weights of the two layers of ``network_classes`` and their biases; whole numbers, so sums are exact.
+NETWORK = (
+    [[3.0, -2.0, 1.0], [-4.0, 5.0, 2.0]], [10.0, -20.0, 5.0],
+    [[1.0, -1.0], [2.0, 1.0], [-1.0, 3.0]], [7.0, -3.0],
+)
+
+
+def network_classes(spark, folder):
+    """A network of two layers over whole texts, loaded once in each worker."""
+    weights = spark.sparkContext.broadcast(NETWORK)
+
+    def make_predict():
+        import numpy as np
+
+        first, bias, second, shift = (np.array(w, np.float32) for w in weights.value)
+
+        def run(texts):
+            counts = [[t.count("e"), t.count(" ")] for t in texts.tolist()]
+            return np.maximum(np.array(counts, np.float32) @ first + bias, 0) @ second + shift
+
+        return run
+
+    texts = I.documents(spark, folder).select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    encoded = E.embed(texts, E.network_encoder(make_predict), "text", "out")
+    out = [F.col("out")[k].cast("double").alias(f"o{k}") for k in (0, 1)]
+    classes = C.classify_logits(encoded.select("id", *out, F.col("out").cast("array<double>").alias("logits")))
+    return classes.select("id", "o0", "o1", "personal")
+
+
 def embed_tfidf(spark, folder):
     texts = I.decorated(spark, folder).select("id", F.col("text").alias("prep"))
     return _rounded(E.tfidf_rows(texts), "weight")
@@ -494,7 +555,7 @@ QUERIES = [
     expand_contractions, tokenize_post, normalize_token, normalize_post, keyword_track, study_track,
     apply_translations, filter_lang, label_counts, distinct_users, sample_head, day_normalise,
     split_examples, binary_metrics, softmax_class, select_authors, train_and_classify,
-    evaluate_classifier, embed_tfidf, score_texts, predicate_scan, append_sink,
+    evaluate_classifier, epoch_losses, validate_epochs, choose_candidate, network_classes, embed_tfidf, score_texts, predicate_scan, append_sink,
     csv_period_table, labelled_csv, timeline_to_intervals, stream_ingest, stream_ingest_horizon,
     stream_first_copies, rejected_messages,
 ]

@@ -434,6 +434,31 @@ def oracle_sql() -> dict[str, str]:
             p AS (SELECT id, 1 / (1 + exp(b - a)) AS p0, 1 / (1 + exp(a - b)) AS p1 FROM h)
             SELECT id, round(p0, 6) AS p0, round(p1, 6) AS p1,
                    CASE WHEN p0 < 0.5 AND p1 >= 0.5 THEN 1 ELSE 0 END AS personal FROM p""",
+        "choose_candidate": f"""WITH h AS (SELECT vec_id,
+            list_reduce(CAST(embedding[1:32] AS DOUBLE[]), lambda x, y: x + y) AS a,
+            list_reduce(CAST(embedding[33:64] AS DOUBLE[]), lambda x, y: x + y) AS b FROM embeddings),
+            part AS (SELECT doc_id, quality AS label, {_PART} AS part FROM labels),
+            cut AS (SELECT CAST(unnest(generate_series(1, 9)) AS INTEGER) AS candidate),
+            cell AS (SELECT candidate, label, 1 / (1 + exp(a - b)) >= candidate / 10 AS hit FROM part
+                JOIN h ON vec_id = doc_id % (SELECT count(*) FROM embeddings), cut WHERE part = 'validation'),
+            c AS (SELECT candidate, count(*) FILTER (label = 1 AND hit) AS tp,
+                count(*) FILTER (label = 0 AND hit) AS fp, count(*) FILTER (label = 1 AND NOT hit) AS fn,
+                count(*) FILTER (label = 0 AND NOT hit) AS tn FROM cell GROUP BY candidate),
+            m AS (SELECT *, (tp + tn) / (tp + fp + fn + tn) AS accuracy,
+                CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision,
+                CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall,
+                CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM c)
+            SELECT candidate, tp, fp, fn, tn, round(accuracy, 6) + 0.0 AS accuracy,
+                round(precision, 6) + 0.0 AS precision, round(recall, 6) + 0.0 AS recall,
+                round(f1, 6) + 0.0 AS f1,
+                row_number() OVER (ORDER BY m.f1 DESC, m.accuracy DESC, candidate) = 1 AS chosen FROM m""",
+        "network_classes": """WITH x AS (SELECT doc_id AS id,
+            length(t) - length(replace(t, 'e', '')) AS e, length(t) - length(replace(t, ' ', '')) AS s
+            FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+            h AS (SELECT id, greatest(3 * e - 4 * s + 10, 0) AS a, greatest(5 * s - 2 * e - 20, 0) AS b,
+                greatest(e + 2 * s + 5, 0) AS c FROM x),
+            o AS (SELECT id, CAST(a + 2 * b - c + 7 AS DOUBLE) AS o0, CAST(b - a + 3 * c - 3 AS DOUBLE) AS o1 FROM h)
+            SELECT id, o0, o1, CASE WHEN o1 > o0 THEN 1 ELSE 0 END AS personal FROM o""",
         "select_authors": """SELECT DISTINCT user_id FROM events
             JOIN labels ON doc_id = event_id % (SELECT count(*) FROM documents)
             WHERE toxic = 1""",
