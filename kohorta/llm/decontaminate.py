@@ -18,8 +18,9 @@ copies of an item do not multiply pairs.
 Defined results:
 
 * null or empty text: no shingles; such an item is never found, such a document is clean;
-* null ``doc_id`` or ``item_id``: null ids name one document (item) each; equal ids
-  name one document, whose shingles are those of all its rows;
+* null ``doc_id`` and equal ids: each row is judged by its own text, and so is each item;
+  rows equal in id and text give one pair. A class is named by the smallest id that is not
+  null, and has none if all are null;
 * a shingle that repeats inside an item or a document counts once;
 * empty tables: no pairs; other columns play no part, and stay in ``clean_documents``.
 """
@@ -35,6 +36,8 @@ from kohorta.session import cut_lineage
 SHINGLE, PERCENT = 5, 80
 NO_WORD = r"[^\p{L}\p{N}]+"
 NO_ID = -(2**63)
+#: What names a row of documents or items: its id and a digest of its text.
+ROW, CLASS = ["__doc", "__digest"], ["__item", "__version"]
 
 
 def words_of(text: Column) -> Column:
@@ -62,24 +65,31 @@ def shingle_hashes(words: Column, lengths: list[int]) -> Column:
     return _bind(word_hashes, lambda h: F.concat(*[runs(n)(h) for n in lengths]))
 
 
+def _row_key(number: Column, text: Column, names: list[str]) -> list[Column]:
+    return [F.coalesce(number.cast("long"), F.lit(NO_ID)).alias(names[0]), F.xxhash64(text.cast("string")).alias(names[1])]
+
+
 def item_classes(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """``(__item, __size, __hashes)``: distinct shingle sets, each with its smallest id."""
+    """``(__item, __version, __name, __size, __hashes)``: distinct shingle sets with their smallest ids."""
     words = items.select(
-        F.coalesce(F.col(item_id).cast("long"), F.lit(NO_ID)).alias("__item"),
+        *_row_key(F.col(item_id), F.col(text), CLASS), F.col(item_id).cast("long").alias("__name"),
         words_of(F.col(text)).alias("__words"),
-    )
+    )
     length = F.least(F.size("__words"), F.lit(SHINGLE))
     sets = F.when(length == SHINGLE, shingle_hashes(F.col("__words"), [SHINGLE]))
     for n in range(1, SHINGLE):
         sets = sets.when(length == n, shingle_hashes(F.col("__words"), [n]))
     return (
         words.filter(F.size("__words") > 0)
-        .select("__item", length.alias("__length"), F.explode(sets).alias("__hash"))
-        .groupBy("__item")
-        .agg(F.sort_array(F.collect_set("__hash")).alias("__hashes"), F.max("__length").alias("__length"))
+        .select(*CLASS, "__name", length.alias("__length"), F.explode(sets).alias("__hash"))
+        .groupBy(*CLASS)
+        .agg(
+            F.sort_array(F.collect_set("__hash")).alias("__hashes"),
+            F.max("__length").alias("__length"), F.min("__name").alias("__name"),
+        )
         .groupBy("__hashes")
-        .agg(F.min("__item").alias("__item"), F.max("__length").alias("__length"))
-        .withColumn("__size", F.size("__hashes"))
+        .agg(F.min(F.struct(*CLASS)).alias("__key"), F.max("__length").alias("__length"), F.min("__name").alias("__name"))
+        .select("__key.*", "__name", "__hashes", "__length", F.size("__hashes").alias("__size"))
     )
 
 
@@ -90,14 +100,8 @@ def sketch_size(size: Column, percent: int) -> Column:
     return F.least(size.cast("long"), upper - needed + 1).cast("int")
 
 
-def contained_items(
-    docs: DataFrame,
-    items: DataFrame,
-    percent: int = PERCENT,
-    doc_id: str = "doc_id",
-    text: str = "text",
-) -> DataFrame:
-    """``doc_id, item_id, n_shared, n_item`` of all items contained in a document.
+def contained_rows(docs: DataFrame, items: DataFrame, percent: int, doc_id: str, text: str) -> DataFrame:
+    """Row keys of documents with the classes they contain.
 
     Sketches and candidates are written first. Spark broadcasts them if their size
     in bytes allows, else the joins are salted, since a shingle may be in a third
@@ -106,45 +110,52 @@ def contained_items(
     classes = cut_lineage(item_classes(items), "decontaminate-items")
     lengths = sorted(r[0] for r in classes.select("__length").distinct().collect()) or [SHINGLE]
     sketches = classes.select(
-        "__item", F.explode(F.slice("__hashes", F.lit(1), sketch_size(F.col("__size"), percent))).alias("__hash")
+        *CLASS, F.explode(F.slice("__hashes", F.lit(1), sketch_size(F.col("__size"), percent))).alias("__hash")
     )
     sketches = cut_lineage(sketches, "decontaminate-sketches")
-    texts = docs.select(
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("__doc"), F.col(text).alias("__text")
-    )
+    texts = docs.select(*_row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`"), ROW), F.col(f"`{text}`").alias("__text"))
     exploded = texts.select(
-        "__doc", F.explode(shingle_hashes(words_of(F.col("__text")), lengths)).alias("__hash")
+        *ROW, F.explode(shingle_hashes(words_of(F.col("__text")), lengths)).alias("__hash")
     )
-    candidates = salted_join(exploded, sketches, "__hash").select("__doc", "__item").distinct()
+    candidates = salted_join(exploded, sketches, "__hash").select(*ROW, *CLASS).distinct()
     candidates = cut_lineage(candidates, "decontaminate-candidates")
 
-    suspects = texts.join(candidates.select("__doc").distinct(), "__doc", "left_semi")
+    suspects = texts.join(candidates.select(*ROW).distinct(), ROW, "left_semi")
     shared = suspects.select(
-        "__doc", F.explode(shingle_hashes(words_of(F.col("__text")), lengths)).alias("__hash")
+        *ROW, F.explode(shingle_hashes(words_of(F.col("__text")), lengths)).alias("__hash")
     ).distinct()
-    all_hashes = classes.select("__item", "__size", F.explode("__hashes").alias("__hash"))
-    counts = (
+    all_hashes = classes.select(*CLASS, "__name", "__size", F.explode("__hashes").alias("__hash"))
+    return (
         salted_join(shared, all_hashes, "__hash")
-        .join(candidates, ["__doc", "__item"], "left_semi")
-        .groupBy("__doc", "__item")
-        .agg(F.count("*").alias("n_shared"), F.max("__size").cast("long").alias("n_item"))
+        .join(candidates, [*ROW, *CLASS], "left_semi")
+        .groupBy(*ROW, *CLASS)
+        .agg(
+            F.count("*").alias("n_shared"), F.max("__size").cast("long").alias("n_item"),
+            F.max("__name").alias("item_id"),
+        )
         .filter(F.col("n_shared") * 100 >= F.col("n_item") * percent)
     )
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return counts.select(
-        real("__doc").alias("doc_id"), real("__item").alias("item_id"), "n_shared", "n_item"
-    )
+
+
+def contained_items(
+    docs: DataFrame,
+    items: DataFrame,
+    percent: int = PERCENT,
+    doc_id: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """``doc_id, item_id, n_shared, n_item`` of all items contained in a document."""
+    real = F.when(F.col("__doc") != NO_ID, F.col("__doc")).alias("doc_id")
+    return contained_rows(docs, items, percent, doc_id, text).select(real, "item_id", "n_shared", "n_item")
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, percent: int = PERCENT,
                     doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose document contains no item."""
-    leaks = contained_items(docs, items, percent, doc_id, text).select(
-        F.coalesce("doc_id", F.lit(NO_ID)).alias("__leak")
-    )
-    key = F.coalesce(docs[doc_id].cast("long"), F.lit(NO_ID))
-    leaks = cut_lineage(leaks.distinct(), "decontaminate-leaks")
-    return docs.join(leaks, key == leaks["__leak"], "left_anti")
+    """Rows of ``docs`` whose own text contains no item."""
+    leaks = contained_rows(docs, items, percent, doc_id, text).select(*ROW).distinct()
+    leaks = cut_lineage(leaks, "decontaminate-leaks")
+    own = _row_key(docs[doc_id], docs[text], ["id", "digest"])
+    return docs.join(leaks, (own[0] == leaks["__doc"]) & (own[1] == leaks["__digest"]), "left_anti")
 
 
 def query(spark, folder):

@@ -48,13 +48,26 @@ def test_pairs_equal_brute_force(spark):
 
 def test_edges(spark):
     line = "one two three four five six seven"
-    docs = spark.createDataFrame([(None, line), (None, "x"), (5, line), (5, line)], "doc_id long, text string")
+    docs = spark.createDataFrame([(None, line), (None, "x"), (5, line), (5, line), (5, "clean")], "doc_id long, text string")
     items = spark.createDataFrame([(None, line), (9, line)], "item_id long, text string")
-    assert {tuple(r) for r in D.contained_items(docs, items).collect()} == {(None, None, 3, 3), (5, None, 3, 3)}
-    assert D.clean_documents(docs, items).count() == 0
+    assert {tuple(r) for r in D.contained_items(docs, items).collect()} == {(None, 9, 3, 3), (5, 9, 3, 3)}
+    assert {tuple(r) for r in D.clean_documents(docs, items).collect()} == {(None, "x"), (5, "clean")}
     assert D.contained_items(docs, items.limit(0)).count() == 0
     assert D.contained_items(docs.limit(0), items).count() == 0
-    assert D.clean_documents(docs, items.limit(0)).count() == 4
+    assert D.clean_documents(docs, items.limit(0)).count() == 5
+
+
+def test_rows_with_one_id_are_judged_alone(spark):
+    """Neither a clean row nor an item is lost to another row or item without id."""
+    line, other = "one two three four five six seven", "red green blue white black grey pink"
+    docs = spark.createDataFrame(
+        [(None, f"a {line} b"), (None, "clean"), (7, other), (7, "clean too"), (9, "x")], "doc_id long, text string"
+    )
+    for ids in ((None, None), (3, 3), (1, 2)):
+        items = spark.createDataFrame(list(zip(ids, (line, other), strict=True)), "item_id long, text string")
+        got = sorted(D.contained_items(docs, items).select("item_id", "n_shared").collect(), key=str)
+        assert [r.n_shared for r in got] == [3, 3] and {r.item_id for r in got} == set(ids)
+        assert {r.text for r in D.clean_documents(docs, items).collect()} == {"clean", "clean too", "x"}
 
 
 def test_sketch_cannot_miss(spark):
