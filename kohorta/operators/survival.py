@@ -112,7 +112,8 @@ def risk_table(
 
     A subject whose interval ends at t is at risk at t, one that starts at t is not.
     """
-    marks = time_marks(intervals, [exposure], outcome)
+    # Stored, as the span of times and the sums over them both read it.
+    marks = cut_lineage(time_marks(intervals, [exposure], outcome), "marks")
     exposed = F.col(exposure) == 1
     per_time = marks.groupBy("t").agg(
         F.sum("net").alias("_net"),
@@ -139,35 +140,79 @@ class CoxFit:
     dropped_events: int
     iterations: int
     names: tuple = field(
-        default=("covariate", "coef", "exp_coef", "se", "ci_low", "ci_high", "z", "p"), repr=False
-    )
+        default=(
+            "covariate", "coef", "exp_coef", "se", "ci_low", "ci_high", "exp_low", "exp_high",
+            "z", "p", "minus_log2_p",
+        ),
+        repr=False,
+    )
+    subjects: int | None = None
 
     def rows(self) -> list[tuple]:
         out = []
         for j, name in enumerate(self.covariates):
             coef, se = float(self.coef[j]), math.sqrt(self.covariance[j, j])
             z = coef / se
+            low, high, p = coef - Z_975 * se, coef + Z_975 * se, math.erfc(abs(z) / math.sqrt(2))
+            surprise = -math.log2(p) if p > 0 else math.inf
             out.append(
-                (name, coef, math.exp(coef), se, coef - Z_975 * se, coef + Z_975 * se, z,
-                 math.erfc(abs(z) / math.sqrt(2)))
-            )
+                (name, coef, math.exp(coef), se, low, high, math.exp(low), math.exp(high), z, p, surprise)
+            )
         return out
 
     def summary(self, spark: SparkSession) -> DataFrame:
-        """One row per covariate: coef, exp(coef), se, 95 % interval, z, p."""
+        """One row per covariate: coef, exp(coef), se, 95 % intervals of both, z, p, -log2(p)."""
         schema = "covariate string, " + ", ".join(f"{n} double" for n in self.names[1:])
         return spark.createDataFrame(self.rows(), schema)
 
+    @property
+    def likelihood_ratio(self) -> float:
+        return 2 * (self.log_likelihood - self.null_log_likelihood)
+
     def statistics(self, spark: SparkSession) -> DataFrame:
-        """Size of the fit and its likelihood-ratio statistic, one row."""
-        ratio = 2 * (self.log_likelihood - self.null_log_likelihood)
+        """Size of the fit, partial AIC and the likelihood-ratio test, one row.
+
+        ``subjects`` is null for intervals that name no user.
+        """
+        k, ratio = len(self.covariates), self.likelihood_ratio
+        row = (
+            self.subjects, self.intervals, self.events, self.dropped_events, self.log_likelihood,
+            2 * k - 2 * self.log_likelihood, ratio, k, chi_square_tail(ratio, k),
+        )
         return spark.createDataFrame(
-            [(self.intervals, self.events, self.dropped_events, self.log_likelihood, ratio)],
-            "intervals bigint, events bigint, dropped_events bigint, "
-            "log_likelihood double, likelihood_ratio double",
+            [row],
+            "subjects bigint, intervals bigint, events bigint, dropped_events bigint, "
+            "log_likelihood double, partial_aic double, likelihood_ratio double, "
+            "degrees_of_freedom int, likelihood_ratio_p double",
         )
 
 
+def chi_square_tail(x: float, freedom: int) -> float:
+    """Probability that a chi-square value is at least ``x``: the upper incomplete gamma
+    function, by its series below the mean and by its continued fraction above."""
+    a, x = freedom / 2, x / 2
+    if x <= 0:
+        return 1.0
+    scale = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        n = a
+        while term > total * 1e-16:
+            n += 1
+            term *= x / n
+            total += term
+        return 1 - total * scale
+    # Convergents p / q, scaled so that neither overflows.
+    p_old, q_old, p, q, n, value = 0.0, 1.0, 1.0, x + 1 - a, 0, 0.0
+    while True:
+        now = p / q
+        if abs(now - value) <= 1e-16 * abs(now):
+            return now * scale
+        value, n = now, n + 1
+        up, step = n * (a - n), x + 2 * n + 1 - a
+        p_old, q_old, p, q = p / q, 1.0, (step * p + up * p_old) / q, (step * q + up * q_old) / q
+
+
 def tie_rows(at_event: DataFrame) -> DataFrame:
     """One row per event: ``_tie`` counts the events of a time from 0.
 
@@ -295,9 +340,12 @@ def cox_fit(
         converged = np.abs(step).max() < tolerance
     if not converged:
         raise CoxError(f"no convergence in {max_iterations} steps; an effect may be unbounded")
+    subjects = None
+    if "user_id" in intervals.columns:
+        subjects = intervals.filter("start < stop").select("user_id").distinct().count()
     return CoxFit(
         covariates, beta, np.linalg.inv(information), level, null_level,
-        size["left"], size["d"], size["flat"], steps,
+        size["left"], size["d"], size["flat"], steps, subjects=subjects,
     )
 
 

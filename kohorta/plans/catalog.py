@@ -15,6 +15,7 @@ from kohorta.operators import posts as P
 from kohorta.operators import scoring as S
 from kohorta.operators import survival as V
 from kohorta.operators import timeline as L
+from kohorta.operators import translate
 from kohorta.plans import inputs as I
 from kohorta.session import cut_lineage, scratch_path, tune
 from kohorta.sources import paged, settings, tables
@@ -63,7 +64,9 @@ def risk_table(spark, folder):
 
 def cox_fit(spark, folder):
     fit = V.cox_fit(_intervals(spark, folder), ["exposition"])
-    return _rounded(fit.statistics(spark), "log_likelihood", "likelihood_ratio")
+    return _rounded(
+        fit.statistics(spark), "log_likelihood", "partial_aic", "likelihood_ratio", "likelihood_ratio_p"
+    )
 
 
 def cox_summary(spark, folder):
@@ -266,6 +269,18 @@ def apply_translations(spark, folder):
     return P.apply_translations(posts, translated)
 
 
+def translate_texts(spark, folder):
+    """Two runs by a stand-in for a service: the second finds the French answers stored."""
+    posts = I.table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "lang", "text")
+    path = scratch_path(spark, "answers")
+
+    def make_client():
+        return lambda text, lang: f"[{lang}] {text}"
+
+    translate.translate(posts.filter("lang = 'fr'"), make_client, path)
+    return translate.translate(posts, make_client, path)
+
+
 def filter_lang(spark, folder):
     return P.filter_lang(I.table(spark, folder, "documents")).select("doc_id", "lang", "n_chars")
 
@@ -553,7 +568,7 @@ QUERIES = [
     encoder_summary, top_k_per_concept, screen_thresholds, apply_thresholds, neighbour_cosine,
     latest_per_user, latest_per_user_paged, build_timelines, keep_existing, append_new, dedup_posts, clean_text,
     expand_contractions, tokenize_post, normalize_token, normalize_post, keyword_track, study_track,
-    apply_translations, filter_lang, label_counts, distinct_users, sample_head, day_normalise,
+    apply_translations, translate_texts, filter_lang, label_counts, distinct_users, sample_head, day_normalise,
     split_examples, binary_metrics, softmax_class, select_authors, train_and_classify,
     evaluate_classifier, epoch_losses, validate_epochs, choose_candidate, network_classes, embed_tfidf, score_texts, predicate_scan, append_sink,
     csv_period_table, labelled_csv, timeline_to_intervals, stream_ingest, stream_ingest_horizon,

@@ -119,16 +119,23 @@ inf AS (SELECT coef, 1 / sqrt(sum(q * (1 - q))) AS se FROM (
         GROUP BY coef)"""
 
 
+def _normal_tail(z: str) -> str:
+    """Both tails beyond ``z``, by Simpson's rule because the engine has no error function."""
+    return f"""(1 - 2 * (SELECT sum((CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+                             * exp(-0.5 * pow(abs({z}) * i / 2000, 2)))
+                      FROM range(2001) AS r(i)) * abs({z}) / 6000 / sqrt(2 * pi()))"""
+
+
 def _summary(source: str) -> str:
-    """Summary columns from ``source(covariate, coef, se)``; the normal tail by
-    Simpson's rule because the engine has no error function."""
+    """Summary columns from ``source(covariate, coef, se)``."""
     return f"""
 SELECT covariate, round(coef, 6) AS coef, round(exp(coef), 6) AS exp_coef, round(se, 6) AS se,
        round(coef - 1.959963984540054 * se, 6) AS ci_low,
        round(coef + 1.959963984540054 * se, 6) AS ci_high, round(coef / se, 6) AS z,
-       round(1 - 2 * (SELECT sum((CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
-                             * exp(-0.5 * pow(abs(coef / se) * i / 2000, 2)))
-                      FROM range(2001) AS r(i)) * abs(coef / se) / 6000 / sqrt(2 * pi()), 6) AS p
+       round(exp(coef - 1.959963984540054 * se), 6) AS exp_low,
+       round(exp(coef + 1.959963984540054 * se), 6) AS exp_high,
+       round({_normal_tail('coef / se')}, 6) AS p,
+       round(-log2({_normal_tail('coef / se')}), 6) AS minus_log2_p
 FROM {source}"""
 
 
@@ -335,11 +342,16 @@ def oracle_sql() -> dict[str, str]:
             ll AS (SELECT (SELECT sum(d1) FROM risk) * coef - sum(ln(n - n1 + n1 * exp(coef)
                             - f * (d - d1 + d1 * exp(coef)))) AS value FROM est, tie GROUP BY coef),
             ll0 AS (SELECT -sum(ln(n - f * d)) AS value FROM tie)
-            SELECT (SELECT count(*) FROM iv WHERE start < stop) AS intervals,
+            SELECT (SELECT count(DISTINCT user_id) FROM iv WHERE start < stop) AS subjects,
+                   (SELECT count(*) FROM iv WHERE start < stop) AS intervals,
                    (SELECT CAST(sum(d) AS BIGINT) FROM risk) AS events,
                    (SELECT count(*) FROM iv WHERE outcome = 1 AND start = stop) AS dropped_events,
                    round(ll.value, 6) AS log_likelihood,
-                   round(2 * (ll.value - ll0.value), 6) AS likelihood_ratio FROM ll, ll0""",
+                   round(2 - 2 * ll.value, 6) AS partial_aic,
+                   round(2 * (ll.value - ll0.value), 6) AS likelihood_ratio,
+                   1 AS degrees_of_freedom,
+                   round({_normal_tail('sqrt(2 * (ll.value - ll0.value))')}, 6) AS likelihood_ratio_p
+            FROM ll, ll0""",
         "cox_summary": f"WITH RECURSIVE {_COX} "
         + _summary("(SELECT 'exposition' AS covariate, coef, se FROM inf)"),
         "cox_two_covariates": f"WITH RECURSIVE {_COX2} " + _summary("est"),
@@ -419,6 +431,9 @@ def oracle_sql() -> dict[str, str]:
         "study_track": f"WITH {_DECORATED} SELECT id, ({in_entry}) AS entry FROM dec WHERE {in_track}",
         "apply_translations": """SELECT doc_id AS id, lang,
             CASE WHEN lang IN ('fr', 'de') THEN '[en] ' || text ELSE text END AS text FROM documents""",
+        "translate_texts": """SELECT doc_id AS id, lang,
+            CASE WHEN lang = 'en' THEN text ELSE '[' || coalesce(lang, 'None') || '] ' || text END AS text
+            FROM documents""",
         "filter_lang": "SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'en'",
         "label_counts": "SELECT quality, count(*) AS count FROM labels GROUP BY quality",
         "distinct_users": "SELECT DISTINCT user_id FROM events",

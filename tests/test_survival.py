@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -108,6 +110,30 @@ def test_no_ties(spark):
     assert summary.ci_low < summary.coef < summary.ci_high and 0 < summary.p < 1
 
 
+@pytest.mark.parametrize(
+    ("x", "freedom", "tail"),
+    [(3.841458820694124, 1, 0.05), (0.0, 3, 1.0), (0.5, 1, 0.4795001221869535), (2.0, 2, 0.36787944117144233),
+     (18.307038053275146, 10, 0.05), (100.0, 2, 1.9287498479639178e-22), (700.0, 1, 2.8e-154)],
+)
+def test_chi_square_tail(x, freedom, tail):
+    """Fixed points: table values and exp(-x / 2) for two degrees."""
+    if x == 700.0:
+        tail = math.erfc(math.sqrt(x / 2))
+    assert V.chi_square_tail(x, freedom) == pytest.approx(tail, rel=1e-9)
+
+
+def test_statistics_of_the_fit(spark):
+    rows = random_rows(7)
+    fit = V.cox_fit(frame(spark, rows))
+    got = fit.statistics(spark).first()
+    assert got.subjects == len({r[0] for r in rows if r[2] < r[3]}) and got.degrees_of_freedom == 1
+    assert got.partial_aic == pytest.approx(2 - 2 * fit.log_likelihood)
+    assert got.likelihood_ratio_p == pytest.approx(math.erfc(math.sqrt(got.likelihood_ratio / 2)))
+    row = fit.summary(spark).first()
+    assert row.exp_low == pytest.approx(math.exp(row.ci_low)) and row.exp_high == pytest.approx(math.exp(row.ci_high))
+    assert row.minus_log2_p == pytest.approx(-math.log2(row.p))
+
+
 def test_nudge_keeps_events_of_no_length(spark):
     rows = random_rows(5, span=3)
     flat = sum(r[4] for r in rows if r[2] == r[3])
