@@ -4,11 +4,14 @@ A page is read as a sequence of text blocks (runs of text between block-level ta
 each with its place in the element tree. Every block becomes a node between two
 terminals, content and boilerplate:
 
-* terminal capacities are the costs of a classifier, ``-log p`` and ``-log(1 - p)``. Its
-  log-odds are those of a text classifier, at most ``TEXT_LIMIT`` either way, plus or
-  minus ``HINT`` for the nearest enclosing element that says what it holds;
+* terminal capacities are the costs of a classifier of the block's text, ``-log p`` and
+  ``-log(1 - p)``, with log-odds of at most ``TEXT_LIMIT`` either way;
 * smoothness edges join neighbouring blocks, weaker the farther apart they are in the
   tree, and consecutive blocks of one parent;
+* an element that says what it holds is a node of its own, with edges of ``HOLD`` to the
+  blocks whose nearest such element it is. Its terminal is ``NAMED`` where a class, id or
+  role says so, and the blocks it holds can outvote that together; for elements such as
+  ``article`` or ``nav`` and for lists of comments it is a fixed seed;
 * a minimum cut, found by max-flow, is the labelling of least total cost.
 
 Nodes whose terminal costs outweigh all their edges are labelled beforehand and their
@@ -16,8 +19,11 @@ edges folded into the neighbours' terminals; that leaves the cut minimal and the
 small. The classifier is a logistic regression on text and tree features. It is trained
 here, on at most ``max_pages`` pages with the smallest digests, where blocks under
 ``article`` or ``main`` are content and blocks under navigation, forms and the like are
-not. Each block is learned twice, the second time with its tree hints hidden, so the
-text features carry pages that have no such elements.
+not; it sees the text alone, so it carries pages that have no such elements.
+
+A form that holds an ``article`` or ``main``, or more than half of the page, is a wrapper.
+``main`` ends what an unclosed ``nav`` or the like before it says, and such elements
+without any end tag are no seeds.
 
 Scripts, styles, comments, titles, hidden elements and form controls hold no text. Raw
 elements end at their end tag; drawings, media, objects and lists of choices end with
@@ -71,8 +77,8 @@ OTHER_WORDS = re.compile(
     re.I,
 )
 HEADER_WORD = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+UNDISPLAYED = re.compile(r"display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?:{RAW})(?=[\s/>])(?P<skip>)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>"
@@ -85,7 +91,10 @@ PUNCTUATION = re.compile(r"[.,;:!?]")
 FEATURES = 8
 #: Weights without any training page: long blocks of few links.
 PRIOR = np.array([-1.0, 1.5, -3.0, 1.0, 0.0, 0.5, 0.5, -0.5])
-NEAR, SIBLING, TEXT_LIMIT, HINT, PENALTY = 0.6, 0.3, 3.0, 8.0, 10.0
+NEAR, SIBLING, TEXT_LIMIT, PENALTY = 0.6, 0.3, 3.0, 10.0
+#: Edge to the element that holds a block: more than its text and all its neighbours. Terminals
+#: of elements: ten full votes of blocks for names, more than any page has for seeds.
+HOLD, NAMED, SEED = 5.0, 30.0, 1e9
 #: What an article may hold that is not its own text.
 REPLIES = re.compile(r"(?:^|[\s_-])(?:comments?|respond|reply|replies)(?:$|[\s_-])", re.I)
 
@@ -97,55 +106,96 @@ COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|respond|reply|replies|disqus|di
 
 
 class PageBlock:
-    __slots__ = ("content", "features", "hard", "link", "other", "parent", "path", "tag", "text")
+    __slots__ = ("element", "link", "region", "tag", "text")
 
     def __init__(self, text, link, element):
-        self.text, self.link = text, link
-        self.tag, self.path, self.parent = element.tag, element.path, element.path[-1]
-        self.content, self.other, self.hard = element.content, element.other, element.hard
+        self.text, self.link, self.tag = text, link, element.tag
+        self.element, self.region = element.block, element.region
+
+
+def attributes_of(raw: str) -> dict[str, str]:
+    found = {}
+    for name, a, b, c in ATTRIBUTE.findall(raw):
+        found.setdefault(name.lower(), a or b or c)
+    return found
 
 
 class _Element:
-    """Open element: its path of block-level ancestors and what they say.
+    """Open element: its place among block-level elements, and what holds its text.
 
-    The nearest hint wins, but elements that are never content and lists of comments
-    (``firm``) hold whatever is inside.
+    ``region`` is the nearest element that says what it holds (``vote``: above 0 for
+    content). Elements that are never content (``firm`` 1) and lists of comments (2) hold
+    whatever is inside; only ``main`` leaves the former.
     """
 
-    __slots__ = ("content", "firm", "hard", "in_link", "name", "other", "path", "tag", "unseen")
+    __slots__ = ("block", "content", "depth", "firm", "hard", "in_link", "name", "region", "tag", "unseen", "up", "vote")
 
-    def __init__(self, name, up, number, attributes):
-        block = name in BLOCKS
-        self.name = name
-        self.tag = name if block else up.tag
-        self.path = (*up.path, number) if block and len(up.path) < 200 else up.path
+    def __init__(self, name, up, attributes, loose):
+        given = attributes_of(attributes) if attributes else {}
+        self.name, self.up = name, up.block
+        self.block, self.tag, self.depth = up.block, up.tag, up.depth
+        if name in BLOCKS:
+            self.block, self.tag, self.depth = self, name, up.depth + 1
         self.in_link = up.in_link or name == "a"
-        words = " ".join(a or b or c for a, b, c in NAMES.findall(attributes)) if "=" in attributes else ""
+        self.unseen = up.unseen or name in UNSEEN
+        self.hard = up.hard or self.unseen or bool(
+            given
+            and (
+                "hidden" in given
+                or given.get("aria-hidden", "").strip().lower() == "true"
+                or UNDISPLAYED.search(given.get("style", ""))
+            )
+        )
+        words = " ".join(given[k] for k in ("class", "id", "role") if k in given)
         content = name in CONTENT_TAGS or bool(words and CONTENT_WORDS.search(words))
-        page = name in ("body", "html")
+        firm, other = 0, False
         if name in CONTENT_TAGS:
-            other = firm = bool(words and REPLIES.search(words))
-        else:
-            firm = name in OTHER_TAGS or bool(words and not page and COMMENTS.search(LAYOUTS.sub(" ", words)))
-            other = firm or bool(words and OTHER_WORDS.search(LAYOUTS.sub(" ", words)))
+            firm = 2 if words and REPLIES.search(words) else 0
+        elif name not in ("body", "html"):
+            beside = LAYOUTS.sub(" ", words)
+            other = bool(beside and OTHER_WORDS.search(beside)) or (name in OTHER_TAGS and (name != "form" or not loose))
             top = name == "header" or bool(words and HEADER_WORD.search(words))
             other = other or (top and not up.content and not content)
+            firm = 2 if beside and COMMENTS.search(beside) else 1 if name in OTHER_TAGS and not loose else 0
         self.content = up.content or content
-        self.firm = up.firm or firm
-        self.other = self.firm or (other and not page) or (up.other and not content)
-        self.unseen = up.unseen or name in UNSEEN
-        self.hard = up.hard or self.unseen or bool(attributes and HIDDEN.search(attributes))
+        self.firm, self.region, self.vote = up.firm, up.region, 0.0
+        if up.firm and not (up.firm == 1 and name == "main"):
+            return
+        if firm or other or content:
+            self.firm, self.region = firm, self
+            size = SEED if firm or name in CONTENT_TAGS or (name in OTHER_TAGS and not loose) else NAMED
+            self.vote = -size if firm or other else size
 
 
 class _Root:
     name = tag = ""
-    path, in_link, content, firm, other, hard, unseen = (0,), False, False, False, False, False, False
+    depth, firm, in_link, content, hard, unseen, region, up = 0, 0, False, False, False, False, None, None
+
+
+_Root.block = _Root
 
 
 def page_blocks(page: str) -> list[PageBlock]:
     """Text blocks in page order."""
     blocks: list[PageBlock] = []
-    stack, held, link, number, at = [_Root], [], 0, 0, 0
+    stack, held, link, at = [_Root], [], 0, 0
+    ahead: dict[str, int] = {}
+
+    def next_of(pattern):
+        """Where the pattern stands next, or the end of the page; asked in page order."""
+        if ahead.get(pattern, -1) < at:
+            found = re.compile(pattern, re.I).search(page, at)
+            ahead[pattern] = found.start() if found else len(page)
+        return ahead[pattern]
+
+    def is_loose(name):
+        """Whether an element holds what its name does not say."""
+        if name not in OTHER_TAGS:
+            return False
+        end = next_of(rf"</{name}[\s>]")
+        if name == "form":
+            return next_of(r"<(?:article|main)[\s>]") < end or 2 * (end - at) > len(page)
+        return end == len(page)
 
     def close_block():
         nonlocal held, link
@@ -214,12 +264,11 @@ def page_blocks(page: str) -> list[PageBlock]:
                     break
                 if stack[i].name in SCOPES:
                     break
-            number += 1
         elif name in UNSEEN:
             held.append(" ")
         rest = m["rest"] if m["tag"] else m["rest2"]
         if not rest.endswith("/") or name in BLOCKS or name == "a":
-            stack.append(_Element(name, stack[-1], number, rest))
+            stack.append(_Element(name, stack[-1], rest, is_loose(name)))
     close_block()
     return blocks
 
@@ -237,28 +286,67 @@ def block_features(blocks: list[PageBlock]) -> np.ndarray:
     return out
 
 
-def tree_distance(a: tuple, b: tuple) -> int:
+def tree_distance(a, b) -> int:
     """Steps between two block-level elements."""
-    common = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        common += 1
-    return len(a) + len(b) - 2 * common
+    steps = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.up
+        else:
+            b = b.up
+        steps += 1
+    return steps
 
 
 def smoothness_edges(blocks: list[PageBlock]) -> list[tuple[int, int, float]]:
     edges, last = [], {}
     for i, b in enumerate(blocks):
         if i:
-            edges.append((i - 1, i, NEAR / (1 + tree_distance(blocks[i - 1].path, b.path))))
-        before = last.get(b.path[:-1])
+            edges.append((i - 1, i, NEAR / (1 + tree_distance(blocks[i - 1].element, b.element))))
+        before = last.get(b.element.up)
         if before is not None and before != i - 1:
             edges.append((before, i, SIBLING))
-        last[b.path[:-1]] = i
+        last[b.element.up] = i
     return edges
 
 
+def _saturate(flow: dict[int, dict[int, float]], source: int, sink: int) -> dict[int, int]:
+    """Pushes a maximum flow, in phases of shortest paths; nodes still reached from ``source``."""
+    near = {u: list(rooms) for u, rooms in flow.items()}
+    while True:
+        level, queue = {source: 0}, deque([source])
+        while queue:
+            u = queue.popleft()
+            for v in near[u]:
+                if v not in level and flow[u].get(v, 0.0) > 1e-12:
+                    level[v] = level[u] + 1
+                    queue.append(v)
+        if sink not in level:
+            return level
+        tried, path = dict.fromkeys(level, 0), [source]
+        while path:
+            u = path[-1]
+            if u == sink:
+                steps = list(zip(path, path[1:], strict=False))
+                push = min(flow[x][y] for x, y in steps)
+                for x, y in steps:
+                    flow[x][y] -= push
+                    flow[y][x] = flow[y].get(x, 0.0) + push
+                full = next(i for i, (x, y) in enumerate(steps) if flow[x][y] <= 1e-12)
+                del path[full + 1 :]
+                continue
+            while tried[u] < len(near[u]):
+                v = near[u][tried[u]]
+                if flow[u].get(v, 0.0) > 1e-12 and level.get(v) == level[u] + 1:
+                    path.append(v)
+                    break
+                tried[u] += 1
+            else:
+                path.pop()
+                if path:
+                    tried[path[-1]] += 1
+
+
 def minimum_cut(keep: list[float], drop: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Labels of least cost: ``keep[i]`` for content, ``drop[i]`` for boilerplate, and an
     edge's weight where its ends differ. Ties go to boilerplate."""
@@ -290,42 +378,34 @@ def minimum_cut(keep: list[float], drop: list[float], edges: list[tuple[int, int
             else:
                 flow[i][sink] = -gain[i]
                 flow[sink][i] = 0.0
-        while True:
-            came, queue = {source: source}, deque([source])
-            while queue and sink not in came:
-                u = queue.popleft()
-                for v, room in flow[u].items():
-                    if room > 1e-12 and v not in came:
-                        came[v] = u
-                        queue.append(v)
-            if sink not in came:
-                break
-            path, v = [], sink
-            while v != source:
-                path.append((came[v], v))
-                v = came[v]
-            push = min(flow[u][v] for u, v in path)
-            for u, v in path:
-                flow[u][v] -= push
-                flow[v][u] = flow[v].get(u, 0.0) + push
+        reached = _saturate(flow, source, sink)
         for i in free:
-            label[i] = i in came
+            label[i] = i in reached
     return [bool(x) for x in label]
 
 
 def log_odds(blocks: list[PageBlock], weights: np.ndarray) -> np.ndarray:
-    """Log-odds of content: text classifier and hints."""
-    hints = np.array([-HINT if b.other else HINT if b.content else 0.0 for b in blocks])
-    return np.clip(block_features(blocks) @ weights, -TEXT_LIMIT, TEXT_LIMIT) + hints
+    """Log-odds of content by the text alone."""
+    return np.clip(block_features(blocks) @ weights, -TEXT_LIMIT, TEXT_LIMIT)
+
+
+def content_labels(blocks: list[PageBlock], weights: np.ndarray) -> list[bool]:
+    """Which blocks are content, by the minimum cut over blocks and the elements that hold them."""
+    z, edges = log_odds(blocks, weights), smoothness_edges(blocks)
+    regions = {b.region: None for b in blocks if b.region is not None}
+    places = {region: len(blocks) + i for i, region in enumerate(regions)}
+    edges += [(i, places[b.region], HOLD) for i, b in enumerate(blocks) if b.region is not None]
+    keep, drop = np.logaddexp(0, -z).tolist(), np.logaddexp(0, z).tolist()
+    keep += [max(-region.vote, 0.0) for region in regions]
+    drop += [max(region.vote, 0.0) for region in regions]
+    return minimum_cut(keep, drop, edges)[: len(blocks)]
 
 
 def main_text(page: str | None, weights: np.ndarray) -> str:
     blocks = page_blocks(page or "")
     if not blocks:
         return ""
-    z = log_odds(blocks, weights)
-    content = minimum_cut(np.logaddexp(0, -z).tolist(), np.logaddexp(0, z).tolist(), smoothness_edges(blocks))
-    return "\n".join(b.text for b, c in zip(blocks, content, strict=True) if c)
+    return "\n".join(b.text for b, c in zip(blocks, content_labels(blocks, weights), strict=True) if c)
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -351,8 +431,8 @@ def train(pages: DataFrame, max_pages: int = 2_000, page_id: str = "page_id", ht
     def features(column: pa.Array) -> list[pa.Array]:
         out = []
         for page in column:
-            blocks = [b for b in page_blocks(page.as_py() or "") if b.content or b.other]
-            labels = np.array([not b.other for b in blocks], float).reshape(-1, 1)
+            blocks = [b for b in page_blocks(page.as_py() or "") if b.region is not None]
+            labels = np.array([b.region.vote > 0 for b in blocks], float).reshape(-1, 1)
             out.append(np.hstack([block_features(blocks), labels]).ravel().tolist())
         return [pa.array(out, pa.list_(pa.float64()))]
 

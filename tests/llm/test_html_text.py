@@ -117,3 +117,53 @@ def test_article_inside_a_flagged_wrapper(names, inner):
 def test_layout_names_say_nothing_about_the_text(names):
     text = "A long paragraph, with commas, full stops. It goes on for some time, as text does, and then it ends."
     assert H.main_text(f"<div class='{names}'><p>{text}</p></div>", W) == text
+
+
+@pytest.mark.parametrize("page", [
+    '<article><div class="md:block hidden lg:flex"><p>The text.</p></div></article>',
+    '<main><div data-id="nav-12" data-class=sidebar><p>The text.</p></div></main>',
+    '<form id="aspnetForm"><div id="content"><article><p>The text.</p></article></div></form>',
+    "<nav><ul><li><a href=x>Home</a></ul><main><p>The text.</p></main>",
+    "<nav><a href=x>Home</a><article><p>The text.</p></article>",
+    '<article><p>The text.</p><p hidden>no</p><p aria-hidden="true">no</p><p style="color:red; display: none">no</p></article>',
+])
+def test_attributes_wrappers_and_open_elements(page):
+    assert H.main_text(page, W).split("\n")[-1] == "The text." and ">no<" not in H.main_text(page, W)
+
+
+def test_blocks_outvote_a_name_but_not_a_seed():
+    text = "A long paragraph, with commas, full stops. It goes on for some time, as text does, and then it ends."
+    many = f"<p>{text}</p>" * 60
+    assert H.main_text(f"<div class=sidebar>{many}</div>", W).count("\n") == 59
+    assert H.main_text(f"<div class=sidebar><p>{text}</p></div>", W) == ""
+    assert H.main_text(f"<aside>{many}</aside><div class=comments>{many}</div>", W) == ""
+
+
+def test_the_cut_decides_against_the_text_of_a_block():
+    page = "<main><ul><li><a href=x>One</a></li></ul><p>The text, in whole, as it is, of some length.</p></main>"
+    blocks = H.page_blocks(page)
+    assert H.log_odds(blocks, W)[0] < 0 and H.content_labels(blocks, W) == [True, True]
+
+
+def hidden_names(page):
+    page = re.sub(r"<(/?)(article|main|nav|aside|form|footer|header|menu|section)\b", r"<\1div", page)
+    return re.sub(r"\s(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", page)
+
+
+def test_pages_without_any_name(spark, small):
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    weights = H.train(pages)
+    right = wrong = missed = 0
+    for r in pages.collect():
+        named, bare = H.page_blocks(r.html), H.page_blocks(hidden_names(r.html))
+        assert [b.text for b in named] == [b.text for b in bare] and all(b.region is None for b in bare)
+        for b, got in zip(named, H.content_labels(bare, weights), strict=True):
+            right += got and b.region.vote > 0
+            wrong += got and b.region.vote < 0
+            missed += not got and b.region.vote > 0
+    assert right / (right + wrong) > 0.95 and right / (right + missed) > 0.95
+
+
+def test_many_blocks_without_names():
+    page = "".join(f"<p>{'word, some text here. ' * (1 + i % 9)}</p>" for i in range(20_000))
+    assert H.main_text(page, W).count("\n") == 19_999
