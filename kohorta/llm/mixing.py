@@ -6,7 +6,8 @@ A source with ``n`` documents that shall fill the share ``w / sum(w)`` of
 a Poisson distribution with that mean: a uniform number, taken from a digest of
 the seed and the document, is inverted through the distribution function. The
 document is exploded by that number and the copies are shuffled globally, in the
-order of a second digest. No state, no order of rows and no generator is
+order of a second digest. Documents with more than ``BLOCK`` copies are first dealt out
+over the tasks in blocks of copies, so no task unrolls a whole small source. No state, no order of rows and no generator is
 involved, so a lost task repeats its draws exactly.
 
 Defined results:
@@ -29,6 +30,7 @@ from kohorta.operators.skew import salted_join
 from kohorta.session import cut_lineage
 
 MADE = ("copy", "order_key")
+BLOCK = 1024
 
 
 def uniform(digest: Column) -> Column:
@@ -58,26 +60,52 @@ def repetition_rates(keyed: DataFrame, weights: dict | None, total: float | None
 
 
 def distribution(rates: DataFrame) -> DataFrame:
-    """``(__source, __cdf)``: distribution function of each source from 0 upwards.
+    """``(__source, __low, __cdf)``: distribution function of each source from ``__low`` upwards.
 
-    Terms are summed as logarithms, so a high rate does not underflow. The table
-    ends where the rest is below 1e-30; its length follows the rate alone.
+    The table covers 12 standard deviations and 30 around the rate, beyond which less than
+    1e-30 lies on either side, so its length grows with the root of the rate. Terms are
+    summed as logarithms, so a high rate does not underflow; the first is Stirling's series.
     """
-    top = F.ceil(F.col("__rate") + 12 * F.sqrt("__rate") + 30).cast("int")
+    rate, low, k = F.col("__rate"), F.col("__low"), F.col("__k")
+    reach = 12 * F.sqrt(rate) + 30
     up = Window.partitionBy("__source").orderBy("__k")
-    step = F.when(F.col("__k") == 0, -F.col("__rate")).otherwise(
-        F.ln("__rate") - F.ln(F.greatest("__k", F.lit(1)).cast("double"))
+    at = low.cast("double")
+    first = F.when(low == 0, -rate).otherwise(
+        at * F.ln(rate / at) + (at - rate) - 0.5 * F.ln(2 * F.pi() * at) - 1 / (12 * at) + 1 / (360 * at * at * at)
     )
+    step = F.when(k == low, first).otherwise(F.ln(rate) - F.ln(F.greatest(k, F.lit(1)).cast("double")))
     return (
-        rates.withColumn("__k", F.explode(F.sequence(F.lit(0), top)))
+        rates.withColumn("__low", F.greatest(F.floor(rate - reach).cast("bigint"), F.lit(0).cast("bigint")))
+        .withColumn("__k", F.explode(F.sequence(low, F.ceil(rate + reach).cast("bigint"))))
         .withColumn("__p", F.exp(F.sum(step).over(up)))
         .withColumn("__c", F.sum("__p").over(up))
-        .groupBy("__source")
+        .groupBy("__source", "__low")
         .agg(F.sort_array(F.collect_list(F.struct("__k", "__c"))).alias("__cdf"))
-        .select("__source", F.col("__cdf.__c").alias("__cdf"))
+        .select("__source", "__low", F.col("__cdf.__c").alias("__cdf"))
     )
 
 
+def unroll(counted: DataFrame) -> DataFrame:
+    """Rows of ``counted`` as often as ``__copies`` (bigint) says, with ``copy`` from 1.
+
+    Blocks go to a given number of partitions, as their size before they are unrolled
+    says nothing of their size after it.
+    """
+    one, block = F.lit(1).cast("bigint"), F.lit(BLOCK).cast("bigint")
+    rest = [c for c in counted.columns if c != "__copies"]
+    few = counted.filter((F.col("__copies") > 0) & (F.col("__copies") <= BLOCK)).select(
+        *rest, F.explode(F.sequence(one, F.col("__copies"))).alias("copy")
+    )
+    tasks = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = (
+        counted.filter(F.col("__copies") > BLOCK)
+        .withColumn("__from", F.explode(F.sequence(one, F.col("__copies"), block)))
+        .repartition(tasks, "__id", "__from")
+        .select(*rest, F.explode(F.sequence("__from", F.least("__copies", F.col("__from") + BLOCK - 1))).alias("copy"))
+    )
+    return few.unionAll(many)
+
+
 def mix_sources(
     docs: DataFrame,
     weights: dict | None = None,
@@ -112,12 +140,13 @@ def mix_sources(
     rates = repetition_rates(keyed.select("__source"), weights, total)
     table = cut_lineage(distribution(rates), "mixing-table")
     draw = uniform(F.md5("__id"))
-    copies = F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))
-    return (
+    copies = F.size(F.filter("__cdf", lambda c: c <= F.col("__u"))).cast("bigint") + F.col("__low")
+    counted = (
         salted_join(keyed.withColumn("__u", draw), table, "__source")
-        .withColumn("__copies", copies)
-        .filter("__copies > 0")
-        .select("__doc", "__id", F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("copy"))
+        .select("__doc", "__id", copies.alias("__copies"))
+    )
+    return (
+        unroll(counted)
         .select(
             "__doc", "copy", F.md5(F.concat_ws("|", "__id", F.lit("order"), "copy")).alias("order_key")
         )
@@ -154,20 +183,22 @@ rates AS (
     * (1.0::DOUBLE / (SELECT count(*) FROM sizes)::DOUBLE) / n AS rate
   FROM sizes),
 terms AS (
-  SELECT source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 30)::BIGINT + 1)) AS k
-  FROM rates),
+  SELECT source, rate, low, unnest(range(low, ceil(rate + 12 * sqrt(rate) + 30)::BIGINT + 1)) AS k
+  FROM (SELECT *, greatest(floor(rate - 12 * sqrt(rate) - 30)::BIGINT, 0) AS low FROM rates)),
 logs AS (
-  SELECT source, k, exp(sum(CASE WHEN k = 0 THEN -rate ELSE ln(rate) - ln(k::DOUBLE) END)
+  SELECT source, low, k, exp(sum(CASE WHEN k > low THEN ln(rate) - ln(k::DOUBLE) WHEN low = 0 THEN -rate
+    ELSE low * ln(rate / low) + (low - rate) - 0.5::DOUBLE * ln(2 * pi() * low) - 1 / (12 * low::DOUBLE)
+      + 1 / (360 * low::DOUBLE * low * low) END)
     OVER (PARTITION BY source ORDER BY k)) AS p
   FROM terms),
 cdf AS (
-  SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM logs),
-tables AS (SELECT source, list(c ORDER BY k) AS cs FROM cdf GROUP BY source),
+  SELECT source, low, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM logs),
+tables AS (SELECT source, low, list(c ORDER BY k) AS cs FROM cdf GROUP BY source, low),
 drawn AS (
-  SELECT d.*, len(list_filter(t.cs, lambda c: c <= ('0x' || substr(md5(d.mix_id), 1, 13))::BIGINT
+  SELECT d.*, t.low + len(list_filter(t.cs, lambda c: c <= ('0x' || substr(md5(d.mix_id), 1, 13))::BIGINT
     / 4503599627370496.0::DOUBLE)) AS copies
   FROM d JOIN tables t ON t.source IS NOT DISTINCT FROM d.source),
-mixed AS (SELECT *, unnest(range(1, copies + 1))::INTEGER AS copy FROM drawn)
+mixed AS (SELECT *, unnest(range(1, copies + 1))::BIGINT AS copy FROM drawn)
 SELECT doc_id, text, lang, source, n_chars, copy,
   md5(mix_id || '|order|' || copy::VARCHAR) AS order_key
 FROM mixed

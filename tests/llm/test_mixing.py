@@ -44,6 +44,39 @@ def test_high_rate_does_not_underflow(spark):
     assert 4_500 < M.mix_sources(docs, {"a": 1.0}, total=5_000).count() < 5_500
 
 
+def test_tables_of_high_rates_are_right_and_short(spark):
+    rates = spark.createDataFrame([("a", 3.5), ("b", 400.0), ("c", 1e6)], "__source string, __rate double")
+    for r in M.distribution(rates).join(rates, "__source").collect():
+        assert len(r["__cdf"]) < 24 * math.sqrt(r["__rate"]) + 64 and abs(r["__cdf"][-1] - 1) < 1e-6
+        total = 0.0
+        for k, c in enumerate(r["__cdf"][: 20_000 if r["__rate"] > 1e5 else None], r["__low"]):
+            total += math.exp(-r["__rate"] + k * math.log(r["__rate"]) - math.lgamma(k + 1))
+            assert abs(c - total) < 1e-6
+
+
+def test_copies_of_one_document_are_dealt_out(spark):
+    docs = spark.createDataFrame([(1, "x", "a")], "doc_id long, text string, source string")
+    counted = docs.selectExpr("doc_id AS __id", "100000L AS __copies")
+    out = M.unroll(counted)
+    assert sorted(r["copy"] for r in out.collect()) == list(range(1, 100_001))
+    each = out.groupBy(M.F.spark_partition_id().alias("p")).count().collect()
+    assert len(each) > 4 and max(r["count"] for r in each) < 40_000
+    mixed = M.mix_sources(docs, {"a": 1.0}, total=3_000_000)
+    row = mixed.agg(M.F.count("*").alias("n"), M.F.max("copy").alias("m"), M.F.countDistinct("copy").alias("d")).first()
+    assert abs(row.n - 3_000_000) < 6 * math.sqrt(3_000_000) and row.n == row.m == row.d
+
+
+def test_high_rates_equal_the_sql(spark):
+    rows = [(i, f"t{i}", "big") for i in range(3_000)] + [(9_000 + i, f"s{i}", "small") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = docs.withColumn("lang", M.F.lit("x")).withColumn("n_chars", M.F.lit(1))
+    base = duckdb.connect()
+    base.register("d", docs.toPandas())
+    want = base.execute(f"SELECT doc_id, text, source, copy, order_key FROM ({M.mixing_sql('d')})").fetchall()
+    ours = M.mix_sources(docs).select("doc_id", "text", "source", "copy", "order_key").collect()
+    assert Counter(map(tuple, ours)) == Counter(want)
+
+
 def test_edges(spark):
     rows = [(None, None, None), (1, "", "a"), (1, "", "a"), (2, None, "a"), (3, "x", None)]
     docs = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, source string, order_key int")
