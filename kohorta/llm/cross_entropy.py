@@ -15,12 +15,9 @@ with ``context(v)`` the count of ``v`` as first of a pair and ``vocabulary`` the
 background words and one unknown; a text begins with a mark. Counts cover all texts of the
 table, whole; each task combines its own first.
 
-``exact_scores`` (the query) keeps every word and every pair in tables that grow with the
-corpus. Losses of pairs with at least one of ``2**HEAVY_BITS`` tokens are broadcast, as
-there are no more than ``2**HEAVY_BITS`` of them; all others are looked up by a join.
-``fit`` and ``score`` make models of fixed size instead, for texts outside the corpus:
-the ``2**VOCABULARY_BITS - 1`` most frequent words, every other word one unknown token,
-and pairs hashed to ``2**PAIR_BITS`` cells.
+``exact_scores`` keeps every word and every pair in tables that grow with the corpus.
+Losses of pairs with at least one of ``2**HEAVY_BITS`` tokens are broadcast, as there are
+no more than ``2**HEAVY_BITS`` of them; all others are looked up by a join.
 
 Defined results:
 
@@ -28,7 +25,7 @@ Defined results:
 * null ``doc_id``: scored like any other; repeated rows get equal scores, and count as
   often as they stand in the table;
 * no target text: the target model is uniform over the vocabulary;
-* ties in the vocabulary: by word; empty table: empty result;
+* empty table: empty result;
 * very long texts are read whole; other columns play no part.
 """
 
@@ -44,121 +41,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from kohorta.llm import cells
 from kohorta.llm.frames import arrow_limits, map_texts
 from kohorta.llm.wordbytes import Block, mix, text_blocks
 from kohorta.operators.skew import salted_join
 from kohorta.session import cut_lineage
 
-VOCABULARY_BITS, PAIR_BITS, MASS = 16, 21, 50.0
+MASS = 50.0
 HEAVY_BITS = 18
-UNKNOWN = 0
 START = np.uint64(0x5374617274)
 
 
-def _tokens(block: Block, vocabulary: np.ndarray) -> np.ndarray:
-    """Place of each word in the sorted vocabulary from 1, or ``UNKNOWN``."""
-    words = block.word_hashes(lower=True)
-    if not len(vocabulary):
-        return np.zeros(len(words), np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == words, at + 1, UNKNOWN)
-
-
-def _pairs(tokens: np.ndarray, doc: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(token before, cell of the pair)`` at each token."""
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    first = np.ones(len(doc), bool)
-    first[1:] = doc[1:] != doc[:-1]
-    before[first] = start
-    pair = before.astype(np.uint64) << np.uint64(32) | tokens.astype(np.uint64)
-    return before, (mix(pair) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-
-
-def vocabulary_of(docs: DataFrame, text: str) -> np.ndarray:
-    """Sorted hashes of the most frequent words of all texts."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [Block(d, o).word_hashes(lower=True) for _, d, o in text_blocks(batch.column(0))]
-            key, n = np.unique(np.concatenate(words) if words else np.zeros(0, np.uint64), return_counts=True)
-            if len(key):
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
-
-    arrow_limits(docs.sparkSession)
-    counted = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(count, "key long, n long")
-    top = (
-        counted.groupBy("key").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "key").limit((1 << VOCABULARY_BITS) - 1).select("key")
-    )
-    return np.sort(np.array([r[0] for r in top.toLocalIterator()], np.int64).view(np.uint64))
-
-
-@dataclass
-class Counts:
-    """Tokens, contexts and pairs of one set of texts; arrays of fixed size."""
-
-    tokens: np.ndarray
-    contexts: np.ndarray
-    pairs: np.ndarray
-
-    def losses(self, tokens: np.ndarray, before: np.ndarray, cells: np.ndarray) -> np.ndarray:
-        own = (self.tokens[tokens] + 1) / (self.tokens.sum() + len(self.tokens))
-        return -np.log((self.pairs[cells] + MASS * own) / (self.contexts[before] + MASS))
-
-
-@dataclass
-class Models:
-    vocabulary: np.ndarray
-    background: Counts
-    target: Counts
-
-    def losses(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens, summed target loss and summed background loss of each text."""
-        rows = len(column)
-        n, t, b = np.zeros(rows, np.int64), np.zeros(rows), np.zeros(rows)
-        start = len(self.vocabulary) + 1
-        for first, data, offsets in text_blocks(column):
-            block = Block(data, offsets)
-            tokens = _tokens(block, self.vocabulary)
-            before, cells = _pairs(tokens, block.doc, start)
-            span = slice(first, first + block.n)
-            n[span] = block.count(block.doc)
-            for out, model in ((t, self.target), (b, self.background)):
-                losses = model.losses(tokens, before, cells)
-                out[span] = np.bincount(block.doc, losses, minlength=block.n)
-        return n, t, b
-
-
-def count_texts(texts: DataFrame, vocabulary, column: str) -> Counts:
-    """Counts of all rows of ``texts``; ``vocabulary`` is broadcast.
-
-    What reaches the driver is the model, whose size is fixed.
-    """
-    start = len(vocabulary.value) + 1
-    parts = {"tokens": start, "contexts": start + 1, "pairs": 1 << PAIR_BITS}
-    ends = np.cumsum(list(parts.values()))
-    places = {kind: slice(end - n, end) for (kind, n), end in zip(parts.items(), ends, strict=True)}
-    size = int(ends[-1])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size, np.uint32)
-        for batch in batches:
-            for _, data, offsets in text_blocks(batch.column(0)):
-                block = Block(data, offsets)
-                tokens = _tokens(block, vocabulary.value)
-                before, found = _pairs(tokens, block.doc, start)
-                for kind, keys in (("tokens", tokens), ("contexts", before), ("pairs", found)):
-                    np.add.at(counts[places[kind]], keys, 1)
-        yield from cells.send_cells(counts)
-
-    arrow_limits(texts.sparkSession)
-    sent = texts.select(F.col(column).cast("string").alias("t")).mapInArrow(count, cells.SCHEMA)
-    total = cells.add_cells(sent, size, np.float32, lambda n: n)
-    return Counts(*(total[places[kind]] for kind in parts))
-
-
 def _chosen(docs: DataFrame, targets: DataFrame, text: str, doc_id: str) -> DataFrame:
     """Texts ``t`` of the rows of ``docs`` whose id is in ``targets(doc_id)``."""
     ids = cut_lineage(targets.select(F.col("doc_id").alias("__target")).dropna().distinct(), "cross-entropy-targets")
@@ -167,32 +59,6 @@ def _chosen(docs: DataFrame, targets: DataFrame, text: str, doc_id: str) -> Data
     )
 
 
-def fit(docs: DataFrame, targets: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Models:
-    """Models from all texts of ``docs`` and from those whose id is in ``targets(doc_id)``.
-
-    The background is counted where the texts are read. Only target texts are joined to
-    their ids, by one plan at every size: a merge join behind a filter made from the ids,
-    which other texts do not pass.
-    """
-    vocabulary = vocabulary_of(docs, text)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    chosen = _chosen(docs, targets, text, doc_id)
-    return Models(vocabulary, count_texts(docs, shared, text), count_texts(chosen, shared, "t"))
-
-
-def score(docs: DataFrame, models: Models, text: str = "text", carry=("doc_id",)) -> DataFrame:
-    """``carry`` columns, ``n_tokens``, mean losses and their difference ``score``."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-    fields = StructType.fromDDL("n_tokens long, target_loss double, background_loss double, score double")
-
-    def work(column: pa.Array) -> list[pa.Array]:
-        n, target, background = shared.value.losses(column)
-        of = np.maximum(n, 1)
-        return [pa.array(x) for x in (n, target / of, background / of, (background - target) / of)]
-
-    return map_texts(docs, text, list(carry), fields, work)
-
-
 def _hashed_pairs(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of the word before, of the word, and of the pair at each token."""
     words = block.word_hashes(lower=True)

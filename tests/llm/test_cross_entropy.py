@@ -9,11 +9,10 @@ from kohorta.llm import cross_entropy as C
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def slow_scores(docs, targets, cap):
-    """Scores from dictionaries; right as long as no two pairs share a cell."""
+def slow_scores(docs, targets):
+    """Scores from dictionaries."""
     split = lambda t: WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     words = Counter(w for _, t in docs for w in split(t))
-    assert len(words) <= cap
     models = []
     for some in ([t for _, t in docs], [t for d, t in docs if d in targets]):
         one, context, two = Counter(), Counter(), Counter()
@@ -47,28 +46,21 @@ def test_scores_equal_definition(spark):
     targets = set(range(20))
     frame = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, score double").repartition(3)
     ids = spark.createDataFrame([(i,) for i in [*targets, None]], "doc_id long")
-    got = C.score(frame, C.fit(frame, ids)).collect()
+    got = C.exact_scores(frame, ids).collect()
     order = lambda r: (r[0] is None, r[0], r[1])
-    want = sorted(slow_scores(rows, targets, 1 << 16), key=order)
+    want = sorted(slow_scores(rows, targets), key=order)
     for a, b in zip(sorted(map(tuple, got), key=order), want, strict=True):
         assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-5)
     by_id = {r.doc_id: r.score for r in got}
     assert by_id[5] > by_id[105]
 
 
-def test_rare_words_are_unknown(spark, monkeypatch):
-    monkeypatch.setattr(C, "VOCABULARY_BITS", 2)
-    frame = spark.createDataFrame([(1, "a a a b b c c d e f")], "doc_id long, text string")
-    models = C.fit(frame, frame.select("doc_id"))
-    assert len(models.vocabulary) == 3 and models.background.tokens[C.UNKNOWN] == 3
-
-
 def test_edges(spark):
     frame = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = frame.select("doc_id").limit(0)
-    row = C.score(frame, C.fit(frame, none)).first()
+    row = C.exact_scores(frame, none).first()
     assert row.target_loss == pytest.approx(math.log(3))
-    assert C.score(frame.limit(0), C.fit(frame.limit(0), none)).count() == 0
+    assert C.exact_scores(frame.limit(0), none).count() == 0
 
 
 def test_good_texts_score_higher(spark, small):
@@ -78,8 +70,6 @@ def test_good_texts_score_higher(spark, small):
 
 
 def test_query_counts_every_word_and_pair(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(C, "VOCABULARY_BITS", 2)
-    monkeypatch.setattr(C, "PAIR_BITS", 3)
     rows = [*docs(), (400, "one two three four"), (401, "Four one two three"), (402, "one two three four")]
     targets = {*range(20), 401}
     frame = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, score double")
@@ -87,7 +77,7 @@ def test_query_counts_every_word_and_pair(spark, tmp_path, monkeypatch):
     ids = spark.createDataFrame([*[(i, 1) for i in targets], (None, 1), (400, 0)], "doc_id long, quality int")
     ids.write.parquet(f"{tmp_path}/labels.parquet")
     order = lambda r: (r[0] is None, r[0], r[1])
-    want = sorted(slow_scores(rows, targets, 1 << 16), key=order)
+    want = sorted(slow_scores(rows, targets), key=order)
     for bits in (0, 18):
         monkeypatch.setattr(C, "HEAVY_BITS", bits, raising=False)
         got = sorted(map(tuple, C.query(spark, tmp_path).collect()), key=order)
