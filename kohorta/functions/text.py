@@ -10,17 +10,23 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns that decide the result. They avoid look-around, so the
-# JVM and RE2 engines read them alike, and repeat only character classes: the JVM
-# walks a repeated group by recursion, which a long text can exhaust.
+# Patterns that decide the result. They avoid look-around, so other
+# engines read them alike (possessive repeats only save the JVM going back), and repeat
+# only character classes: the JVM walks a repeated group by recursion, which a long text
+# can exhaust.
 BLANK = r"[\t-\r \x1c-\x1f\x85\p{Z}]"
 NON_BLANK = r"[^\t-\r \x1c-\x1f\x85\p{Z}]"
 MENTION = r"@[\p{L}\p{N}_]+"
 POST_TOKEN = (
     r"https?://\S+|www\.\S+"  # link
+    r"|(?:\+?[01][ *.)-]*)?(?:\(?\p{Nd}{3}[ *.)-]*)?\p{Nd}{3}[ *.)-]*\p{Nd}{4}"  # telephone number
     r"|[<>]?[:;=8][-o*']?[)\](\[dDpP/:}{@|\\]"  # emoticon
-    r"|[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]*[\p{L}\p{N}_]"  # e-mail address
-    r"|@[\p{L}\p{N}_]+|#+[\p{L}\p{N}_]+"  # mention, hashtag
+    r"|[)\](\[dDpP/:}{@|\\][-o*']?[:;=8][<>]?|</?3"  # mirrored emoticon, heart
+    r"|<[^>\s]++>"  # tag
+    r"|-++>|<-+"  # arrow
+    r"|@[\p{L}\p{N}_]+"  # mention
+    r"|#+[\p{L}\p{N}_]+[\p{L}\p{N}_'-]*[\p{L}\p{N}_]+"  # hashtag
+    r"|[\p{L}\p{N}_.+-]++@[\p{L}\p{N}_-]++\.[\p{L}\p{N}_.-]*[\p{L}\p{N}_]"  # e-mail address
     r"|\p{L}[\p{L}'_-]+\p{L}"  # word with inner apostrophe or hyphen
     r"|[+-]?\p{N}+[,/.:-]\p{N}+[+-]?"  # fraction, decimal, time
     r"|[\p{L}\p{N}_]+"  # any other word
@@ -120,14 +126,19 @@ EMOJI_NAMES = {
 }
 # Blocks whose characters take their Unicode name as emoji name.
 EMOJI_BLOCKS = [(0x1F300, 0x1F64F), (0x1F680, 0x1F6FF), (0x1F900, 0x1F9FF), (0x1FA70, 0x1FAFF)]
+# Where a sign may have a name; those without one stay as they are.
 EMOJI_CLASS = (
-    r"[\x{A9}\x{AE}\x{2122}\x{2600}-\x{27BF}\x{2B50}"
-    r"\x{1F300}-\x{1F64F}\x{1F680}-\x{1F6FF}\x{1F900}-\x{1F9FF}\x{1FA70}-\x{1FAFF}]"
+    r"[\x{A9}\x{AE}\x{203C}\x{2049}\x{2122}\x{2139}\x{2194}-\x{21AA}\x{231A}-\x{23FF}\x{24C2}"
+    r"\x{25AA}-\x{27BF}\x{2934}\x{2935}\x{2B05}-\x{2B55}\x{3030}\x{303D}\x{3297}\x{3299}"
+    r"\x{1F004}-\x{1F251}\x{1F300}-\x{1FAFF}]"
 )
 
 
 def emoji_names(extra: dict[str, str] | None = None) -> dict[str, str]:
-    """Emoji character to ``:name:``, from Unicode names plus the fixed exceptions."""
+    """Emoji character to ``:name:``, from Unicode names plus the fixed exceptions.
+
+    ``extra`` goes before both, such as the names of ``sources.emoji.read_emoji_names``.
+    """
     names = {}
     for low, high in EMOJI_BLOCKS:
         for point in range(low, high + 1):
@@ -230,7 +241,7 @@ def unescape(text: Column) -> Column:
 
 
 def tokenize_post(text: Column) -> Column:
-    """Links, emoticons, addresses, mentions, hashtags, words, numbers, dots, single signs."""
+    """Links, telephone numbers, emoticons, tags, arrows, mentions, hashtags, addresses, words and signs."""
     return F.regexp_extract_all(unescape(text), F.lit(POST_TOKEN), F.lit(0))
 
 

@@ -226,9 +226,13 @@ def expand_contractions(spark, folder):
     )
 
 
+#: Arrows, tags, telephone numbers, mirrored emoticons, hashtags with hyphens and of one letter.
+DRAWN = "go -> or <-- <b>now</b> (: D-8> </3 +1 (555) 123-4567, 555 1234 12345678 #covid-19's #a #1-"
+
+
 def _referenced(spark, folder):
-    """Posts that end with character references and an address."""
-    tail = F.lit(" &lt;3 R&amp;D &quot;x&quot; I&#39;m at me.you@b-c.org.")
+    """Posts that end with character references, an address and what posts draw with signs."""
+    tail = F.lit(" &lt;3 R&amp;D &quot;x&quot; I&#39;m at me.you@b-c.org. " + DRAWN)
     return I.decorated(spark, folder).withColumn("text", F.concat("text", tail))
 
 

@@ -175,14 +175,17 @@ est AS (SELECT 'exposition' AS covariate, ba AS coef, sqrt(hqq / (haa * hqq - ha
 
 # The token pattern and the literal replacements of the text queries.
 _TOKEN = (
-    r"https?://\S+|www\.\S+|[<>]?[:;=8][-o*'']?[)\](\[dDpP/:}{@|\\]"
-    r"|[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]*[\p{L}\p{N}_]|@[\p{L}\p{N}_]+|#+[\p{L}\p{N}_]+"
+    r"https?://\S+|www\.\S+|(?:\+?[01][ *.)-]*)?(?:\(?\p{Nd}{3}[ *.)-]*)?\p{Nd}{3}[ *.)-]*\p{Nd}{4}"
+    r"|[<>]?[:;=8][-o*'']?[)\](\[dDpP/:}{@|\\]|[)\](\[dDpP/:}{@|\\][-o*'']?[:;=8][<>]?|</?3"
+    r"|<[^>\s]+>|-+>|<-+|@[\p{L}\p{N}_]+|#+[\p{L}\p{N}_]+[\p{L}\p{N}_''-]*[\p{L}\p{N}_]+"
+    r"|[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]*[\p{L}\p{N}_]"
     r"|\p{L}[\p{L}''_-]+\p{L}|[+-]?\p{N}+[,/.:-]\p{N}+[+-]?|[\p{L}\p{N}_]+|\.(?:\s*\.)+|\S"
 )
 
 _REFERENCED = _DECORATED + """,
 ref AS (SELECT id, replace(replace(replace(replace(replace(
-          text || ' &lt;3 R&amp;D &quot;x&quot; I&#39;m at me.you@b-c.org.', '&lt;', '<'),
+          text || ' &lt;3 R&amp;D &quot;x&quot; I&#39;m at me.you@b-c.org. '
+            || 'go -> or <-- <b>now</b> (: D-8> </3 +1 (555) 123-4567, 555 1234 12345678 #covid-19''s #a #1-', '&lt;', '<'),
           '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS text FROM dec)"""
 
 _NORMAL_TOKENS = f"""

@@ -71,6 +71,40 @@ def test_tokenize_post(values):
     ]
 
 
+def test_tokenize_what_posts_draw(values):
+    got = values(T.tokenize_post, [
+        "a -> b <-- c <b>now</b> (: D-8> </3 <3 #covid-19's #a",
+        "+1 (555) 123-4567, 555 1234 12345678 2019 100",
+        "me@b.org @me a@b @8ball",
+    ])
+    assert got == [
+        ["a", "->", "b", "<--", "c", "<b>", "now", "</b>", "(:", "D-8>", "</3", "<3", "#covid-19's", "#", "a"],
+        ["+1 (555) 123-4567", ",", "555 1234", "12345678", "2019", "100"],
+        ["me@b.org", "@me", "a", "@b", "@8", "ball"],
+    ]
+
+
+def test_emoji_names_of_a_table(spark, values, tmp_path):
+    from kohorta.sources.emoji import read_emoji_names
+
+    lines = [
+        "# group: Smileys & Emotion",
+        "1F600 ; fully-qualified # 😀 E1.0 grinning face",
+        "2764 FE0F ; fully-qualified # ❤️ E0.6 red heart",
+        "2764 ; unqualified # ❤ E0.6 red heart",
+        "1F251 ; fully-qualified # 🉑 E0.6 Japanese “acceptable” button",
+        "23F0 ; fully-qualified # ⏰ E0.6 alarm clock",
+        "1F44D 1F3FB ; fully-qualified # 👍🏻 E1.0 thumbs up: light skin tone",
+        "1FAE0 ; fully-qualified # 🫠 E14.0 melting face",
+    ]
+    (tmp_path / "emoji-test.txt").write_text("\n".join(lines))
+    names = read_emoji_names(spark, f"{tmp_path}/emoji-test.txt", version=13.0)
+    assert names == {"😀": "grinning_face", "❤": "red_heart", "🉑": "Japanese_acceptable_button", "⏰": "alarm_clock"}
+    assert values(lambda c: T.normalize_post(c, names), ["at ⏰ 🉑 x"]) == ["at :alarm_clock: :Japanese_acceptable_button: x"]
+    assert values(T.normalize_post, ["at ⏰ 🉑 x"]) == ["at ⏰ 🉑 x"]
+    assert "🫠" in read_emoji_names(spark, f"{tmp_path}/emoji-test.txt")
+
+
 def test_normalize_token(values):
     tokens = ["@bob", "@", "HTTPS://x", "wwwhat", "😀", "❤", "x", "’", "…", "…x", "word"]
     assert values(lambda c: T.normalize_token(c), tokens) == [
