@@ -62,6 +62,8 @@ NUMBER_REWRITES = [
     (r"([0-9]{1,3}) / ([0-9]{2,4})", r"$1/$2"),
     (r"([0-9]{1,3})- ([0-9]{2,4})", r"$1-$2"),
 ]
+# What a text must hold for a pattern of NUMBER_REWRITES to match.
+NUMBER_SIGNS = [" , ", " / ", "- "]
 
 # Contracted form to full form, lower case.
 CONTRACTIONS = {
@@ -127,6 +129,7 @@ EMOJI_NAMES = {
 # Blocks whose characters take their Unicode name as emoji name.
 EMOJI_BLOCKS = [(0x1F300, 0x1F64F), (0x1F680, 0x1F6FF), (0x1F900, 0x1F9FF), (0x1FA70, 0x1FAFF)]
 # Where a sign may have a name; those without one stay as they are.
+HIGH_SIGN = r"[\x{A9}\x{AE}\x{203C}-\x{1FAFF}]"
 EMOJI_CLASS = (
     r"[\x{A9}\x{AE}\x{203C}\x{2049}\x{2122}\x{2139}\x{2194}-\x{21AA}\x{231A}-\x{23FF}\x{24C2}"
     r"\x{25AA}-\x{27BF}\x{2934}\x{2935}\x{2B05}-\x{2B55}\x{3030}\x{303D}\x{3297}\x{3299}"
@@ -155,6 +158,11 @@ def bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def change_if(value: Column, test, change) -> Column:
+    """``change(value)`` where ``test(value)``, which costs less than the change, holds."""
+    return bind(value, lambda v: F.when(test(v), change(v)).otherwise(v))
+
+
 def _map_literal(mapping: dict[str, str]) -> Column:
     # Folded to one constant at planning time: a single literal instead of
     # thousands of map arguments.
@@ -273,8 +281,14 @@ def normalize_post(text: Column, extra_emoji: dict[str, str] | None = None) -> C
     joined = F.trim(
         F.regexp_replace(F.regexp_replace(plain, f"({POST_TOKEN})", "$1 "), r"\s+", " ")
     )
-    joined = F.regexp_replace(joined, r"(^| )@[^ ]*", "$1@USER")
-    joined = F.regexp_replace(joined, r"(?i)(^| )(?:http|www)[^ ]*", "$1HTTPURL")
+    joined = change_if(
+        joined, lambda line: line.contains("@"), lambda line: F.regexp_replace(line, r"(^| )@[^ ]*", "$1@USER")
+    )
+    joined = change_if(
+        joined,
+        lambda line: F.lower(line).contains("http") | F.lower(line).contains("www"),
+        lambda line: F.regexp_replace(line, r"(?i)(^| )(?:http|www)[^ ]*", "$1HTTPURL"),
+    )
     names = _map_literal(emoji_names(extra_emoji))
 
     def named(token):
@@ -282,14 +296,17 @@ def normalize_post(text: Column, extra_emoji: dict[str, str] | None = None) -> C
             token.rlike("^" + EMOJI_CLASS + "$"), F.coalesce(F.element_at(names, token), token)
         ).otherwise(token)
 
-    joined = bind(
+    joined = change_if(
         joined,
-        lambda line: F.when(
-            line.rlike(EMOJI_CLASS), F.array_join(F.transform(F.split(line, " "), named), " ")
-        ).otherwise(line),
+        lambda line: line.rlike(HIGH_SIGN),
+        lambda line: F.array_join(F.transform(F.split(line, " "), named), " "),
     )
     for old, new in TOKEN_REWRITES:
         joined = F.replace(joined, F.lit(old), F.lit(new))
-    for pattern, new in NUMBER_REWRITES:
-        joined = F.regexp_replace(joined, pattern, new)
+    for (pattern, new), sign in zip(NUMBER_REWRITES, NUMBER_SIGNS, strict=True):
+        joined = change_if(
+            joined,
+            lambda line, sign=sign: line.contains(sign),
+            lambda line, pattern=pattern, new=new: F.regexp_replace(line, pattern, new),
+        )
     return squeeze(joined)
