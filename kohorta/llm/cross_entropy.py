@@ -13,11 +13,20 @@ interpolates its pair and its own frequency:
 
 with ``context(v)`` the count of ``v`` as first of a pair and ``vocabulary`` the number of
 background words and one unknown; a text begins with a mark. Counts cover all texts of the
-table, whole; each task combines its own first.
+table, whole, and are exact: every word and every pair is counted, so what is gathered
+grows with the corpus. No row is made for a pair:
 
-``exact_scores`` keeps every word and every pair in tables that grow with the corpus.
-Losses of pairs with at least one of ``2**HEAVY_BITS`` tokens are broadcast, as there are
-no more than ``2**HEAVY_BITS`` of them; all others are looked up by a join.
+* each task packs its texts into blocks of about ``BLOCK_TOKENS`` tokens, which are stored:
+  the block's words, and each token as a number among them;
+* a block sends its different pairs and words, sorted, as packed lists of hashes and counts,
+  one list for each of the cells that the hash space is cut into;
+* the lists of a cell meet in one task and are added up, and each list gets its totals back
+  in its own order, so a pair that stands once in the corpus costs a few bytes on the way
+  and next to none on the way back;
+* a stored block and its totals meet again and give the losses of its texts.
+
+Cells grow in number with the tokens and hold about ``CELL_TOKENS`` of them, blocks grow in
+number only. A block names each pair once, so a frequent pair is no hot key.
 
 Defined results:
 
@@ -26,196 +35,250 @@ Defined results:
   often as they stand in the table;
 * no target text: the target model is uniform over the vocabulary;
 * empty table: empty result;
-* very long texts are read whole; other columns play no part.
+* very long texts are read whole, each a block of its own; other columns play no part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from kohorta.llm.frames import arrow_limits, map_texts
+from kohorta.llm.frames import arrow_limits
 from kohorta.llm.wordbytes import Block, mix, text_blocks
-from kohorta.operators.skew import salted_join
 from kohorta.session import cut_lineage
 
 MASS = 50.0
-HEAVY_BITS = 18
 START = np.uint64(0x5374617274)
+BLOCK_TOKENS, CELL_TOKENS, LEAST_CELLS = 1 << 20, 1 << 21, 64
 
+BLOCK = "block long, n long, words binary, tokens binary, sizes binary, carried binary"
+LIST = "block long, cell long, target boolean, pairs binary, n binary, words binary, o binary, c binary"
+TOTAL = (
+    "block long, cell long, nb binary, nt binary, ob binary, ot binary, cb binary, ct binary, "
+    "vocabulary long, all_b long, all_t long"
+)
 
-def _chosen(docs: DataFrame, targets: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """Texts ``t`` of the rows of ``docs`` whose id is in ``targets(doc_id)``."""
-    ids = cut_lineage(targets.select(F.col("doc_id").alias("__target")).dropna().distinct(), "cross-entropy-targets")
-    return docs.select(F.col(doc_id).alias("__own"), F.col(text).alias("t")).join(
-        ids.filter("__target >= 0 OR __target < 0").hint("merge"), F.col("__own") == F.col("__target")
-    )
 
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers by byte planes; planes of small numbers are mostly zero."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
-def _hashed_pairs(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of the word before, of the word, and of the pair at each token."""
-    words = block.word_hashes(lower=True)
-    before = np.empty_like(words)
-    before[1:] = words[:-1]
-    first = np.ones(len(words), bool)
-    first[1:] = block.doc[1:] != block.doc[:-1]
-    before[first] = START
-    return before, words, mix(mix(before) + words)
 
+def _unpack(packed: pa.Scalar) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed.as_py()), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.uint64)
 
-def _joined(parts: list[np.ndarray], kind=np.uint64) -> np.ndarray:
-    return np.concatenate(parts) if parts else np.zeros(0, kind)
 
+def _pack_sorted(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
 
-def pair_counts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``v, w, nb, nt``: count of every pair in the texts ``t`` of both tables; stored."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [_hashed_pairs(Block(d, o)) for _, d, o in text_blocks(batch.column(0))]
-            before, words, pairs = (_joined([f[k] for f in found]) for k in range(3))
-            _, at, n = np.unique(pairs, return_index=True, return_counts=True)
-            if len(at):
-                columns = [pa.array(x.view(np.int64)) for x in (before[at], words[at])]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n)], names=["v", "w", "n"])
-
-    def counted(texts: DataFrame) -> DataFrame:
-        return texts.select(F.col("t").cast("string")).mapInArrow(count, "v long, w long, n long")
-
-    arrow_limits(docs.sparkSession)
-    none = F.lit(0).cast("long")
-    both = counted(docs).select("v", "w", F.col("n").alias("nb"), none.alias("nt")).unionAll(
-        counted(chosen).select("v", "w", none.alias("nb"), F.col("n").alias("nt"))
-    )
-    summed = both.groupBy("v", "w").agg(F.sum("nb").alias("nb"), F.sum("nt").alias("nt"))
-    return cut_lineage(summed, "cross-entropy-pairs")
+def _unpack_sorted(packed: pa.Scalar) -> np.ndarray:
+    return np.cumsum(_unpack(packed), dtype=np.uint64)
 
 
-def pair_losses(pairs: DataFrame) -> DataFrame:
-    """``pair, nb, lt, lb``: both losses of every pair; stored.
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+    names, types = zip(*(f.split(" ") for f in schema.split(", ")), strict=True)
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], names=list(names))
 
-    Words are stored before the joins, so both sides have an exchange of their own and
-    a word with many pairs is split at run time.
-    """
-    start, none = int(START), F.lit(0).cast("long")
-    sides = F.array(
-        F.struct(F.col("w").alias("word"), F.col("nb").alias("ob"), F.col("nt").alias("ot"), none.alias("cb"), none.alias("ct")),
-        F.struct(F.col("v").alias("word"), none.alias("ob"), none.alias("ot"), F.col("nb").alias("cb"), F.col("nt").alias("ct")),
-    )
-    sums = [F.sum(c).alias(c) for c in ("ob", "ot", "cb", "ct")]
-    words = cut_lineage(pairs.select(F.inline(sides)).groupBy("word").agg(*sums), "cross-entropy-words")
-    vocabulary, all_b, all_t = words.agg(
-        F.count(F.when(F.col("word") != start, 1)), F.coalesce(F.sum("ob"), none), F.coalesce(F.sum("ot"), none)
-    ).first()
-    own = words.select(F.col("word").alias("w"), "ob", "ot").filter(F.col("ob") > 0)
-    context = words.select(F.col("word").alias("v"), "cb", "ct").filter(F.col("cb") > 0)
 
-    def loss(n: str, o: str, c: str, tokens: int):
-        p = (F.col(o) + 1) / F.lit(float(tokens + vocabulary + 1))
-        return -F.log((F.col(n) + MASS * p) / (F.col(c) + MASS))
+def _chosen(docs: DataFrame, targets: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """Texts ``t`` of the rows of ``docs`` whose id is in ``targets(doc_id)``."""
+    ids = cut_lineage(targets.select(F.col("doc_id").alias("__target")).dropna().distinct(), "cross-entropy-targets")
+    return docs.select(F.col(f"`{doc_id}`").alias("__own"), F.col(f"`{text}`").alias("t")).join(
+        ids.filter("__target >= 0 OR __target < 0").hint("merge"), F.col("__own") == F.col("__target")
+    )
 
-    lost = pairs.join(own, "w").join(context, "v").select(
-        _pair_hash("v", "w").alias("pair"), "nb",
-        loss("nt", "ot", "ct", all_t).alias("lt"), loss("nb", "ob", "cb", all_b).alias("lb"),
-    )
-    return cut_lineage(lost, "cross-entropy-losses")
 
+def word_blocks(texts: DataFrame, carry: list[str], block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Texts ``t`` packed into blocks: hashes of the words, number of each token's word, tokens of each text.
 
-def _pair_hash(v: str, w: str):
-    @F.pandas_udf("long")
-    def of(a: pd.Series, b: pd.Series) -> pd.Series:
-        before, words = (x.to_numpy(np.int64).view(np.uint64) for x in (a, b))
-        return pd.Series(mix(mix(before) + words).view(np.int64))
+    ``carry`` columns come along, in the order of the texts.
+    """
 
-    return of(v, w)
+    def packed(held, number) -> pa.RecordBatch:
+        hashes = np.concatenate([h for h, _, _ in held])
+        words, tokens = np.unique(np.append(hashes, START), return_inverse=True)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0][2].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for _, _, rows in held:
+                out.write_batch(rows)
+        sizes = np.concatenate([s for _, s, _ in held])
+        block = (TaskContext.get().partitionId() << 33) + number
+        row = (block, len(hashes), _pack_sorted(words), _pack(tokens[:-1]), _pack(sizes), sink.getvalue().to_pybytes())
+        return _batch(BLOCK, [row])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, number = [], 0, 0
+        for batch in batches:
+            rows = batch.select(batch.schema.names[1:])
+            for first, data, offsets in text_blocks(batch.column(0)):
+                block = Block(data, offsets)
+                held.append((block.word_hashes(lower=True), block.count(block.doc), rows.slice(first, block.n)))
+                size += len(block.starts) + block.n
+                if size >= block_tokens:
+                    yield packed(held, number)
+                    held, size, number = [], 0, number + 1
+        if held:
+            yield packed(held, number)
 
+    arrow_limits(texts.sparkSession)
+    return texts.select(F.col("t").cast("string"), *carry).mapInArrow(run, BLOCK)
 
-@dataclass
-class Heavy:
-    """Losses of the pairs that have a large share of all tokens."""
 
-    pairs: np.ndarray
-    target: np.ndarray
-    background: np.ndarray
+class Texts:
+    """Words, tokens and pairs of one stored block; ``before`` and ``now`` are numbers of words."""
 
-    def find(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each pair, and whether it is there."""
-        if not len(self.pairs):
-            return np.zeros(len(pairs), np.int64), np.zeros(len(pairs), bool)
-        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
-        return at, self.pairs[at] == pairs
+    def __init__(self, words: pa.Scalar, tokens: pa.Scalar, sizes: pa.Scalar):
+        self.words, self.sizes = _unpack_sorted(words), _unpack(sizes).astype(np.int64)
+        self.now = _unpack(tokens).astype(np.int64)
+        self.before = np.empty_like(self.now)
+        self.before[1:] = self.now[:-1]
+        self.before[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = np.searchsorted(self.words, START)
+        self.pairs = mix(mix(self.words[self.before]) + self.words[self.now])
 
 
-def heavy_pairs(losses: DataFrame) -> Heavy:
-    tokens = losses.agg(F.coalesce(F.sum("nb"), F.lit(0))).first()[0]
-    share = max(-(-tokens // (1 << HEAVY_BITS)), 1)
-    rows = losses.filter(F.col("nb") >= share).select("pair", "lt", "lb").toArrow()
-    pairs = rows["pair"].to_numpy().view(np.uint64)
-    order = np.argsort(pairs)
-    return Heavy(pairs[order], rows["lt"].to_numpy()[order], rows["lb"].to_numpy()[order])
+def _cells_of(keys: np.ndarray, cells: int) -> np.ndarray:
+    """Where the sorted ``keys`` of each cell begin; cells are equal ranges of the highest 32 bits."""
+    cell = ((keys >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)
+    return np.searchsorted(cell, np.arange(cells + 1, dtype=np.uint64))
 
 
-def exact_scores(docs: DataFrame, targets: DataFrame, text: str = "text", doc_id: str = "doc_id", carry=("doc_id",)) -> DataFrame:
-    """``score`` of all rows of ``docs`` by exact counts of ``docs`` and of its ``targets(doc_id)``.
+def cell_lists(blocks: DataFrame, cells: int, target: bool) -> DataFrame:
+    """A block's different pairs and words with their counts, cell by cell."""
 
-    A text is named by its digest: equal texts have equal losses, so what its copies add
-    up is divided by the tokens they looked up.
-    """
-    spark = docs.sparkSession
-    texts = docs.select(F.col(f"`{text}`").alias("t"))
-    losses = pair_losses(pair_counts(texts, _chosen(docs, targets, text, doc_id)))
-    heavy = spark.sparkContext.broadcast(heavy_pairs(losses))
-
-    def known(column: pa.Array) -> list[pa.Array]:
-        out = np.zeros((4, len(column)))
-        for first, data, offsets in text_blocks(column):
-            block = Block(data, offsets)
-            at, there = heavy.value.find(_hashed_pairs(block)[2])
-            span = slice(first, first + block.n)
-            at, doc = at[there], block.doc[there]
-            out[0, span] = block.count(block.doc)
-            out[1, span] = block.count(block.doc[~there])
-            out[2, span] = np.bincount(doc, heavy.value.target[at], minlength=block.n)
-            out[3, span] = np.bincount(doc, heavy.value.background[at], minlength=block.n)
-        return [pa.array(x.astype(np.int64)) for x in out[:2]] + [pa.array(x) for x in out[2:]]
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, data, offsets in text_blocks(batch.column(1)):
-                block = Block(data, offsets)
-                pairs = _hashed_pairs(block)[2]
-                light = ~heavy.value.find(pairs)[1]
-                if light.any():
-                    own = pa.array(names[first : first + block.n][block.doc[light]])
-                    yield pa.RecordBatch.from_arrays([own, pa.array(pairs[light].view(np.int64))], names=["digest", "pair"])
-
-    digest = F.xxhash64(F.col(f"`{text}`").cast("string"))
-    carried = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]
-    fields = StructType.fromDDL("n long, n_light long, ht double, hb double")
-    rows = docs.select(*carried, digest.alias("digest"), F.col(f"`{text}`").alias("t"))
-    rows = map_texts(rows, "t", [*[f"c{i}" for i in range(len(carry))], "digest"], fields, known)
-    asked = docs.select(digest.alias("digest"), F.col(f"`{text}`").cast("string").alias("t"))
-    found = asked.mapInArrow(ask, "digest long, pair long").join(losses.select("pair", "lt", "lb"), "pair")
-    light = found.groupBy("digest").agg(F.avg("lt").alias("t"), F.avg("lb").alias("b"))
-    none, of = F.lit(0.0), F.greatest("n", F.lit(1))
-    target = (F.col("ht") + F.coalesce("t", none) * F.col("n_light")) / of
-    background = (F.col("hb") + F.coalesce("b", none) * F.col("n_light")) / of
-    return salted_join(rows, light, "digest", "left").select(
-        *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], F.col("n").alias("n_tokens"),
-        target.alias("target_loss"), background.alias("background_loss"), (background - target).alias("score"),
-    )
+            for block, *packed in zip(*batch.columns, strict=True):
+                texts = Texts(*packed)
+                pairs, n = np.unique(texts.pairs, return_counts=True)
+                o, c = (np.bincount(x, minlength=len(texts.words)) for x in (texts.now, texts.before))
+                at, to = _cells_of(pairs, cells), _cells_of(texts.words, cells)
+                rows = []
+                for cell in np.flatnonzero((np.diff(at) > 0) | (np.diff(to) > 0)).tolist():
+                    p, w = slice(at[cell], at[cell + 1]), slice(to[cell], to[cell + 1])
+                    lists = _pack_sorted(pairs[p]), _pack(n[p]), _pack_sorted(texts.words[w]), _pack(o[w]), _pack(c[w])
+                    rows.append((block.as_py(), cell, target, *lists))
+                    if len(rows) == 256:
+                        yield _batch(LIST, rows)
+                        rows = []
+                if rows:
+                    yield _batch(LIST, rows)
+
+    return blocks.select("block", "words", "tokens", "sizes").mapInArrow(run, LIST)
+
+
+def _add_up(table: pa.Table) -> pa.Table:
+    """Totals of one cell in the order of each background list; corpus sums stand in its first row."""
+    target = table["target"].to_numpy()
+
+    def totals(keys: str, counts: list[str]):
+        lists = [_unpack_sorted(x) for x in table[keys]]
+        edge = np.cumsum([0, *map(len, lists)])
+        found, place = np.unique(np.concatenate(lists), return_inverse=True)
+        side = np.repeat(target, np.diff(edge))
+        sums = []
+        for name in counts:
+            values = np.concatenate([_unpack(x) for x in table[name]]).astype(np.float64)
+            sums += [np.bincount(place, values * (side == of), minlength=len(found)) for of in (False, True)]
+        return edge, place, sums
+
+    pair_edge, pair, (nb, nt) = totals("pairs", ["n"])
+    word_edge, word, (ob, ot, cb, ct) = totals("words", ["o", "c"])
+    rows = []
+    for i in np.flatnonzero(~target):
+        p, w = pair[pair_edge[i] : pair_edge[i + 1]], word[word_edge[i] : word_edge[i + 1]]
+        sums = ((ob > 0).sum(), ob.sum(), ot.sum()) if not rows else (0, 0, 0)
+        packed = [_pack(x[at]) for x, at in ((nb, p), (nt, p), (ob, w), (ot, w), (cb, w), (ct, w))]
+        rows.append((table["block"][i].as_py(), table["cell"][i].as_py(), *packed, *map(int, sums)))
+    return pa.Table.from_batches([_batch(TOTAL, rows)])
+
+
+def exact_scores(
+    docs: DataFrame, targets: DataFrame, text: str = "text", doc_id: str = "doc_id", carry=("doc_id",),
+    block_tokens: int = BLOCK_TOKENS, cell_tokens: int = CELL_TOKENS, least_cells: int = LEAST_CELLS,
+) -> DataFrame:
+    """``score`` of all rows of ``docs`` by exact counts of ``docs`` and of its ``targets(doc_id)``."""
+    places = [f"c{i}" for i in range(len(carry))]
+    rows = docs.select(F.col(f"`{text}`").alias("t"), *[F.col(f"`{c}`").alias(p) for c, p in zip(carry, places, strict=True)])
+    blocks = cut_lineage(word_blocks(rows, places, block_tokens), "cross-entropy-blocks")
+    tokens = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    cells = max(least_cells, -(-tokens // cell_tokens))
+    chosen = word_blocks(_chosen(docs, targets, text, doc_id), [], block_tokens)
+    lists = cell_lists(blocks, cells, False).unionAll(cell_lists(chosen, cells, True))
+    totals = cut_lineage(lists.groupBy("cell").applyInArrow(_add_up, TOTAL), "cross-entropy-totals")
+    corpus = totals.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("vocabulary", "all_b", "all_t")]).first()
+    vocabulary, all_b, all_t = map(int, corpus)
+
+    def score(own: pa.Table, found: pa.Table) -> pa.Table:
+        found = found.sort_by("cell")
+
+        def of(name: str) -> np.ndarray:
+            parts = [_unpack(x) for x in found[name]]
+            return np.concatenate([np.zeros(0, np.uint64), *parts]).astype(np.float64)
+
+        texts = Texts(*(own[c][0] for c in ("words", "tokens", "sizes")))
+        pair = np.unique(texts.pairs, return_inverse=True)[1]
+        doc = np.repeat(np.arange(len(texts.sizes)), texts.sizes)
+        losses = []
+        for n, o, c, size in (("nt", "ot", "ct", all_t), ("nb", "ob", "cb", all_b)):
+            p = MASS * (of(o) + 1) / (size + vocabulary + 1)
+            loss = np.log(of(c) + MASS)[texts.before] - np.log(of(n)[pair] + p[texts.now])
+            losses.append(np.bincount(doc, loss, minlength=len(texts.sizes)) / np.maximum(texts.sizes, 1))
+        target, background = losses
+        with pa.ipc.open_stream(own["carried"][0].as_py()) as stream:
+            made = stream.read_all()
+        values = (texts.sizes, target, background, background - target)
+        for name, value in zip(("n_tokens", "target_loss", "background_loss", "score"), values, strict=True):
+            made = made.append_column(name, pa.array(value))
+        return made
+
+    kept = StructType([rows.schema[p] for p in places])
+    made = StructType.fromDDL("n_tokens long, target_loss double, background_loss double, score double")
+    scored = blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(score, StructType(kept.fields + made.fields))
+    return scored.select(*[F.col(p).alias(c) for c, p in zip(carry, places, strict=True)], *made.names)
 
 
 def query(spark, folder):
-    """Documents scored against those that are labelled good."""
+    """Documents scored against those that are labelled good, to six digits."""
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     good = spark.read.parquet(f"{folder}/labels.parquet").filter("quality = 1")
-    return exact_scores(docs, good)
+    scored = exact_scores(docs, good)
+    # Zero is added so that no rounded value is a negative zero.
+    return scored.withColumns({c: F.round(c, 6) + 0.0 for c in ("target_loss", "background_loss", "score")})
+
+
+SQL = r"""
+WITH texts AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) IS TRUE AS good,
+         list_filter(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents),
+token AS (
+  SELECT r, good, unnest(words) AS w, unnest(list_concat([' '], words[1:len(words) - 1])) AS v
+  FROM texts WHERE len(words) > 0),
+pair AS (SELECT v, w, count(*) AS nb, count(*) FILTER (good) AS nt FROM token GROUP BY v, w),
+own AS (SELECT w, sum(nb) AS ob, sum(nt) AS ot FROM pair GROUP BY w),
+context AS (SELECT v, sum(nb) AS cb, sum(nt) AS ct FROM pair GROUP BY v),
+total AS (SELECT count(*) AS vocabulary, sum(ob) AS all_b, sum(ot) AS all_t FROM own),
+loss AS (
+  SELECT v, w,
+         ln(ct + 50.0::DOUBLE) - ln(nt + 50.0::DOUBLE * (ot + 1) / (all_t + vocabulary + 1)) AS lt,
+         ln(cb + 50.0::DOUBLE) - ln(nb + 50.0::DOUBLE * (ob + 1) / (all_b + vocabulary + 1)) AS lb
+  FROM pair JOIN own USING (w) JOIN context USING (v) CROSS JOIN total),
+summed AS (SELECT r, avg(lt) AS lt, avg(lb) AS lb FROM token JOIN loss USING (v, w) GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_tokens, round(coalesce(lt, 0), 6) + 0.0::DOUBLE AS target_loss,
+       round(coalesce(lb, 0), 6) + 0.0::DOUBLE AS background_loss, round(coalesce(lb - lt, 0), 6) + 0.0::DOUBLE AS score
+FROM texts LEFT JOIN summed USING (r)"""

@@ -46,6 +46,7 @@ def registered() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_cross_entropy": cross_entropy.SQL,
         "op6_mix_sources": mixing.SQL,
         "op8_decontaminate": decontaminate.SQL,
         "op9_line_dedup": line_dedup.SQL,

@@ -69,7 +69,7 @@ def test_good_texts_score_higher(spark, small):
     assert mean[1] > mean[0]
 
 
-def test_query_counts_every_word_and_pair(spark, tmp_path, monkeypatch):
+def test_query_counts_every_word_and_pair(spark, tmp_path):
     rows = [*docs(), (400, "one two three four"), (401, "Four one two three"), (402, "one two three four")]
     targets = {*range(20), 401}
     frame = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, score double")
@@ -78,11 +78,28 @@ def test_query_counts_every_word_and_pair(spark, tmp_path, monkeypatch):
     ids.write.parquet(f"{tmp_path}/labels.parquet")
     order = lambda r: (r[0] is None, r[0], r[1])
     want = sorted(slow_scores(rows, targets), key=order)
-    for bits in (0, 18):
-        monkeypatch.setattr(C, "HEAVY_BITS", bits, raising=False)
-        got = sorted(map(tuple, C.query(spark, tmp_path).collect()), key=order)
-        for a, b in zip(got, want, strict=True):
-            assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-5)
+    got = sorted(map(tuple, C.query(spark, tmp_path).collect()), key=order)
+    for a, b in zip(got, want, strict=True):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-5)
+
+
+@pytest.mark.parametrize("block, cell, least", [(1, 1, 1), (7, 100, 3), (1 << 20, 1 << 21, 1)])
+def test_sizes_of_blocks_and_cells_change_nothing(spark, block, cell, least):
+    rows, targets = docs(), set(range(20))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ids = spark.createDataFrame([(i,) for i in targets], "doc_id long")
+    sizes = {"block_tokens": block, "cell_tokens": cell, "least_cells": least}
+    order = lambda r: (r[0] is None, r[0], r[1])
+    got = sorted(map(tuple, C.exact_scores(frame, ids, **sizes).collect()), key=order)
+    for a, b in zip(got, sorted(slow_scores(rows, targets), key=order), strict=True):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-9)
+
+
+def test_carried_columns(spark):
+    frame = spark.createDataFrame([(1, "a b", [1, None], "x"), (2, None, None, None)], "doc_id long, text string, n array<int>, `n.tokens` string")
+    got = C.exact_scores(frame, frame.select("doc_id"), carry=("n.tokens", "n", "doc_id")).orderBy("doc_id").collect()
+    assert [tuple(r[:4]) for r in got] == [("x", [1, None], 1, 2), (None, None, 2, 0)]
+    assert tuple(got[1][4:]) == (0.0, 0.0, 0.0)
 
 
 def test_exact_scores_of_no_documents(spark):
