@@ -17,10 +17,11 @@ table, whole, and are exact: every word and every pair is counted, so what is ga
 grows with the corpus. No row is made for a pair:
 
 * each task packs its texts into blocks of about ``BLOCK_TOKENS`` tokens, which are stored:
-  the block's words, and each token as a number among them;
+  the block's words, and each token as a number among them, the most frequent first;
+* ids of the targets are looked up by narrow rows (id, block, place), so no text travels;
 * a block sends its different pairs and words, sorted, as packed lists of hashes and counts,
   one list for each of the cells that the hash space is cut into;
-* the lists of a cell meet in one task and are added up, and each list gets its totals back
+* the lists, with the counts of both models, of a cell meet in one task and are added up, and each list gets its totals back
   in its own order, so a pair that stands once in the corpus costs a few bytes on the way
   and next to none on the way back;
 * a stored block and its totals meet again and give the losses of its texts.
@@ -52,6 +53,7 @@ from pyspark.sql.types import StructType
 
 from kohorta.llm.frames import arrow_limits
 from kohorta.llm.wordbytes import Block, mix, text_blocks
+from kohorta.operators.skew import salted_join
 from kohorta.session import cut_lineage
 
 MASS = 50.0
@@ -59,11 +61,9 @@ START = np.uint64(0x5374617274)
 BLOCK_TOKENS, CELL_TOKENS, LEAST_CELLS = 1 << 20, 1 << 21, 64
 
 BLOCK = "block long, n long, words binary, tokens binary, sizes binary, carried binary"
-LIST = "block long, cell long, target boolean, pairs binary, n binary, words binary, o binary, c binary"
-TOTAL = (
-    "block long, cell long, nb binary, nt binary, ob binary, ot binary, cb binary, ct binary, "
-    "vocabulary long, all_b long, all_t long"
-)
+COUNTS = ["nb", "nt", "ob", "ot", "cb", "ct"]
+LIST = "block long, cell long, pairs binary, words binary, " + ", ".join(f"{c} binary" for c in COUNTS)
+TOTAL = "block long, cell long, " + ", ".join(f"{c} binary" for c in COUNTS) + ", vocabulary long, all_b long, all_t long"
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -85,21 +85,18 @@ def _unpack_sorted(packed: pa.Scalar) -> np.ndarray:
     return np.cumsum(_unpack(packed), dtype=np.uint64)
 
 
+def _carried(packed: pa.Scalar) -> pa.Table:
+    with pa.ipc.open_stream(packed.as_py()) as stream:
+        return stream.read_all()
+
+
 def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
     names, types = zip(*(f.split(" ") for f in schema.split(", ")), strict=True)
     columns = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], names=list(names))
 
 
-def _chosen(docs: DataFrame, targets: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """Texts ``t`` of the rows of ``docs`` whose id is in ``targets(doc_id)``."""
-    ids = cut_lineage(targets.select(F.col("doc_id").alias("__target")).dropna().distinct(), "cross-entropy-targets")
-    return docs.select(F.col(f"`{doc_id}`").alias("__own"), F.col(f"`{text}`").alias("t")).join(
-        ids.filter("__target >= 0 OR __target < 0").hint("merge"), F.col("__own") == F.col("__target")
-    )
-
-
 def word_blocks(texts: DataFrame, carry: list[str], block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Texts ``t`` packed into blocks: hashes of the words, number of each token's word, tokens of each text.
 
@@ -108,14 +105,17 @@ def word_blocks(texts: DataFrame, carry: list[str], block_tokens: int = BLOCK_TO
 
     def packed(held, number) -> pa.RecordBatch:
         hashes = np.concatenate([h for h, _, _ in held])
-        words, tokens = np.unique(np.append(hashes, START), return_inverse=True)
+        words, tokens, n = np.unique(np.append(hashes, START), return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, held[0][2].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             for _, _, rows in held:
                 out.write_batch(rows)
         sizes = np.concatenate([s for _, s, _ in held])
         block = (TaskContext.get().partitionId() << 33) + number
-        row = (block, len(hashes), _pack_sorted(words), _pack(tokens[:-1]), _pack(sizes), sink.getvalue().to_pybytes())
+        row = (block, len(hashes), _pack(words[order]), _pack(rank[tokens[:-1]]), _pack(sizes), sink.getvalue().to_pybytes())
         return _batch(BLOCK, [row])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,12 +136,36 @@ def word_blocks(texts: DataFrame, carry: list[str], block_tokens: int = BLOCK_TO
     return texts.select(F.col("t").cast("string"), *carry).mapInArrow(run, BLOCK)
 
 
+def target_places(blocks: DataFrame, targets: DataFrame) -> DataFrame:
+    """``block, places``: where in each block the texts of ``targets(doc_id)`` stand; stored.
+
+    The first carried column is the id.
+    """
+    kind = targets.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, carried in zip(*batch.columns, strict=True):
+                ids = _carried(carried).column(0).combine_chunks()
+                columns = [pa.array(np.full(len(ids), block.as_py())), pa.array(np.arange(len(ids))), ids]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "place", "id"])
+
+    ids = blocks.select("block", "carried").mapInArrow(run, f"block long, place long, id {kind}").dropna()
+    wanted = targets.select(F.col("doc_id").alias("id")).dropna().distinct()
+    found = salted_join(ids, wanted, "id", "inner").groupBy("block").agg(F.collect_list("place").alias("places"))
+    return cut_lineage(found, "cross-entropy-targets")
+
+
 class Texts:
-    """Words, tokens and pairs of one stored block; ``before`` and ``now`` are numbers of words."""
+    """Words, tokens and pairs of one stored block; ``before`` and ``now`` are numbers of sorted words."""
 
     def __init__(self, words: pa.Scalar, tokens: pa.Scalar, sizes: pa.Scalar):
-        self.words, self.sizes = _unpack_sorted(words), _unpack(sizes).astype(np.int64)
-        self.now = _unpack(tokens).astype(np.int64)
+        ranked = _unpack(words)
+        order = np.argsort(ranked)
+        at = np.empty_like(order)
+        at[order] = np.arange(len(order))
+        self.words, self.sizes = ranked[order], _unpack(sizes).astype(np.int64)
+        self.now = at[_unpack(tokens).astype(np.int64)]
         self.before = np.empty_like(self.now)
         self.before[1:] = self.now[:-1]
         self.before[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = np.searchsorted(self.words, START)
@@ -154,52 +178,55 @@ def _cells_of(keys: np.ndarray, cells: int) -> np.ndarray:
     return np.searchsorted(cell, np.arange(cells + 1, dtype=np.uint64))
 
 
-def cell_lists(blocks: DataFrame, cells: int, target: bool) -> DataFrame:
-    """A block's different pairs and words with their counts, cell by cell."""
+def cell_lists(blocks: DataFrame, cells: int) -> DataFrame:
+    """A block's different pairs and words with their counts in all texts and in targets, cell by cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, *packed in zip(*batch.columns, strict=True):
+            for block, places, *packed in zip(*batch.columns, strict=True):
                 texts = Texts(*packed)
-                pairs, n = np.unique(texts.pairs, return_counts=True)
-                o, c = (np.bincount(x, minlength=len(texts.words)) for x in (texts.now, texts.before))
+                target = np.zeros(len(texts.sizes), bool)
+                target[places.as_py() or []] = True
+                target = np.repeat(target, texts.sizes)
+                pairs, pair = np.unique(texts.pairs, return_inverse=True)
+                counts = [
+                    np.bincount(x[some], minlength=size)
+                    for x, size in ((pair, len(pairs)), (texts.now, len(texts.words)), (texts.before, len(texts.words)))
+                    for some in (slice(None), target)
+                ]
                 at, to = _cells_of(pairs, cells), _cells_of(texts.words, cells)
                 rows = []
                 for cell in np.flatnonzero((np.diff(at) > 0) | (np.diff(to) > 0)).tolist():
                     p, w = slice(at[cell], at[cell + 1]), slice(to[cell], to[cell + 1])
-                    lists = _pack_sorted(pairs[p]), _pack(n[p]), _pack_sorted(texts.words[w]), _pack(o[w]), _pack(c[w])
-                    rows.append((block.as_py(), cell, target, *lists))
+                    lists = [_pack(x[of]) for x, of in zip(counts, (p, p, w, w, w, w), strict=True)]
+                    rows.append((block.as_py(), cell, _pack_sorted(pairs[p]), _pack_sorted(texts.words[w]), *lists))
                     if len(rows) == 256:
                         yield _batch(LIST, rows)
                         rows = []
                 if rows:
                     yield _batch(LIST, rows)
 
-    return blocks.select("block", "words", "tokens", "sizes").mapInArrow(run, LIST)
+    return blocks.select("block", "places", "words", "tokens", "sizes").mapInArrow(run, LIST)
 
 
 def _add_up(table: pa.Table) -> pa.Table:
-    """Totals of one cell in the order of each background list; corpus sums stand in its first row."""
-    target = table["target"].to_numpy()
+    """Totals of one cell in the order of each list; corpus sums stand in its first row."""
 
     def totals(keys: str, counts: list[str]):
         lists = [_unpack_sorted(x) for x in table[keys]]
         edge = np.cumsum([0, *map(len, lists)])
         found, place = np.unique(np.concatenate(lists), return_inverse=True)
-        side = np.repeat(target, np.diff(edge))
-        sums = []
-        for name in counts:
-            values = np.concatenate([_unpack(x) for x in table[name]]).astype(np.float64)
-            sums += [np.bincount(place, values * (side == of), minlength=len(found)) for of in (False, True)]
+        sums = [np.bincount(place, np.concatenate([_unpack(x) for x in table[c]]), len(found)) for c in counts]
         return edge, place, sums
 
-    pair_edge, pair, (nb, nt) = totals("pairs", ["n"])
-    word_edge, word, (ob, ot, cb, ct) = totals("words", ["o", "c"])
+    pair_edge, pair, pair_sums = totals("pairs", COUNTS[:2])
+    word_edge, word, word_sums = totals("words", COUNTS[2:])
+    ob, ot = word_sums[:2]
     rows = []
-    for i in np.flatnonzero(~target):
+    for i in range(table.num_rows):
         p, w = pair[pair_edge[i] : pair_edge[i + 1]], word[word_edge[i] : word_edge[i + 1]]
-        sums = ((ob > 0).sum(), ob.sum(), ot.sum()) if not rows else (0, 0, 0)
-        packed = [_pack(x[at]) for x, at in ((nb, p), (nt, p), (ob, w), (ot, w), (cb, w), (ct, w))]
+        packed = [_pack(x[p]) for x in pair_sums] + [_pack(x[w]) for x in word_sums]
+        sums = (0, 0, 0) if i else ((ob > 0).sum(), ob.sum(), ot.sum())
         rows.append((table["block"][i].as_py(), table["cell"][i].as_py(), *packed, *map(int, sums)))
     return pa.Table.from_batches([_batch(TOTAL, rows)])
 
@@ -209,13 +236,14 @@ def exact_scores(
     block_tokens: int = BLOCK_TOKENS, cell_tokens: int = CELL_TOKENS, least_cells: int = LEAST_CELLS,
 ) -> DataFrame:
     """``score`` of all rows of ``docs`` by exact counts of ``docs`` and of its ``targets(doc_id)``."""
-    places = [f"c{i}" for i in range(len(carry))]
-    rows = docs.select(F.col(f"`{text}`").alias("t"), *[F.col(f"`{c}`").alias(p) for c, p in zip(carry, places, strict=True)])
-    blocks = cut_lineage(word_blocks(rows, places, block_tokens), "cross-entropy-blocks")
+    names = [f"c{i}" for i in range(len(carry))]
+    kind = targets.schema["doc_id"].dataType
+    own = [F.col(f"`{c}`").alias(name) for c, name in zip(carry, names, strict=True)]
+    rows = docs.select(F.col(f"`{text}`").alias("t"), F.col(f"`{doc_id}`").cast(kind).alias("id"), *own)
+    blocks = cut_lineage(word_blocks(rows, ["id", *names], block_tokens), "cross-entropy-blocks")
     tokens = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     cells = max(least_cells, -(-tokens // cell_tokens))
-    chosen = word_blocks(_chosen(docs, targets, text, doc_id), [], block_tokens)
-    lists = cell_lists(blocks, cells, False).unionAll(cell_lists(chosen, cells, True))
+    lists = cell_lists(blocks.join(target_places(blocks, targets), "block", "left"), cells)
     totals = cut_lineage(lists.groupBy("cell").applyInArrow(_add_up, TOTAL), "cross-entropy-totals")
     corpus = totals.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("vocabulary", "all_b", "all_t")]).first()
     vocabulary, all_b, all_t = map(int, corpus)
@@ -236,17 +264,16 @@ def exact_scores(
             loss = np.log(of(c) + MASS)[texts.before] - np.log(of(n)[pair] + p[texts.now])
             losses.append(np.bincount(doc, loss, minlength=len(texts.sizes)) / np.maximum(texts.sizes, 1))
         target, background = losses
-        with pa.ipc.open_stream(own["carried"][0].as_py()) as stream:
-            made = stream.read_all()
+        made = _carried(own["carried"][0]).drop_columns(["id"])
         values = (texts.sizes, target, background, background - target)
         for name, value in zip(("n_tokens", "target_loss", "background_loss", "score"), values, strict=True):
             made = made.append_column(name, pa.array(value))
         return made
 
-    kept = StructType([rows.schema[p] for p in places])
+    kept = StructType([rows.schema[name] for name in names])
     made = StructType.fromDDL("n_tokens long, target_loss double, background_loss double, score double")
     scored = blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(score, StructType(kept.fields + made.fields))
-    return scored.select(*[F.col(p).alias(c) for c, p in zip(carry, places, strict=True)], *made.names)
+    return scored.select(*[F.col(name).alias(c) for c, name in zip(carry, names, strict=True)], *made.names)
 
 
 def query(spark, folder):
