@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -360,6 +361,50 @@ def evaluate_classifier(spark, folder):
     return C.evaluate(model, examples.filter("part = 'test'").drop("predicted"))
 
 
+def _stored_classifier(spark, folder):
+    """All examples, the classifier as trained, and the same one saved and loaded."""
+    examples = C.split_examples(I.labelled(spark, folder).drop("predicted"))
+    fitted = C.train_classifier(examples.filter("part = 'train'"))
+    path = scratch_path(spark, "classifier")
+    C.save_classifier(fitted, path)
+    return examples, fitted, C.load_classifier(path)
+
+
+def classifier_gradient(spark, folder):
+    """Largest gradient of the training loss at the stored weights, by 1,024 features; bias last."""
+    examples, _, loaded = _stored_classifier(spark, folder)
+    train = examples.filter("part = 'train'")
+    size = np.abs(C.loss_gradient(loaded, train))
+    parts = [*size[:-1].reshape(-1, 1024).max(axis=1), size[-1]]
+    blocks = spark.createDataFrame([(i, float(x)) for i, x in enumerate(parts)], "block bigint, gradient double")
+    return _rounded(blocks.withColumn("examples", F.lit(train.count()).cast("bigint")), "gradient")
+
+
+def reload_classifier(spark, folder):
+    """Whether the loaded classifier gives every document what the trained one gives it."""
+    _, fitted, loaded = _stored_classifier(spark, folder)
+    documents = I.documents(spark, folder).select(F.col("doc_id").alias("id"), "text")
+    before = C.classify(documents, fitted).select("id", "text", F.struct("p0", "p1", "personal").alias("before"))
+    after = C.classify(before, loaded)
+    return after.select("id", (F.col("before") == F.struct("p0", "p1", "personal")).alias("same"))
+
+
+def evaluate_stored(spark, folder):
+    """Metrics of the test part beside those worked out from stored predictions."""
+    examples, fitted, loaded = _stored_classifier(spark, folder)
+    test = examples.filter("part = 'test'")
+    stored = cut_lineage(C.classify(test, loaded).select("id", "label", "personal"), "predictions")
+    again = stored.agg(
+        F.count("*").alias("examples"), F.sum("label").alias("positives"),
+        F.avg((F.col("label") == F.col("personal")).cast("int")).alias("right"),
+        (2 * F.sum(F.col("label") * F.col("personal")) / F.sum(F.col("label") + F.col("personal"))).alias("both"),
+    )
+    found = C.evaluate(fitted, test).first()
+    near = (F.abs(F.col("right") - found.accuracy) < 1e-9) & (F.abs(F.coalesce("both", F.lit(0.0)) - found.f1) < 1e-9)
+    counted = F.lit(found.tp + found.fp + found.fn + found.tn).cast("bigint")
+    return again.select("examples", "positives", counted.alias("counted"), near.alias("agrees"))
+
+
 def _trained(spark, folder):
     """Epochs of mini-batch training, and all examples."""
     examples = C.split_examples(I.labelled(spark, folder).drop("predicted"))
@@ -574,7 +619,7 @@ QUERIES = [
     expand_contractions, tokenize_post, normalize_token, normalize_post, keyword_track, study_track,
     apply_translations, translate_texts, filter_lang, label_counts, distinct_users, sample_head, day_normalise,
     split_examples, binary_metrics, softmax_class, select_authors, train_and_classify,
-    evaluate_classifier, epoch_losses, validate_epochs, choose_candidate, network_classes, embed_tfidf, score_texts, predicate_scan, append_sink,
+    evaluate_classifier, classifier_gradient, reload_classifier, evaluate_stored, epoch_losses, validate_epochs, choose_candidate, network_classes, embed_tfidf, score_texts, predicate_scan, append_sink,
     csv_period_table, labelled_csv, timeline_to_intervals, stream_ingest, stream_ingest_horizon,
     stream_first_copies, rejected_messages,
 ]

@@ -446,6 +446,13 @@ def oracle_sql() -> dict[str, str]:
             FROM events""",
         "split_examples": f"SELECT doc_id AS id, {_PART} AS part FROM labels",
         "binary_metrics": _METRICS,
+        "classifier_gradient": f"""WITH part AS (SELECT {_PART} AS part FROM labels JOIN documents USING (doc_id))
+            SELECT block, 0.0::DOUBLE AS gradient, (SELECT count(*) FROM part WHERE part = 'train') AS examples
+            FROM generate_series(0, 64) AS g(block)""",
+        "reload_classifier": "SELECT doc_id AS id, TRUE AS same FROM documents",
+        "evaluate_stored": f"""SELECT count(*) AS examples, sum(quality)::BIGINT AS positives, count(*) AS counted,
+            TRUE AS agrees FROM (SELECT quality, {_PART} AS part FROM labels JOIN documents USING (doc_id))
+            WHERE part = 'test'""",
         "softmax_class": """WITH h AS (SELECT vec_id AS id,
             list_reduce(CAST(embedding[1:32] AS DOUBLE[]), lambda x, y: x + y) AS a,
             list_reduce(CAST(embedding[33:64] AS DOUBLE[]), lambda x, y: x + y) AS b FROM embeddings),

@@ -32,6 +32,38 @@ def test_split_is_disjoint_and_stable(spark):
     assert parts.exceptAll(again).count() == 0
 
 
+def _regularised_loss(model, rows, step, at):
+    """Training loss in NumPy with ``step`` added to weight ``at``; -1 is the bias."""
+    y, x = np.array([r.label for r in rows]), np.array([r.features.toArray() for r in rows])
+    w, bias = model.stages[-1].coefficients.toArray().copy(), model.stages[-1].intercept
+    if at < 0:
+        bias += step
+    else:
+        w[at] += step
+    z = x @ w + bias
+    spread = x.var(axis=0, ddof=1)
+    return np.mean(np.logaddexp(0, z) - y * z) + model.stages[-1].getRegParam() / 2 * np.sum(spread * w**2)
+
+
+def test_gradient_is_zero_where_training_ends(spark, examples):
+    model = C.train_classifier(examples, features=1 << 8)
+    assert np.abs(C.loss_gradient(model, examples)).max() < 1e-5
+    other = examples.filter("id < 45").withColumn("label", (F.col("id") % 3 == 0).cast("int"))
+    gradient = C.loss_gradient(model, other)
+    rows = model.transform(C.with_normal_text(other)).collect()
+    assert np.abs(gradient).max() > 1e-2
+    for at in (-1, *np.argsort(-np.abs(gradient[:-1]))[:3].tolist(), 0):
+        slope = (_regularised_loss(model, rows, 1e-5, at) - _regularised_loss(model, rows, -1e-5, at)) / 2e-5
+        assert gradient[at] == pytest.approx(slope, abs=1e-6)
+
+
+def test_gradient_without_a_class_or_rows(spark, examples):
+    model = C.train_classifier(examples, features=1 << 8)
+    assert not C.loss_gradient(model, examples.limit(0)).any()
+    only = C.loss_gradient(model, examples.filter("label = 0"))
+    assert np.isfinite(only).all() and only[-1] > 0
+
+
 def test_train_save_load_classify(spark, examples):
     model = C.train_classifier(examples, features=1 << 12)
     path = scratch_path(spark, "model")
