@@ -32,7 +32,7 @@ number only. A block names each pair once, so a frequent pair is no hot key.
 Defined results:
 
 * null or empty text: no tokens, losses and score 0;
-* null ``doc_id``: scored like any other; repeated rows get equal scores, and count as
+* null ``doc_id``, or one that the targets' type cannot hold: scored like any other, no target; repeated rows get equal scores, and count as
   often as they stand in the table;
 * no target text: the target model is uniform over the vocabulary;
 * empty table: empty result;
@@ -239,7 +239,7 @@ def exact_scores(
     names = [f"c{i}" for i in range(len(carry))]
     kind = targets.schema["doc_id"].dataType
     own = [F.col(f"`{c}`").alias(name) for c, name in zip(carry, names, strict=True)]
-    rows = docs.select(F.col(f"`{text}`").alias("t"), F.col(f"`{doc_id}`").cast(kind).alias("id"), *own)
+    rows = docs.select(F.col(f"`{text}`").alias("t"), F.col(f"`{doc_id}`").try_cast(kind).alias("id"), *own)
     blocks = cut_lineage(word_blocks(rows, ["id", *names], block_tokens), "cross-entropy-blocks")
     tokens = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     cells = max(least_cells, -(-tokens // cell_tokens))

@@ -95,6 +95,14 @@ def test_sizes_of_blocks_and_cells_change_nothing(spark, block, cell, least):
         assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-9)
 
 
+def test_ids_of_another_type(spark):
+    frame = spark.createDataFrame([("1", "a b"), ("x", "a c"), (None, "d")], "doc_id string, text string")
+    got = C.exact_scores(frame, spark.createDataFrame([(1,), (None,)], "doc_id long")).collect()
+    want = slow_scores([(1, "a b"), ("x", "a c"), (None, "d")], {1})
+    for a, b in zip(sorted(got, key=lambda r: str(r.doc_id)), sorted(want, key=lambda r: str(r[0])), strict=True):
+        assert tuple(a[1:]) == pytest.approx(b[1:], abs=1e-9)
+
+
 def test_carried_columns(spark):
     frame = spark.createDataFrame([(1, "a b", [1, None], "x"), (2, None, None, None)], "doc_id long, text string, n array<int>, `n.tokens` string")
     got = C.exact_scores(frame, frame.select("doc_id"), carry=("n.tokens", "n", "doc_id")).orderBy("doc_id").collect()
