@@ -37,13 +37,22 @@ def latest_per_user(posts: DataFrame, n: int = 3240) -> DataFrame:
     )
 
 
-def build_timelines(posts: DataFrame, users: DataFrame, n: int = 3240) -> DataFrame:
+def build_timelines(
+    posts: DataFrame, users: DataFrame, n: int = 3240, texts: DataFrame | None = None, key: str = "text_id"
+) -> DataFrame:
     """Timelines of selected users: latest ``n`` posts each, reposts left out.
 
-    The posts of the users are stored first, so all posts are read once.
+    The posts of the users are stored first, so all posts are read once. Texts that are
+    kept apart, as ``texts(key, text, …)``, are fetched for the latest posts alone; a post
+    whose text is not there does not count among them.
     """
+    if texts is not None:
+        posts = posts.join(texts.select(key), key, "left_semi")
     own = cut_lineage(P.posts_of(posts, users), "author-posts")
-    return P.drop_reposts(latest_per_user(own, n))
+    latest = latest_per_user(own, n)
+    if texts is not None:
+        latest = latest.join(texts, key).drop(key)
+    return P.drop_reposts(latest)
 
 
 def clean_text(

@@ -184,9 +184,9 @@ def latest_per_user_paged(spark, folder):
 
 
 def build_timelines(spark, folder):
-    posts = I.text_posts(spark, folder)
+    posts, texts = I.posts_and_texts(spark, folder)
     users = P.keep_existing(P.distinct_users(posts), _directory(spark, folder))
-    return L.build_timelines(posts, users, 20).select("user_id", "id", F.length("text").alias("n"))
+    return L.build_timelines(posts, users, 20, texts).select("user_id", "id", F.length("text").alias("n"))
 
 
 def _directory(spark, folder):

@@ -106,12 +106,12 @@ def posts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def text_posts(spark: SparkSession, folder: str) -> DataFrame:
-    """Posts with a text but without scores."""
-    texts = decorated(spark, folder).withColumnRenamed("id", "doc_id")
+def posts_and_texts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Posts without scores, and apart from them the texts that they name by ``text_id``."""
+    texts = decorated(spark, folder).withColumnRenamed("id", "text_id")
     size = table(spark, folder, "documents").agg(F.count("*")).scalar()
     events = table(spark, folder, "events").select("user_id", F.col("event_id").alias("id"))
-    return events.withColumn("doc_id", F.col("id") % size).join(texts, "doc_id").drop("doc_id")
+    return events.withColumn("text_id", F.col("id") % size), texts
 
 
 def raw_posts(spark: SparkSession, folder: str) -> DataFrame:

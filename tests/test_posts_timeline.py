@@ -5,6 +5,7 @@ import pytest
 from conftest import executed_plan
 from pyspark.sql import functions as F
 
+from kohorta import session
 from kohorta.operators import posts as P
 from kohorta.operators import timeline as L
 from kohorta.operators.skew import salted_join, top_n
@@ -97,6 +98,20 @@ def test_build_timelines_counts_reposts_before_dropping_them(spark):
     assert ids(L.build_timelines(posts, users, 2)) == [3]
 
 
+def test_build_timelines_fetches_texts_of_the_latest_posts_alone(spark):
+    """Texts kept apart: absent ones do not count, repeated ones repeat, and none is stored."""
+    rows = [(1, 1, 10), (1, 2, 11), (1, 3, 12), (1, 4, 99), (1, 5, None), (2, 9, 10)]
+    posts = spark.createDataFrame(rows, "user_id int, id int, text_id int")
+    texts = spark.createDataFrame([(10, "old"), (11, "twice"), (11, "twice"), (12, "RT @x")], "text_id int, text string")
+    users = spark.createDataFrame([(1,)], "user_id int")
+    first = len(session._scratch)
+    out = L.build_timelines(posts, users, 2, texts)
+    assert sorted(map(tuple, out.collect())) == sorted(
+        map(tuple, L.build_timelines(posts.join(texts, "text_id").drop("text_id"), users, 2).collect())
+    ) == [(1, 2, "twice"), (1, 2, "twice")]
+    assert "text" not in spark.read.parquet(session._scratch[first]).columns
+
+
 def test_semi_and_anti_joins(spark):
     users = spark.createDataFrame([(1,), (2,)], "user_id int")
     known = spark.createDataFrame([(2,), (2,), (3,)], "user_id int")
