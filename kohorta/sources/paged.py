@@ -17,20 +17,27 @@ The service is a client with three methods (``Client``); it is named by ``client
 timelines stored as Parquet and is what the registered query reads.
 
 Users come from ``client.ranges()``, not from the driver: a range is a small value that a
-task resolves itself. A user is in one range; a timeline of any length costs its task one
-page of memory. Ids must grow with time.
+task resolves itself. A user is in one range; a timeline of any length costs its task a
+batch of pages (and, from ``StoredPages``, a row group of each file of its range) in memory.
+Ids must grow with time.
 """
 
 from __future__ import annotations
 
+import heapq
 import importlib
 import time
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset as ds
 import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
@@ -48,6 +55,8 @@ from pyspark.sql.datasource import (
 )
 
 PAGE, LATEST, RETRIES = 200, 3240, 3
+#: Pages go on together once they hold so many rows or bytes.
+BATCH_ROWS, BATCH_BYTES = 4096, 8 << 20
 
 
 class Client(Protocol):
@@ -70,16 +79,82 @@ class Unavailable(Exception):
     """A call that may succeed when it is repeated."""
 
 
+class _SortedFile:
+    """Rows of a file sorted by user and descending id; one row group is held at a time."""
+
+    NONE = -(1 << 63)
+
+    def __init__(self, source):
+        self.file = pq.ParquetFile(source)
+        meta = self.file.metadata
+        columns = self.file.schema_arrow.names
+        at = {name: columns.index(name) for name in ("user_id", "id")}
+        groups = [meta.row_group(g) for g in range(meta.num_row_groups)]
+
+        def bounds(name, which):
+            found = [group.column(at[name]).statistics for group in groups]
+            return [getattr(s, which) if s is not None and s.has_min_max else self.NONE for s in found]
+
+        # Null users come first and null ids last, as the lowest values do.
+        self.first, self.last, self.lowest = bounds("user_id", "min"), bounds("user_id", "max"), bounds("id", "min")
+        self.held: tuple[int, pa.Table, np.ndarray, np.ndarray] | None = None
+
+    def users(self) -> Iterator[int]:
+        """Each user once, ascending."""
+        before = None
+        for g in range(len(self.first)):
+            found = self.file.read_row_group(g, columns=["user_id"]).column(0).unique().to_pylist()
+            yield from (u for u in found if u is not None and u != before)
+            before = found[-1] if found else before
+
+    def _group(self, g: int) -> tuple[int, pa.Table, np.ndarray, np.ndarray]:
+        if self.held is None or self.held[0] != g:
+            self.held = None
+            rows = self.file.read_row_group(g)
+            rows = rows.filter(rows["user_id"].is_valid())
+            users, ids = (pc.fill_null(rows[c].cast(pa.int64()), self.NONE).to_numpy() for c in ("user_id", "id"))
+            self.held = g, rows, users, ids
+        return self.held
+
+    def page(self, user: int, count: int, below: int | None, above: int | None) -> list[pa.Table]:
+        """The first ``count`` rows of a user within the bounds; a null id is within none."""
+        g, end = bisect_left(self.last, user), bisect_right(self.first, user)
+        if below is not None and end - g > 2:
+            # Row groups inside hold nobody else; those wholly above the bound are not read.
+            inside = bisect_left(range(g + 1, end - 1), -below, key=lambda k: -self.lowest[k])
+            g += 1 + inside if inside else 0
+        out = []
+        while count > 0 and g < end:
+            _, rows, users, ids = self._group(g)
+            low, high = np.searchsorted(users, user, "left"), np.searchsorted(users, user, "right")
+            down = ~ids[low:high]
+            high = low + (np.searchsorted(down, ~above, "left") if above is not None else len(down))
+            if below is not None:
+                if above is None:
+                    high = low + np.searchsorted(down, ~self.NONE, "left")
+                low += np.searchsorted(down, ~below, "left")
+            part = rows.slice(int(low), int(max(0, min(high - low, count))))
+            out.append(part)
+            count -= part.num_rows
+            g += 1
+        return out
+
+
 class StoredPages:
-    """Posts stored by ``store_pages``: a folder for each range, sorted by user and id."""
+    """Posts stored by ``store_pages``: a folder for each range, sorted by user and id.
+
+    A page is found by search in a row group, which serves its users one after another, so
+    the users of a range, asked in order, read it once.
+    """
 
     def __init__(self, options: dict):
         self.files, root = pyarrow.fs.FileSystem.from_uri(_uri(options["path"]))
         self.root, self._open = root, {}
 
-    def _range(self, name: str) -> ds.Dataset:
+    def _range(self, name: str) -> list[_SortedFile]:
         if name not in self._open:
-            self._open = {name: ds.dataset(f"{self.root}/range={name}", filesystem=self.files, format="parquet")}
+            paths = ds.dataset(f"{self.root}/range={name}", filesystem=self.files, format="parquet").files
+            self._open = {name: [_SortedFile(self.files.open_input_file(p)) for p in paths]}
         return self._open[name]
 
     def ranges(self) -> list[str]:
@@ -87,22 +162,15 @@ class StoredPages:
         return sorted(f.base_name.removeprefix("range=") for f in found if f.base_name.startswith("range="))
 
     def users(self, name: str) -> Iterable[int]:
-        seen: set[int] = set()
-        for batch in self._range(name).to_batches(columns=["user_id"]):
-            new = [u for u in batch.column(0).unique().to_pylist() if u not in seen]
-            seen.update(new)
-            yield from new
+        return (user for user, _ in groupby(heapq.merge(*[f.users() for f in self._range(name)])))
 
     def page(self, user: int, count: int, below: int | None, above: int | None) -> pa.Table:
-        wanted = ds.field("user_id") == user
-        if below is not None:
-            wanted &= ds.field("id") <= below
-        if above is not None:
-            wanted &= ds.field("id") > above
-        (name,) = self._open
-        # Each file is sorted, so its first rows are its newest.
-        newest = [part.head(count, filter=wanted) for part in self._range(name).get_fragments()]
-        return pa.concat_tables(newest).sort_by([("id", "descending")]).slice(0, count)
+        (parts,) = self._open.values()
+        found = [p.page(user, count, below, above) for p in parts]
+        newest = pa.concat_tables([t for one in found for t in one] or [parts[0].file.schema_arrow.empty_table()])
+        if sum(map(bool, found)) > 1:
+            newest = newest.sort_by([("id", "descending")])
+        return newest.slice(0, count)
 
     def newest(self) -> int | None:
         whole = ds.dataset(self.root, filesystem=self.files, format="parquet", partitioning="hive")
@@ -152,9 +220,10 @@ def timeline(client: Client, user: int, n: int | None, page: int, below: int | N
         got = asked(client.page, user, count, below, above)
         if got.num_rows:
             yield got
-        if got.num_rows < count:
+        last = got.column("id")[got.num_rows - 1].as_py() if got.num_rows == count else None
+        if last is None:
             return
-        below = got.column("id")[got.num_rows - 1].as_py() - 1
+        below = last - 1
         left = None if left is None else left - got.num_rows
 
 
@@ -168,10 +237,17 @@ class _Pages:
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         client = _client(self.options)
+        held, rows, size = [], 0, 0
         for user in client.users(part.name):
             if self.users is None or user in self.users:
                 for page in timeline(client, user, self.n, self.page, part.below, part.above):
-                    yield from page.select(self.names).to_batches()
+                    held.append(page.select(self.names))
+                    rows, size = rows + page.num_rows, size + held[-1].nbytes
+                    if rows >= BATCH_ROWS or size >= BATCH_BYTES:
+                        yield from pa.concat_tables(held).combine_chunks().to_batches()
+                        held, rows, size = [], 0, 0
+        if held:
+            yield from pa.concat_tables(held).combine_chunks().to_batches()
 
 
 class TimelineReader(_Pages, DataSourceReader):

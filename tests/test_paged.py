@@ -146,3 +146,37 @@ def test_stored_pages(spark):
     page = client.page(1, 2, 250, None)
     assert isinstance(page, pa.Table) and page.column("id").to_pylist() == [201, 101]
     assert client.page(1, 9, None, 300).column("id").to_pylist() == [401, 301]
+
+
+def test_a_row_group_is_read_once_for_all_its_users(spark, monkeypatch):
+    """Calls for users in order read each row group once, however many users it holds."""
+    rows = [(None, 7, "nobody"), *sample(300, 40)]
+    client = S.StoredPages({"path": stored(spark, rows, ranges=1)})
+    files = client._range("0")
+    read, plain = [], S.pq.ParquetFile.read_row_group
+    monkeypatch.setattr(
+        S.pq.ParquetFile, "read_row_group", lambda self, g, *a, **k: read.append((id(self), g)) or plain(self, g, *a, **k)
+    )
+    got = [r for u in client.users("0") for page in S.timeline(client, u, 30, 8, None, None) for r in page.to_pylist()]
+    assert sorted(map(tuple, (r.values() for r in got))) == newest(sample(300, 40), 30)
+    assert len(read) <= 2 * sum(len(f.first) for f in files)
+
+
+def test_pages_of_a_user_of_many_row_groups(spark, tmp_path):
+    """A long timeline over small row groups, from two files, with null ids at its end."""
+    import pyarrow.parquet as pq
+
+    (tmp_path / "range=0").mkdir()
+    for k in (0, 1):
+        ids = [(1, 5), (1, 4)] + [(2, i) for i in range(98 + k, -1, -2)] + [(2, None)] + [(3, 8)]
+        users, numbers = zip(*ids, strict=True)
+        table = pa.table({"user_id": pa.array(users, pa.int64()), "id": pa.array(numbers, pa.int64())})
+        pq.write_table(table, tmp_path / "range=0" / f"{k}.parquet", row_group_size=5)
+    client = S.StoredPages({"path": str(tmp_path)})
+    assert list(client.users("0")) == [1, 2, 3]
+    page = lambda *a: client.page(*a).column("id").to_pylist()
+    assert [page(2, 4, below, None) for below in (None, 50, 2, -1)] == [[99, 98, 97, 96], [50, 49, 48, 47], [2, 1, 0], []]
+    assert page(2, 9, 60, 55) == [60, 59, 58, 57, 56] and page(2, 200, None, 97) == [99, 98]
+    assert page(2, 200, None, None) == [*range(99, -1, -1), None, None] and page(9, 5, None, None) == []
+    walked = [i for t in S.timeline(client, 2, None, 7, None, None) for i in t.column("id").to_pylist()]
+    assert walked == list(range(99, -1, -1))
