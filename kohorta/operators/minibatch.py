@@ -5,15 +5,16 @@ new in each epoch, a rate that rises over the warm-up steps and then falls to ze
 decay of the weights apart from the gradient. Rows are dealt out by a digest of their key to
 shards of about ``shard_rows`` rows; each shard goes through its batches one after another
 from the weights at the start of the epoch, and the weights of all shards, with their moment
-estimates, are averaged by rows. One shard is plain mini-batch training. An epoch is one job;
-what reaches the driver is a model, whose size is fixed.
+estimates, are averaged by rows. One shard is plain mini-batch training. An epoch is one job:
+Spark sorts the rows by shard and order, and a task streams them, holding a model and a
+mini-batch, never a shard. What reaches the driver is a model, whose size is fixed.
 
 The outcome depends on keys, texts, labels and the rule alone, not on how rows are stored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -86,10 +87,12 @@ def margins(values: np.ndarray, offsets: np.ndarray, idf: np.ndarray, w: np.ndar
     return np.bincount(row, w[values] * idf[values], minlength=len(offsets) - 1) + w[-1]
 
 
-def run_batches(lists: list[np.ndarray], labels: np.ndarray, state: np.ndarray, done: int, steps: int, idf: np.ndarray, rule: Rule):
-    """One epoch over rows in order; ``state`` holds weights and both moments. Returns the summed loss."""
+def run_batches(
+    lists: list[np.ndarray], labels: np.ndarray, state: np.ndarray, done: int, steps: int, idf: np.ndarray, rule: Rule, total: float = 0.0
+):
+    """Batches over rows in order; ``state`` holds weights and both moments. Returns the loss added to ``total``."""
     w, m, v = state
-    total, step = 0.0, done
+    step = done
     for at in range(0, len(lists), rule.batch):
         part, y = lists[at : at + rule.batch], labels[at : at + rule.batch]
         step += 1
@@ -110,6 +113,51 @@ def run_batches(lists: list[np.ndarray], labels: np.ndarray, state: np.ndarray,
     return total
 
 
+def list_views(column: pa.Array) -> list[np.ndarray]:
+    """The lists of whole numbers of a column without a copy."""
+    offsets = column.offsets.to_numpy()
+    values = column.values.to_numpy()
+    return [values[i:j] for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def shard_epoch(batches: Iterator[pa.RecordBatch], epoch: int, start: np.ndarray, idf: np.ndarray, rule: Rule) -> Iterator[pa.RecordBatch]:
+    """One epoch of each shard in ``batches(shard, size, label, buckets)``, sorted by shard and order.
+
+    Rows stream by: what is held is the state of one shard, one Arrow batch and the rows that
+    wait for their mini-batch to fill.
+    """
+    shard = None
+
+    def packed():
+        flat = state.ravel() * size
+        parts = [flat[i : i + BLOCK].tobytes() for i in range(0, len(flat), BLOCK)]
+        loss = [total] + [0.0] * (len(parts) - 1)
+        return pa.RecordBatch.from_pydict({"block": np.arange(len(parts)), "part": parts, "loss": loss})
+
+    for batch in batches:
+        homes, sizes, labels = (batch.column(i).to_numpy() for i in range(3))
+        lists = list_views(batch.column(3))
+        edges = [0, *(np.flatnonzero(homes[1:] != homes[:-1]) + 1).tolist(), len(homes)]
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            if i == j:
+                continue
+            if homes[i] != shard:
+                if shard is not None:
+                    yield packed()
+                shard, size, state, total, seen, wait, marks = homes[i], int(sizes[i]), start.copy(), 0.0, 0, [], np.zeros(0)
+            wait, marks = wait + lists[i:j], np.r_[marks, labels[i:j]]
+            each = -(-size // rule.batch)
+            # The last mini-batch of a shard is the only one that may be short.
+            ready = len(wait) if seen + len(wait) == size else len(wait) // rule.batch * rule.batch
+            total = run_batches(
+                wait[:ready], marks[:ready], state, epoch * each + seen // rule.batch, rule.epochs * each, idf, rule, total
+            )
+            # Copies, so that an Arrow batch does not stay for the rows that wait.
+            seen, wait, marks = seen + ready, [x.copy() for x in wait[ready:]], marks[ready:]
+    if shard is not None:
+        yield packed()
+
+
 def train(examples: DataFrame, rule: Rule = Rule(), key: str = "id", column: str = "text") -> Trained:
     """``examples(id, text, label)`` to weights after each epoch."""
     spark = examples.sparkSession
@@ -122,29 +170,24 @@ def train(examples: DataFrame, rule: Rule = Rule(), key: str = "id", column: str
     shards = -(-n // rule.shard_rows)
     shard = F.pmod(F.xxhash64(_digest("key", rule.seed, "shard")), F.lit(shards)).cast("int")
     rows = rows.withColumn("shard", shard)
+    sizes = cut_lineage(rows.groupBy("shard").agg(F.count("*").alias("size")), "minibatch-shards")
+    rows = rows.join(F.broadcast(sizes), "shard")
     idf = spark.sparkContext.broadcast(trained.idf)
     state = np.zeros((3, rule.features + 1))
     for epoch in range(rule.epochs):
         now = spark.sparkContext.broadcast(state)
 
-        def work(table: pa.Table) -> pa.Table:
-            table = table.sort_by([("order", "ascending"), ("key", "ascending")])
-            lists = [np.asarray(x, np.int32) for x in table["buckets"].to_pylist()]
-            each = -(-len(lists) // rule.batch)
-            own = now.value.copy()
-            labels = table["label"].to_numpy()
-            loss = run_batches(lists, labels, own, epoch * each, rule.epochs * each, idf.value, rule)
-            flat = own.ravel() * len(lists)
-            parts = [flat[i : i + BLOCK].tobytes() for i in range(0, len(flat), BLOCK)]
-            return pa.table({"block": np.arange(len(parts)), "part": parts, "loss": [loss] + [0.0] * (len(parts) - 1)})
+        def work(batches: Iterator[pa.RecordBatch], epoch=epoch, now=now) -> Iterator[pa.RecordBatch]:
+            return shard_epoch(batches, epoch, now.value, idf.value, rule)
 
         def add(table: pa.Table) -> pa.Table:
             total = np.sum([np.frombuffer(x, np.float64) for x in table["part"].to_pylist()], axis=0)
             return pa.table({"block": table["block"][:1], "part": [total.tobytes()], "loss": [sum(table["loss"].to_pylist())]})
 
         kind = "block long, part binary, loss double"
-        ordered = rows.withColumn("order", _digest("key", rule.seed, epoch))
-        parts = ordered.groupBy("shard").applyInArrow(work, kind).groupBy("block").applyInArrow(add, kind).collect()
+        ordered = rows.withColumn("order", _digest("key", rule.seed, epoch)).repartition("shard")
+        sorted_rows = ordered.sortWithinPartitions("shard", "order", "key").select("shard", "size", "label", "buckets")
+        parts = sorted_rows.mapInArrow(work, kind).groupBy("block").applyInArrow(add, kind).collect()
         flat = np.concatenate([np.frombuffer(bytes(p["part"]), np.float64) for p in sorted(parts, key=lambda p: p["block"])])
         state = (flat / n).reshape(state.shape)
         trained.weights.append(state[0].copy())

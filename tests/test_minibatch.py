@@ -110,3 +110,36 @@ def metrics(spark, f1):
 def test_choice_and_early_stop(spark, f1, patience, chosen):
     got = M.choose(metrics(spark, f1), patience=patience).filter("chosen").collect()
     assert [r.candidate for r in got] == [chosen]
+
+
+def test_a_shard_streams_through_its_task():
+    """Batches of any size give what the whole shard gives, and no more than a few are held."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    lists = [rng.integers(0, 1 << 10, rng.integers(0, 9)).astype(np.int32) for _ in range(83)]
+    labels, idf, start = rng.integers(0, 2, 83).astype(float), rng.random(1 << 10), rng.random((3, (1 << 10) + 1))
+    homes = np.r_[np.full(50, 4), np.full(33, 9)].astype(np.int32)
+    held = []
+
+    def batches(step):
+        for i in range(0, 83, step):
+            held.append(i)
+            part = slice(i, i + step)
+            size = np.where(homes[part] == 4, 50, 33)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(homes[part]), pa.array(size), pa.array(labels[part]), pa.array(lists[part], pa.list_(pa.int32()))],
+                names=["shard", "size", "label", "buckets"],
+            )
+
+    expected = []
+    for a, b in ((0, 50), (50, 83)):
+        state, each = start.copy(), -(-(b - a) // RULE.batch)
+        loss = M.run_batches(lists[a:b], labels[a:b], state, 2 * each, RULE.epochs * each, idf, RULE)
+        expected.append((loss, (state.ravel() * (b - a)).tobytes()))
+    for step in (1, 7, 8, 50, 83):
+        found = list(M.shard_epoch(batches(step), 2, start, idf, RULE))
+        assert [(f["loss"][0].as_py(), b"".join(f["part"].to_pylist())) for f in found] == expected
+    held.clear()
+    next(M.shard_epoch(batches(1), 2, start, idf, RULE))
+    assert len(held) == 51
