@@ -2,13 +2,13 @@
 
 Each text gets rule statistics (words, symbols, repeated lines, repeated 8-word
 windows). Two base rules fail a text outright. The others are judged by isolation
-forests: random splits over a bounded sample of labelled texts, one forest for
-each view of the statistics. A text whose path is short is anomalous, and each
-forest has its own threshold, calibrated on the labelled good texts so that at
-most ``false_rejects`` of them lie above it.
+forests: random splits, one forest for each view of the statistics. A text whose
+path is short is anomalous, and each forest has its own threshold, calibrated on
+the labelled good texts so that at most ``false_rejects`` of them lie above it.
 
-The sample holds at most ``max_labelled`` labelled texts, those with the smallest
-digests of their ids. Everything else covers all texts and whole texts.
+Every labelled text takes part: each tree splits its own draw of ``sample`` rows, as
+isolation forests are defined, and draws from all of them; thresholds are exact
+quantiles over all labelled good texts. Whole texts are read throughout.
 
 Defined results:
 
@@ -24,15 +24,18 @@ Defined results:
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from kohorta.llm.frames import arrow_limits, map_texts, smallest_digests
+from kohorta.llm.frames import map_texts
 from kohorta.llm.wordbytes import Block, mix, shingles, text_blocks
 from kohorta.session import cut_lineage
 
@@ -113,14 +116,19 @@ class Forest:
 
     @classmethod
     def grow(cls, rows: np.ndarray, view, n_trees: int, sample: int, seed: int) -> Forest:
+        """Trees over draws from ``rows``."""
         rng = np.random.default_rng([seed, *view])
-        rows = rows[:, view]
         size = min(sample, len(rows))
+        return cls.of_draws((rows[rng.choice(len(rows), size, replace=False)] for _ in range(n_trees)), size, view, rng)
+
+    @classmethod
+    def of_draws(cls, draws: Iterable[np.ndarray], size: int, view, rng: np.random.Generator) -> Forest:
+        """One tree for each draw of ``size`` rows; fewer than two rows give no tree."""
         most = math.ceil(math.log2(max(size, 2)))
         trees = []
-        for _ in range(n_trees if size > 1 else 0):
+        for draw in draws if size > 1 else ():
             column, split, left, depth = [], [], [], []
-            todo = [(rows[rng.choice(len(rows), size, replace=False)], 0)]
+            todo = [(draw[:, view], 0)]
             place = 0
             column.append(-1), split.append(0.0), left.append(0), depth.append(0.0)
             slots = [0]
@@ -169,29 +177,118 @@ class Forest:
         return self
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int, seed: int,
-                    doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Texts and labels of at most ``max_labelled`` distinct labelled ids.
+def labelled_statistics(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Statistics of every labelled text with its label and how often it stands there, written.
 
-    The ids come first, and only they meet the texts: the text table is read once
-    and not shuffled while the ids can be broadcast.
+    Statistics, not texts, meet the labels, so no text is shuffled.
     """
     usable = (
-        labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
+        labels.filter("quality >= 0 AND doc_id IS NOT NULL")
         .select(F.col("doc_id").alias("__key"), F.col("quality").alias("__quality"))
         .distinct()
     )
-    key = F.concat_ws("|", F.lit(str(seed)), F.col("__key").cast("string"))
-    chosen = cut_lineage(smallest_digests(usable, key, max_labelled), "quality-ids")
     texts = docs.select(F.col(doc_id).alias("__key"), F.col(text).alias("__text"))
-    arrow_limits(docs.sparkSession)
-    return texts.join(chosen.filter("__key IS NOT NULL AND __quality >= 0"), "__key")
+    fields = StructType([StructField(n, LongType()) for n in STATISTICS])
+    found = map_texts(texts, "__text", ["__key"], fields, lambda c: list(map(pa.array, statistics(c).T)))
+    rows = found.join(usable, "__key").groupBy("__key", "__quality", *STATISTICS)
+    return cut_lineage(rows.agg(F.count("*").alias("__copies")), "quality-labelled")
+
+
+def _table(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of the rows that pass the base rules, and two more columns of these."""
+    stats = np.column_stack([batch.column(i).to_numpy() for i in range(len(STATISTICS))])
+    passed = ~base_failed(stats)
+    return features(stats)[passed], *(batch.column(len(STATISTICS) + i).to_numpy()[passed] for i in (0, 1))
+
+
+def tree_draws(rows: DataFrame, n_trees: int, sample: int, seed: int) -> list[np.ndarray]:
+    """For each tree, features of ``sample`` rows drawn from all that pass the base rules.
+
+    A row has a number for each tree, and the smallest are drawn. A task hands over
+    ``sample`` rows a tree at most, and as many reach the driver.
+    """
+    every = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    number = F.xxhash64(F.lit(seed), F.col("__key").cast("string"), "__quality", *STATISTICS, "__copy")
+
+    def smallest(numbers, found):
+        if len(numbers) <= sample:
+            return numbers, found
+        best = np.argpartition(numbers, sample - 1)[:sample]
+        return numbers[best], found[best]
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salts = mix(np.arange(1, n_trees + 1, dtype=np.uint64))
+        held = [(np.zeros(0, np.int64), np.zeros((0, 4))) for _ in range(n_trees)]
+        for batch in batches:
+            found, number, _ = _table(batch)
+            for t, salt in enumerate(salts):
+                own = (mix(number.view(np.uint64) ^ salt) >> np.uint64(1)).view(np.int64)
+                if len(held[t][0]) == sample:
+                    near = own < held[t][0].max()
+                    if not near.any():
+                        continue
+                    own, rest = own[near], found[near]
+                else:
+                    rest = found
+                held[t] = smallest(np.r_[held[t][0], own], np.r_[held[t][1], rest])
+        for t, (numbers, found) in enumerate(held):
+            columns = [np.full(len(numbers), t), numbers, *found.T]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["tree", "number", *"abcd"])
+
+    numbered = every.select(*STATISTICS, number.alias("__number"), "__copy")
+    near = numbered.mapInArrow(draw, "tree long, number long, a double, b double, c double, d double")
+    order = Window.partitionBy("tree").orderBy("number", *"abcd")
+    drawn = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample).toPandas()
+    drawn = drawn.sort_values(["tree", "rank"])
+    return [drawn.loc[drawn.tree == t, list("abcd")].to_numpy() for t in range(n_trees)]
+
+
+def at_rank(rows: DataFrame, rank: int, forests: int) -> list[int]:
+    """``bits`` at a rank, from 0, among the ``rows(forest, bits, copies)`` of each forest.
+
+    Exact for any number of rows: sixteen bits are settled in each of four passes, of
+    which counts reach the driver.
+    """
+    left, head = [rank] * forests, [0] * forests
+    for shift in (48, 32, 16, 0):
+        part = rows
+        if shift < 48:
+            known = [(F.col("forest") == f) & (F.shiftright("bits", shift + 16) == head[f]) for f in range(forests)]
+            part = rows.filter(reduce(or_, known))
+        counts = part.groupBy("forest", F.shiftright("bits", shift).alias("head")).agg(F.sum("copies").alias("n")).collect()
+        for f in range(forests):
+            for at, n in sorted((r.head, r.n) for r in counts if r.forest == f):
+                if left[f] < n:
+                    head[f] = at
+                    break
+                left[f] -= n
+    return head
+
+
+def calibrate_all(rows: DataFrame, forests: list[Forest], false_rejects: float) -> list[Forest]:
+    """Lowest thresholds that at most this share of all good rows exceeds."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, copies, _ = _table(batch)
+            for k, forest in enumerate(forests):
+                bits = forest.scores(found).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(bits), k)), pa.array(bits), pa.array(copies)], names=["forest", "bits", "copies"]
+                )
+
+    good = rows.filter("__quality = 1").select(*STATISTICS, "__copies", F.col("__copies").alias("__again"))
+    scored = cut_lineage(good.mapInArrow(score, "forest long, bits long, copies long"), "quality-scores")
+    n = scored.filter("forest = 0").agg(F.sum("copies")).first()[0]
+    if n and forests[0].trees:
+        for forest, bits in zip(forests, at_rank(scored, n - 1 - int(false_rejects * n), len(forests)), strict=True):
+            forest.threshold = float(np.int64(bits).view(np.float64))
+    return forests
 
 
 def fit_forests(
     docs: DataFrame,
     labels: DataFrame,
-    max_labelled: int = 20_000,
     n_trees: int = 64,
     sample: int = 256,
     false_rejects: float = 0.0005,
@@ -199,24 +296,15 @@ def fit_forests(
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> list[Forest]:
-    """Grown and calibrated forests, one per view.
+    """Grown and calibrated forests, one per view, from all labelled texts.
 
-    Statistics of the labelled sample, a few numbers a text, are the only thing
-    that reaches the driver. A repeated document counts as often as it stands in
-    ``docs``, up to ``max_labelled`` rows in all.
+    The draws of the trees, a few numbers a row, and counts are all that reaches the
+    driver. A repeated document counts as often as it stands in ``docs``.
     """
-    rows = labelled_sample(docs, labels, max_labelled, seed, doc_id, text)
-    fields = StructType([StructField(n, LongType()) for n in STATISTICS])
-    found = map_texts(rows, "__text", ["__quality"], fields, lambda c: list(map(pa.array, statistics(c).T)))
-    order = F.md5(F.concat_ws("|", *STATISTICS, "__quality"))
-    table = found.orderBy(order).limit(max_labelled).toPandas()
-    stats = table[list(STATISTICS)].to_numpy(np.int64)
-    passed = ~base_failed(stats)
-    rows, good = features(stats)[passed], table["__quality"].to_numpy()[passed] == 1
-    return [
-        Forest.grow(rows, view, n_trees, sample, seed).calibrate(rows[good], false_rejects)
-        for view in VIEWS
-    ]
+    rows = labelled_statistics(docs, labels, doc_id, text)
+    draws = tree_draws(rows, n_trees, sample, seed)
+    forests = [Forest.of_draws(draws, len(draws[0]), view, np.random.default_rng([seed, *view])) for view in VIEWS]
+    return calibrate_all(rows, forests, false_rejects)
 
 
 def judge(docs: DataFrame, forests: list[Forest], text: str = "text", carry=("doc_id",)) -> DataFrame:

@@ -77,3 +77,36 @@ def test_held_out_labels(spark, folder):
     passed = judged[~judged.base_failed]
     assert passed[passed.quality == 1].kept.mean() > 0.97
     assert passed[passed.quality == 0].kept.mean() < 0.1
+
+
+def test_all_labelled_texts_are_drawn_from_and_counted(spark, monkeypatch):
+    """More labelled texts than any bound of a sample: thresholds are those of all good ones."""
+    n = 30_000
+    docs = spark.range(n).selectExpr(
+        "id AS doc_id", "concat(repeat('some words here ', 2 + cast(id % 50 AS int)), repeat('|', cast(pmod(hash(id), 40) AS int)), ' ', "
+        "array_join(transform(sequence(1, 20), i -> concat('w', hash(id, i))), ' ')) AS text"
+    ).unionByName(spark.range(7).selectExpr("cast(3 AS long) AS doc_id", "'copy' AS text"))
+    labels = spark.range(n).selectExpr("id AS doc_id", "cast(id % 3 > 0 AS int) AS quality")
+    rows = Q.labelled_statistics(docs, labels)
+    assert rows.agg({"__copies": "sum"}).first()[0] == n + 7
+    forests = Q.fit_forests(docs, labels, n_trees=8)
+    table = rows.toPandas()
+    stats = table[list(Q.STATISTICS)].to_numpy()
+    keep = ~Q.base_failed(stats) & (table["__quality"].to_numpy() == 1)
+    for forest in forests:
+        plain = Q.Forest(forest.view, forest.trees, forest.scale).calibrate(Q.features(stats)[keep], 0.0005)
+        assert forest.threshold == pytest.approx(plain.threshold, abs=1e-12)
+    draws = Q.tree_draws(rows, 8, 256, 17)
+    assert [len(d) for d in draws] == [256] * 8 and not np.array_equal(draws[0], draws[1])
+    passed = {tuple(x) for x in Q.features(stats)[~Q.base_failed(stats)]}
+    assert all(tuple(x) in passed for d in draws for x in d)
+
+
+def test_value_at_rank(spark):
+    rng = np.random.default_rng(5)
+    values = [rng.random(700), np.r_[np.full(400, 0.25), rng.random(300) ** 9]]
+    rows = [(f, int(x), 1 + i % 3) for f, v in enumerate(values) for i, x in enumerate(v.view(np.int64))]
+    frame = spark.createDataFrame(rows, "forest long, bits long, copies long")
+    for rank in (0, 1, 699, 1000, 1398):
+        plain = [int(np.sort(np.repeat(v, 1 + np.arange(700) % 3))[rank].view(np.int64)) for v in values]
+        assert Q.at_rank(frame, rank, 2) == plain
