@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer, VectorSlicer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, FloatType, LongType, StructField, StructType
 
 from kohorta.functions.vectors import cosine_with
 from kohorta.operators.scoring import concept_slices, spread_scores, unnest_scores
@@ -102,27 +105,59 @@ def score_texts(
     return frame.drop("_unit", column) if wide else reduce(DataFrame.unionByName, frames)
 
 
-def token_buckets(text: Column, features: int) -> Column:
-    """Buckets of the lower-case words of a text, by a digest that any engine has."""
-    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
-    return F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % features)
+def text_words(text: Column) -> Column:
+    """The lower-case words of a text."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+
+
+def word_buckets(words: pa.Array, features: int) -> np.ndarray:
+    """Bucket of each word, by a digest that any engine has; a repeated word is digested once."""
+    coded = words.dictionary_encode()
+    distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+    own = [int.from_bytes(hashlib.md5(w, usedforsecurity=False).digest()[:4], "big") % features for w in distinct]
+    return np.array(own, np.int64)[coded.indices.to_numpy()]
 
 
 def _bucket_counts(texts: DataFrame, key: str, text: Column, features: int) -> DataFrame:
-    return (
-        texts.select(key, F.explode(token_buckets(text, features)).alias("bucket"))
-        .groupBy(key, "bucket")
-        .agg(F.count("*").alias("_tf"))
+    """``(key, bucket, _tf)``, in partitions by key.
+
+    Words are counted where the texts are read, a batch at a time, so one row for each text
+    and bucket travels, and one for all texts of a key that meet in a batch.
+    """
+    source = texts.select(F.col(key), text_words(text).alias("_words"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            keys = batch.column(0).dictionary_encode(null_encoding="encode")
+            owner = np.repeat(keys.indices.to_numpy(), np.diff(lists.offsets.to_numpy()))
+            pairs = owner * np.int64(features) + word_buckets(lists.flatten(), features)
+            pairs, many = np.unique(pairs, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [keys.dictionary.take(pa.array(pairs // features)), pa.array(pairs % features), pa.array(many)],
+                names=[key, "bucket", "_tf"],
+            )
+
+    kinds = StructType(
+        [StructField(key, source.schema[key].dataType), StructField("bucket", LongType()), StructField("_tf", LongType())]
     )
+    counted = source.mapInArrow(count, kinds).repartition(key)
+    return counted.groupBy(key, "bucket").agg(F.sum("_tf").alias("_tf"))
+
+
+def _frequencies(counts: DataFrame) -> DataFrame:
+    """``(bucket, _df)``. It counts the column that the weights read, too, so Spark deals the
+    counts out once for both."""
+    return counts.groupBy("bucket").agg(F.count("_tf").alias("_df"))
 
 
 def _unit_weights(counts: DataFrame, frequencies: DataFrame, size: int, key: str) -> DataFrame:
-    """``(key, bucket, weight)`` with unit length per key; a word in most texts is a hot
-    bucket, so frequencies are joined by salt."""
+    """``(key, bucket, weight)`` with unit length per key; the frequencies, as many as there
+    are buckets at most, are broadcast, so the counts stay where they are."""
     idf = F.log(F.lit(size + 1.0) / (F.coalesce("_df", F.lit(0)) + 1))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
     return (
-        salted_join(counts, frequencies, "bucket", "left")
+        counts.join(F.broadcast(frequencies), "bucket", "left")
         .withColumn("_w", F.col("_tf") * idf)
         .select(key, "bucket", F.when(norm > 0, F.col("_w") / norm).otherwise(0.0).alias("weight"))
     )
@@ -135,7 +170,7 @@ def tfidf_rows(texts: DataFrame, column: str = "prep", key: str = "id", features
     scaled to unit length. Rows of one key count as one text.
     """
     counts = _bucket_counts(texts, key, F.col(column), features)
-    frequencies = counts.groupBy("bucket").agg(F.count("*").alias("_df"))
+    frequencies = _frequencies(counts)
     return _unit_weights(counts, frequencies, texts.select(key).distinct().count(), key)
 
 
@@ -153,7 +188,7 @@ def score_sparse(
     some concept has are multiplied; a text without them scores 0.
     """
     counts = _bucket_counts(texts, key, F.col(column), features)
-    frequencies = counts.groupBy("bucket").agg(F.count("*").alias("_df"))
+    frequencies = _frequencies(counts)
     size = texts.select(key).distinct().count()
     keywords = F.array_join("keywords", ", ")
     ours = _unit_weights(

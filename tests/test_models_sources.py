@@ -267,3 +267,21 @@ def test_keywords_in_any_text_form_and_late_posts(spark, tmp_path):
     assert run() == [9]
     (tmp_path / "in" / "b.json").write_text("\n".join(json.dumps({**base, **p}) for p in posts))
     assert run() == [1, 2, 3, 9]
+
+
+def test_word_counts_travel_once_a_text_and_stay_by_key(spark):
+    """Counts of repeated and null keys, and no sort of the counts by bucket."""
+    from kohorta.operators import embedding
+
+    rows = [(1, "b a a é"), (1, "A, c"), (None, "a"), (None, "z z"), (2, None), (3, "日本 it's")]
+    texts = spark.createDataFrame(rows, "id long, prep string").repartition(3)
+    counts = embedding._bucket_counts(texts, "id", embedding.F.col("prep"), 1 << 18)
+    import hashlib
+
+    def bucket(w):
+        return int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % (1 << 18)
+
+    expected = [(1, "a", 3), (1, "b", 1), (1, "c", 1), (1, "é", 1), (None, "a", 1), (None, "z", 2), (3, "日本", 1), (3, "it", 1), (3, "s", 1)]
+    assert sorted(map(tuple, counts.collect()), key=str) == sorted(((k, bucket(w), n) for k, w, n in expected), key=str)
+    plan = embedding.tfidf_rows(texts)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(bucket" in plan
