@@ -192,6 +192,13 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(NON_BLANK + "+"))
 
 
+def has_more_tokens(text: Column, n: int) -> Column:
+    """Whether a text has more than ``n`` blank-separated pieces; reads no farther than those."""
+    if not 0 <= n <= 200:
+        return token_count(text) > n
+    return text.rlike(f"^{BLANK}*+" + f"{NON_BLANK}++{BLANK}++" * n + NON_BLANK)
+
+
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, BLANK + "+", " "))
 
@@ -235,10 +242,18 @@ def expand_contractions(text: Column, table: dict[str, str] | None = None) -> Co
             .otherwise(full)
         )
 
-    pieces = F.regexp_extract_all(text, F.lit(WORD_OR_GAP), F.lit(0))
-    expanded = F.array_join(F.transform(pieces, expand), "")
     signs = "|".join(["['’]", *[re.escape(key) for key in keys if "'" not in key]])
-    return F.when(text.rlike("(?iu)" + signs), expanded).otherwise(text)
+
+    def may_change(t):
+        return t.contains("'") | t.contains("’") | t.rlike("(?iu)" + signs)
+
+    def expand_part(part):
+        pieces = F.regexp_extract_all(part, F.lit(WORD_OR_GAP), F.lit(0))
+        return F.when(may_change(part), F.array_join(F.transform(pieces, expand), "")).otherwise(part)
+
+    # No word holds a space, so what lies between spaces is looked at by itself.
+    expanded = F.array_join(F.transform(F.split(text, " "), expand_part), " ")
+    return F.when(may_change(text), expanded).otherwise(text)
 
 
 def unescape(text: Column) -> Column:

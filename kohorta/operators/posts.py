@@ -34,7 +34,7 @@ def drop_reposts(posts: DataFrame, column: str = "text") -> DataFrame:
 
 def drop_short(posts: DataFrame, min_len: int = 7, column: str = "prep") -> DataFrame:
     """Keep posts of more than ``min_len`` blank-separated tokens."""
-    return posts.filter(T.token_count(F.col(column)) > min_len)
+    return posts.filter(T.has_more_tokens(F.col(column), min_len))
 
 
 def track(posts: DataFrame, keywords: Iterable[str], column: str = "text") -> DataFrame:

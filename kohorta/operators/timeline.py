@@ -67,7 +67,7 @@ def clean_text(
     Contractions come last because they would change the token count.
     """
     texts = P.with_full_text(posts)
-    short = lambda t: F.when(T.token_count(t) > min_len, t)
+    short = lambda t: F.when(T.has_more_tokens(t, min_len), t)
     cleaned = T.bind(
         T.cut_at_url(F.col("text")),
         lambda cut: F.when(~T.is_repost(cut), T.bind(T.strip_mentions(cut), short)),

@@ -164,3 +164,27 @@ def test_long_full_form_is_whole(values):
     full = "very " * 60 + "long"
     got = values(lambda x: T.expand_contractions(x, {"vl": full}), ["vl", "Vl"])
     assert got == [full, "V" + full[1:]]
+
+
+def test_has_more_tokens_agrees_with_the_count_and_reads_no_farther(values):
+    texts = [None, "", "  ", "a", " a ", "a b", "\u00a0a\u2003b\x1cc\n", "a\x85b c", "x" * 300_000, "w " * 300_000, "é 日 \U0001f600 z"]
+    for n in (0, 1, 2, 3, 7, 201):
+        counts = values(T.token_count, texts)
+        assert values(lambda x, n=n: T.has_more_tokens(x, n), texts) == [None if c is None else c > n for c in counts]
+    assert "regexp_count" not in str(T.has_more_tokens(T.F.col("x"), 7))
+
+
+def test_expand_contractions_part_by_part_equals_word_by_word(values):
+    """What lies between spaces is looked at alone, with the result of one pass over all words."""
+    import re
+
+    def plain(text):
+        def one(m):
+            full = T.CONTRACTIONS.get(m[0].lower().replace("’", "'"))
+            return m[0] if full is None else full[0].upper() + full[1:] if m[0][0] != m[0][0].lower() else full
+
+        return re.sub(r"[a-zA-Zé](?:[a-zA-Zé'’]*[a-zA-Zé])?", one, text)
+
+    texts = ["", " ", "  I'm  here ", "(Don’t)you'd\tgonna", "x'I'll 'tis can't'", "GONNA,wanna é'd dunnoo", "\nWe're\u00a0they've ' ’ ''", "y'all's ain't "]
+    assert values(T.expand_contractions, texts) == [plain(t) for t in texts]
+    assert "split" in str(T.expand_contractions(T.F.col("x")))
