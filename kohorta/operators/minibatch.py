@@ -135,7 +135,7 @@ def shard_epoch(batches: Iterator[pa.RecordBatch], epoch: int, start: np.ndarray
         return pa.RecordBatch.from_pydict({"block": np.arange(len(parts)), "part": parts, "loss": loss})
 
     for batch in batches:
-        homes, sizes, labels = (batch.column(i).to_numpy() for i in range(3))
+        homes, sizes, labels = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         lists = list_views(batch.column(3))
         edges = [0, *(np.flatnonzero(homes[1:] != homes[:-1]) + 1).tolist(), len(homes)]
         for i, j in zip(edges[:-1], edges[1:], strict=True):

@@ -143,3 +143,10 @@ def test_a_shard_streams_through_its_task():
     held.clear()
     next(M.shard_epoch(batches(1), 2, start, idf, RULE))
     assert len(held) == 51
+
+
+def test_a_missing_label_is_no_number(spark):
+    """A null label makes the loss of its shard NaN, and nothing fails."""
+    rows = [(i, "good day" if i % 2 else "bad day", None if i == 5 else i % 2) for i in range(20)]
+    trained = M.train(spark.createDataFrame(rows, "id long, text string, label int"), RULE)
+    assert len(trained.loss) == 3 and np.isnan(trained.loss).all()
