@@ -6,6 +6,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 # can exhaust.
 BLANK = r"[\t-\r \x1c-\x1f\x85\p{Z}]"
 NON_BLANK = r"[^\t-\r \x1c-\x1f\x85\p{Z}]"
+# What makes a text other than words with one space between them.
+UNEVEN = BLANK + r"{2,}|[\t-\r\x1c-\x1f\x85\p{Z}&&[^ ]]"
 MENTION = r"@[\p{L}\p{N}_]+"
 POST_TOKEN = (
     r"https?://\S+|www\.\S+"  # link
@@ -33,6 +36,10 @@ POST_TOKEN = (
     r"|\.[\s.]*\."  # dots
     r"|\S"  # single sign
 )
+# Words of letters before a blank or a sign that no longer token goes on with: tokens by
+# themselves, so a row of them with single spaces is one match instead of many. The JVM
+# repeats a possessive group in a loop.
+PLAIN_WORDS = r"\p{L}++(?=[\s,!?])(?: \p{L}++(?=[\s,!?]))*+"
 # Character references that post text carries, in the order of decoding.
 REFERENCES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 WORD_OR_GAP = r"\p{L}(?:[\p{L}'’]*\p{L})?|[^\p{L}]+"
@@ -56,6 +63,9 @@ TOKEN_REWRITES = [
     (" a . m ", " a.m "),
 ]
 
+# What a text must hold for a pair of TOKEN_REWRITES to match.
+REWRITE_SIGNS = ["'", "cannot ", " . m"]
+
 # Number patterns that the tokeniser pulled apart.
 NUMBER_REWRITES = [
     (r",([0-9]{2,4}) , ([0-9]{2,4})", r",$1,$2"),
@@ -130,6 +140,10 @@ EMOJI_NAMES = {
 EMOJI_BLOCKS = [(0x1F300, 0x1F64F), (0x1F680, 0x1F6FF), (0x1F900, 0x1F9FF), (0x1FA70, 0x1FAFF)]
 # Where a sign may have a name; those without one stay as they are.
 HIGH_SIGN = r"[\x{A9}\x{AE}\x{203C}-\x{1FAFF}]"
+# One class stands first in these, as the JVM tries whole alternatives at every character.
+RARE_SIGN = r"[\x{A9}\x{AE}\x{203C}-\x{1FAFF}\t-\r\x1c-\x1f\x85\p{Z}&&[^ ]]"
+LINK_START = r"[HhWw](?i:ttp|ww)"
+LINK_OR_NUMBER = r"[HhWw,](?i:ttp|ww|[0-9]{2,4} , [0-9])"
 EMOJI_CLASS = (
     r"[\x{A9}\x{AE}\x{203C}\x{2049}\x{2122}\x{2139}\x{2194}-\x{21AA}\x{231A}-\x{23FF}\x{24C2}"
     r"\x{25AA}-\x{27BF}\x{2934}\x{2935}\x{2B05}-\x{2B55}\x{3030}\x{303D}\x{3297}\x{3299}"
@@ -200,7 +214,7 @@ def has_more_tokens(text: Column, n: int) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, BLANK + "+", " "))
+    return F.trim(F.regexp_replace(text, UNEVEN, " "))
 
 
 def has_keyword(text: Column, keywords: Iterable[str]) -> Column:
@@ -258,9 +272,13 @@ def expand_contractions(text: Column, table: dict[str, str] | None = None) -> Co
 
 def unescape(text: Column) -> Column:
     """Character references of post text decoded."""
-    for reference, sign in REFERENCES:
-        text = F.replace(text, F.lit(reference), F.lit(sign))
-    return text
+
+    def decode(t):
+        for reference, sign in REFERENCES:
+            t = F.replace(t, F.lit(reference), F.lit(sign))
+        return t
+
+    return change_if(text, lambda t: t.contains("&"), decode)
 
 
 def tokenize_post(text: Column) -> Column:
@@ -287,24 +305,37 @@ def normalize_token(token: Column, names: Column | None = None) -> Column:
 def normalize_post(text: Column, extra_emoji: dict[str, str] | None = None) -> Column:
     """Tokenise, normalise each token, join by blanks and mend what was split.
 
-    Tokens cover every non-blank character, so putting a blank behind each match
-    equals joining the token list; only texts with an emoji go through the list.
+    Tokens cover every non-blank character, so putting one blank behind each match, in place
+    of those that follow it, equals joining the token list; only texts with an emoji go
+    through the list.
     """
     plain = F.replace(
         F.replace(unescape(text), F.lit("’"), F.lit("'")), F.lit("…"), F.lit("...")
     )
-    joined = F.trim(
-        F.regexp_replace(F.regexp_replace(plain, f"({POST_TOKEN})", "$1 "), r"\s+", " ")
-    )
+    spaced = F.regexp_replace(plain, rf"({PLAIN_WORDS}|{POST_TOKEN})\s*", "$1 ")
+    names = _map_literal(emoji_names(extra_emoji))
+    return change_if(F.trim(spaced), may_need_mending, lambda line: _mended(line, names))
+
+
+def may_need_mending(line: Column) -> Column:
+    """False only where no step of ``_mended`` changes the joined tokens."""
+    hit = line.rlike(RARE_SIGN) | line.rlike(LINK_OR_NUMBER)
+    for sign in ["@", "  ", *REWRITE_SIGNS, *NUMBER_SIGNS[1:]]:
+        hit = line.contains(sign) | hit
+    return hit
+
+
+def _mended(joined: Column, names: Column) -> Column:
+    """Joined tokens with single blanks, signs named and what was split put together again."""
+    joined = F.trim(F.regexp_replace(joined, r"\s{2,}|[\t-\r]", " "))
     joined = change_if(
         joined, lambda line: line.contains("@"), lambda line: F.regexp_replace(line, r"(^| )@[^ ]*", "$1@USER")
     )
     joined = change_if(
         joined,
-        lambda line: F.lower(line).contains("http") | F.lower(line).contains("www"),
+        lambda line: line.rlike(LINK_START),
         lambda line: F.regexp_replace(line, r"(?i)(^| )(?:http|www)[^ ]*", "$1HTTPURL"),
     )
-    names = _map_literal(emoji_names(extra_emoji))
 
     def named(token):
         return F.when(
@@ -316,8 +347,14 @@ def normalize_post(text: Column, extra_emoji: dict[str, str] | None = None) -> C
         lambda line: line.rlike(HIGH_SIGN),
         lambda line: F.array_join(F.transform(F.split(line, " "), named), " "),
     )
-    for old, new in TOKEN_REWRITES:
-        joined = F.replace(joined, F.lit(old), F.lit(new))
+    for sign, rewrites in groupby(TOKEN_REWRITES, lambda pair: next(s for s in REWRITE_SIGNS if s in pair[0])):
+
+        def rewrite(line, rewrites=list(rewrites)):
+            for old, new in rewrites:
+                line = F.replace(line, F.lit(old), F.lit(new))
+            return line
+
+        joined = change_if(joined, lambda line, sign=sign: line.contains(sign), rewrite)
     for (pattern, new), sign in zip(NUMBER_REWRITES, NUMBER_SIGNS, strict=True):
         joined = change_if(
             joined,

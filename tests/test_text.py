@@ -188,3 +188,26 @@ def test_expand_contractions_part_by_part_equals_word_by_word(values):
     texts = ["", " ", "  I'm  here ", "(Don’t)you'd\tgonna", "x'I'll 'tis can't'", "GONNA,wanna é'd dunnoo", "\nWe're\u00a0they've ' ’ ''", "y'all's ain't "]
     assert values(T.expand_contractions, texts) == [plain(t) for t in texts]
     assert "split" in str(T.expand_contractions(T.F.col("x")))
+
+
+def test_plain_words_are_one_match_and_need_no_mending(spark, values):
+    plain = "Words of letters, naïve ones too! go on"
+    matches = values(lambda t: F.regexp_count(t, F.lit(rf"({T.PLAIN_WORDS}|{T.POST_TOKEN})\s*")), [plain])
+    assert matches == [len(["Words of letters", ",", "naïve ones too", "!", "go", "on"])]
+    assert values(T.may_need_mending, ["Words of letters , naïve ones too ! go on"]) == [False]
+
+
+@pytest.mark.parametrize(
+    "line",
+    ["a  b", "a\tb", "a\u2003b", "\u00a9", "\u2764", "@x", "see HTTP x", "wwW.x", ",12 , 345", "1 / 20", "3- 44",
+     *[f"x{old}y" for old, _ in T.TOKEN_REWRITES]],
+)
+def test_every_step_of_mending_is_foreseen(values, line):
+    assert values(T.may_need_mending, [line]) == [True]
+
+
+def test_normalize_post_keeps_blanks_inside_tokens_single(values):
+    posts = ["\n\t call 555  1234 now", ". \t . .  x", "do: www, d8 words,", "tab\tand\u00a0both \u2003 x", " ", None]
+    assert values(T.normalize_post, posts) == [
+        "call 555 1234 now", ". . . x", "do: HTTPURL , d8 words ,", "tab and both x", "", None
+    ]
