@@ -32,7 +32,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -77,7 +76,38 @@ def unpack_block(chunk: bytes) -> np.ndarray:
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Texts whose normalised pieces need no Unicode tables: ASCII and Latin-1 letters.
 PLAIN = bytes(c for c in range(256) if c < 128 or (c >= 192 and c not in (215, 247)))
-PIECE_OF_PLAIN = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^ \t\n\r\x0b\x0ca-z0-9ß-öø-ÿ]+")
+SPACE, LETTER, DIGIT, SIGN = range(4)
+#: Kind of each lower-case character of ``PLAIN``.
+KINDS = np.full(256, SIGN, np.uint8)
+KINDS[[9, 10, 11, 12, 13, 32]] = SPACE
+KINDS[[c for c in range(223, 256) if c != 247]] = LETTER
+KINDS[97:123], KINDS[48:58] = LETTER, DIGIT
+#: What an apostrophe takes along: one letter, or two.
+ONE_LETTER, TWO_LETTERS = b"stmd", [b"re", b"ve", b"ll"]
+
+
+def plain_pieces(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pieces of ``SPLIT_PATTERN`` start in a lower-case text of ``PLAIN``, and their sizes."""
+    data = np.frombuffer(text, np.uint8)
+    kind = KINDS[data]
+    new = np.ones(len(kind), bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    marks = np.flatnonzero(new & (data == ord("'")))
+    if len(marks):
+        after = np.r_[data, np.zeros(3, np.uint8)]
+        one, two = after[marks + 1], after[marks + 2]
+        size = np.isin(one, list(ONE_LETTER)).astype(np.int64)
+        for a, b in TWO_LETTERS:
+            size[(one == a) & (two == b)] = 2
+        marks, size = marks[size > 0], size[size > 0]
+        new[marks + 1] = False
+        rest = marks + 1 + size
+        rest = rest[rest < len(data)]
+        new[rest] = True
+    starts = np.flatnonzero(new)
+    sizes = np.diff(np.r_[starts, len(data)])
+    word = kind[starts] != SPACE
+    return starts[word], sizes[word]
 
 
 def splits_at_spaces(spec: dict) -> bool:
@@ -111,6 +141,14 @@ def is_plain(text: str) -> bool:
         return False
 
 
+def _as_bytes(column: pa.LargeBinaryArray) -> list[bytes]:
+    """Values of a column without nulls."""
+    _, offsets, data = column.buffers()
+    data = data.to_pybytes() if data is not None else b""
+    bounds = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1].tolist()
+    return [data[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
 class Encoder:
     """Ids of texts as little-endian bytes, by the tokenizers library.
 
@@ -131,18 +169,19 @@ class Encoder:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         if self.split:
             self.ends[[i for t, i in known["model"]["vocab"].items() if t.endswith("</w>")]] = True
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
         return np.array(ids, "<u4").tobytes()
 
-    def _new_pieces(self, pieces: list[str]) -> list[bytes]:
+    def _new_pieces(self, pieces: list[bytes]) -> list[bytes]:
         found, at = [], 0
         while at < len(pieces):
             part = pieces[at : at + 2_000]
-            encoded = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0]
+            text = b" ".join(part).decode("latin-1")
+            encoded = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
             ids = np.array(encoded.ids, "<u4")
             ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(ends) != len(part):
@@ -153,18 +192,38 @@ class Encoder:
         return found
 
     def _by_pieces(self, texts: list[str]) -> list[bytes]:
-        lists = [PIECE_OF_PLAIN.findall(t.lower()) for t in texts]
-        used = set(chain.from_iterable(lists))
+        """Each distinct piece is looked up once; its ids are dealt out by position."""
+        text = "\n".join(texts).lower().encode("latin-1")
+        starts, sizes = plain_pieces(text)
+        ends = np.cumsum(sizes)
+        kept = KINDS[np.frombuffer(text, np.uint8)] != SPACE
+        pieces = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(sizes),
+            [None, pa.py_buffer(np.r_[0, ends].astype(np.int64)), pa.py_buffer(np.frombuffer(text, np.uint8)[kept])],
+        ).dictionary_encode()
+        used, which = _as_bytes(pieces.dictionary), pieces.indices.to_numpy()
         if len(self.cache) > CACHED_WORDS:
             self.cache.clear()
-        new = list(used - self.cache.keys())
-        self.cache.update(zip(new, self._new_pieces(new), strict=True))
-        get = self.cache.__getitem__
-        out = [b"".join(map(get, some)) for some in lists]
+        found = list(map(self.cache.get, used))
+        unknown = [i for i, own in enumerate(found) if own is None]
+        new = [used[i] for i in unknown]
+        made = self._new_pieces(new)
+        self.cache.update(zip(new, made, strict=True))
+        for i, own in zip(unknown, made, strict=True):
+            found[i] = own
+        ids = np.frombuffer(b"".join(found), "<u4")
+        many = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first = np.cumsum(many) - many
+        many, first = many[which], first[which]
+        after = np.cumsum(many)
+        flat = ids[np.repeat(first - after + many, many) + np.arange(after[-1] if len(after) else 0)]
         for piece in new:
             if len(piece) > LONGEST_CACHED:
                 del self.cache[piece]
-        return out
+        # A text's pieces are those that start before the line feed behind it.
+        bounds = np.cumsum([len(t) + 1 for t in texts])
+        last = np.r_[0, after][np.searchsorted(starts, bounds)].tolist()
+        return [flat[i:j].tobytes() for i, j in zip([0, *last[:-1]], last, strict=True)]
 
     def _by_words(self, text: str) -> bytes:
         out = []
@@ -185,7 +244,8 @@ class Encoder:
         plain = [
             is_plain(t) and not any(s in t for s in self.special) for t in texts
         ]
-        pieces = iter(self._by_pieces([t for t, p in zip(texts, plain, strict=True) if p]))
+        whole = [t for t, p in zip(texts, plain, strict=True) if p]
+        pieces = iter(self._by_pieces(whole) if whole else [])
         return [next(pieces) if p else self._by_words(t) for t, p in zip(texts, plain, strict=True)]
 
 

@@ -79,3 +79,23 @@ def test_empty_table(spark):
 def test_query_equals_library(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").select("doc_id", "text")
     assert sorted(map(tuple, T.query(spark, small).collect())) == expected(map(tuple, docs.collect()))
+
+
+def test_plain_pieces_are_those_of_the_pattern():
+    rng = np.random.default_rng(4)
+    signs = [*"stmdrevlabß'ÿé .,\"12\n\t\x1c\x00÷", "'s", "'re", "'ll", "'ve", "''", "'rx", "'", "'v"]
+    pattern = T.re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t\n\r\x0b\x0ca-z0-9ß-öø-ÿ]+")
+    for _ in range(3000):
+        text = "".join(rng.choice(signs, rng.integers(0, 14)))
+        starts, sizes = T.plain_pieces(text.encode("latin-1"))
+        assert [text[i : i + n] for i, n in zip(starts, sizes, strict=True)] == pattern.findall(text)
+
+
+def test_a_piece_of_a_batch_is_looked_up_once(monkeypatch):
+    asked = []
+    encoder = T.Encoder(open(PATH, encoding="utf-8").read())
+    monkeypatch.setattr(encoder, "_new_pieces", lambda pieces: asked.extend(pieces) or T.Encoder._new_pieces(encoder, pieces))
+    texts = ["one two one", "", "two don't", "TWO one"] * 50
+    want = [np.array(library().encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts[:4]]
+    assert encoder.encode(texts) == want * 50 and encoder.encode(texts) == want * 50
+    assert sorted(asked) == [b"'t", b"don", b"one", b"two"]
