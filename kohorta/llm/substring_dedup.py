@@ -46,7 +46,7 @@ from kohorta.llm.bits import filter_of, passes
 from kohorta.llm.frames import arrow_limits, map_texts, texts_of
 from kohorta.llm.joined import joined_digests
 from kohorta.llm.suffix_dedup import _sliding_minimum
-from kohorta.llm.wordbytes import _ODD, Block, mix, shingles, text_blocks
+from kohorta.llm.wordbytes import _LANES, _ODD, Block, mix, shingles, text_blocks
 from kohorta.session import cut_lineage
 
 WIDTH, GRAM = 13, 4
@@ -61,15 +61,24 @@ def _by_place(words: np.ndarray, doc: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def window_runs(block: Block, width: int):
+def _hashes_at(words: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the strings of ``size`` words at some places, as ``_by_place`` gives them."""
+    value = np.full(len(places), size, np.uint64) * _ODD
+    for k in range(size):
+        value += words[places + k] * _LANES[k]
+    return mix(value)
+
+
+def window_runs(block: Block, width: int, named: bool = True, nodes: bool = True):
     """``(text, first window, windows, anchor, run, first node, last node)`` of all runs.
 
-    Places are words of the text; the last four are hashes.
+    Places are words of the text; the last four are hashes. The last three are worked out
+    only if they are asked for.
     """
-    words = block.word_hashes()
-    doc, at, window = shingles(words, block.doc, width)
+    words, none = block.word_hashes(), np.zeros(0, np.uint64)
+    at = np.flatnonzero(block.doc[width - 1 :] == block.doc[: max(len(words) - width + 1, 0)])
     if not len(at):
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 4
+        return (np.zeros(0, np.int64),) * 3 + (none,) * 4
     grams = _by_place(words, block.doc, GRAM)
     keyed = (grams[:-1] & ~_LOW) | np.arange(len(words), dtype=np.uint64)
     anchor = (_sliding_minimum(keyed, width - GRAM + 1)[at] & _LOW).astype(np.int64)
@@ -77,12 +86,16 @@ def window_runs(block: Block, width: int):
     new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(new)
     n = np.diff(np.r_[first, len(at)])
-    inside = np.arange(len(at)) - np.repeat(first, n)
-    run = mix(np.add.reduceat(mix(window + inside.astype(np.uint64) * _ODD), first))
-    nodes = _by_place(words, block.doc, width - 1)
     begin = np.searchsorted(block.doc, np.arange(block.n))
-    start = at[first]
-    return doc[first], start - begin[doc[first]], n, grams[anchor[first]], run, nodes[start], nodes[start + n]
+    start, doc = at[first], block.doc[at[first]]
+    run = u = v = none
+    if named:
+        inside = np.arange(len(at)) - np.repeat(first, n)
+        window = _hashes_at(words, at, width)
+        run = mix(np.add.reduceat(mix(window + inside.astype(np.uint64) * _ODD), first))
+    if nodes:
+        u, v = (_hashes_at(words, places, width - 1) for places in (start, start + n))
+    return doc, start - begin[doc], n, grams[anchor[first]], run, u, v
 
 
 def _source(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -90,7 +103,7 @@ def _source(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(whole).alias("digest"), whole.alias("text"))
 
 
-def _mapped_runs(source: DataFrame, width: int, rows, schema: str) -> DataFrame:
+def _mapped_runs(source: DataFrame, width: int, rows, schema: str, **asked: bool) -> DataFrame:
     """``rows(ids, digests, runs)`` of the runs of each batch of documents that have an id."""
     arrow_limits(source.sparkSession)
     names = [f.name for f in StructType.fromDDL(schema)]
@@ -98,12 +111,16 @@ def _mapped_runs(source: DataFrame, width: int, rows, schema: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, digests = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            parts = []
             for first, data, offsets in text_blocks(batch.column(2)):
-                runs = window_runs(Block(data, offsets), width)
-                if len(runs[0]):
-                    columns = rows(ids[first + runs[0]], digests[first + runs[0]], *runs[1:])
-                    signed = [c.view(np.int64) if c.dtype == np.uint64 else c for c in columns]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in signed], names=names)
+                doc, *runs = window_runs(Block(data, offsets), width, **asked)
+                parts.append((first + doc, *runs))
+            if not sum(len(part[0]) for part in parts):
+                continue
+            doc, *runs = (np.concatenate(column) for column in zip(*parts, strict=True))
+            columns = rows(ids[doc], digests[doc], *runs)
+            signed = [c.view(np.int64) if c.dtype == np.uint64 else c for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in signed], names=names)
 
     return source.filter("doc_id IS NOT NULL").mapInArrow(work, schema)
 
@@ -124,7 +141,7 @@ def repeated_anchors(source: DataFrame, width: int) -> DataFrame:
         low, high = (f.reduceat(ids[order], first) for f in (np.minimum, np.maximum))
         return anchor[order][first], low, high
 
-    seen = _mapped_runs(source, width, rows, "a long, low long, high long").groupBy("a")
+    seen = _mapped_runs(source, width, rows, "a long, low long, high long", named=False, nodes=False).groupBy("a")
     seen = seen.agg(F.min("low").alias("low"), F.max("high").alias("high"))
     return cut_lineage(seen.filter("low < high").select("a"), "debruijn-anchors")
 
@@ -247,7 +264,7 @@ def document_spans(source: DataFrame, parts: DataFrame, width: int) -> DataFrame
         some = passes(bits.value, run)
         return run[some], ids[some], digests[some], start[some]
 
-    own = _mapped_runs(source, width, rows, "s long, doc_id long, own long, first long")
+    own = _mapped_runs(source, width, rows, "s long, doc_id long, own long, first long", nodes=False)
     known = own.join(parts.hint("merge"), "s").select("doc_id", "own", "first", F.inline("parts")).filter("low < doc_id")
     piece = F.struct((F.col("first") + F.col("k")).alias("start"), "n", "low", "digest", F.col("start").alias("source"), "begin")
     listed = known.groupBy("doc_id", "own").agg(F.array_sort(F.collect_set(piece)).alias("pieces"))

@@ -2,6 +2,9 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from kohorta.llm import substring_dedup as S
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -87,3 +90,16 @@ def test_spans_name_their_source(spark):
     frame = spark.createDataFrame([(1, "x y " + base), (2, "z " + base + " end")], "doc_id long, text string")
     row = S.repeated_spans(frame).first()
     assert [(s.start, s.n, s.low, s.source) for s in row.spans] == [(1, 28, 1, 2)]
+
+
+def test_hashes_that_are_not_asked_for_are_left_out():
+    texts = pa.array([" ".join(f"w{i % 17}" for i in range(40)), None, "few words", " ".join("x" * 13)])
+    block = next(S.Block(data, offsets) for _, data, offsets in S.text_blocks(texts))
+    whole = S.window_runs(block, 13)
+    words = block.word_hashes()
+    nodes, begin = S._by_place(words, block.doc, 12), np.searchsorted(block.doc, np.arange(block.n))
+    start = begin[whole[0]] + whole[1]
+    assert (whole[5] == nodes[start]).all() and (whole[6] == nodes[start + whole[2]]).all()
+    bare = S.window_runs(block, 13, named=False, nodes=False)
+    assert all((a == b).all() for a, b in zip(bare[:4], whole[:4], strict=True))
+    assert [len(column) for column in bare[4:]] == [0, 0, 0]
