@@ -94,6 +94,15 @@ def test_empty_table(spark):
     assert rows.count() == 0 and changed.count() == 0
 
 
+def test_nothing_repeats_among_texts_that_share_an_anchor(spark, monkeypatch):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = text(390)
+    docs = [(i, text(100) + shared + text(100)) for i in range(3)]
+    assert digests(spark, docs, monkeypatch) == slow_rows(docs, 400)
+    assert all(len(x) == 0 for x in S.covered_ranges(np.zeros(0, int), np.zeros(0, int), 400))
+
+
 def test_ranges_of_windows():
     who, lo, hi = S.covered_ranges(np.array([0, 0, 0, 1]), np.array([0, 10, 21, 0]), 10)
     assert (who.tolist(), lo.tolist(), hi.tolist()) == ([0, 0, 1], [0, 21, 0], [20, 31, 10])
