@@ -106,3 +106,33 @@ def test_nothing_repeats_among_texts_that_share_an_anchor(spark, monkeypatch):
 def test_ranges_of_windows():
     who, lo, hi = S.covered_ranges(np.array([0, 0, 0, 1]), np.array([0, 10, 21, 0]), 10)
     assert (who.tolist(), lo.tolist(), hi.tolist()) == ([0, 0, 1], [0, 21, 0], [20, 31, 10])
+
+
+def test_no_key_gathers_the_texts_that_quote_a_passage(spark, monkeypatch, tmp_path):
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(900)
+    docs = [(i, text(150) + passage + text(150)) for i in range(200)]
+    real, folder = S._mark, str(tmp_path)
+
+    def counted(length):
+        mark = real(length)
+
+        def run(batches):
+            keys = Counter()
+
+            def noted():
+                for batch in batches:
+                    keys.update(batch.column(0).to_pylist())
+                    yield batch
+
+            yield from mark(noted())
+            if keys:
+                with open(f"{folder}/{random.random()}", "w") as f:
+                    f.write(str(max(keys.values())))
+
+        return run
+
+    monkeypatch.setattr(S, "_mark", counted)
+    assert digests(spark, docs, monkeypatch, HOT=20) == slow_rows(docs, 400)
+    assert max((int(f.read_text()) for f in tmp_path.iterdir()), default=0) <= 20
