@@ -103,6 +103,16 @@ def test_nothing_repeats_among_texts_that_share_an_anchor(spark, monkeypatch):
     assert all(len(x) == 0 for x in S.covered_ranges(np.zeros(0, int), np.zeros(0, int), 400))
 
 
+@pytest.mark.parametrize("size, gone", [(399, 0), (400, 400)])
+def test_a_passage_of_over_50_words_goes_from_400_bytes_on(spark, monkeypatch, size, gone):
+    rng = random.Random(3)
+    passage = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60))[:size]
+    assert len(passage.split()) > 50
+    docs = [(i, f"{i}" * 150 + passage + f"{i}" * 150) for i in range(5)]
+    done = digests(spark, docs, monkeypatch)
+    assert done == slow_rows(docs, 400) and {row[2] for row in done} == {gone}
+
+
 def test_ranges_of_windows():
     who, lo, hi = S.covered_ranges(np.array([0, 0, 0, 1]), np.array([0, 10, 21, 0]), 10)
     assert (who.tolist(), lo.tolist(), hi.tolist()) == ([0, 0, 1], [0, 21, 0], [20, 31, 10])
