@@ -152,7 +152,8 @@ def target_places(blocks: DataFrame, targets: DataFrame) -> DataFrame:
 
     ids = blocks.select("block", "carried").mapInArrow(run, f"block long, place long, id {kind}").dropna()
     wanted = targets.select(F.col("doc_id").alias("id")).dropna().distinct()
-    found = salted_join(ids, wanted, "id", "inner").groupBy("block").agg(F.collect_list("place").alias("places"))
+    # As many as a share of the texts, and in files a fraction of the size that they have in memory.
+    found = salted_join(ids, wanted, "id", "inner", broadcast=False).groupBy("block").agg(F.collect_list("place").alias("places"))
     return cut_lineage(found, "cross-entropy-targets")
 
 
