@@ -33,7 +33,7 @@ Counts cover all texts, whole. Defined results:
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +50,10 @@ from kohorta.operators.skew import top_n
 from kohorta.session import cut_lineage
 
 LEAST, DEPTH, TOP = 100, 5, 2000
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 CELL_BITS = 40
+#: So many phrases of a block wait before they are added up.
+ADD_ROWS = 1 << 18
 #: What ends a piece.
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = np.arange(256, dtype=np.uint8)
@@ -86,11 +88,11 @@ def language_hashes(names: list[str]) -> np.ndarray:
     return np.array([known[n] for n in names], np.uint64)
 
 
-def phrase_hash(words: list[np.ndarray]) -> np.ndarray:
+def phrase_hash(words: Iterable[np.ndarray]) -> np.ndarray:
     """Hash of phrases given as hashes of their first words, second words and so on."""
-    out = np.full(len(words[0]), len(words), np.uint64)
+    out = np.uint64(0)
     for k, w in enumerate(words):
-        out += w * _LANES[k]
+        out = out + (w * _LANES[k] + np.uint64(1))
     return mix(out)
 
 
@@ -224,7 +226,7 @@ def grown(index: TwoWayIndex, hashes: np.ndarray, filters: dict, longest: int) -
     """Patterns of 2, 3, ... numbers; those that a filter rules out are not extended."""
 
     def frequent(p: Patterns, first: int, size: int) -> np.ndarray:
-        return passes(filters[size].value, phrase_hash([hashes[w] for w in p.words[first : first + size]]))
+        return passes(filters[size].value, phrase_hash(hashes[w] for w in p.words[first : first + size]))
 
     p = index.single()
     for k in range(2, longest + 1):
@@ -262,9 +264,9 @@ def likely_pairs(shards: DataFrame, least: int):
             for row in range(batch.num_rows):
                 hashes, index = opened(batch, row)
                 p = index.extend_right(index.single())
-                cell = (phrase_hash([hashes[w] for w in p.words]) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+                cell = (phrase_hash(hashes[w] for w in p.words) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
                 order = np.argsort(cell)
-                cell, size = cell[order], np.minimum(p.size[order], least).astype(np.uint32)
+                cell, size = cell[order], np.minimum(p.size[order].astype(np.int64), least).astype(np.uint32)
                 block = cell // -(-(1 << CELL_BITS) // blocks)
                 first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else block
                 for i, j in zip(first.tolist(), [*first[1:].tolist(), len(block)], strict=True):
@@ -314,7 +316,7 @@ def phrase_counts(shards: DataFrame, filters: dict, shortest: int, longest: int,
                 for p in grown(index, hashes, filters, longest):
                     if len(p.words) < shortest:
                         continue
-                    key = phrase_hash([hashes[w] for w in p.words])
+                    key = phrase_hash(hashes[w] for w in p.words)
                     if likely and len(p.words) == longest:
                         some = passes(likely.value, key)
                         p, key = p.only(some), key[some]
@@ -328,30 +330,39 @@ def phrase_counts(shards: DataFrame, filters: dict, shortest: int, longest: int,
                         phrases = pc.binary_join_element_wise(*some, " ")
                         lists = pc.binary_join(pa.ListArray.from_arrays(pa.array(edge - edge[0], pa.int32()), phrases), "\n")
                         own = group[first[at : at + 64]]
-                        sizes = [packed(p.size[i:j]) for i, j in zip(edge[:-1], edge[1:], strict=True)]
+                        sizes = [packed(p.size[i:j].astype(np.int64)) for i, j in zip(edge[:-1], edge[1:], strict=True)]
                         texts = [zstandard.ZstdCompressor(level=1).compress(x.as_py().encode()) for x in lists]
                         columns = [pa.array(own % blocks), langs.dictionary.take(pa.array(own // blocks)), pa.array(texts), pa.array(sizes)]
                         yield pa.RecordBatch.from_arrays(columns, names=["block", "lang", "phrases", "sizes"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def summed(parts):
+            return pa.concat_tables(parts).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "n"])
+
         def full(parts):
-            table = pa.concat_tables(parts).group_by(["lang", "phrase"]).aggregate([("n", "sum")])
-            table = table.filter(pc.greater_equal(table["n_sum"], least))
+            table = summed(parts)
+            table = table.filter(pc.greater_equal(table["n"], least))
             k = pc.add(pc.count_substring(table["phrase"], " "), 1).cast(pa.int32())
-            table = pa.table({"lang": table["lang"], "phrase": table["phrase"], "k": k, "f": table["n_sum"]})
+            table = pa.table({"lang": table["lang"], "phrase": table["phrase"], "k": k, "f": table["n"]})
             yield from table.combine_chunks().to_batches()
 
-        at, parts = None, []
+        at, parts, size, limit = None, [], 0, 0
         for batch in batches:
             for row, block in enumerate(batch.column(0).to_pylist()):
                 if block != at and parts:
                     yield from full(parts)
                     parts = []
-                at = block
+                if not parts:
+                    at, size, limit = block, 0, ADD_ROWS
                 text = zstandard.ZstdDecompressor().decompress(batch.column(2)[row].as_py()).decode()
                 phrases = pc.split_pattern(pa.array([text]), "\n").values
                 lang = pa.array([batch.column(1)[row].as_py()]).take(pa.array(np.zeros(len(phrases), np.int32)))
                 parts.append(pa.table({"lang": lang, "phrase": phrases, "n": unpacked(batch.column(3)[row], np.int64)}))
+                size += len(phrases)
+                if size >= limit:
+                    parts = [summed(parts)]
+                    size = parts[0].num_rows
+                    limit = 2 * size + ADD_ROWS
         if parts:
             yield from full(parts)
 

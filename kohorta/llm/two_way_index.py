@@ -2,16 +2,19 @@
 
 Suffixes are sorted by their first ``DEPTH`` numbers, which is enough to count and extend
 patterns of up to ``DEPTH`` numbers. 0 parts the pieces of the text and is in no pattern.
-Intervals of many patterns are extended at once, as numpy arrays.
+Intervals of many patterns are extended at once, as numpy arrays, in steps of about ``STEP``
+occurrences, so that what a step works with stays small beside the index.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
 DEPTH = 5
+STEP = 1 << 17
 
 
 def _shifted(x: np.ndarray, by: int) -> np.ndarray:
@@ -73,10 +76,18 @@ class TwoWayIndex:
         """All numbers of the text but 0."""
         words = np.flatnonzero(self.many)
         words = words[words > 0]
-        return Patterns([words], self.first[words], self.first[words], self.many[words])
+        first = self.first[words].astype(np.int32)
+        return Patterns([words.astype(np.int32)], first, first, self.many[words].astype(np.int32))
 
     def _extended(self, places: np.ndarray, symbols: np.ndarray, left: np.ndarray, size: np.ndarray):
         """``(pattern, number, smaller ones in the interval, first place after it, occurrences)``."""
+        before = np.cumsum(size, dtype=np.int64) - size
+        edge = np.unique(np.r_[np.searchsorted(before, np.arange(0, int(size.sum(dtype=np.int64)) + 1, STEP)), 0, len(size)])
+        steps = [slice(i, j) for i, j in zip(edge[:-1], edge[1:], strict=True)] or [slice(0, 0)]
+        found = [self._step(places, symbols, left[s].astype(np.int64), size[s].astype(np.int64), s.start) for s in steps]
+        return [np.concatenate(x) for x in zip(*found, strict=True)]
+
+    def _step(self, places: np.ndarray, symbols: np.ndarray, left: np.ndarray, size: np.ndarray, number_of_first: int):
         owner = np.repeat(np.arange(len(left)), size)
         at = np.arange(len(owner)) + np.repeat(left - (np.cumsum(size) - size), size)
         key = owner * self.numbers + symbols[at]
@@ -89,21 +100,30 @@ class TwoWayIndex:
         which, number = np.divmod(key[start], self.numbers)
         smaller = start - (np.cumsum(size) - size)[which]
         words = number > 0
-        return which[words], number[words], smaller[words], places[at[order[start]]][words], many[words]
+        out = (which + number_of_first, number, smaller, places[at[order[start]]], many)
+        return [x[words].astype(np.int32) for x in out]
 
     def _places(self, symbols: np.ndarray) -> np.ndarray:
         """Place, in the order, of the suffix that starts one number earlier."""
         small = symbols.astype(np.uint16) if self.numbers <= 1 << 16 else symbols
-        out = np.empty(len(symbols), np.int64)
+        out = np.empty(len(symbols), np.int32)
         out[np.argsort(small, kind="stable")] = np.arange(len(symbols))
         return out
 
+    @cached_property
+    def _places_ahead(self) -> np.ndarray:
+        return self._places(self.before)
+
+    @cached_property
+    def _places_back(self) -> np.ndarray:
+        return self._places(self.after)
+
     def extend_right(self, p: Patterns) -> Patterns:
         """Every pattern with every number that follows it."""
-        which, number, smaller, back, many = self._extended(self._places(self.after), self.after, p.back, p.size)
+        which, number, smaller, back, many = self._extended(self._places_back, self.after, p.back, p.size)
         return Patterns([*[w[which] for w in p.words], number], p.ahead[which] + smaller, back, many)
 
     def extend_left(self, p: Patterns) -> Patterns:
         """Every pattern with every number that stands before it."""
-        which, number, smaller, ahead, many = self._extended(self._places(self.before), self.before, p.ahead, p.size)
+        which, number, smaller, ahead, many = self._extended(self._places_ahead, self.before, p.ahead, p.size)
         return Patterns([number, *[w[which] for w in p.words]], ahead, p.back[which] + smaller, many)

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -67,6 +68,13 @@ def test_many_small_shards(spark, monkeypatch):
     check(spark, sample(random.Random(2), 150), least=3, parts=2)
 
 
+def test_phrases_are_added_up_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(C, "SHARD_BYTES", 300)
+    monkeypatch.setattr(C, "ADD_ROWS", 2)
+    monkeypatch.setattr(C, "blocks_of", lambda shards: 2)
+    check(spark, sample(random.Random(5), 150), least=3, parts=2)
+
+
 def test_edges(spark):
     rows = [(None, None), ("en", ""), ("en", " \t\n.;"), ("en", "one"), ("de", "a a a a a a a a"), (None, "x y " * 9), ("und", "x y"),
             ("fr", "q r s t u v " * 4000)]
@@ -94,3 +102,18 @@ def test_index_counts_patterns_in_both_directions():
         p = index.single() if p is None else getattr(index, grow)(p)
         want = Counter(tuple(text[i : i + k]) for i in range(len(text) - k + 1) if 0 not in text[i : i + k])
         assert {tuple(int(w[i]) for w in p.words): int(p.size[i]) for i in range(len(p.size))} == want
+
+
+def test_extending_an_index_takes_little_beside_what_it_gives():
+    rng = np.random.default_rng(4)
+    text = np.r_[0, rng.zipf(1.3, 600_000) % 20_000, 0]
+    index = TwoWayIndex.of(text, 20_000)
+    single = index.single()
+    tracemalloc.start()
+    pairs = index.extend_right(single)
+    triples = index.extend_left(pairs)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    # Patterns of three numbers count each place that has no 0 within.
+    assert int(triples.size.sum()) <= len(text) and len(triples.size) > 100_000
+    assert most < 60 * len(text)
