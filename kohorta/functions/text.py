@@ -44,6 +44,9 @@ PLAIN_WORDS = r"\p{L}++(?=[\s,!?])(?: \p{L}++(?=[\s,!?]))*+"
 REFERENCES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 WORD_OR_GAP = r"\p{L}(?:[\p{L}'’]*\p{L})?|[^\p{L}]+"
 
+# Parts a text for one step; a text that holds it takes another way.
+MARK = "\x01"
+
 # Literal replacements on the joined tokens, applied in this order.
 TOKEN_REWRITES = [
     ("cannot ", "can not "),
@@ -256,18 +259,50 @@ def expand_contractions(text: Column, table: dict[str, str] | None = None) -> Co
             .otherwise(full)
         )
 
-    signs = "|".join(["['’]", *[re.escape(key) for key in keys if "'" not in key]])
+    # Keys without an apostrophe, by classes of their first letters: lets more through, never less.
+    bare = [key for key in keys if "'" not in key]
+    if all(re.fullmatch("[a-z]+", key) for key in bare):
+        other = {"i": "İ", "k": "\u212a"}
+        columns = [sorted(set(c)) for c in zip(*bare, strict=False)]
+        bare_word = "".join(f"[{''.join(c + c.upper() + other.get(c, '') for c in column)}]" for column in columns)
+    else:
+        bare_word = "(?iu)" + "|".join(map(re.escape, bare))
 
-    def may_change(t):
-        return t.contains("'") | t.contains("’") | t.rlike("(?iu)" + signs)
+    def has_apostrophe(t):
+        return t.contains("'") | t.contains("’")
 
-    def expand_part(part):
-        pieces = F.regexp_extract_all(part, F.lit(WORD_OR_GAP), F.lit(0))
-        return F.when(may_change(part), F.array_join(F.transform(pieces, expand), "")).otherwise(part)
+    def has_bare(t):
+        return t.rlike(bare_word) if bare else F.lit(False)
 
-    # No word holds a space, so what lies between spaces is looked at by itself.
-    expanded = F.array_join(F.transform(F.split(text, " "), expand_part), " ")
-    return F.when(may_change(text), expanded).otherwise(text)
+    def expand_words(part):
+        pieces = F.regexp_extract_all(part, F.lit(WORD_OR_GAP), F.lit(0))
+        return F.array_join(F.transform(pieces, expand), "")
+
+    def where(test, joint):
+        def body(part):
+            return F.when(test(part), expand_words(part)).otherwise(part)
+
+        return lambda parts: F.array_join(F.transform(parts, body), joint)
+
+    def ends_marked(part):
+        head, tail = F.substring_index(part, " ", 1), F.substring_index(part, " ", -1)
+        inner = part.substr(F.length(head) + 1, F.length(part) - F.length(head) - F.length(tail))
+        return F.when(part.contains(" "), F.concat(head, F.lit(MARK), inner, F.lit(MARK), tail)).otherwise(part)
+
+    # No word holds a space, so what lies between spaces is looked at by itself. Where only
+    # apostrophes count, the text is cut there, marks are put at the first and last space of
+    # each part, and what lies between two marks and holds an apostrophe is looked at.
+    every = where(lambda part: has_apostrophe(part) | has_bare(part), " ")(F.split(text, " "))
+    cut = text
+    for sign in "'’":
+        cut = F.replace(cut, F.lit(sign), F.lit(MARK + sign))
+    marked = F.array_join(F.transform(F.split(cut, MARK), ends_marked), "")
+    few = where(has_apostrophe, "")(F.split(marked, MARK))
+    return (
+        F.when(has_bare(text) | (text.contains(MARK) & has_apostrophe(text)), every)
+        .when(has_apostrophe(text), few)
+        .otherwise(text)
+    )
 
 
 def unescape(text: Column) -> Column:

@@ -7,7 +7,7 @@ join that splits hot users.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,7 +56,11 @@ def build_timelines(
 
 
 def clean_text(
-    posts: DataFrame, order: Iterable[Column] = (), min_len: int = 7, expand: bool = False
+    posts: DataFrame,
+    order: Iterable[Column] = (),
+    min_len: int = 7,
+    expand: bool = False,
+    flags: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Full text, one row per id, links, reposts and mentions out, short posts out.
 
@@ -65,6 +69,8 @@ def clean_text(
     are read. A copy to be dropped travels without its text, as it may still be the
     first of its id, and raw texts do not travel unless somebody asks for them.
     Contractions come last because they would change the token count.
+    ``flags``, columns over the cleaned text ``prep``, take the place of the texts: they are
+    worked out where a text is read, and no text travels.
     """
     texts = P.with_full_text(posts)
     short = lambda t: F.when(T.has_more_tokens(t, min_len), t)
@@ -72,10 +78,16 @@ def clean_text(
         T.cut_at_url(F.col("text")),
         lambda cut: F.when(~T.is_repost(cut), T.bind(T.strip_mentions(cut), short)),
     )
-    texts = texts.withColumns({"prep": cleaned, "_digest": F.md5("text")})
+    texts = texts.withColumns({"prep": cleaned, "_digest": F.unhex(F.md5("text"))})
+    whole = T.expand_contractions(F.col("prep")) if expand else F.col("prep")
+    if flags:
+        flagged = texts.withColumns({"_kept": F.col("prep").isNotNull(), "prep": whole})
+        texts = flagged.withColumns(dict(flags)).drop("text", "prep")
     unique = P.dedup_posts(texts, [*order, F.col("_digest").asc_nulls_last()]).drop("_digest")
+    if flags:
+        return unique.filter("_kept").drop("_kept")
     kept = unique.filter("prep is not null")
-    return kept.withColumn("prep", T.expand_contractions(F.col("prep"))) if expand else kept
+    return kept.withColumn("prep", whole) if expand else kept
 
 
 def with_days(posts: DataFrame) -> DataFrame:

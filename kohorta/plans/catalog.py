@@ -508,12 +508,14 @@ def labelled_csv(spark, folder):
 def timeline_to_intervals(spark, folder):
     """Whole chain: clean, entry time, cohort, intervals."""
     posts = I.posts(spark, folder)
-    clean = L.clean_text(posts.unionByName(posts), [F.col("created_ts")], expand=True)
-    # The text has done its work once the entry test is a flag; the narrow rows are
-    # stored, as both halves of the entry step read them.
+    # The text has done its work once the entry test is a flag, so copies meet without it;
+    # the narrow rows are stored, as both halves of the entry step read them.
     hit = L.entry_hit(I.THRESHOLDS[I.ENTRY], I.ENTRY_KEYWORDS, I.ENTRY)
+    clean = L.clean_text(
+        posts.unionByName(posts), [F.col("created_ts")], expand=True, flags={"hit": hit}
+    )
     narrow = clean.select(
-        "user_id", "id", "created_ts", "normalised_date", I.EXPOSURE, I.OUTCOME, hit.alias("hit")
+        "user_id", "id", "created_ts", "normalised_date", I.EXPOSURE, I.OUTCOME, "hit"
     )
     entered = L.define_t0(cut_lineage(narrow, "clean"), F.col("hit"))
     periods = H.build_cohort(

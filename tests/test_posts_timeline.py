@@ -9,6 +9,7 @@ from kohorta import session
 from kohorta.operators import posts as P
 from kohorta.operators import timeline as L
 from kohorta.operators.skew import salted_join, top_n
+from kohorta.plans import catalog
 
 
 def ids(df, column="id"):
@@ -39,6 +40,28 @@ def test_clean_text_rules(spark):
     }
 
 
+def test_clean_text_gives_flags_in_place_of_texts(spark):
+    eight = "one two three four five six seven eight"
+    rows = [(1, 2, eight + " can't"), (1, 1, eight), (2, 1, "@a don't " + eight), (3, 1, "short"), (3, 2, eight), (4, 1, None),
+            (5, 1, "RT @x " + eight), (None, 1, eight), (6, None, eight), (6, 5, eight + " cannot")]
+    posts = spark.createDataFrame(rows, "id int, seq int, text string").repartition(3)
+    hit = F.col("prep").contains("not")
+    want = L.clean_text(posts, [F.col("seq")], expand=True).select("id", "seq", hit.alias("hit"))
+    got = L.clean_text(posts, [F.col("seq")], expand=True, flags={"hit": hit})
+    assert got.columns == ["id", "seq", "hit"]
+    order = lambda r: str(tuple(r))
+    assert sorted(map(tuple, got.collect()), key=order) == sorted(map(tuple, want.collect()), key=order)
+    assert {r.id: r.hit for r in got.collect()} == {1: False, 2: True, None: False, 6: False}
+
+
+def test_no_text_of_a_whole_chain_travels_to_meet_its_copies(spark, small, monkeypatch):
+    plans, cut = {}, catalog.cut_lineage
+    monkeypatch.setattr(catalog, "cut_lineage", lambda df, name: (plans.update({name: df._jdf.queryExecution().executedPlan().toString()}), cut(df, name))[1])
+    catalog.timeline_to_intervals(spark, small).count()
+    above, found, _ = plans["clean"].partition("Exchange hashpartitioning(id#")
+    assert found and "prep#" not in above
+
+
 def test_dedup_keeps_the_first_and_is_idempotent(spark):
     rows = [(1, 3, "c"), (1, 1, "a"), (2, 5, "x"), (1, 1, "b")]
     df = spark.createDataFrame(rows, "id int, seq int, text string")

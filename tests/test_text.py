@@ -190,6 +190,14 @@ def test_expand_contractions_part_by_part_equals_word_by_word(values):
     assert "split" in str(T.expand_contractions(T.F.col("x")))
 
 
+def test_expand_contractions_round_the_marks_of_its_steps(values):
+    texts = [f"I'm{T.MARK}can't", f"a{T.MARK}b", f"it's {T.MARK} gonna", "'", "a 'b", "rock'n'roll can't won’t", "don't", "winner gonna", "x  I'm  "]
+    assert values(T.expand_contractions, texts) == [
+        f"I am{T.MARK}cannot", f"a{T.MARK}b", f"it is {T.MARK} going to", "'", "a 'b", "rock'n'roll cannot will not", "do not",
+        "winner going to", "x  I am  ",
+    ]
+
+
 def test_plain_words_are_one_match_and_need_no_mending(spark, values):
     plain = "Words of letters, naïve ones too! go on"
     matches = values(lambda t: F.regexp_count(t, F.lit(rf"({T.PLAIN_WORDS}|{T.POST_TOKEN})\s*")), [plain])
