@@ -47,7 +47,7 @@ from kohorta.llm.frames import arrow_limits
 from kohorta.llm.two_way_index import Patterns, TwoWayIndex
 from kohorta.llm.wordbytes import _LANES, Block, mix, text_blocks
 from kohorta.operators.skew import top_n
-from kohorta.session import cut_lineage
+from kohorta.session import LARGE_ROWS, cut_lineage
 
 LEAST, DEPTH, TOP = 100, 5, 2000
 SHARD_BYTES = 4 << 20
@@ -219,7 +219,7 @@ def make_shards(texts: DataFrame, frequent) -> DataFrame:
         if parts:
             yield from shard(parts)
 
-    return cut_lineage(texts.mapInArrow(work, SHARD), "collocation-shards")
+    return cut_lineage(texts.mapInArrow(work, SHARD), "collocation-shards", **LARGE_ROWS)
 
 
 def grown(index: TwoWayIndex, hashes: np.ndarray, filters: dict, longest: int) -> Iterator[Patterns]:

@@ -54,7 +54,7 @@ from pyspark.sql.types import StructType
 from kohorta.llm.frames import arrow_limits
 from kohorta.llm.wordbytes import Block, mix, text_blocks
 from kohorta.operators.skew import salted_join
-from kohorta.session import cut_lineage
+from kohorta.session import LARGE_ROWS, cut_lineage
 
 MASS = 50.0
 START = np.uint64(0x5374617274)
@@ -241,11 +241,11 @@ def exact_scores(
     kind = targets.schema["doc_id"].dataType
     own = [F.col(f"`{c}`").alias(name) for c, name in zip(carry, names, strict=True)]
     rows = docs.select(F.col(f"`{text}`").alias("t"), F.col(f"`{doc_id}`").try_cast(kind).alias("id"), *own)
-    blocks = cut_lineage(word_blocks(rows, ["id", *names], block_tokens), "cross-entropy-blocks")
+    blocks = cut_lineage(word_blocks(rows, ["id", *names], block_tokens), "cross-entropy-blocks", **LARGE_ROWS)
     tokens = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     cells = max(least_cells, -(-tokens // cell_tokens))
     lists = cell_lists(blocks.join(target_places(blocks, targets), "block", "left"), cells)
-    totals = cut_lineage(lists.groupBy("cell").applyInArrow(_add_up, TOTAL), "cross-entropy-totals")
+    totals = cut_lineage(lists.groupBy("cell").applyInArrow(_add_up, TOTAL), "cross-entropy-totals", **LARGE_ROWS)
     corpus = totals.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("vocabulary", "all_b", "all_t")]).first()
     vocabulary, all_b, all_t = map(int, corpus)
 

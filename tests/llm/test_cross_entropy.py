@@ -117,7 +117,7 @@ def test_exact_scores_of_no_documents(spark):
 
 def test_targets_never_pass_through_the_driver(spark, monkeypatch):
     plans, cut = {}, C.cut_lineage
-    monkeypatch.setattr(C, "cut_lineage", lambda df, name: (plans.update({name: df._jdf.queryExecution().executedPlan().toString()}), cut(df, name))[1])
+    monkeypatch.setattr(C, "cut_lineage", lambda df, name, **o: (plans.update({name: df._jdf.queryExecution().executedPlan().toString()}), cut(df, name, **o))[1])
     frame = spark.createDataFrame([(i, "a b") for i in range(9)], "doc_id long, text string")
     C.exact_scores(frame, spark.createDataFrame([(1,)], "doc_id long")).count()
     assert "SortMergeJoin" in plans["cross-entropy-targets"] and "BroadcastExchange" not in plans["cross-entropy-targets"]

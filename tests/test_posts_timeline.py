@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from conftest import executed_plan
 from pyspark.sql import functions as F
@@ -71,6 +72,14 @@ def test_dedup_keeps_the_first_and_is_idempotent(spark):
     assert sorted(once.collect()) == sorted(P.dedup_posts(once, order).collect())
 
 
+def test_large_rows_are_stored_in_small_groups(spark):
+    rows = spark.range(0, 40, 1, 1).select("id", F.repeat(F.md5(F.col("id").cast("string")), 1 << 15).alias("text"))
+    kept = session.cut_lineage(rows, "large", **{**session.LARGE_ROWS, "compression": "none"})
+    groups = [pq.read_metadata(f.removeprefix("file://")) for f in kept.inputFiles()]
+    assert max(g.row_group(i).num_rows for g in groups for i in range(g.num_row_groups)) < 40
+    assert sorted(kept.collect()) == sorted(rows.collect())
+
+
 def test_dedup_drops_copies_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 2).alias("id"), F.col("id").alias("seq"))
     plan = executed_plan(P.dedup_posts(df, [F.col("seq")]))
